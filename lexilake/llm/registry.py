@@ -8,19 +8,66 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexilake.llm import bpe
+from lexilake.llm import bpe, quality
 from lexilake.llm.common import table
 
 #: The tokenizer file of op8 and of the pipeline's last stage.
 VOCABULARY = os.environ.get("LEXILAKE_VOCABULARY") or public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.quality_rules(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP4_SQL = f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words, text, source FROM d),
+l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d),
+dup AS (
+  SELECT doc_id, sum(n - 1) AS n_dup FROM (
+    SELECT doc_id, line, count(*) AS n FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id, line) GROUP BY doc_id),
+p AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM w),
+t AS (
+  SELECT doc_id, pos, word, lead(word, 1) OVER o AS w2, lead(word, 2) OVER o AS w3
+  FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+c AS (
+  SELECT doc_id, pos, w3 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, word, w2, w3) > 1 AS twice FROM t),
+r AS (
+  SELECT doc_id, count(*) AS n_repeat FROM (
+    SELECT doc_id, max(twice) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS inside FROM c)
+  WHERE inside GROUP BY doc_id),
+nl AS (
+  SELECT doc_id, source, md5(text) AS text_hash, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words,
+    array_to_string(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), ' ') AS norm
+  FROM l),
+f AS (
+  SELECT source, norm, min(doc_id) AS first_id FROM nl WHERE words > 0
+  GROUP BY source, norm HAVING count(DISTINCT text_hash) > {quality.MAX_TEXTS_PER_LINE}),
+x AS (
+  SELECT nl.doc_id, sum(nl.words) AS lost FROM nl JOIN f ON nl.norm = f.norm AND nl.source IS NOT DISTINCT FROM f.source
+  WHERE nl.doc_id <> f.first_id GROUP BY nl.doc_id),
+b AS (
+  SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(translate(text, '{quality.SYMBOLS}', '')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words, coalesce(lost, 0) AS lost
+  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN x USING (doc_id)),
+e AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT lost > {quality.MAX_REMOVED} * n_words AS kept
+FROM e
+"""
+
+
 def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), VOCABULARY, with_ids=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_quality_rules": op4_quality_rules,
     "op8_bpe_automaton": op8_bpe_automaton,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_quality_rules": OP4_SQL,
+}
