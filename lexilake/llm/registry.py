@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexilake.llm import bpe, quality
+from lexilake.llm import bpe, quality, simhash
 from lexilake.llm.common import table
 
 #: The tokenizer file of op8 and of the pipeline's last stage.
@@ -63,7 +63,12 @@ def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), VOCABULARY, with_ids=False)
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"), shingle=3, radius=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op8_bpe_automaton": op8_bpe_automaton,
 }
