@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexilake.llm import bpe, qda, quality, simhash
+from lexilake.llm import bpe, decontaminate, qda, quality, simhash
 from lexilake.llm.common import table
 
 #: The tokenizer file of op8 and of the pipeline's last stage.
@@ -74,7 +74,34 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP10_SQL = r"""
+WITH dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+bw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+bi AS (SELECT item_id, w, least(len(w), 10) AS size FROM bw WHERE len(w) > 0),
+bs AS (SELECT item_id, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM bi),
+b AS (SELECT DISTINCT item_id, size, array_to_string(list_slice(w, p, p + size - 1), ' ') AS run FROM bs),
+sizes AS (SELECT DISTINCT size FROM b),
+ds AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM dw, sizes WHERE len(w) >= size),
+dr AS (SELECT doc_id, size, p, array_to_string(list_slice(w, p, p + size - 1), ' ') AS run FROM ds),
+h AS (SELECT doc_id, p, size, item_id FROM dr JOIN b USING (size, run)),
+cover AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(p, p + size)) AS q FROM h) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM h) GROUP BY doc_id)
+SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(cover.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(it.n, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(cover.n, 0) > 0 AS contaminated
+FROM dw LEFT JOIN cover USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_decontamination": op10_decontamination,
     "op7_quality_classifier": op7_quality_classifier,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_quality_rules": op4_quality_rules,
@@ -83,4 +110,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op4_quality_rules": OP4_SQL,
+    "op10_decontamination": OP10_SQL,
 }
