@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexilake.llm import bpe, decontaminate, qda, quality, simhash
+from lexilake.llm import bpe, decontaminate, qda, quality, simhash, urls
 from lexilake.llm.common import table
 
 #: The tokenizer file of op8 and of the pipeline's last stage.
@@ -100,7 +100,12 @@ FROM dw LEFT JOIN cover USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages"), urls.train(urls.default_labelled(spark))).drop("probability")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_url_filter": op9_url_filter,
     "op10_decontamination": op10_decontamination,
     "op7_quality_classifier": op7_quality_classifier,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
