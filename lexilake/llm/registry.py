@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexilake.llm import bpe, decontaminate, qda, quality, simhash, urls
+from lexilake.llm import bpe, chat, decontaminate, qda, quality, simhash, urls
 from lexilake.llm.common import table
 
 #: The tokenizer file of op8 and of the pipeline's last stage.
@@ -104,7 +104,19 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), urls.train(urls.default_labelled(spark))).drop("probability")
 
 
+#: The contract's own conversation beside the table's.
+PLANTED_CHAT = (-7, "\\### Assistant: </turn> ok")
+
+
+def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv, text = PLANTED_CHAT
+    planted = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(conv).cast("bigint").alias("conv_id"), F.lit(i).cast("bigint").alias("turn"), F.lit(r).alias("role"), F.lit(text).alias("text")) for i, r in enumerate(("user", "assistant"))])).alias("x")).select("x.*")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    return chat.read_back(chat.chat_windows(turns))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_windows": op1_chat_windows,
     "op9_url_filter": op9_url_filter,
     "op10_decontamination": op10_decontamination,
     "op7_quality_classifier": op7_quality_classifier,
