@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexilake.llm import bpe, chat, decontaminate, qda, quality, simhash, urls
+from lexilake.llm import bpe, chat, decontaminate, pii, qda, quality, simhash, urls
 from lexilake.llm.common import table
 
 #: The tokenizer file of op8 and of the pipeline's last stage.
@@ -115,7 +115,18 @@ def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.chat_windows(turns))
 
 
+#: The key of the registered query and the pipeline; a deployment passes its own.
+PSEUDONYM_KEY = os.environ.get("LEXILAKE_PSEUDONYM_KEY", "not-a-secret")
+
+
+def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    count = lambda k: F.size(F.filter("pii", lambda x: x == k)).cast("bigint").alias(f"n_{k}")
+    return made.select("doc_id", "text", F.size("pii").cast("bigint").alias("n_pii"), *[count(k) for k in pii.KINDS])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_pii_pseudonyms": op5_pii_pseudonyms,
     "op1_chat_windows": op1_chat_windows,
     "op9_url_filter": op9_url_filter,
     "op10_decontamination": op10_decontamination,
