@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexilake.llm import bpe, chat, decontaminate, pii, qda, quality, simhash, urls
+from lexilake.llm import bpe, chat, decontaminate, pii, qda, quality, simhash, urls, warc
 from lexilake.llm.common import table
 
 #: The tokenizer file of op8 and of the pipeline's last stage.
@@ -125,7 +125,12 @@ def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "text", F.size("pii").cast("bigint").alias("n_pii"), *[count(k) for k in pii.KINDS])
 
 
+def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_warc_round_trip": op3_warc_round_trip,
     "op5_pii_pseudonyms": op5_pii_pseudonyms,
     "op1_chat_windows": op1_chat_windows,
     "op9_url_filter": op9_url_filter,
