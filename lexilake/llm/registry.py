@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexilake.llm import bpe, chat, decontaminate, pii, qda, quality, simhash, urls, warc
+from lexilake.llm import bpe, chat, decontaminate, pii, qda, quality, simhash, suffixes, urls, warc
 from lexilake.llm.common import table
 
 #: The tokenizer file of op8 and of the pipeline's last stage.
@@ -129,7 +129,12 @@ def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(table(spark, sf_dir, "pages"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op3_warc_round_trip": op3_warc_round_trip,
     "op5_pii_pseudonyms": op5_pii_pseudonyms,
     "op1_chat_windows": op1_chat_windows,
