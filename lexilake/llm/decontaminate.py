@@ -63,17 +63,15 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     return full.select("item", "size", "w.fp", "w.run").unionByName(short).distinct()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """For each row of ``docs``: id, n_words, n_hit, n_items, items_sha256, contaminated.
+def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
+    return docs.withColumn("_text", F.coalesce(text_col, F.lit(""))).withColumn("_key", F.md5(F.col("_text").cast("binary")))
 
-    Null texts and texts without words have no hits; ``items_sha256`` of no items is
-    that of the empty string. The figures depend on the text alone, so copies are
-    worked out once; repeated rows and null ids are each returned. Other columns of
-    either table are not looked at; an empty benchmark contaminates nothing.
-    """
+
+def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """key (MD5 of the text), n_hit and the sorted items of each distinct text that has a hit."""
     items = written(item_windows(benchmark, item_col, item_text), "item-windows")
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # ten at most
-    keyed = docs.select(F.col(id_col), F.md5(F.coalesce(text_col, F.lit("")).cast("binary")).alias("key"), F.coalesce(text_col, F.lit("")).alias("_text"))
+    keyed = _keyed(docs.select(text_col), text_col).select(F.col("_key").alias("key"), "_text")
     worded = keyed.select("key", words_of(F.col("_text")).alias("words"))
     known = with_fingerprints(worded)
     marks = F.array_distinct(F.concat(F.col("fp"), *[_runs(F.col("words"), F.col("n_words"), s) for s in sizes if s < WINDOW]))
@@ -103,10 +101,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             lambda acc: acc["n"],
         )
         found = hits.groupBy("key").agg(laid.cast("bigint").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
-        found = written(found.withColumnRenamed("key", "_key"), "contaminated")
-    else:
-        found = items.select(F.lit("").alias("_key"), F.lit(0).cast("bigint").alias("n_hit"), F.array("item").alias("items"))
-    out = keyed.select(id_col, "key", F.regexp_count(ascii_lower(F.col("_text")), F.lit(WORD)).cast("bigint").alias("n_words"))
+        return written(found, "contaminated")
+    return items.select(F.lit("").alias("key"), F.lit(0).cast("bigint").alias("n_hit"), F.array("item").alias("items"))
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without any hit, all columns; null texts have none."""
+    found = contaminated_texts(docs, benchmark, text_col, item_col, item_text).select("key")
+    keyed = _keyed(docs, text_col)
+    return keyed.join(found, F.col("_key") == F.col("key"), "left_anti").select(*docs.columns)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """For each row of ``docs``: id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    Null texts and texts without words have no hits; ``items_sha256`` of no items is
+    that of the empty string. The figures depend on the text alone, so copies are
+    worked out once; repeated rows and null ids are each returned. Other columns of
+    either table are not looked at; an empty benchmark contaminates nothing.
+    """
+    found = contaminated_texts(docs, benchmark, text_col, item_col, item_text)
+    keyed = _keyed(docs.select(id_col, text_col), text_col)
+    out = keyed.select(id_col, "_key", F.regexp_count(ascii_lower(F.col("_text")), F.lit(WORD)).cast("bigint").alias("n_words"))
     out = out.join(found, F.col("key") == F.col("_key"), "left")
     items_of = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(

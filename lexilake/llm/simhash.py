@@ -15,6 +15,7 @@ are counted again before a link is kept.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 
@@ -196,3 +197,109 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, id_co
     of_fp = written(known.join(named, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("least_id", "first_id").alias("component_id")), "components")
     hex16 = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return own.join(of_fp, F.col("fp") == F.col("_fp")).select(id_col, hex16.alias("fingerprint"), "component_id")
+
+
+#: For similarity search by tables: bits of a fingerprint and of a table's key, and the
+#: share of bits that may differ: the angle of two sets of five-word shingles at Jaccard
+#: similarity 0.8 plus half a standard error of the estimate.
+WORDS, TABLE_BITS = 8, 30
+NEAR = 0.8
+
+
+def _planes(v: np.ndarray) -> bytes:
+    return v.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unplaned(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
+def allowed_bits(similarity: float, bits: int) -> int:
+    """Bits that may differ at this Jaccard similarity, half a standard error included."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * share + 0.5 * math.sqrt(bits * share * (1 - share)))
+
+
+def table_pairs(nodes: DataFrame, words: int = WORDS, bits: int = TABLE_BITS) -> DataFrame:
+    """Pairs ``a`` < ``b`` of nodes (``node``, ``fp``) that share a variant in some table.
+
+    A table's key is a stretch of ``bits`` bits of the fingerprint; its variants are
+    those within one flip, so keys up to two bits apart meet. Members of a variant
+    are paired with the first of it and with their next three, which is every pair
+    of up to four and linear beyond.
+    """
+    n, parts = _buckets(nodes), int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shift, tables = np.uint64(64 - (n - 1).bit_length()), words * 64 // bits
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flips = near_masks(bits)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_numpy()
+            order = np.argsort(ids, kind="stable")
+            ids = ids[order]
+            fps = np.array(batch.column(1).to_pylist(), np.int64).reshape(-1, words)[order]
+            for at in range(0, len(ids), 2048):
+                all_bits = np.unpackbits(fps[at : at + 2048].astype(">i8").view(np.uint8), axis=1)[:, : tables * bits].reshape(-1, tables, bits).astype(np.uint64)
+                keys = (all_bits << np.arange(bits, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
+                variants = (keys[:, :, None] ^ flips) | (np.arange(tables, dtype=np.uint64) << np.uint64(bits))[None, :, None]
+                own = np.repeat(ids[at : at + 2048], tables * len(flips))
+                variants = variants.ravel()
+                bucket = (_spread(variants + np.uint64(1)) >> shift).astype(np.int64)
+                rank = np.argsort(bucket, kind="stable")
+                edges = np.searchsorted(bucket[rank], np.arange(n + 1))
+                full = np.flatnonzero(np.diff(edges))
+                blocks = [rank[edges[b] : edges[b + 1]] for b in full]
+                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([_planes(variants[x]) for x in blocks], pa.binary()), pa.array([_planes(np.diff(own[x], prepend=0)) for x in blocks], pa.binary())], ["bucket", "variants", "nodes"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[bytes, bytes]]] = {}
+        for batch in batches:
+            for b, v, i in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                held.setdefault(b, []).append((v, i))
+        for blocks in held.values():
+            variants = np.concatenate([_unplaned(v) for v, _ in blocks])
+            nodes_of = np.concatenate([np.cumsum(_unplaned(i)) for _, i in blocks])
+            order = np.lexsort((nodes_of, variants))
+            variants, nodes_of = variants[order], nodes_of[order]
+            first = np.concatenate([[True], variants[1:] != variants[:-1]])
+            head = np.maximum.accumulate(np.where(first, np.arange(len(variants)), 0))
+            a, b = [nodes_of[head]], [nodes_of]
+            for step in (1, 2, 3):
+                same = variants[step:] == variants[:-step]
+                a.append(nodes_of[:-step][same])
+                b.append(nodes_of[step:][same])
+            a, b = np.concatenate(a), np.concatenate(b)
+            pairs = np.unique(np.stack([a, b])[:, a < b], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    blocks = nodes.select("node", "fp").repartition(parts, "node").mapInArrow(emit, "bucket int, variants binary, nodes binary")
+    return blocks.repartition(parts, "bucket").mapInArrow(meet, "a bigint, b bigint").distinct()
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = NEAR, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col`` and ``group_id`` of each row: the smallest id of its group of near-duplicates.
+
+    Two texts are linked if their fingerprints of ``64 * words`` bits put the
+    similarity of their shingles at ``similarity`` or more; the ball hashing is over
+    tables of shorter keys, as one word cannot hold so wide an angle. Texts with the
+    same shingles are one node. Texts without words are alike. Rows with a null id
+    have a null group unless their text is that of others.
+    """
+    own = written(fingerprints(docs, shingle, words, id_col, text_col), "fingerprints")
+    nodes = written(own.where(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).cast("bigint").alias("node")), "nodes")
+    one, two = (nodes.select(F.col("node").alias(f"n{x}"), F.col("fp").alias(f"f{x}")) for x in "ab")
+    met = table_pairs(nodes, words).join(one, F.col("a") == F.col("na")).select("b", "na", "fa").join(two, F.col("b") == F.col("nb"))
+    apart = sum((F.bit_count(F.col("fa")[k].bitwiseXOR(F.col("fb")[k])) for k in range(words)), F.lit(0))
+    label = connected_components(met.where(apart <= allowed_bits(similarity, 64 * words)).select(F.col("na").alias("a"), F.col("nb").alias("b")))
+    named = nodes.join(label.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+    of_fp = written(named.select(F.col("fp").alias("_fp"), F.coalesce("label", "node").alias("group_id")), "groups")
+    return own.join(of_fp, F.col("fp") == F.col("_fp"), "left").select(id_col, "group_id")
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = NEAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` of which one id of each group stays, the smallest. Rows with a null id stay, and so do all rows that repeat an id that stays."""
+    groups = near_duplicates(docs, shingle, similarity, id_col=id_col, text_col=text_col)
+    gone = written(groups.where(F.col(id_col) != F.col("group_id")).select(F.col(id_col).alias("_gone")).distinct(), "near-duplicates")
+    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
