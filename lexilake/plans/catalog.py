@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lexilake.plans import search_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+_parts = (search_queries,)
+QUERIES = {name: query for part in _parts for name, query in part.QUERIES.items()}
+ORACLE = {name: sql for part in _parts for name, sql in part.ORACLE.items()}
