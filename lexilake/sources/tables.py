@@ -95,7 +95,7 @@ SQL_VIEWS = {
     "item_tags": "SELECT doc_id AS item_id, doc_id % 5 + 1 AS user_id, lang AS label FROM documents UNION ALL SELECT doc_id, doc_id % 5 + 1, source FROM documents",
     "chunk_vectors": "SELECT vec_id AS chunk_id, vec_id // 4 AS item_id, vec_id // 4 % 5 + 1 AS user_id, embedding::DOUBLE[] AS embedding FROM embeddings",
     "chat_messages": "SELECT conv_id, turn, role, text FROM conversations",
-    "event_log": "SELECT *, epoch_ms(ts) AS ms FROM events",
+    "event_log": "SELECT *, epoch_us(ts) // 1000 AS ms FROM events",
 }
 
 
