@@ -230,7 +230,7 @@ SELECT query_id, round(precision, 6) AS precision, round(found / total, 6) AS re
     "backoff_schedule": "SELECT event_id, CAST(least(900000, 1000 * power(2, greatest(0, event_id % 13 - 1))) AS BIGINT) AS wait_ms FROM events",
     "eta_estimate": f"""{_EV}, a AS (SELECT event_id, event_id % 4000 AS items, floor((event_id % 700) / 1.05) AS today, event_id % 9 * 100 AS daily, (ms // 86400000 + 1) * 86400000 - ms AS wait FROM event_log),
 b AS (SELECT *, greatest(1, floor(daily / 1.05)) AS fd, floor((items - today) / greatest(1, floor(daily / 1.05))) AS days FROM a),
-c AS (SELECT event_id, CAST(CASE WHEN items <= 0 THEN 0 WHEN daily <= 0 THEN NULL WHEN items <= today THEN ceil(items * 3500.0::DOUBLE) ELSE ceil(wait + days * 86400000 + (items - today - days * fd) * 3500.0::DOUBLE) END AS BIGINT) AS eta_ms FROM b),
+c AS (SELECT event_id, CAST(CASE WHEN items <= 0 THEN 0 WHEN daily <= 0 THEN NULL WHEN items <= today THEN ceil(items * (60000::DOUBLE / 18 * 1.05::DOUBLE)) ELSE ceil(wait + days * 86400000 + (items - today - days * fd) * (60000::DOUBLE / 18 * 1.05::DOUBLE)) END AS BIGINT) AS eta_ms FROM b),
 d AS (SELECT *, list_filter([CASE WHEN eta_ms // 86400000 > 0 THEN eta_ms // 86400000 || 'd' END, CASE WHEN eta_ms % 86400000 // 3600000 > 0 THEN eta_ms % 86400000 // 3600000 || 'h' END, CASE WHEN eta_ms % 3600000 // 60000 > 0 THEN eta_ms % 3600000 // 60000 || 'm' END], lambda x: x IS NOT NULL) AS parts FROM c)
 SELECT event_id, eta_ms, CASE WHEN eta_ms IS NULL THEN 'unknown' WHEN eta_ms <= 0 THEN 'done' WHEN eta_ms < 60000 THEN '<1m' ELSE array_to_string(parts[1:2], ' ') END AS human FROM d""",
     "daily_budget_single_lane": f"{_EV} SELECT ms // 86400000 AS day, count(*) AS asked, least(count(*), {CAP - RESERVE}) AS admitted FROM event_log GROUP BY 1",
