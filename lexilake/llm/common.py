@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,3 +47,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def partition_keys(spark: SparkSession, parts: int) -> list[int]:
+    """For each of ``parts`` shuffle partitions an int that ``repartition(parts, key)`` deals to it.
+
+    Packed blocks dealt out by these are spread evenly, which a hash of few bucket
+    numbers would not do.
+    """
+    where = F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("part")
+    found = spark.range(0, 64 * parts, 1, 1).select(F.col("id").cast("int").alias("key"), where).groupBy("part").agg(F.min("key").alias("key"))
+    keys = {r["part"]: r["key"] for r in found.collect()}  # as many as there are partitions
+    return [keys.get(p, p) for p in range(parts)]

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexilake.llm.common import partition_keys
+
 SPAN, GRAM = 100, 40
 #: Bytes of text that are looked at together, and that give their runs together.
 CHUNK, GROUP = 1 << 19, 1 << 23
@@ -158,15 +160,15 @@ def repeated_passages(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_co
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets = 1 << (4 * parts - 1).bit_length()
-    shift = np.uint64(64 - (n_buckets - 1).bit_length())
+    keys = np.array(partition_keys(spark, parts), np.int32)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)).alias("rid"), F.col(id_col).alias("own_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data")
     ).repartition(parts, "rid")
 
     def deal(values: np.ndarray) -> np.ndarray:
-        return (_spread(values) >> shift).astype(np.int64)
+        """The partition of each value."""
+        return ((_spread(values) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
 
     def count_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Anchors by bucket. kind 0: seen once here; 1: more often here; 2: not to be counted, known to repeat."""
@@ -180,10 +182,10 @@ def repeated_passages(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_co
             out = {"bucket": [], "kind": [], "grams": [], "rids": []}
             for k, own, of, bucket in ((0, grams[once], rids[once], deal(grams[once])), (1, several, None, deal(several)), (2, grams[~once], rids[~once], deal(rids[~once].view(np.uint64)))):
                 order = np.lexsort((own if of is None else of, bucket))
-                edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+                edges = np.searchsorted(bucket[order], np.arange(parts + 1))
                 for b in np.flatnonzero(np.diff(edges)):
                     taken = order[edges[b] : edges[b + 1]]
-                    out["bucket"].append(int(b))
+                    out["bucket"].append(int(keys[b]))
                     out["kind"].append(k)
                     out["grams"].append(own[taken].tobytes())
                     out["rids"].append(b"" if of is None else _delta_bytes(of[taken]))
@@ -237,7 +239,7 @@ def repeated_passages(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_co
                     for name, value in zip(out, (g, rid, tie, a, b, None)):
                         out[name].append(value)
             grams = np.array(out["gram"], np.uint64)
-            columns = [pa.array(deal(grams), pa.int32()), pa.array(grams.view(np.int64)), *(pa.array(out[k], pa.int64()) for k in ("rid", "tie", "first", "last")), pa.array(out["data"], pa.binary())]
+            columns = [pa.array(keys[deal(grams)], pa.int32()), pa.array(grams.view(np.int64)), *(pa.array(out[k], pa.int64()) for k in ("rid", "tie", "first", "last")), pa.array(out["data"], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["bucket", "gram", "rid", "tie", "first", "last", "data"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
