@@ -154,9 +154,8 @@ def repeated_passages(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_co
 
     A null text is empty; a text shorter than ``span`` loses nothing. Null ids are
     one document behind all others. Rows that repeat an id and a text get the same
-    result, as one row would; rows that repeat an id with another text are judged by
-    id and place as well, so of equal places none is earlier. Other columns are not
-    looked at.
+    result, as one row would; texts that share an id come one behind the other, in
+    order of a hash of the text. Other columns are not looked at.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -218,13 +217,13 @@ def repeated_passages(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_co
                 text = data.as_buffer().to_pybytes()
                 h, first, last = runs(text, span, gram)
                 chosen = np.isin(h, np.asarray(grams.values).view(np.uint64))
-                every += [(rid, a, b, tie, text[a : b + span], g) for g, a, b in zip(h[chosen].tolist(), first[chosen].tolist(), last[chosen].tolist())]
-            every.sort(key=lambda r: r[:2])
-            seen: dict[bytes, tuple[int, int]] = {}
+                every += [(rid, tie, a, b, text[a : b + span], g) for g, a, b in zip(h[chosen].tolist(), first[chosen].tolist(), last[chosen].tolist())]
+            every.sort(key=lambda r: r[:3])
+            seen: dict[bytes, tuple[int, int, int]] = {}
             out = {"gram": [], "rid": [], "tie": [], "first": [], "last": [], "data": []}
             settled: dict[tuple[int, int], list[list[int]]] = {}
-            for rid, a, b, tie, data, g in every:
-                if seen.setdefault(data, (rid, a)) < (rid, a):
+            for rid, tie, a, b, data, g in every:
+                if seen.setdefault(data, (rid, tie, a)) < (rid, tie, a):
                     spans = settled.setdefault((rid, tie), [])
                     if spans and a <= spans[-1][1] + 1:
                         spans[-1][1] = max(b, spans[-1][1])
@@ -244,35 +243,33 @@ def repeated_passages(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_co
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The starts of strings that are there earlier, as (document, first start, last start)."""
-        out: list[tuple[int, int, int, int]] = []
+        out: list[tuple[int, ...]] = []
         held = []
         for batch in batches:
             gram, rid, tie, first, last, data = (batch.column(i).to_pylist() for i in range(1, 7))
-            for row in zip(rid, first, tie, last, gram, data):
+            for row in zip(rid, tie, first, last, gram, data):
                 if row[5] is None:
-                    out.append((row[0], row[2], row[1], row[3]))
+                    out.append(row[:4])
                 else:
                     held.append(row)
-        held.sort(key=lambda r: r[:2])
-        seen: dict[bytes, tuple[int, int]] = {}
+        held.sort(key=lambda r: r[:3])
+        seen: dict[bytes, tuple[int, int, int]] = {}
         fresh = []
         for row in held:
-            if seen.setdefault(row[5], row[:2]) < row[:2]:
-                out.append((row[0], row[2], row[1], row[3]))
-            elif seen[row[5]] == row[:2]:
+            if row[5] not in seen:
+                seen[row[5]] = row[:3]
                 fresh.append(row)
+            elif seen[row[5]] < row[:3]:  # equal for rows that repeat an id and a text
+                out.append(row[:4])
         shared = Counter(row[4] for row in fresh)
         # alone under its anchor a run can only repeat itself, and then its anchor would repeat in it
         fresh = [row for row in fresh if shared[row[4]] > 1]
         family, at = IndexFamily(span), 0
         while at < len(fresh):
-            end = min(at + BATCH, len(fresh))
-            while end < len(fresh) and fresh[end][:2] == fresh[end - 1][:2]:
-                end += 1
-            part = fresh[at:end]
-            for (rid, first, tie, _last, _gram, _data), known in zip(part, family.add([row[5] for row in part])):
+            part = fresh[at : at + BATCH]
+            for (rid, tie, first, _last, _gram, _data), known in zip(part, family.add([row[5] for row in part])):
                 out += [(rid, tie, first + a, first + b) for a, b in _true_runs(known)]
-            at = end
+            at += BATCH
         for at in range(0, len(out), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out[at : at + 50_000])], ["rid", "tie", "first", "last"])
 
