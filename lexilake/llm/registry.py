@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexilake.llm import bpe, chat, decontaminate, pii, qda, quality, simhash, suffixes, urls, warc
+from lexilake.llm import bpe, chat, decontaminate, oracle, pii, qda, quality, simhash, suffixes, urls, warc
 from lexilake.llm.common import table
 
 #: The tokenizer file of op8 and of the pipeline's last stage.
@@ -147,6 +147,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_chat_windows": oracle.OP1,
+    "op3_warc_round_trip": oracle.OP3,
+    "op6_suffix_dedup": oracle.OP6,
     "op4_quality_rules": OP4_SQL,
     "op10_decontamination": OP10_SQL,
 }
