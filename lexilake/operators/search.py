@@ -132,9 +132,10 @@ def neighbours(chunks: DataFrame, means: DataFrame, top: int, prefetch: int | No
 def nearest_label(queries: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     """Each query vector's nearest label by cosine distance, if within the threshold; else a new one.
 
-    ``labels`` (label, vector) is a dimension of topics; it is joined by key.
+    ``labels`` (label, vector) is a dimension of topics. No hint is given: it is
+    broadcast if its size is known to be below the session's threshold.
     """
-    near = queries.crossJoin(F.broadcast(labels)).select("query_id", "label", V.cosine_distance(F.col("query_vector"), F.col("vector")).alias("distance"))
+    near = queries.crossJoin(labels).select("query_id", "label", V.cosine_distance(F.col("query_vector"), F.col("vector")).alias("distance"))
     best = near.groupBy("query_id").agg(F.min(F.struct("distance", "label")).alias("best"))
     return best.select("query_id", F.col("best.distance").alias("distance"), F.when(F.col("best.distance") <= threshold, F.col("best.label")).alias("label"))
 

@@ -182,6 +182,13 @@ h AS (SELECT id AS pos, url, sha256({_IMP}) AS url_hash FROM w) SELECT pos, url,
     "token_estimate": f"{_I} SELECT item_id, CAST(ceil(length(content) / 4.0) AS BIGINT) AS tokens FROM items",
     "truncate_head_tail": f"{_I} SELECT item_id, sha256(CASE WHEN length(content) <= 1200 THEN content ELSE left(content, {int((1200 - len(T.MARKER)) * 0.7)}) || '{T.MARKER}' || right(content, {1200 - len(T.MARKER) - int((1200 - len(T.MARKER)) * 0.7)}) END) AS cut FROM items",
     "content_cap": f"{_I}, t AS (SELECT item_id, {_TRIM.format('content')} AS own FROM items) SELECT item_id, sha256(CASE WHEN length(own) <= 5000 THEN own ELSE left(own, 5000) || chr(10) || chr(10) || '[truncated — original was ' || length(own) || ' characters]' END) AS capped FROM t",
+    "slugs_and_labels": f"""{_I}, s AS (SELECT item_id, coalesce(nullif(regexp_replace(regexp_replace(lower({_TRIM.format('title')}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'topic') AS slug FROM items),
+h AS (SELECT *, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(slug, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda acc, x: ((acc * 31 + x + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) AS h FROM s)
+SELECT item_id, slug, array_to_string(list_transform(list_filter(string_split(slug, '-'), lambda w: w <> ''), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') AS label, ({list(T.PALETTE)})[abs(h) % 6 + 1] AS colour FROM h""",
+    "capture_decision": f"""WITH u AS (SELECT page_id AS id, url FROM pages), {_X.split("," + chr(10), 1)[1]}, k AS (SELECT *, {_drop("capture")} AS kp, CASE WHEN path = '/' THEN path ELSE regexp_replace(path, '/+$', '') END AS cut FROM y),
+s AS (SELECT id, scheme || '://' || host || port || CASE WHEN cut = '' THEN '/' ELSE cut END || coalesce((SELECT '?' || string_agg(p, '&' ORDER BY split_part(p, '=', 1)) FROM (SELECT unnest(kp) AS p)), '') AS c FROM k),
+it AS (SELECT c, min(id) AS item_id FROM s WHERE id % 2 = 0 GROUP BY c)
+SELECT CASE WHEN item_id IS NULL THEN 'new' WHEN item_id % 4 <> 0 AND id % 3 = 0 THEN 're-extract' ELSE 'touch' END AS decision, count(*) AS n FROM s LEFT JOIN it USING (c) GROUP BY 1""",
     "stream_pieces": "SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '(?:\\s*\\S+){1,6}|\\s+')) AS BIGINT) AS pieces, true AS lossless FROM conversations",
     "import_kind_counts": f"WITH {_X}, c AS (SELECT {_IMPORT_KIND} AS kind FROM y) SELECT k AS value, (SELECT count(*) FROM c WHERE kind = k) AS n FROM (SELECT unnest({list(D.KINDS)}) AS k)",
 }
