@@ -31,8 +31,10 @@ WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: The same split of a text that is all ASCII, for the faster of the two engines.
 ASCII_WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"""
 #: Words whose encoding a worker keeps; beyond it the table starts anew.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 250_000
 CACHED_CHARS = 200
+#: Pairs of tokens of which a worker keeps whether one may follow the other.
+CACHED_ARCS = 500_000
 ALIVE = 1 << 30
 
 
@@ -110,7 +112,7 @@ class Automaton:
                 x, rank = self.parts[x][1], bx
 
     def follows(self, x: int, y: int) -> bool:
-        if len(self._arcs) > 2_000_000:
+        if len(self._arcs) > CACHED_ARCS:
             self._arcs.clear()
         known = self._arcs[x << 32 | y] = self._path(x, y, ALIVE)
         return known
