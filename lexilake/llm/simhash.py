@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexilake.llm.common import written
+from lexilake.llm.common import partition_keys, written
 from lexilake.llm.components import connected_components
 
 SEED = 42
@@ -116,9 +116,9 @@ def _ones(v: np.ndarray) -> np.ndarray:
     return np.bitwise_count(v)
 
 
-def _buckets(df: DataFrame) -> int:
-    """A power of two, a few to each shuffle partition, so buckets grow in number with the data."""
-    return 1 << (4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+def _dealt(v: np.ndarray, parts: int) -> np.ndarray:
+    """The partition of each variant."""
+    return ((_spread(v) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
 
 
 def _blocks(bucket: np.ndarray, columns: list[np.ndarray], n: int) -> Iterator[tuple[int, list[bytes]]]:
@@ -135,8 +135,8 @@ def links_within(fps: DataFrame, radius: int = 3) -> DataFrame:
     Not every pair is returned, but every pair is joined by a chain of returned
     links, each of which is itself within the radius.
     """
-    n, parts = _buckets(fps), int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shift = np.uint64(64 - (n - 1).bit_length())
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = partition_keys(fps.sparkSession, parts)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every, near = masks(64, radius)
@@ -147,8 +147,8 @@ def links_within(fps: DataFrame, radius: int = 3) -> DataFrame:
                 far = some[_ones(some) % 2 == 1] if radius == 3 else some[:0]
                 variants = np.concatenate([(some[:, None] ^ every[None, :near]).ravel(), (far[:, None] ^ every[None, near:]).ravel()])
                 ids = np.concatenate([np.tile(np.arange(near, dtype=np.uint16), len(some)), np.tile(np.arange(near, len(every), dtype=np.uint16), len(far))])
-                found = list(_blocks((_spread(variants) >> shift).astype(np.int64), [variants, ids], n))
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([c[0] for _, c in found], pa.binary()), pa.array([c[1] for _, c in found], pa.binary())], ["bucket", "variants", "ids"])
+                found = list(_blocks(_dealt(variants, parts), [variants, ids], parts))
+                yield pa.RecordBatch.from_arrays([pa.array([keys[b] for b, _ in found], pa.int32()), pa.array([c[0] for _, c in found], pa.binary()), pa.array([c[1] for _, c in found], pa.binary())], ["bucket", "variants", "ids"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every, near = masks(64, radius)
@@ -220,16 +220,25 @@ def allowed_bits(similarity: float, bits: int) -> int:
     return int(bits * share + 0.5 * math.sqrt(bits * share * (1 - share)))
 
 
-def table_pairs(nodes: DataFrame, words: int = WORDS, bits: int = TABLE_BITS) -> DataFrame:
+def loose_bits(similarity: float, bits: int) -> int:
+    """A limit on few bits that pairs at this similarity seldom exceed: two and a half standard errors above."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(bits * share + 2.5 * math.sqrt(bits * share * (1 - share)))
+
+
+def table_pairs(nodes: DataFrame, similarity: float = NEAR, words: int = WORDS, bits: int = TABLE_BITS) -> DataFrame:
     """Pairs ``a`` < ``b`` of nodes (``node``, ``fp``) that share a variant in some table.
 
     A table's key is a stretch of ``bits`` bits of the fingerprint; its variants are
-    those within one flip, so keys up to two bits apart meet. Members of a variant
-    are paired with the first of it and with their next three, which is every pair
-    of up to four and linear beyond.
+    those within one flip, so keys up to two bits apart meet. With each goes a
+    check word, 32 bits of another part of the fingerprint; chance meetings, whose
+    number is a square of the nodes', end there. Members of a variant are paired
+    with the first of it, in small groups with their next three too, which is every
+    pair of up to four.
     """
-    n, parts = _buckets(nodes), int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shift, tables = np.uint64(64 - (n - 1).bit_length()), words * 64 // bits
+    check_limit = loose_bits(similarity, 32)
+    parts, tables = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), words * 64 // bits
+    part_keys = np.array(partition_keys(nodes.sparkSession, parts), np.int32)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flips = near_masks(bits)
@@ -245,36 +254,50 @@ def table_pairs(nodes: DataFrame, words: int = WORDS, bits: int = TABLE_BITS) ->
                 keys = (all_bits << np.arange(bits, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
                 variants = (keys[:, :, None] ^ flips) | (np.arange(tables, dtype=np.uint64) << np.uint64(bits))[None, :, None]
                 own = np.repeat(ids[at : at + 2048], tables * len(flips))
+                check = fps[at : at + 2048][:, (np.arange(tables) * bits // 64 + words // 2) % words].astype(np.uint32)
+                check = np.repeat(check.ravel(), len(flips))
                 variants = variants.ravel()
-                bucket = (_spread(variants + np.uint64(1)) >> shift).astype(np.int64)
+                bucket = _dealt(variants + np.uint64(1), parts)
                 rank = np.argsort(bucket, kind="stable")
-                edges = np.searchsorted(bucket[rank], np.arange(n + 1))
+                edges = np.searchsorted(bucket[rank], np.arange(parts + 1))
                 full = np.flatnonzero(np.diff(edges))
                 blocks = [rank[edges[b] : edges[b + 1]] for b in full]
-                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([_planes(variants[x]) for x in blocks], pa.binary()), pa.array([_planes(np.diff(own[x], prepend=0)) for x in blocks], pa.binary())], ["bucket", "variants", "nodes"])
+                yield pa.RecordBatch.from_arrays([pa.array(part_keys[full]), pa.array([_planes(variants[x]) for x in blocks], pa.binary()), pa.array([_planes(np.diff(own[x], prepend=0)) for x in blocks], pa.binary()), pa.array([check[x].tobytes() for x in blocks], pa.binary())], ["bucket", "variants", "nodes", "checks"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[bytes, bytes]]] = {}
+        held: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
         for batch in batches:
-            for b, v, i in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                held.setdefault(b, []).append((v, i))
+            for b, *block in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                held.setdefault(b, []).append(tuple(block))
         for blocks in held.values():
-            variants = np.concatenate([_unplaned(v) for v, _ in blocks])
-            nodes_of = np.concatenate([np.cumsum(_unplaned(i)) for _, i in blocks])
+            variants = np.concatenate([_unplaned(v) for v, _, _ in blocks])
+            order = np.argsort(variants, kind="stable")
+            variants = variants[order]
+            same = variants[1:] == variants[:-1]
+            shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])  # most variants are alone
+            variants, order = variants[shared], order[shared]
+            nodes_of = np.concatenate([np.cumsum(_unplaned(i)) for _, i, _ in blocks])[order]
+            checks = np.frombuffer(b"".join(c for _, _, c in blocks), np.uint32)[order]
+            if not len(variants):
+                continue
             order = np.lexsort((nodes_of, variants))
-            variants, nodes_of = variants[order], nodes_of[order]
+            variants, nodes_of, checks = variants[order], nodes_of[order], checks[order]
             first = np.concatenate([[True], variants[1:] != variants[:-1]])
-            head = np.maximum.accumulate(np.where(first, np.arange(len(variants)), 0))
-            a, b = [nodes_of[head]], [nodes_of]
+            size = np.diff(np.append(np.flatnonzero(first), len(variants)))
+            small = np.repeat(size <= 8, size)
+            every = np.arange(len(variants))
+            left, right = [np.maximum.accumulate(np.where(first, every, 0))], [every]
             for step in (1, 2, 3):
-                same = variants[step:] == variants[:-step]
-                a.append(nodes_of[:-step][same])
-                b.append(nodes_of[step:][same])
-            a, b = np.concatenate(a), np.concatenate(b)
+                near = every[step:][(variants[step:] == variants[:-step]) & small[step:]]
+                left.append(near - step)
+                right.append(near)
+            left, right = np.concatenate(left), np.concatenate(right)
+            good = _ones(checks[left] ^ checks[right]) <= check_limit
+            a, b = nodes_of[left[good]], nodes_of[right[good]]
             pairs = np.unique(np.stack([a, b])[:, a < b], axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
-    blocks = nodes.select("node", "fp").repartition(parts, "node").mapInArrow(emit, "bucket int, variants binary, nodes binary")
+    blocks = nodes.select("node", "fp").repartition(parts, "node").mapInArrow(emit, "bucket int, variants binary, nodes binary, checks binary")
     return blocks.repartition(parts, "bucket").mapInArrow(meet, "a bigint, b bigint").distinct()
 
 
@@ -290,7 +313,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = NEAR,
     own = written(fingerprints(docs, shingle, words, id_col, text_col), "fingerprints")
     nodes = written(own.where(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).cast("bigint").alias("node")), "nodes")
     one, two = (nodes.select(F.col("node").alias(f"n{x}"), F.col("fp").alias(f"f{x}")) for x in "ab")
-    met = table_pairs(nodes, words).join(one, F.col("a") == F.col("na")).select("b", "na", "fa").join(two, F.col("b") == F.col("nb"))
+    met = table_pairs(nodes, similarity, words).join(one, F.col("a") == F.col("na")).select("b", "na", "fa").join(two, F.col("b") == F.col("nb"))
     apart = sum((F.bit_count(F.col("fa")[k].bitwiseXOR(F.col("fb")[k])) for k in range(words)), F.lit(0))
     label = connected_components(met.where(apart <= allowed_bits(similarity, 64 * words)).select(F.col("na").alias("a"), F.col("nb").alias("b")))
     named = nodes.join(label.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
