@@ -226,6 +226,12 @@ def loose_bits(similarity: float, bits: int) -> int:
     return math.ceil(bits * share + 2.5 * math.sqrt(bits * share * (1 - share)))
 
 
+#: A variant with more members than this is crowded: its first round of pairs is not every pair.
+CROWDED = 4
+#: Rows of a crowded variant that are compared with all others at a time.
+ROWS = 256
+
+
 def table_pairs(nodes: DataFrame, similarity: float = NEAR, words: int = WORDS, bits: int = TABLE_BITS) -> DataFrame:
     """Pairs ``a`` < ``b`` of nodes (``node``, ``fp``) that share a variant in some table.
 
@@ -234,8 +240,14 @@ def table_pairs(nodes: DataFrame, similarity: float = NEAR, words: int = WORDS,
     check word, 32 bits of another part of the fingerprint; chance meetings, whose
     number is a square of the nodes', end there. Members of a variant are paired
     with the first of it, in small groups with their next three too, which is every
-    pair of up to four.
+    pair of up to four. Members of crowded variants are returned with a null ``b``
+    too: their other pairs are left for a second round.
+
+    That round is over those nodes with their ``label`` (smallest node of what the
+    first round has joined), and returns every pair of a crowded variant whose check
+    words allow it and whose labels differ.
     """
+    second = "label" in nodes.columns
     check_limit = loose_bits(similarity, 32)
     parts, tables = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), words * 64 // bits
     part_keys = np.array(partition_keys(nodes.sparkSession, parts), np.int32)
@@ -249,6 +261,7 @@ def table_pairs(nodes: DataFrame, similarity: float = NEAR, words: int = WORDS,
             order = np.argsort(ids, kind="stable")
             ids = ids[order]
             fps = np.array(batch.column(1).to_pylist(), np.int64).reshape(-1, words)[order]
+            labels = batch.column(2).to_numpy()[order] if second else None
             for at in range(0, len(ids), 2048):
                 all_bits = np.unpackbits(fps[at : at + 2048].astype(">i8").view(np.uint8), axis=1)[:, : tables * bits].reshape(-1, tables, bits).astype(np.uint64)
                 keys = (all_bits << np.arange(bits, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
@@ -262,28 +275,56 @@ def table_pairs(nodes: DataFrame, similarity: float = NEAR, words: int = WORDS,
                 edges = np.searchsorted(bucket[rank], np.arange(parts + 1))
                 full = np.flatnonzero(np.diff(edges))
                 blocks = [rank[edges[b] : edges[b + 1]] for b in full]
-                yield pa.RecordBatch.from_arrays([pa.array(part_keys[full]), pa.array([_planes(variants[x]) for x in blocks], pa.binary()), pa.array([_planes(np.diff(own[x], prepend=0)) for x in blocks], pa.binary()), pa.array([check[x].tobytes() for x in blocks], pa.binary())], ["bucket", "variants", "nodes", "checks"])
+                label = np.repeat(labels[at : at + 2048], tables * len(flips)) if second else None
+                yield pa.RecordBatch.from_arrays([pa.array(part_keys[full]), pa.array([_planes(variants[x]) for x in blocks], pa.binary()), pa.array([_planes(np.diff(own[x], prepend=0)) for x in blocks], pa.binary()), pa.array([check[x].tobytes() for x in blocks], pa.binary()), pa.array([_planes(label[x]) if second else b"" for x in blocks], pa.binary())], ["bucket", "variants", "nodes", "checks", "labels"])
+
+    def unjoined(starts: np.ndarray, size: np.ndarray, nodes_of: np.ndarray, checks: np.ndarray, labels_of: np.ndarray) -> Iterator[np.ndarray]:
+        """Every pair of each group that differs in its labels."""
+        apart = np.minimum.reduceat(labels_of, starts) != np.maximum.reduceat(labels_of, starts)
+        for start, n in zip(starts[apart & (size > CROWDED)], size[apart & (size > CROWDED)]):
+            member, check, label = (x[start : start + n] for x in (nodes_of, checks, labels_of))
+            for at in range(0, n, ROWS):
+                good = (_ones(check[at : at + ROWS, None] ^ check[None, at:]) <= check_limit) & (label[at : at + ROWS, None] != label[None, at:])
+                i, j = np.nonzero(np.triu(good, 1))
+                yield np.stack([member[at + i], member[at + j]])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
+        held: dict[int, list[tuple[bytes, ...]]] = {}
         for batch in batches:
-            for b, *block in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for b, *block in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 held.setdefault(b, []).append(tuple(block))
         for blocks in held.values():
-            variants = np.concatenate([_unplaned(v) for v, _, _ in blocks])
+            variants = np.concatenate([_unplaned(v) for v, _, _, _ in blocks])
             order = np.argsort(variants, kind="stable")
             variants = variants[order]
             same = variants[1:] == variants[:-1]
             shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])  # most variants are alone
             variants, order = variants[shared], order[shared]
-            nodes_of = np.concatenate([np.cumsum(_unplaned(i)) for _, i, _ in blocks])[order]
-            checks = np.frombuffer(b"".join(c for _, _, c in blocks), np.uint32)[order]
+            nodes_of = np.concatenate([np.cumsum(_unplaned(i)) for _, i, _, _ in blocks])[order]
+            checks = np.frombuffer(b"".join(c for _, _, c, _ in blocks), np.uint32)[order]
             if not len(variants):
                 continue
+            labels_of = np.concatenate([_unplaned(x) for _, _, _, x in blocks])[order] if second else nodes_of
             order = np.lexsort((nodes_of, variants))
+            labels_of = labels_of[order]
             variants, nodes_of, checks = variants[order], nodes_of[order], checks[order]
             first = np.concatenate([[True], variants[1:] != variants[:-1]])
             size = np.diff(np.append(np.flatnonzero(first), len(variants)))
+            if second:
+                found, n = [], 0
+                for some in unjoined(np.flatnonzero(first), size, nodes_of, checks, labels_of):
+                    found.append(some)
+                    n += some.shape[1]
+                    if n > 1 << 20:
+                        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+                        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+                        found, n = [], 0
+                if n:
+                    pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+                continue
+            crowd = np.unique(nodes_of[np.repeat(size > CROWDED, size)])
+            yield pa.RecordBatch.from_arrays([pa.array(crowd), pa.nulls(len(crowd), pa.int64())], ["a", "b"])
             small = np.repeat(size <= 8, size)
             every = np.arange(len(variants))
             left, right = [np.maximum.accumulate(np.where(first, every, 0))], [every]
@@ -297,10 +338,18 @@ def table_pairs(nodes: DataFrame, similarity: float = NEAR, words: int = WORDS,
             pairs = np.unique(np.stack([a, b])[:, a < b], axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
-    blocks = nodes.select("node", "fp").repartition(parts, "node").mapInArrow(emit, "bucket int, variants binary, nodes binary, checks binary")
+    blocks = nodes.select("node", "fp", *["label"] * second).repartition(parts, "node").mapInArrow(emit, "bucket int, variants binary, nodes binary, checks binary, labels binary")
     return blocks.repartition(parts, "bucket").mapInArrow(meet, "a bigint, b bigint").distinct()
 
 
+def _links(pairs: DataFrame, nodes: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The ``pairs`` whose fingerprints are within the allowed distance."""
+    one, two = (nodes.select(F.col("node").alias(f"n{x}"), F.col("fp").alias(f"f{x}")) for x in "ab")
+    met = pairs.join(one, F.col("a") == F.col("na")).select("b", "na", "fa").join(two, F.col("b") == F.col("nb"))
+    apart = sum((F.bit_count(F.col("fa")[k].bitwiseXOR(F.col("fb")[k])) for k in range(words)), F.lit(0))
+    return met.where(apart <= allowed_bits(similarity, 64 * words)).select(F.col("na").alias("a"), F.col("nb").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = NEAR, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``group_id`` of each row: the smallest id of its group of near-duplicates.
 
@@ -312,10 +361,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = NEAR,
     """
     own = written(fingerprints(docs, shingle, words, id_col, text_col), "fingerprints")
     nodes = written(own.where(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).cast("bigint").alias("node")), "nodes")
-    one, two = (nodes.select(F.col("node").alias(f"n{x}"), F.col("fp").alias(f"f{x}")) for x in "ab")
-    met = table_pairs(nodes, similarity, words).join(one, F.col("a") == F.col("na")).select("b", "na", "fa").join(two, F.col("b") == F.col("nb"))
-    apart = sum((F.bit_count(F.col("fa")[k].bitwiseXOR(F.col("fb")[k])) for k in range(words)), F.lit(0))
-    label = connected_components(met.where(apart <= allowed_bits(similarity, 64 * words)).select(F.col("na").alias("a"), F.col("nb").alias("b")))
+    met = written(table_pairs(nodes, similarity, words), "met")
+    links = written(_links(met.where("b is not null"), nodes, similarity, words), "links")
+    label = connected_components(links)
+    crowd = met.where("b is null").select(F.col("a").alias("_crowd"))
+    if not crowd.isEmpty():  # most of a group is joined by now: what is left of crowded variants are pairs of different labels
+        joined = label.withColumnRenamed("node", "_node")
+        others = nodes.join(crowd, F.col("node") == F.col("_crowd"), "left_semi").join(joined, F.col("node") == F.col("_node"), "left")
+        others = written(others.select("node", "fp", F.coalesce("label", "node").alias("label")), "crowded")
+        rest = written(table_pairs(others, similarity, words), "met")
+        label = connected_components(links.unionByName(_links(rest, nodes, similarity, words)))
     named = nodes.join(label.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     of_fp = written(named.select(F.col("fp").alias("_fp"), F.coalesce("label", "node").alias("group_id")), "groups")
     return own.join(of_fp, F.col("fp") == F.col("_fp"), "left").select(id_col, "group_id")
