@@ -88,6 +88,44 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, id_col: str
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp array<bigint>")
 
 
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The distinct hashes of ``shingle_hashes``, ascending."""
+    return np.unique(shingle_hashes(text, size))
+
+
+def set_digest(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.astype("<u8").tobytes(), SEED)
+
+
+def set_fingerprints(docs: DataFrame, shingle: int, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col``, ``fp`` (as ``fingerprints``, but of the distinct shingles) and ``shingles`` (digest of their set)."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, digests = [], []
+            for t in batch.column(1):
+                own = shingle_set(t.as_py(), shingle)
+                fps.append(fingerprint(own, words))
+                digests.append(set_digest(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.list_(pa.int64())), pa.array(digests, pa.binary())], [id_col, "fp", "shingles"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp array<bigint>, shingles binary")
+
+
+def shingle_sets(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id`` (bigint), ``shingles`` (digest) and ``held`` (the distinct hashes) of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                held = [shingle_set(t.as_py(), shingle) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_digest(h) for h in held], pa.binary()), pa.array([h.view(np.int64) for h in held], pa.list_(pa.int64()))], ["id", "shingles", "held"])
+
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), text_col).mapInArrow(run, "id bigint, shingles binary, held array<bigint>")
+
+
 def near_masks(bits: int) -> np.ndarray:
     return np.array([0, *[1 << i for i in range(bits)]], np.uint64)
 
@@ -199,9 +237,9 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, id_co
     return own.join(of_fp, F.col("fp") == F.col("_fp")).select(id_col, hex16.alias("fingerprint"), "component_id")
 
 
-#: For similarity search by tables: bits of a fingerprint and of a table's key, and the
-#: share of bits that may differ: the angle of two sets of five-word shingles at Jaccard
-#: similarity 0.8 plus half a standard error of the estimate.
+#: For similarity search by tables: words of a fingerprint and bits of a table's key. The
+#: bits that may differ between candidates follow from the angle of two sets of shingles
+#: at the Jaccard similarity; candidates are verified on the sets themselves.
 WORDS, TABLE_BITS = 8, 30
 NEAR = 0.8
 
@@ -215,9 +253,9 @@ def _unplaned(data: bytes) -> np.ndarray:
 
 
 def allowed_bits(similarity: float, bits: int) -> int:
-    """Bits that may differ at this Jaccard similarity, half a standard error included."""
+    """Bits that may differ between candidates for this Jaccard similarity, three standard errors included."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(bits * share + 0.5 * math.sqrt(bits * share * (1 - share)))
+    return int(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
 
 
 def loose_bits(similarity: float, bits: int) -> int:
@@ -342,27 +380,44 @@ def table_pairs(nodes: DataFrame, similarity: float = NEAR, words: int = WORDS,
     return blocks.repartition(parts, "bucket").mapInArrow(meet, "a bigint, b bigint").distinct()
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, similarity: float, words: int) -> DataFrame:
-    """The ``pairs`` whose fingerprints are within the allowed distance."""
-    one, two = (nodes.select(F.col("node").alias(f"n{x}"), F.col("fp").alias(f"f{x}")) for x in "ab")
-    met = pairs.join(one, F.col("a") == F.col("na")).select("b", "na", "fa").join(two, F.col("b") == F.col("nb"))
+def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, words: int, id_col: str, text_col: str) -> DataFrame:
+    """The ``pairs`` whose sets of shingles have the Jaccard similarity or more; the fingerprints spare the sets of most others."""
+    one, two = (nodes.select(F.col("node").alias(f"n{x}"), F.col("fp").alias(f"f{x}"), F.col("shingles").alias(f"s{x}")) for x in "ab")
+    met = pairs.join(one, F.col("a") == F.col("na")).select("b", "na", "fa", "sa").join(two, F.col("b") == F.col("nb"))
     apart = sum((F.bit_count(F.col("fa")[k].bitwiseXOR(F.col("fb")[k])) for k in range(words)), F.lit(0))
-    return met.where(apart <= allowed_bits(similarity, 64 * words)).select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    near = written(met.where(apart <= allowed_bits(similarity, 64 * words)).select("na", "sa", "nb", "sb"), "candidates")
+    asked = written(near.select("na").unionByName(near.select(F.col("nb").alias("na"))).distinct(), "asked")
+    texts = docs.join(asked, docs[id_col].cast("bigint") == F.col("na"), "left_semi")
+    held = written(shingle_sets(texts, shingle, id_col, text_col).dropDuplicates(["id", "shingles"]), "shingle-sets")
+    one, two = (held.select(F.col("id").alias(f"i{x}"), F.col("shingles").alias(f"d{x}"), F.col("held").alias(f"h{x}")) for x in "ab")
+    both = near.join(one, (F.col("na") == F.col("ia")) & (F.col("sa") == F.col("da"))).select("na", "nb", "sb", "ha").join(two, (F.col("nb") == F.col("ib")) & (F.col("sb") == F.col("db")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (z.values.to_numpy() for z in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) - 1e-9 else -1
+                keep.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("na", "nb", "ha", "hb").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = NEAR, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``group_id`` of each row: the smallest id of its group of near-duplicates.
 
-    Two texts are linked if their fingerprints of ``64 * words`` bits put the
-    similarity of their shingles at ``similarity`` or more; the ball hashing is over
-    tables of shorter keys, as one word cannot hold so wide an angle. Texts with the
-    same shingles are one node. Texts without words are alike. Rows with a null id
+    Two texts are linked if the sets of their shingles have a Jaccard similarity of
+    ``similarity`` or more. Candidates are found by their fingerprints of
+    ``64 * words`` bits; the ball hashing is over tables of shorter keys, as one word
+    cannot hold so wide an angle. Texts with the same set of shingles are one node. Texts without words are alike. Rows with a null id
     have a null group unless their text is that of others.
     """
-    own = written(fingerprints(docs, shingle, words, id_col, text_col), "fingerprints")
-    nodes = written(own.where(F.col(id_col).isNotNull()).groupBy("fp").agg(F.min(id_col).cast("bigint").alias("node")), "nodes")
+    own = written(set_fingerprints(docs, shingle, words, id_col, text_col), "fingerprints")
+    nodes = written(own.where(F.col(id_col).isNotNull()).groupBy("shingles").agg(F.first("fp").alias("fp"), F.min(id_col).cast("bigint").alias("node")), "nodes")
+    linked = lambda pairs: _links(pairs, nodes, docs, shingle, similarity, words, id_col, text_col)
     met = written(table_pairs(nodes, similarity, words), "met")
-    links = written(_links(met.where("b is not null"), nodes, similarity, words), "links")
+    links = written(linked(met.where("b is not null")), "links")
     label = connected_components(links)
     crowd = met.where("b is null").select(F.col("a").alias("_crowd"))
     if not crowd.isEmpty():  # most of a group is joined by now: what is left of crowded variants are pairs of different labels
@@ -370,10 +425,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = NEAR,
         others = nodes.join(crowd, F.col("node") == F.col("_crowd"), "left_semi").join(joined, F.col("node") == F.col("_node"), "left")
         others = written(others.select("node", "fp", F.coalesce("label", "node").alias("label")), "crowded")
         rest = written(table_pairs(others, similarity, words), "met")
-        label = connected_components(links.unionByName(_links(rest, nodes, similarity, words)))
+        label = connected_components(links.unionByName(linked(rest)))
     named = nodes.join(label.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
-    of_fp = written(named.select(F.col("fp").alias("_fp"), F.coalesce("label", "node").alias("group_id")), "groups")
-    return own.join(of_fp, F.col("fp") == F.col("_fp"), "left").select(id_col, "group_id")
+    of_set = written(named.select(F.col("shingles").alias("_shingles"), F.coalesce("label", "node").alias("group_id")), "groups")
+    return own.join(of_set, F.col("shingles") == F.col("_shingles"), "left").select(id_col, "group_id")
 
 
 def without_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = NEAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

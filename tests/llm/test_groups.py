@@ -287,3 +287,23 @@ def test_crowded_variants_are_compared_whole(spark):
     joined = alone.selectExpr("node", "fp", "node % 2 as label")
     assert {(r["a"], r["b"]) for r in simhash.table_pairs(joined).collect()} == {(a, b) for a, b in second if a % 2 != b % 2}
     assert simhash.table_pairs(alone.selectExpr("node", "fp", "0l as label")).count() == 0
+
+
+def test_near_duplicates_by_exact_jaccard(spark):
+    # a refrain that fills half of unlike texts, and a large template family with twins inside
+    rng = random.Random(12)
+    fresh = lambda n: [f"u{rng.getrandbits(40)}" for _ in range(n)]
+    refrain = fresh(20)
+    texts = [" ".join(w for _ in range(20) for w in refrain + fresh(20)) for _ in range(6)]
+    template = fresh(172)
+    for _ in range(150):
+        own = template + fresh(28)
+        texts.append(" ".join(own))
+    texts += [" ".join(t.split()[:-6] + fresh(6)) for t in texts[6:]]
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    jaccard = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    want = groups_of(len(texts), [(i, j) for j in range(len(texts)) for i in range(j) if jaccard(i, j) >= 0.8])
+    assert want == [*range(156), *range(6, 156)]  # only twins are alike
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert got == dict(enumerate(want))
