@@ -11,7 +11,7 @@ from lexilake.llm.registry import PSEUDONYM_KEY, VOCABULARY
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the rules or are depleted by frequent lines go."""
+    """Documents that fail the rules or are depleted by frequent lines go; the others lose those lines."""
     return quality.kept_documents(docs)
 
 

@@ -114,11 +114,20 @@ def frequent_lines(lines: DataFrame, max_texts: int = MAX_TEXTS_PER_LINE) -> Dat
     return each.groupBy("host", "line_hash").agg(F.min("id").alias("first_id"), F.count("*").alias("n_texts")).where(F.col("n_texts") > max_texts)
 
 
-def depleted_documents(lines: DataFrame, max_texts: int = MAX_TEXTS_PER_LINE, max_removed: float = MAX_REMOVED) -> DataFrame:
-    """Ids of the documents that lose more than ``max_removed`` of their words: id, n_removed. Null ids lose nothing."""
+def document_losses(lines: DataFrame, max_texts: int = MAX_TEXTS_PER_LINE) -> DataFrame:
+    """What each document loses: id, text_hash, n_removed (words), n_words, lost (host and line_hash of each line).
+
+    Lines above the limit are lost, but not in the first document that has them. Null ids lose nothing.
+    """
     frequent = frequent_lines(lines, max_texts).withColumnsRenamed({"host": "f_host", "line_hash": "f_line"})
     hit = lines.join(frequent, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("line_hash") == F.col("f_line")))
-    lost = hit.where(F.col("id") != F.col("first_id")).groupBy("id", "text_hash").agg(F.sum("words").alias("n_removed"), F.max("n_words").alias("n_words"))
+    lost = F.collect_set(F.struct("host", "line_hash")).alias("lost")
+    return hit.where(F.col("id") != F.col("first_id")).groupBy("id", "text_hash").agg(F.sum("words").alias("n_removed"), F.max("n_words").alias("n_words"), lost)
+
+
+def depleted_documents(lines: DataFrame, max_texts: int = MAX_TEXTS_PER_LINE, max_removed: float = MAX_REMOVED) -> DataFrame:
+    """Ids of the documents that lose more than ``max_removed`` of their words: id, n_removed. Null ids lose nothing."""
+    lost = document_losses(lines, max_texts)
     return lost.where(F.col("n_removed") > max_removed * F.col("n_words")).groupBy("id").agg(F.max("n_removed").alias("n_removed"))
 
 
@@ -136,12 +145,26 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(figures["*"], depleted.alias("depleted"), (~F.col("base_failed") & ~depleted).alias("kept"))
 
 
-def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that ``quality_rules`` keeps, all columns and whole texts."""
+def cut_lines(text: str, gone: set[int]) -> str:
+    """The text without the lines whose normalised hash is in ``gone``."""
+    raw = text.encode()
+    rest = [x for x in raw.split(b"\n") if not (parts := x.lower().split()) or _signed(xxhash.xxh64_intdigest(b" ".join(parts))) not in gone]
+    return b"\n".join(rest).decode()
+
+
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, all columns, their texts without the lines above the limit.
+
+    A line above the limit stays, with its repeats, in the first document of the
+    host that has it. ``chars_col``, where there is one, follows the text. Rows
+    with a null id lose no lines.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
-    text_at = docs.columns.index(text_col)
+    text_at, host_at = docs.columns.index(text_col), docs.columns.index(host_col)
+    chars_at = docs.columns.index(chars_col) if chars_col in docs.columns else None
+    names = docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for t in batch.column(text_at):
@@ -149,6 +172,27 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 keep.append(n >= MIN_WORDS and 100 * repeated <= MAX_REPEAT_PERCENT * n)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    rejected = depleted_documents(document_lines(docs, id_col, text_col, host_col)).select(F.col("id").cast(kind).alias("_rejected"))
-    passed = docs.mapInArrow(run, docs.schema)
-    return passed.join(rejected, passed[id_col] == F.col("_rejected"), "left_anti")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, gone_at = batch.columns[: len(names)], batch.column(len(names))
+            if gone_at.null_count < len(gone_at):
+                texts = columns[text_at].to_pylist()
+                hosts = columns[host_at].to_pylist()
+                chars = columns[chars_at].to_pylist() if chars_at is not None else None
+                for row, gone in enumerate(gone_at.to_pylist()):
+                    own = {x["line_hash"] for x in gone or () if x["host"] == hosts[row]}
+                    if own and texts[row] and (rest := cut_lines(texts[row], own)) != texts[row]:
+                        texts[row] = rest
+                        if chars is not None:
+                            chars[row] = len(rest)
+                columns[text_at] = pa.array(texts, columns[text_at].type)
+                if chars is not None:
+                    columns[chars_at] = pa.array(chars, columns[chars_at].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    of_text = document_losses(document_lines(docs, id_col, text_col, host_col))
+    depleted = F.max(F.col("n_removed") > MAX_REMOVED * F.col("n_words"))
+    lost = of_text.groupBy(F.col("id").cast(kind).alias("_id")).agg(depleted.alias("_depleted"), F.flatten(F.collect_list("lost")).alias("_lost"))
+    passed = docs.mapInArrow(passing, docs.schema)
+    met = passed.join(lost, passed[id_col] == F.col("_id"), "left").where(~F.coalesce("_depleted", F.lit(False)))
+    return met.select(*[passed[c] for c in docs.columns], "_lost").mapInArrow(cut, docs.schema)

@@ -73,6 +73,22 @@ def test_quality_rules_remove_frequent_lines(spark):
     assert quality.quality_rules(docs.limit(0)).count() == 0
 
 
+def test_kept_documents_lose_frequent_lines(spark):
+    own = [[" ".join(f"w{k}x{i}é{j}" for i in range(30)) for j in range(2)] for k in range(120)]
+    text = lambda k, said: f"{own[k][0]}\n\n{said}\n{own[k][1]}\n{said}"
+    rows = [(k, text(k, "Subscribe  to\tOUR letter" if k % 2 else "subscribe to our letter "), "h", "c", 1) for k in range(120)]
+    rows += [(500, text(0, "subscribe to our letter"), "other", "c", 1), (501, text(1, "Read more"), "h", None, 1), (None, text(2, "subscribe to our letter"), "h", "c", 1), (7, text(7, "subscribe to our letter"), "other", "c", 1)]
+    docs = spark.createDataFrame([(*r[:4], len(r[1])) for r in rows], "doc_id bigint, text string, source string, lang string, n_chars bigint")
+    want = []
+    for d, t, host, lang, _ in rows:
+        if host == "h" and d not in (None, 0, 501):
+            t = f"{own[d][0]}\n\n{own[d][1]}"
+        want.append((d, t, host, lang, len(t)))
+    got = quality.kept_documents(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_copies_count_once_towards_a_line(spark):
     text = "\n".join(" ".join(f"w{i}x{j}" for j in range(10)) for i in range(10))
     docs = spark.createDataFrame([(k, text, "h") for k in range(150)], "doc_id bigint, text string, source string")
