@@ -107,14 +107,14 @@ def thread_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = S.tokenized(D.items(spark, sf_dir).where("item_id < 50"), "title")
+    items = S.tokenized(D.items(spark, sf_dir), "title", "lang", "source", "content")
     fresh = S.postings(items)
     stored = fresh.where("term <> 'the'").unionByName(fresh.limit(0))
     return X.index_in_sync(stored, fresh).groupBy("side", "term").agg(F.count("*").alias("n"))
 
 
 def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = G.chunked(D.items(spark, sf_dir).where("item_id < 100"))
+    chunks = G.chunked(D.items(spark, sf_dir))
     out = X.embedded(chunks, X.HashEmbedder())
     return out.groupBy("embedding_model").agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("width"))
 

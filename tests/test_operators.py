@@ -9,6 +9,7 @@ from lexilake.operators import ingest as G
 from lexilake.operators import library as L
 from lexilake.operators import rag as R
 from lexilake.operators import search as S
+from lexilake.plans import decision_queries
 from lexilake.sources import tables as D
 
 
@@ -143,3 +144,13 @@ def test_page_meta_and_ladder(spark):
     assert (row["title"], row["tier"], row["text"]) == ("T & U", "partial", "about")
     row = G.extracted(spark.createDataFrame([(1, "http://a.org/x-y.html", "<p>few</p>")], "page_id int, url string, html string")).head()
     assert (row["title"], row["tier"], row["text"]) == ("x y", "metadata_only", None)
+
+
+def test_index_and_embeddings_cover_all_items(spark, sf):
+    items = D.items(spark, sf)
+    tokens = S.tokenized(items, "title", "lang", "source", "content")
+    # the stored index lacks one term; every item that has it is out of sync
+    got = [tuple(r) for r in decision_queries.index_sync(spark, sf).select("side", "term", "n").collect()]
+    assert got == [("fresh", "the", tokens.where(F.array_contains("tokens", "the")).count())]
+    made = decision_queries.embedded_chunks(spark, sf).agg(F.sum("n")).head()[0]
+    assert made == G.chunked(items).count() > G.chunked(items.where("item_id < 100")).count()
