@@ -4,7 +4,7 @@ Every run of ``GRAM`` words has a hash; of each ``WINDOW - GRAM + 1`` neighbouri
 ones the smallest is kept, so any ``WINDOW`` words that a document and an item
 share give both the same fingerprint. Documents whose fingerprints meet an item's
 are taken further: each of their windows is joined with the items' windows on the
-fingerprint and the hash of its words, and the hits are laid over each other.
+fingerprint and on its words, and the hits are laid over each other.
 
 Items shorter than a window have no such guarantee. Each of their lengths (nine at
 most) is looked up by the hash of the whole run instead, which misses none.
@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexilake.llm.common import written
+from lexilake.llm.common import unused, written
 
 WINDOW, GRAM = 10, 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -41,8 +41,13 @@ def _starts(n: Column, size: int) -> Column:
 
 
 def _runs(words: Column, n: Column, size: int) -> Column:
-    """Hash of the words of each run of ``size``."""
-    return F.transform(_starts(n, size), lambda i: F.xxhash64(F.lit(size), F.array_join(F.slice(words, i + 1, size), " ")))
+    """The words of each run of ``size``, joined by spaces."""
+    return F.transform(_starts(n, size), lambda i: F.array_join(F.slice(words, i + 1, size), " "))
+
+
+def _hashed(runs: Column, size: Column) -> Column:
+    """The fingerprint of runs shorter than a window."""
+    return F.transform(runs, lambda r: F.xxhash64(size, r))
 
 
 def with_fingerprints(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -54,37 +59,38 @@ def with_fingerprints(texts: DataFrame, window: int = WINDOW, gram: int = GRAM)
 
 
 def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Each distinct window of each item: item, size, fp, run. A null item id is the empty string; items without words have none."""
+    """Each distinct window of each item: item, size, fp, run (its words). A null item id is the empty string; items without words have none."""
     words = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), words_of(F.col(text_col)).alias("words"))
     known = with_fingerprints(words, window)
     full = known.where(F.col("n_words") >= window).select("item", F.lit(window).alias("size"), F.explode(F.arrays_zip("fp", _runs(F.col("words"), F.col("n_words"), window).alias("run"))).alias("w"))
-    whole = F.xxhash64("n_words", F.array_join("words", " "))
-    short = known.where(F.col("n_words").between(1, window - 1)).select("item", F.col("n_words").alias("size"), whole.alias("fp"), whole.alias("run"))
+    whole = F.array_join("words", " ")
+    short = known.where(F.col("n_words").between(1, window - 1)).select("item", F.col("n_words").alias("size"), F.xxhash64("n_words", whole).alias("fp"), whole.alias("run"))
     return full.select("item", "size", "w.fp", "w.run").unionByName(short).distinct()
 
 
-def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.withColumn("_text", F.coalesce(text_col, F.lit(""))).withColumn("_key", F.md5(F.col("_text").cast("binary")))
+def _key(text_col: str) -> Column:
+    """What tells distinct texts apart; null is the empty text."""
+    return F.md5(F.coalesce(text_col, F.lit("")).cast("binary"))
 
 
 def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """key (MD5 of the text), n_hit and the sorted items of each distinct text that has a hit."""
     items = written(item_windows(benchmark, item_col, item_text), "item-windows")
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # ten at most
-    keyed = _keyed(docs.select(text_col), text_col).select(F.col("_key").alias("key"), "_text")
-    worded = keyed.select("key", words_of(F.col("_text")).alias("words"))
+    keyed = docs.select(_key(text_col).alias("key"), F.coalesce(text_col, F.lit("")).alias("said"))
+    worded = keyed.select("key", words_of(F.col("said")).alias("words"))
     known = with_fingerprints(worded)
-    marks = F.array_distinct(F.concat(F.col("fp"), *[_runs(F.col("words"), F.col("n_words"), s) for s in sizes if s < WINDOW]))
+    marks = F.array_distinct(F.concat(F.col("fp"), *[_hashed(_runs(F.col("words"), F.col("n_words"), s), F.lit(s)) for s in sizes if s < WINDOW]))
     meets = items.select(F.col("fp").alias("mark")).distinct()
     suspects = written(known.select("key", F.explode(marks).alias("mark")).join(meets, "mark", "left_semi").select("key").distinct(), "suspects")
 
-    texts = keyed.join(suspects, "key", "left_semi").groupBy("key").agg(F.first("_text").alias("_text"))
-    near = with_fingerprints(texts.select("key", words_of(F.col("_text")).alias("words")))
+    texts = keyed.join(suspects, "key", "left_semi").groupBy("key").agg(F.first("said").alias("said"))
+    near = with_fingerprints(texts.select("key", words_of(F.col("said")).alias("words")))
     n = F.col("n_words")
 
     def windows(size: int) -> DataFrame:
         run = _runs(F.col("words"), n, size)
-        fp = F.col("fp") if size == WINDOW else run
+        fp = F.col("fp") if size == WINDOW else _hashed(run, F.lit(size))
         found = near.select("key", F.posexplode(F.arrays_zip(fp.alias("fp"), run.alias("run"))).alias("at", "w"))
         return found.select("key", "at", F.lit(size).alias("size"), "w.fp", "w.run")
 
@@ -106,10 +112,14 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without any hit, all columns; null texts have none."""
-    found = contaminated_texts(docs, benchmark, text_col, item_col, item_text).select("key")
-    keyed = _keyed(docs, text_col)
-    return keyed.join(found, F.col("_key") == F.col("key"), "left_anti").select(*docs.columns)
+    """The rows of ``docs`` without any hit, all columns whatever their names; null texts have none.
+
+    Repeated rows stay or go together; an empty benchmark takes nothing away.
+    """
+    found = contaminated_texts(docs, benchmark, text_col, item_col, item_text)
+    own = unused(docs, "text_key")
+    keyed = docs.withColumn(own, _key(text_col))
+    return keyed.join(found, keyed[own] == found["key"], "left_anti").drop(own)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -121,9 +131,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     either table are not looked at; an empty benchmark contaminates nothing.
     """
     found = contaminated_texts(docs, benchmark, text_col, item_col, item_text)
-    keyed = _keyed(docs.select(id_col, text_col), text_col)
-    out = keyed.select(id_col, "_key", F.regexp_count(ascii_lower(F.col("_text")), F.lit(WORD)).cast("bigint").alias("n_words"))
-    out = out.join(found, F.col("key") == F.col("_key"), "left")
+    count = F.regexp_count(ascii_lower(F.coalesce(text_col, F.lit(""))), F.lit(WORD)).cast("bigint")
+    out = docs.select(id_col, _key(text_col).alias("text_key"), count.alias("n_words"))
+    out = out.join(found, F.col("key") == F.col("text_key"), "left")
     items_of = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
         id_col,

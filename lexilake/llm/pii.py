@@ -2,14 +2,16 @@
 
 Numbers and dates that pass their validation are permuted with a key inside their
 own format: a card number becomes another that passes the Luhn test, an IBAN
-another with right check digits, a date another day of the same two centuries
-written the same way. The permutation depends on the key, the kind and the digits
-alone, so equal values stay equal in every document, different ones stay
-different, and who has the key can invert it. E-mail addresses become keyed
-addresses and secrets a keyed mark; these have no inverse.
+another of its country with right check digits (its letters move too), a date
+another day of the same two centuries written the same way. The permutation depends
+on the key, the kind and the value alone, so equal values stay equal in every
+document, different ones stay different, and who has the key can invert it. E-mail
+addresses become keyed addresses and secrets a keyed mark; these have no inverse.
 
 One pass of one pattern finds the candidates of a text; candidates that fail their
-validation stay as they are.
+validation stay as they are. Every repeated group of the pattern is bounded, so a
+text of any length takes no more stack than a short one. Ten digits in a row are
+not taken for a phone number: nothing about them can be validated.
 """
 
 from __future__ import annotations
@@ -17,20 +19,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexilake.llm.common import unused
+
 ROUNDS = 8
 KINDS = ("email", "secret", "ip", "date", "phone", "ssn", "iban", "card")
 #: Days from 1900-01-01 to 2099-12-31: 17 * 4297, the two halves of the dates' network.
 FIRST_DAY, DAYS_LEFT, DAYS_RIGHT = "1900-01-01", 17, 4297
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-SECRET_NAME = r"(?i:\b(?:access[_-]?token|auth[_-]?token|token|password|passwd|pwd|secret|api[_-]?key|private[_-]?key)\b[\"']?\s*[=:]\s*[\"']?)"
-SECRET = SECRET_NAME + r"[A-Za-z0-9+/_.~-]{8,}"
+#: Fixed: letters of an IBAN by its country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: Labels of a host name, at most 126 in its 253 characters.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}"
+SECRET_NAME = r"(?i:\b(?:access[_-]?token|auth[_-]?token|token|password|passwd|pwd|secret|api[_-]?key|private[_-]?key)\b[\"']?\s{0,8}(?:[=:]|\bis\b(?=\s{1,8}[\"']?[A-Za-z+/_.~-]{0,64}[0-9]))\s{0,8}[\"']?)"
+#: Fixed: how the tokens of widely used services begin.
+TOKEN = r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|xox[abprs]-[A-Za-z0-9-]{10,250}|sk_live_[A-Za-z0-9]{16,99})(?![A-Za-z0-9_-])"
+SECRET = SECRET_NAME + r"[A-Za-z0-9+/_.~-]{8,}|" + TOKEN
 OCTETS = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
 IP = r"(?<![0-9A-Za-z.])" + OCTETS + r"(?![0-9A-Za-z]|\.\d)"
 DATE = r"(?<![0-9A-Za-z./-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![0-9A-Za-z]|[./-]\d)"
-PHONE = r"(?<![0-9A-Za-z+])(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[-.]\d{3}[-.]\d{4})(?![0-9A-Za-z])"
+PHONE = r"(?<![0-9A-Za-z+])(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[-.]\d{3}[-.]\d{4}|[2-9]\d{2} [2-9]\d{2} \d{4}(?! ?\d))(?![0-9A-Za-z])"
 SSN = r"(?<![0-9A-Za-z-])\d{3}-\d{2}-\d{4}(?![0-9A-Za-z]|-\d)"
-IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![0-9A-Za-z])"
+def _iban_pattern() -> str:
+    """An IBAN of its country's length, in one piece or in groups of four."""
+    cases = []
+    for n, countries in IBAN_LENGTHS.items():
+        fours, rest = divmod(n - 4, 4)
+        cases.append(f"(?:{'|'.join(countries.split())})[0-9]{{2}}(?:[A-Z0-9]{{{n - 4}}}|(?: [A-Z0-9]{{4}}){{{fours}}}" + (f" [A-Z0-9]{{{rest}}}" if rest else "") + ")")
+    return r"(?<![0-9A-Za-z])(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(cases) + r")(?![0-9A-Za-z])"
+
+
+IBAN = _iban_pattern()
 CARD = r"(?<![0-9A-Za-z])(?:\d{13,19}|\d{4}([ -])\d{4}\3\d{4}\3\d{4}|\d{4}([ -])\d{6}\4\d{5})(?![0-9A-Za-z])"
 PATTERN = "|".join((EMAIL, SECRET, IP, DATE, PHONE, SSN, IBAN, CARD))
 
@@ -59,11 +81,11 @@ def _ten_to(n: Column) -> Column:
     return F.concat(F.lit("1"), F.repeat(F.lit("0"), n)).cast("bigint")
 
 
-def permuted_digits(key: str, kind: str, digits: Column, back: bool = False) -> Column:
+def permuted_digits(key: str, kind: str | Column, digits: Column, back: bool = False) -> Column:
     """Another string of as many digits (at most 36); none stays none."""
     n = F.length(digits)
     u = F.floor(n / 2).cast("int")
-    tweak = F.concat(F.lit(f"{kind}/"), n.cast("string"))
+    tweak = F.concat_ws("/", F.lit(kind) if isinstance(kind, str) else kind, n.cast("string"))
     as_number = lambda s: F.concat(F.lit("0"), s).cast("bigint")
     left, right = feistel(key, tweak, as_number(F.substring(digits, F.lit(1), u)), as_number(F.substring(digits, u + 1, n - u)), _ten_to(u), _ten_to(n - u), back)
     written = F.concat(F.when(u > 0, F.lpad(left.cast("string"), u, "0")).otherwise(""), F.lpad(right.cast("string"), n - u, "0"))
@@ -116,7 +138,12 @@ def _card(key: str, m: Column) -> Column:
 def _iban(key: str, m: Column) -> Column:
     own = F.replace(m, F.lit(" "), F.lit(""))
     tail = F.substring(own, F.lit(5), F.length(own))
-    moved = _fill(tail, permuted_digits(key, "iban", _digits(tail)))
+    # the digits move by a permutation that the letters choose, then the letters by steps that the new digits choose
+    digits = permuted_digits(key, F.concat_ws("/", F.lit("iban"), F.regexp_replace(tail, "[0-9]", "")), _digits(tail))
+    steps = F.sha2(F.concat_ws("|", F.lit(key), F.lit("iban-letters"), digits), 256)
+    step = lambda i: F.conv(F.substring(steps, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
+    lettered = F.array_join(F.transform(F.split(tail, ""), lambda c, i: F.when(c.rlike("^[A-Z]$"), F.char((F.ascii(c) - 65 + step(i)) % 26 + 65)).otherwise(c)), "")
+    moved = _fill(lettered, digits)
     country = F.substring(own, 1, 2)
     check = F.lpad((98 - _mod97(F.concat(moved, country, F.lit("00")))).cast("string"), 2, "0")
     out = F.concat(country, check, moved)
@@ -180,11 +207,11 @@ def pseudonym(key: str, m: Column) -> Column:
     email = F.concat(F.lit("u"), _mark(key, "email", F.lower(m), 12), F.lit("@mail.invalid"))
     cases = (
         ("email", m.contains("@"), email),
-        ("secret", prefix != "", secret),
+        ("secret", (prefix != "") | m.rlike("^" + TOKEN + "$"), secret),
         ("ip", m.rlike("^" + OCTETS + "$"), _ip(key, m)),
         ("date", m.rlike(r"^(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})$"), _date(key, m)),
         ("ssn", m.rlike(r"^\d{3}-\d{2}-\d{4}$"), _ssn(key, m)),
-        ("phone", m.rlike(r"^[+(]|^\d{3}[-.]\d{3}[-.]\d{4}$"), _phone(key, m)),
+        ("phone", m.rlike(r"^[+(]|^\d{3}[-. ]\d{3}[-. ]\d{4}$"), _phone(key, m)),
         ("iban", m.rlike("^[A-Z]{2}"), _iban(key, m)),
         ("card", F.lit(True), _card(key, m)),
     )
@@ -198,12 +225,17 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text") -> DataFram
     """All columns of ``docs`` with the text's personal data replaced, and ``pii`` (the kinds replaced, in order).
 
     Null text stays null with no kinds, empty text stays empty; rows stand by
-    themselves, so repeated ones get the same result. A column named ``pii`` in
-    ``docs`` is replaced.
+    themselves, so repeated ones get the same result, null ids do not matter and an
+    empty table stays empty. A column named ``pii`` in ``docs`` is replaced; all
+    others go through as they are. Whole texts of any length are searched. There is
+    no key but the caller's: an empty one is refused.
     """
-    found = docs.withColumn("_found", F.regexp_extract_all(F.coalesce(text_col, F.lit("")), F.lit(PATTERN), F.lit(0)))
-    named = found.withColumn("_new", F.transform("_found", lambda m: pseudonym(key, m)))
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    said, found, new = F.coalesce(text_col, F.lit("")), unused(docs, "found_pii"), unused(docs, "new_pii")
+    known = docs.withColumn(found, F.regexp_extract_all(said, F.lit(PATTERN), F.lit(0)))
+    named = known.withColumn(new, F.transform(found, lambda m: pseudonym(key, m)))
     pieces = F.split(F.col(text_col), PATTERN, -1)
-    joined = F.array_join(F.zip_with(pieces, F.transform("_new", lambda x: x["new"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    out = named.withColumn(text_col, F.when(F.size("_found") > 0, joined).otherwise(F.col(text_col)))
-    return out.withColumn("pii", F.filter(F.transform("_new", lambda x: x["kind"]), lambda k: k.isNotNull())).drop("_found", "_new")
+    joined = F.array_join(F.zip_with(pieces, F.transform(new, lambda x: x["new"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    out = named.withColumn(text_col, F.when(F.size(found) > 0, joined).otherwise(F.col(text_col)))
+    return out.withColumn("pii", F.filter(F.transform(new, lambda x: x["kind"]), lambda k: k.isNotNull())).drop(found, new)

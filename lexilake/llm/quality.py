@@ -1,11 +1,11 @@
 """Quality rules with cross-document line frequency.
 
-Two passes over the texts. The first works out each document's own figures. The
-second hashes its normalised lines; how many distinct texts of a host carry a line
-is counted with partial aggregation, so that a line or host with a third of all
-rows costs each task one row. A line above the limit is removed from every
-document of the host but its first, and a document that lost most of its words is
-rejected.
+One pass over the texts works out each document's own figures, another hashes its
+normalised lines and writes these out. How many distinct documents of a host carry
+a line (exact copies of one are one document) is counted with partial aggregation,
+so that a line or host with a third of all rows costs each task one row. A line
+above the limit is removed from every document of the host but its first, and a
+document that lost most of its words is rejected.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexilake.llm.common import unused, written
+
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 #: A document fails if more than this share of its words lies in repeated 3-word windows.
@@ -57,6 +59,11 @@ def text_figures(text: str) -> tuple[int, int, int, int, int]:
     return len(words), chars, n_symbols, n_dup, n_repeat
 
 
+def fails(n_words, n_repeat_words):
+    """The base rules, on numbers or columns."""
+    return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
+
+
 def document_figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's own figures and ``base_failed``. Null text: no words."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -69,8 +76,7 @@ def document_figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, *names])
 
     out = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{n} bigint" for n in names))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed)
+    return out.withColumn("base_failed", fails(F.col("n_words"), F.col("n_repeat_words")))
 
 
 def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -136,13 +142,15 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Null text has no words and so fails. Rows that repeat an id are each returned;
     an id is depleted if one of its rows is. Other columns are not looked at. An
-    empty table gives an empty result.
+    empty table gives an empty result. A very long text costs time and memory of its
+    task in proportion to its length.
     """
-    rejected = depleted_documents(document_lines(docs, id_col, text_col, host_col)).select(F.col("id").alias("_rejected"))
+    lines = written(document_lines(docs, id_col, text_col, host_col), "lines")
+    rejected = depleted_documents(lines).select(F.col("id").alias("rejected_id"))
     figures = document_figures(docs, id_col, text_col)
-    out = figures.join(rejected, F.col(id_col) == F.col("_rejected"), "left")
-    depleted = F.col("_rejected").isNotNull()
-    return out.select(figures["*"], depleted.alias("depleted"), (~F.col("base_failed") & ~depleted).alias("kept"))
+    out = figures.join(rejected, figures[id_col] == rejected["rejected_id"], "left")
+    depleted = rejected["rejected_id"].isNotNull()
+    return out.select(figures["*"], depleted.alias("depleted"), (~figures["base_failed"] & ~depleted).alias("kept"))
 
 
 def cut_lines(text: str, gone: set[int]) -> str:
@@ -157,7 +165,7 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A line above the limit stays, with its repeats, in the first document of the
     host that has it. ``chars_col``, where there is one, follows the text. Rows
-    with a null id lose no lines.
+    with a null id lose no lines. Columns of any other name go through as they are.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     text_at, host_at = docs.columns.index(text_col), docs.columns.index(host_col)
@@ -169,7 +177,7 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             keep = []
             for t in batch.column(text_at):
                 n, _, _, _, repeated = text_figures(t.as_py() or "")
-                keep.append(n >= MIN_WORDS and 100 * repeated <= MAX_REPEAT_PERCENT * n)
+                keep.append(not fails(n, repeated))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,9 +198,10 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     columns[chars_at] = pa.array(chars, columns[chars_at].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    of_text = document_losses(document_lines(docs, id_col, text_col, host_col))
+    id_, gone, lost = (unused(docs, n) for n in ("lost_id", "is_depleted", "lost_lines"))
+    of_text = document_losses(written(document_lines(docs, id_col, text_col, host_col), "lines"))
     depleted = F.max(F.col("n_removed") > MAX_REMOVED * F.col("n_words"))
-    lost = of_text.groupBy(F.col("id").cast(kind).alias("_id")).agg(depleted.alias("_depleted"), F.flatten(F.collect_list("lost")).alias("_lost"))
+    losses = of_text.groupBy(F.col("id").cast(kind).alias(id_)).agg(depleted.alias(gone), F.flatten(F.collect_list("lost")).alias(lost))
     passed = docs.mapInArrow(passing, docs.schema)
-    met = passed.join(lost, passed[id_col] == F.col("_id"), "left").where(~F.coalesce("_depleted", F.lit(False)))
-    return met.select(*[passed[c] for c in docs.columns], "_lost").mapInArrow(cut, docs.schema)
+    met = passed.join(losses, passed[id_col] == losses[id_], "left").where(~F.coalesce(losses[gone], F.lit(False)))
+    return met.select(*[passed[c] for c in names], losses[lost]).mapInArrow(cut, docs.schema)

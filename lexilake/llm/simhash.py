@@ -7,10 +7,12 @@ bits, those with an even number at most one (at distance 3 the parities differ).
 Of the two-bit flips those inside one half of the word are enough, since two of
 any three bits lie in one half. That is 561 variants on average, not 2081.
 
-Variants go to buckets in packed blocks, not as rows. Members of a variant are
-linked to one of them that is at most one bit away: all of these links are within
-the radius by construction, so a group costs its size, never its square. The bits
-are counted again before a link is kept.
+Variants go to buckets in packed blocks, not as rows. There are so many buckets
+that each holds a bounded number of variants; a task gets its blocks sorted by
+bucket (by Spark, which spills) and works off one bucket at a time. Members of a
+variant are linked to one of them that is at most one bit away: all of these links
+are within the radius by construction, so a group costs its size, never its square.
+The bits are counted again before a link is kept.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from lexilake.llm.components import connected_components
 SEED = 42
 #: Bits of a fingerprint are summed over so many shingles at a time.
 BLOCK = 1 << 15
+#: Variants that one bucket is meant to hold, and nodes whose variants are packed together.
+BUCKET, PACK = 1 << 18, 1024
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -113,17 +117,16 @@ def set_fingerprints(docs: DataFrame, shingle: int, words: int, id_col: str = "d
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp array<bigint>, shingles binary")
 
 
-def shingle_sets(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id`` (bigint), ``shingles`` (digest) and ``held`` (the distinct hashes) of each row."""
+def shingle_sets(docs: DataFrame, shingle: int, text_col: str = "text") -> DataFrame:
+    """``shingles`` (digest) and ``held`` (the distinct hashes) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                held = [shingle_set(t.as_py(), shingle) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_digest(h) for h in held], pa.binary()), pa.array([h.view(np.int64) for h in held], pa.list_(pa.int64()))], ["id", "shingles", "held"])
+                held = [shingle_set(t.as_py(), shingle) for t in batch.column(0).slice(at, 500)]
+                yield pa.RecordBatch.from_arrays([pa.array([set_digest(h) for h in held], pa.binary()), pa.array([h.view(np.int64) for h in held], pa.list_(pa.int64()))], ["shingles", "held"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), text_col).mapInArrow(run, "id bigint, shingles binary, held array<bigint>")
+    return docs.select(text_col).mapInArrow(run, "shingles binary, held array<bigint>")
 
 
 def near_masks(bits: int) -> np.ndarray:
@@ -155,10 +158,30 @@ def _ones(v: np.ndarray) -> np.ndarray:
 
 
 def _dealt(v: np.ndarray, parts: int) -> np.ndarray:
-    """The partition of each variant."""
+    """The bucket of each variant."""
     return ((_spread(v) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
 
 
+def _bucket_count(nodes: DataFrame, variants: int, parts: int) -> int:
+    """Buckets for so many variants a node, a multiple of the partitions."""
+    return parts * max(1, math.ceil(nodes.count() * variants / BUCKET / parts))
+
+
+def _one_at_a_time(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[memoryview, ...]]]:
+    """The packed blocks of each bucket; rows are (partition key, bucket, block columns), sorted by bucket."""
+    at, held = None, []
+    for batch in batches:
+        columns = batch.columns[2:]
+        for row, bucket in enumerate(batch.column(1).to_pylist()):
+            if bucket != at and held:
+                yield held
+                held = []
+            at = bucket
+            held.append(tuple(memoryview(c[row].as_buffer()) for c in columns))
+    if held:
+        yield held
+
+
 def _blocks(bucket: np.ndarray, columns: list[np.ndarray], n: int) -> Iterator[tuple[int, list[bytes]]]:
     order = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[order], np.arange(n + 1))
@@ -175,29 +198,26 @@ def links_within(fps: DataFrame, radius: int = 3) -> DataFrame:
     """
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = partition_keys(fps.sparkSession, parts)
+    buckets = _bucket_count(fps, len(masks(64, radius)[0]), parts)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every, near = masks(64, radius)
         for batch in batches:
             own = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for at in range(0, len(own), 2048):
-                some = own[at : at + 2048]
+            for at in range(0, len(own), PACK):
+                some = own[at : at + PACK]
                 far = some[_ones(some) % 2 == 1] if radius == 3 else some[:0]
                 variants = np.concatenate([(some[:, None] ^ every[None, :near]).ravel(), (far[:, None] ^ every[None, near:]).ravel()])
                 ids = np.concatenate([np.tile(np.arange(near, dtype=np.uint16), len(some)), np.tile(np.arange(near, len(every), dtype=np.uint16), len(far))])
-                found = list(_blocks(_dealt(variants, parts), [variants, ids], parts))
-                yield pa.RecordBatch.from_arrays([pa.array([keys[b] for b, _ in found], pa.int32()), pa.array([c[0] for _, c in found], pa.binary()), pa.array([c[1] for _, c in found], pa.binary())], ["bucket", "variants", "ids"])
+                found = list(_blocks(_dealt(variants, buckets), [variants, ids], buckets))
+                yield pa.RecordBatch.from_arrays([pa.array([keys[b % parts] for b, _ in found], pa.int32()), pa.array([b for b, _ in found], pa.int64()), *(pa.array([c[k] for _, c in found], pa.binary()) for k in (0, 1))], ["part", "bucket", "variants", "ids"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every, near = masks(64, radius)
-        held: dict[int, list[tuple[bytes, bytes]]] = {}
-        for batch in batches:
-            for b, v, i in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                held.setdefault(b, []).append((v, i))
-        for blocks in held.values():
+        for blocks in _one_at_a_time(batches):
             variants = np.frombuffer(b"".join(v for v, _ in blocks), np.uint64)
             ids = np.frombuffer(b"".join(i for _, i in blocks), np.uint16)
-            order = np.lexsort((ids, variants)) if len(variants) < 2 else np.argsort(variants, kind="stable")
+            order = np.argsort(variants, kind="stable")
             variants = variants[order]
             first = np.flatnonzero(np.concatenate([[True], variants[1:] != variants[:-1]]))
             size = np.diff(np.append(first, len(variants)))
@@ -214,8 +234,8 @@ def links_within(fps: DataFrame, radius: int = 3) -> DataFrame:
             pairs = np.unique(np.stack([np.minimum(a, b)[good], np.maximum(a, b)[good]]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0].view(np.int64)), pa.array(pairs[1].view(np.int64))], ["a", "b"])
 
-    blocks = fps.repartition(parts, "fp").mapInArrow(emit, "bucket int, variants binary, ids binary")
-    return blocks.repartition(parts, "bucket").mapInArrow(meet, "a bigint, b bigint").distinct()
+    blocks = fps.repartition(parts, "fp").mapInArrow(emit, "part int, bucket bigint, variants binary, ids binary")
+    return blocks.repartition(parts, "part").sortWithinPartitions("bucket").mapInArrow(meet, "a bigint, b bigint").distinct()
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,9 +279,9 @@ def allowed_bits(similarity: float, bits: int) -> int:
 
 
 def loose_bits(similarity: float, bits: int) -> int:
-    """A limit on few bits that pairs at this similarity seldom exceed: two and a half standard errors above."""
+    """A limit on few bits that 998 in 1000 pairs at this similarity do not exceed: three standard errors above."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.ceil(bits * share + 2.5 * math.sqrt(bits * share * (1 - share)))
+    return math.ceil(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
 
 
 #: A variant with more members than this is crowded: its first round of pairs is not every pair.
@@ -289,6 +309,7 @@ def table_pairs(nodes: DataFrame, similarity: float = NEAR, words: int = WORDS,
     check_limit = loose_bits(similarity, 32)
     parts, tables = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), words * 64 // bits
     part_keys = np.array(partition_keys(nodes.sparkSession, parts), np.int32)
+    buckets = _bucket_count(nodes, tables * (bits + 1), parts)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flips = near_masks(bits)
@@ -300,21 +321,21 @@ def table_pairs(nodes: DataFrame, similarity: float = NEAR, words: int = WORDS,
             ids = ids[order]
             fps = np.array(batch.column(1).to_pylist(), np.int64).reshape(-1, words)[order]
             labels = batch.column(2).to_numpy()[order] if second else None
-            for at in range(0, len(ids), 2048):
-                all_bits = np.unpackbits(fps[at : at + 2048].astype(">i8").view(np.uint8), axis=1)[:, : tables * bits].reshape(-1, tables, bits).astype(np.uint64)
+            for at in range(0, len(ids), PACK):
+                all_bits = np.unpackbits(fps[at : at + PACK].astype(">i8").view(np.uint8), axis=1)[:, : tables * bits].reshape(-1, tables, bits).astype(np.uint64)
                 keys = (all_bits << np.arange(bits, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
                 variants = (keys[:, :, None] ^ flips) | (np.arange(tables, dtype=np.uint64) << np.uint64(bits))[None, :, None]
-                own = np.repeat(ids[at : at + 2048], tables * len(flips))
-                check = fps[at : at + 2048][:, (np.arange(tables) * bits // 64 + words // 2) % words].astype(np.uint32)
+                own = np.repeat(ids[at : at + PACK], tables * len(flips))
+                check = fps[at : at + PACK][:, (np.arange(tables) * bits // 64 + words // 2) % words].astype(np.uint32)
                 check = np.repeat(check.ravel(), len(flips))
                 variants = variants.ravel()
-                bucket = _dealt(variants + np.uint64(1), parts)
+                bucket = _dealt(variants + np.uint64(1), buckets)
                 rank = np.argsort(bucket, kind="stable")
-                edges = np.searchsorted(bucket[rank], np.arange(parts + 1))
+                edges = np.searchsorted(bucket[rank], np.arange(buckets + 1))
                 full = np.flatnonzero(np.diff(edges))
                 blocks = [rank[edges[b] : edges[b + 1]] for b in full]
-                label = np.repeat(labels[at : at + 2048], tables * len(flips)) if second else None
-                yield pa.RecordBatch.from_arrays([pa.array(part_keys[full]), pa.array([_planes(variants[x]) for x in blocks], pa.binary()), pa.array([_planes(np.diff(own[x], prepend=0)) for x in blocks], pa.binary()), pa.array([check[x].tobytes() for x in blocks], pa.binary()), pa.array([_planes(label[x]) if second else b"" for x in blocks], pa.binary())], ["bucket", "variants", "nodes", "checks", "labels"])
+                label = np.repeat(labels[at : at + PACK], tables * len(flips)) if second else None
+                yield pa.RecordBatch.from_arrays([pa.array(part_keys[full % parts]), pa.array(full), pa.array([_planes(variants[x]) for x in blocks], pa.binary()), pa.array([_planes(np.diff(own[x], prepend=0)) for x in blocks], pa.binary()), pa.array([check[x].tobytes() for x in blocks], pa.binary()), pa.array([_planes(label[x]) if second else b"" for x in blocks], pa.binary())], ["part", "bucket", "variants", "nodes", "checks", "labels"])
 
     def unjoined(starts: np.ndarray, size: np.ndarray, nodes_of: np.ndarray, checks: np.ndarray, labels_of: np.ndarray) -> Iterator[np.ndarray]:
         """Every pair of each group that differs in its labels."""
@@ -327,11 +348,7 @@ def table_pairs(nodes: DataFrame, similarity: float = NEAR, words: int = WORDS,
                 yield np.stack([member[at + i], member[at + j]])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[bytes, ...]]] = {}
-        for batch in batches:
-            for b, *block in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                held.setdefault(b, []).append(tuple(block))
-        for blocks in held.values():
+        for blocks in _one_at_a_time(batches):
             variants = np.concatenate([_unplaned(v) for v, _, _, _ in blocks])
             order = np.argsort(variants, kind="stable")
             variants = variants[order]
@@ -376,8 +393,8 @@ def table_pairs(nodes: DataFrame, similarity: float = NEAR, words: int = WORDS,
             pairs = np.unique(np.stack([a, b])[:, a < b], axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
-    blocks = nodes.select("node", "fp", *["label"] * second).repartition(parts, "node").mapInArrow(emit, "bucket int, variants binary, nodes binary, checks binary, labels binary")
-    return blocks.repartition(parts, "bucket").mapInArrow(meet, "a bigint, b bigint").distinct()
+    blocks = nodes.select("node", "fp", *["label"] * second).repartition(parts, "node").mapInArrow(emit, "part int, bucket bigint, variants binary, nodes binary, checks binary, labels binary")
+    return blocks.repartition(parts, "part").sortWithinPartitions("bucket").mapInArrow(meet, "a bigint, b bigint").distinct()
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -386,11 +403,12 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, si
     met = pairs.join(one, F.col("a") == F.col("na")).select("b", "na", "fa", "sa").join(two, F.col("b") == F.col("nb"))
     apart = sum((F.bit_count(F.col("fa")[k].bitwiseXOR(F.col("fb")[k])) for k in range(words)), F.lit(0))
     near = written(met.where(apart <= allowed_bits(similarity, 64 * words)).select("na", "sa", "nb", "sb"), "candidates")
-    asked = written(near.select("na").unionByName(near.select(F.col("nb").alias("na"))).distinct(), "asked")
-    texts = docs.join(asked, docs[id_col].cast("bigint") == F.col("na"), "left_semi")
-    held = written(shingle_sets(texts, shingle, id_col, text_col).dropDuplicates(["id", "shingles"]), "shingle-sets")
-    one, two = (held.select(F.col("id").alias(f"i{x}"), F.col("shingles").alias(f"d{x}"), F.col("held").alias(f"h{x}")) for x in "ab")
-    both = near.join(one, (F.col("na") == F.col("ia")) & (F.col("sa") == F.col("da"))).select("na", "nb", "sb", "ha").join(two, (F.col("nb") == F.col("ib")) & (F.col("sb") == F.col("db")))
+    asked = near.select(F.col("na").alias("n")).unionByName(near.select(F.col("nb").alias("n"))).distinct()
+    ids = written(nodes.join(asked, F.col("node") == F.col("n"), "left_semi").select(F.col("first_id").alias("asked_id")), "asked")
+    texts = docs.join(ids, docs[id_col] == ids["asked_id"], "left_semi")
+    held = written(shingle_sets(texts, shingle, text_col).dropDuplicates(["shingles"]), "shingle-sets")
+    one, two = (held.select(F.col("shingles").alias(f"d{x}"), F.col("held").alias(f"h{x}")) for x in "ab")
+    both = near.join(one, F.col("sa") == F.col("da")).select("na", "nb", "sb", "ha").join(two, F.col("sb") == F.col("db"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -410,11 +428,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = NEAR,
     Two texts are linked if the sets of their shingles have a Jaccard similarity of
     ``similarity`` or more. Candidates are found by their fingerprints of
     ``64 * words`` bits; the ball hashing is over tables of shorter keys, as one word
-    cannot hold so wide an angle. Texts with the same set of shingles are one node. Texts without words are alike. Rows with a null id
-    have a null group unless their text is that of others.
+    cannot hold so wide an angle. Texts with the same set of shingles are one node;
+    nodes are numbered in the order of their smallest ids, which may be of any type
+    that has an order. Null texts and texts without words are alike. Rows with a
+    null id have a null group unless their set of shingles is that of others. Rows
+    that repeat an id are each returned; an empty table gives no rows; other columns
+    are not looked at.
     """
     own = written(set_fingerprints(docs, shingle, words, id_col, text_col), "fingerprints")
-    nodes = written(own.where(F.col(id_col).isNotNull()).groupBy("shingles").agg(F.first("fp").alias("fp"), F.min(id_col).cast("bigint").alias("node")), "nodes")
+    sets = own.where(F.col(id_col).isNotNull()).groupBy("shingles").agg(F.first("fp").alias("fp"), F.min(id_col).alias("first_id"))
+    nodes = written(sets.orderBy("first_id", "shingles").withColumn("node", F.monotonically_increasing_id()), "nodes")
     linked = lambda pairs: _links(pairs, nodes, docs, shingle, similarity, words, id_col, text_col)
     met = written(table_pairs(nodes, similarity, words), "met")
     links = written(linked(met.where("b is not null")), "links")
@@ -426,13 +449,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = NEAR,
         others = written(others.select("node", "fp", F.coalesce("label", "node").alias("label")), "crowded")
         rest = written(table_pairs(others, similarity, words), "met")
         label = connected_components(links.unionByName(linked(rest)))
-    named = nodes.join(label.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
-    of_set = written(named.select(F.col("shingles").alias("_shingles"), F.coalesce("label", "node").alias("group_id")), "groups")
+    named = nodes.join(label.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("shingles", F.coalesce("label", "node").alias("_label"))
+    heads = nodes.select(F.col("node").alias("_head"), F.col("first_id").alias("group_id"))
+    of_set = written(named.join(heads, F.col("_label") == F.col("_head")).select(F.col("shingles").alias("_shingles"), "group_id"), "groups")
     return own.join(of_set, F.col("shingles") == F.col("_shingles"), "left").select(id_col, "group_id")
 
 
 def without_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = NEAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` of which one id of each group stays, the smallest. Rows with a null id stay, and so do all rows that repeat an id that stays."""
     groups = near_duplicates(docs, shingle, similarity, id_col=id_col, text_col=text_col)
-    gone = written(groups.where(F.col(id_col) != F.col("group_id")).select(F.col(id_col).alias("_gone")).distinct(), "near-duplicates")
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = written(groups.where(F.col(id_col) != F.col("group_id")).select(F.col(id_col).alias("gone_id")).distinct(), "near-duplicates")
+    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")

@@ -190,3 +190,61 @@ def test_native_operators_run_no_python(spark, sf, name):
 
     plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_pseudonyms_of_awkward_texts(spark):
+    long = ["a@" + "b." * 20_000 + "1", "a@" + "b." * 20_000 + "org", "+" + "1" * 1_000_000, "x" * 1_000_000 + " a@b.org", "9.9.9." * 200_000, "token" * 200_000, "AB12 " * 100_000, "4-" * 300_000]
+    got = pseudonyms(spark, long)
+    assert all(got[k]["text"] == long[k] for k in (0, 2)) and got[3]["text"].startswith("x" * 1_000_000 + " u")
+    docs = spark.createDataFrame([(None, "a@b.org", "f", "n"), (None, "a@b.org", "f", "n"), (1, None, None, None)], "doc_id bigint, text string, found_pii string, new_pii string")
+    made = pii.pseudonymised(docs, "k")
+    assert made.columns == [*docs.columns, "pii"] and made.where("found_pii = 'f' and new_pii = 'n' and pii = array('email')").select("text").distinct().count() == 1
+    assert pii.pseudonymised(docs.limit(0), "k").count() == 0
+    with pytest.raises(ValueError):
+        pii.pseudonymised(docs, "")
+
+
+def test_pseudonyms_by_brute_force(spark):
+    """Every planted value is found whatever stands around it, and nothing else is touched."""
+    rng = random.Random(4)
+    values = {
+        "email": ["a.b+c@mail.example.org", "x@y.co"], "iban": ["BE68 5390 0754 7034", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "NO93 8601 1117 947"],
+        "card": ["4041894974608795", "4041-8949-7460-8795"], "ip": ["53.121.55.90"], "date": ["1984-03-09", "31.12.1999"], "ssn": ["123-45-6789"], "phone": ["+1 (988) 555-2485", "212-555-0100", "212 555 0100"],
+        "secret": ["AKIA" + "Z9" * 8, "ghp_" + "aB3" * 12, "password is tr0ub4dor3", "token = 24be64439e3e"],
+    }
+    plain = ["BE68 5390 0754 7035", "EUR", "password is incorrect", "4041894974608796", "300.1.1.1", "2024-02-30", "000-12-3456", "order 12", "2125550100", "DE8937040044053201300"]
+    texts, want = [], []
+    for _ in range(120):
+        chosen = [rng.choice([(k, rng.choice(v)) for k, v in values.items()] + [(None, p) for p in plain]) for _ in range(6)]
+        texts.append(" EUR; ".join(v for _, v in chosen) + " EUR")
+        want.append(chosen)
+    got = pseudonyms(spark, texts)
+    seen = {}
+    for k, chosen in enumerate(want):
+        assert got[k]["pii"] == [kind for kind, _ in chosen if kind]
+        parts = got[k]["text"].removesuffix(" EUR").split(" EUR; ")
+        for (kind, value), part in zip(chosen, parts, strict=True):
+            assert (part == value) == (kind is None)
+            assert seen.setdefault((kind, value), part) == part
+            if kind in ("iban", "card", "ip", "date", "ssn", "phone"):
+                shape = lambda s: re.sub("[A-Z]", "A", re.sub("[0-9]", "0", s))
+                assert kind == "ip" or shape(part) == shape(value)
+                assert kind != "iban" or (iban(part) and part[:2] == value[:2])
+                assert kind != "card" or luhn(re.sub(r"\D", "", part))
+    assert len(set(seen.values())) == len(seen)  # different values stay different
+
+
+def test_helper_columns_do_not_clash(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    docs = spark.createDataFrame([("b", text, "h", 1, "x", "y", "z", "k", "s")], "doc_id string, text string, source string, n_chars bigint, lost_id string, is_depleted string, lost_lines string, key string, rejected_id string")
+    assert [tuple(r) for r in quality.kept_documents(docs).collect()] == [tuple(docs.first())]
+    assert quality.quality_rules(docs).first()["kept"]
+    bench = spark.createDataFrame([("i", "another thing"), (None, None)], "item_id string, text string")
+    from lexilake.llm import decontaminate, simhash
+
+    odd = docs.withColumnsRenamed({"lost_id": "text_key", "is_depleted": "n_hit", "lost_lines": "gone_id", "rejected_id": "items"})
+    assert [tuple(r) for r in decontaminate.clean_documents(odd, bench).collect()] == [tuple(odd.first())]
+    assert decontaminate.clean_documents(odd.limit(0), bench).count() == 0
+    both = odd.unionByName(odd.withColumn("doc_id", F.lit("a")))
+    assert [r["doc_id"] for r in simhash.without_near_duplicates(both).collect()] == ["a"]
+    assert simhash.without_near_duplicates(both.limit(0)).columns == odd.columns
