@@ -43,15 +43,26 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def written(df: DataFrame, name: str, batch_bytes: int | None = None) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder.
 
     A lost executor loses nothing of it, and Catalyst knows its true size, so a
     join with it is broadcast only if it is below the session's threshold.
+    ``batch_bytes`` bounds the Arrow batches on the way there, for rows that are
+    large blocks.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(ARROW_BYTES)
+    if batch_bytes:
+        spark.conf.set(ARROW_BYTES, str(batch_bytes))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_BYTES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

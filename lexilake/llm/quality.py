@@ -1,17 +1,22 @@
 """Quality rules with cross-document line frequency.
 
-One pass over the texts works out each document's own figures, another hashes its
-normalised lines and writes these out. How many distinct documents of a host carry
-a line (exact copies of one are one document) is counted with partial aggregation,
-so that a line or host with a third of all rows costs each task one row. A line
-above the limit is removed from every document of the host but its first, and a
-document that lost most of its words is rejected.
+One pass over the texts hashes their normalised lines and writes these out. How
+many distinct documents of a host carry a line (exact copies of one are one
+document) is counted with partial aggregation, so that a line or host with a third
+of all rows costs each task one row. A second pass judges each text: its own
+figures, and the lines above the limit, which are removed from every document of
+the host but its first; a document that lost most of its words is rejected.
+
+The lines above the limit are few: each is in more than a hundred documents. While
+their number, which is looked at, is small, every task holds them and the texts are
+not shuffled; beyond it each text is joined with its own lines. Both ways end in
+the same function.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -28,6 +33,10 @@ MAX_REPEAT_PERCENT = 50
 MAX_TEXTS_PER_LINE = 100
 #: A document is depleted if it loses more than this share of its words.
 MAX_REMOVED = 0.7
+#: Up to so many lines above the limit are held by every task; beyond it the texts are joined with theirs.
+HELD_LINES = 100_000
+SEED = 42
+FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _drop_symbols = str.maketrans("", "", SYMBOLS)
 
 
@@ -59,55 +68,37 @@ def text_figures(text: str) -> tuple[int, int, int, int, int]:
     return len(words), chars, n_symbols, n_dup, n_repeat
 
 
-def fails(n_words, n_repeat_words):
-    """The base rules, on numbers or columns."""
-    return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words)
 
 
-def document_figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's own figures and ``base_failed``. Null text: no words."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+def fails(n_words: int, n_repeat_words: int) -> bool:
+    """The base rules."""
+    return n_words < MIN_WORDS or 100 * n_repeat_words > MAX_REPEAT_PERCENT * n_words
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [text_figures(t.as_py() or "") for t in batch.column(1)]
-            columns = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, *names])
 
-    out = docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{n} bigint" for n in names))
-    return out.withColumn("base_failed", fails(F.col("n_words"), F.col("n_repeat_words")))
+def normal_lines(raw: bytes) -> Iterator[tuple[bytes, int, int | None]]:
+    """Each line of a text, the number of its words, and the hash of its normalised form (None without words)."""
+    for line in raw.split(b"\n"):
+        parts = line.lower().split()
+        yield line, len(parts), _signed(xxhash.xxh64_intdigest(b" ".join(parts), SEED)) if parts else None
 
 
 def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """One row for each distinct normalised line with words: id, host, text_hash, line_hash, words (of all its repeats), n_words (of the document)."""
+    """One row for each distinct normalised line with words: id, host, text_hash (``xxhash64`` of the text), line_hash."""
     kind, host = (docs.schema[c].dataType.simpleString() for c in (id_col, host_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = xxhash.xxh64_intdigest
         for batch in batches:
-            at, texts, lines, words, totals = [], [], [], [], []
+            at, texts, lines = [], [], []
             for row, text in enumerate(batch.column(1)):
                 raw = (text.as_py() or "").encode()
-                of: dict[bytes, int] = {}
-                total = 0
-                for line in raw.lower().split(b"\n"):
-                    if parts := line.split():
-                        key = b" ".join(parts)
-                        of[key] = of.get(key, 0) + len(parts)
-                        total += len(parts)
-                at += [row] * len(of)
-                texts += [_signed(hashed(raw))] * len(of)
-                lines += [_signed(hashed(k)) for k in of]
-                words += of.values()
-                totals += [total] * len(of)
+                own = {h for _, _, h in normal_lines(raw) if h is not None}
+                at += [row] * len(own)
+                texts += [_signed(xxhash.xxh64_intdigest(raw, SEED))] * len(own)
+                lines += own
             taken = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(taken), batch.column(2).take(taken), *(pa.array(x, pa.int64()) for x in (texts, lines, words, totals))],
-                ["id", "host", "text_hash", "line_hash", "words", "n_words"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(2).take(taken), pa.array(texts, pa.int64()), pa.array(lines, pa.int64())], ["id", "host", "text_hash", "line_hash"])
 
-    return docs.select(id_col, text_col, host_col).mapInArrow(run, f"id {kind}, host {host}, text_hash bigint, line_hash bigint, words bigint, n_words bigint")
+    return docs.select(id_col, text_col, host_col).mapInArrow(run, f"id {kind}, host {host}, text_hash bigint, line_hash bigint")
 
 
 def frequent_lines(lines: DataFrame, max_texts: int = MAX_TEXTS_PER_LINE) -> DataFrame:
@@ -120,44 +111,76 @@ def frequent_lines(lines: DataFrame, max_texts: int = MAX_TEXTS_PER_LINE) -> Dat
     return each.groupBy("host", "line_hash").agg(F.min("id").alias("first_id"), F.count("*").alias("n_texts")).where(F.col("n_texts") > max_texts)
 
 
-def document_losses(lines: DataFrame, max_texts: int = MAX_TEXTS_PER_LINE) -> DataFrame:
-    """What each document loses: id, text_hash, n_removed (words), n_words, lost (host and line_hash of each line).
+def lost_lines(lines: DataFrame, frequent: DataFrame) -> DataFrame:
+    """What each row of a document loses: id, host, text_hash, lost (hashes of lines). Null ids lose nothing."""
+    named = frequent.select(F.col("host").alias("f_host"), F.col("line_hash").alias("f_line"), "first_id")
+    hit = lines.join(named, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("line_hash") == F.col("f_line"))).where(F.col("id") != F.col("first_id"))
+    return hit.groupBy("id", "host", "text_hash").agg(F.collect_set("line_hash").alias("lost"))
 
-    Lines above the limit are lost, but not in the first document that has them. Null ids lose nothing.
-    """
-    frequent = frequent_lines(lines, max_texts).withColumnsRenamed({"host": "f_host", "line_hash": "f_line"})
-    hit = lines.join(frequent, F.col("host").eqNullSafe(F.col("f_host")) & (F.col("line_hash") == F.col("f_line")))
-    lost = F.collect_set(F.struct("host", "line_hash")).alias("lost")
-    return hit.where(F.col("id") != F.col("first_id")).groupBy("id", "text_hash").agg(F.sum("words").alias("n_removed"), F.max("n_words").alias("n_words"), lost)
 
+def without_lines(text: str, gone: set[int]) -> tuple[str, int]:
+    """The text without the lines whose hash is in ``gone``, and the number of words they had."""
+    kept, n = [], 0
+    for line, words, h in normal_lines(text.encode()):
+        if h in gone:
+            n += words
+        else:
+            kept.append(line)
+    return b"\n".join(kept).decode() if n else text, n
+
+
+Judge = Callable[[pa.RecordBatch, int], set[int]]
+
+
+def _with_losses(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> tuple[DataFrame, Judge]:
+    """``docs``, maybe with a last column more, and what tells the lines that a row of a batch of it loses."""
+    lines = written(document_lines(docs, id_col, text_col, host_col), "lines")
+    frequent = written(frequent_lines(lines), "frequent-lines")
+    id_at, host_at = docs.columns.index(id_col), docs.columns.index(host_col)
+    if frequent.count() <= HELD_LINES:
+        of_host: dict = {}
+        for r in frequent.collect():  # no more than HELD_LINES
+            of_host.setdefault(r["host"], {})[r["line_hash"]] = r["first_id"]
+        held = docs.sparkSession.sparkContext.broadcast(of_host)
+
+        def by_table(batch: pa.RecordBatch, row: int) -> set[int]:
+            own, id_ = held.value.get(batch.column(host_at)[row].as_py()), batch.column(id_at)[row].as_py()
+            return {h for h, first in own.items() if first != id_} if own and id_ is not None else set()
 
-def depleted_documents(lines: DataFrame, max_texts: int = MAX_TEXTS_PER_LINE, max_removed: float = MAX_REMOVED) -> DataFrame:
-    """Ids of the documents that lose more than ``max_removed`` of their words: id, n_removed. Null ids lose nothing."""
-    lost = document_losses(lines, max_texts)
-    return lost.where(F.col("n_removed") > max_removed * F.col("n_words")).groupBy("id").agg(F.max("n_removed").alias("n_removed"))
+        return docs, by_table
+
+    names = {n: unused(docs, f"lost_{n}") for n in ("id", "host", "text_hash", "lost")}
+    lost = lost_lines(lines, frequent).withColumnsRenamed(names)
+    same = (docs[id_col] == lost[names["id"]]) & docs[host_col].eqNullSafe(lost[names["host"]]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == lost[names["text_hash"]])
+    met = docs.join(lost, same, "left").select(*[docs[c] for c in docs.columns], lost[names["lost"]])
+    return met, lambda batch, row: set(batch.column(batch.num_columns - 1)[row].as_py() or ())
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """Each row's figures, ``base_failed``, ``depleted`` and ``kept``.
+    """Each row's figures, ``base_failed``, ``n_removed`` (words of lines above the limit), ``depleted`` and ``kept``.
 
-    Null text has no words and so fails. Rows that repeat an id are each returned;
-    an id is depleted if one of its rows is. Other columns are not looked at. An
-    empty table gives an empty result. A very long text costs time and memory of its
-    task in proportion to its length.
+    Null text has no words and so fails. Rows that repeat an id are judged each by
+    its own text. Other columns are not looked at. An empty table gives an empty
+    result. A very long text costs time and memory of its task in proportion to its
+    length.
     """
-    lines = written(document_lines(docs, id_col, text_col, host_col), "lines")
-    rejected = depleted_documents(lines).select(F.col("id").alias("rejected_id"))
-    figures = document_figures(docs, id_col, text_col)
-    out = figures.join(rejected, figures[id_col] == rejected["rejected_id"], "left")
-    depleted = rejected["rejected_id"].isNotNull()
-    return out.select(figures["*"], depleted.alias("depleted"), (~figures["base_failed"] & ~depleted).alias("kept"))
+    own = docs.select(id_col, text_col, host_col)
+    met, lost = _with_losses(own, id_col, text_col, host_col)
+    kind = docs.schema[id_col].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row, text in enumerate(batch.column(1)):
+                said = text.as_py() or ""
+                figures = text_figures(said)
+                n_removed = without_lines(said, gone)[1] if (gone := lost(batch, row)) else 0
+                failed, depleted = fails(figures[0], figures[4]), n_removed > MAX_REMOVED * figures[0]
+                rows.append((*figures, n_removed, failed, depleted, not failed and not depleted))
+            columns = [pa.array(c, pa.bool_() if k > 5 else pa.int64()) for k, c in enumerate(zip(*rows))] if rows else [pa.array([], pa.bool_() if k > 5 else pa.int64()) for k in range(9)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, *FIGURES, "n_removed", "base_failed", "depleted", "kept"])
 
-def cut_lines(text: str, gone: set[int]) -> str:
-    """The text without the lines whose normalised hash is in ``gone``."""
-    raw = text.encode()
-    rest = [x for x in raw.split(b"\n") if not (parts := x.lower().split()) or _signed(xxhash.xxh64_intdigest(b" ".join(parts))) not in gone]
-    return b"\n".join(rest).decode()
+    return met.mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{n} bigint" for n in (*FIGURES, "n_removed")) + ", base_failed boolean, depleted boolean, kept boolean")
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
@@ -165,43 +188,29 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A line above the limit stays, with its repeats, in the first document of the
     host that has it. ``chars_col``, where there is one, follows the text. Rows
-    with a null id lose no lines. Columns of any other name go through as they are.
+    with a null id lose no lines. Columns of other names go through as they are.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    text_at, host_at = docs.columns.index(text_col), docs.columns.index(host_col)
-    chars_at = docs.columns.index(chars_col) if chars_col in docs.columns else None
     names = docs.columns
+    text_at, chars_at = names.index(text_col), names.index(chars_col) if chars_col in names else None
+    met, lost = _with_losses(docs, id_col, text_col, host_col)
 
-    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for t in batch.column(text_at):
-                n, _, _, _, repeated = text_figures(t.as_py() or "")
-                keep.append(not fails(n, repeated))
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns, gone_at = batch.columns[: len(names)], batch.column(len(names))
-            if gone_at.null_count < len(gone_at):
-                texts = columns[text_at].to_pylist()
-                hosts = columns[host_at].to_pylist()
-                chars = columns[chars_at].to_pylist() if chars_at is not None else None
-                for row, gone in enumerate(gone_at.to_pylist()):
-                    own = {x["line_hash"] for x in gone or () if x["host"] == hosts[row]}
-                    if own and texts[row] and (rest := cut_lines(texts[row], own)) != texts[row]:
-                        texts[row] = rest
-                        if chars is not None:
-                            chars[row] = len(rest)
-                columns[text_at] = pa.array(texts, columns[text_at].type)
-                if chars is not None:
-                    columns[chars_at] = pa.array(chars, columns[chars_at].type)
+            keep, texts, sizes = [], [], []
+            for row, text in enumerate(batch.column(text_at)):
+                said = text.as_py() or ""
+                figures = text_figures(said)
+                keep.append(not fails(figures[0], figures[4]))
+                if keep[-1]:
+                    rest, n_removed = without_lines(said, gone) if (gone := lost(batch, row)) else (said, 0)
+                    keep[-1] = n_removed <= MAX_REMOVED * figures[0]
+                    if keep[-1]:
+                        texts.append(rest)
+                        sizes.append(len(rest) if n_removed else None)
+            columns = batch.filter(pa.array(keep, pa.bool_())).columns[: len(names)]
+            columns[text_at] = pa.array(texts, columns[text_at].type)
+            if chars_at is not None:
+                columns[chars_at] = pa.array([n if n is not None else x.as_py() for n, x in zip(sizes, columns[chars_at])], columns[chars_at].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    id_, gone, lost = (unused(docs, n) for n in ("lost_id", "is_depleted", "lost_lines"))
-    of_text = document_losses(written(document_lines(docs, id_col, text_col, host_col), "lines"))
-    depleted = F.max(F.col("n_removed") > MAX_REMOVED * F.col("n_words"))
-    losses = of_text.groupBy(F.col("id").cast(kind).alias(id_)).agg(depleted.alias(gone), F.flatten(F.collect_list("lost")).alias(lost))
-    passed = docs.mapInArrow(passing, docs.schema)
-    met = passed.join(losses, passed[id_col] == losses[id_], "left").where(~F.coalesce(losses[gone], F.lit(False)))
-    return met.select(*[passed[c] for c in names], losses[lost]).mapInArrow(cut, docs.schema)
+    return met.mapInArrow(run, docs.schema)

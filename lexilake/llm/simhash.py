@@ -35,6 +35,8 @@ SEED = 42
 BLOCK = 1 << 15
 #: Variants that one bucket is meant to hold, and nodes whose variants are packed together.
 BUCKET, PACK = 1 << 18, 1024
+#: Bytes of packed blocks that go to a Python worker at a time.
+BATCH = 1 << 22
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -248,7 +250,7 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, id_co
     """
     own = written(fingerprints(docs, shingle, 1, id_col, text_col).select(id_col, F.col("fp")[0].alias("fp")), "fingerprints")
     known = written(own.groupBy("fp").agg(F.min(id_col).alias("first_id")), "distinct-fingerprints")
-    label = connected_components(links_within(known.select("fp"), radius))
+    label = connected_components(written(links_within(known.select("fp"), radius), "links", BATCH))
     member = label.join(known, F.col("node") == F.col("fp")).select("node", "label", "first_id")
     least = written(member.groupBy("label").agg(F.min("first_id").alias("least_id")), "least")
     named = label.withColumnRenamed("label", "_label").join(least, F.col("_label") == F.col("label")).select("node", "least_id")
@@ -290,29 +292,30 @@ CROWDED = 4
 ROWS = 256
 
 
-def table_pairs(nodes: DataFrame, similarity: float = NEAR, words: int = WORDS, bits: int = TABLE_BITS) -> DataFrame:
-    """Pairs ``a`` < ``b`` of nodes (``node``, ``fp``) that share a variant in some table.
+def table_pairs(nodes: DataFrame, similarity: float = NEAR, words: int = WORDS, bits: int = TABLE_BITS, flips: bool = True, whole: bool = False) -> DataFrame:
+    """Pairs ``a``, ``b`` of nodes (``node``, ``fp``, ``label``) that share a variant in some table and differ in their labels.
 
     A table's key is a stretch of ``bits`` bits of the fingerprint; its variants are
-    those within one flip, so keys up to two bits apart meet. With each goes a
-    check word, 32 bits of another part of the fingerprint; chance meetings, whose
-    number is a square of the nodes', end there. Members of a variant are paired
-    with the first of it, in small groups with their next three too, which is every
-    pair of up to four. Members of crowded variants are returned with a null ``b``
-    too: their other pairs are left for a second round.
-
-    That round is over those nodes with their ``label`` (smallest node of what the
-    first round has joined), and returns every pair of a crowded variant whose check
-    words allow it and whose labels differ.
+    those within one flip, so keys up to two bits apart meet (without ``flips`` only
+    equal ones). With each goes a check word, 32 bits of another part of the
+    fingerprint; chance meetings, whose number is a square of the nodes', end there.
+    ``label`` is the smallest node of what is joined already: such pairs are not
+    looked at again.
+
+    Members of a variant are paired with the first of it, in small groups with
+    their next three too, which is every pair of up to four. Members of crowded
+    variants whose labels differ are returned with a null ``b`` too: their other
+    pairs are left for a round with ``whole``, which returns every pair of a crowded
+    variant whose check words allow it and whose labels differ.
     """
-    second = "label" in nodes.columns
     check_limit = loose_bits(similarity, 32)
     parts, tables = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), words * 64 // bits
     part_keys = np.array(partition_keys(nodes.sparkSession, parts), np.int32)
-    buckets = _bucket_count(nodes, tables * (bits + 1), parts)
+    n_variants = bits + 1 if flips else 1
+    buckets = _bucket_count(nodes, tables * n_variants, parts)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flips = near_masks(bits)
+        every = near_masks(bits)[:n_variants]
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -320,22 +323,22 @@ def table_pairs(nodes: DataFrame, similarity: float = NEAR, words: int = WORDS,
             order = np.argsort(ids, kind="stable")
             ids = ids[order]
             fps = np.array(batch.column(1).to_pylist(), np.int64).reshape(-1, words)[order]
-            labels = batch.column(2).to_numpy()[order] if second else None
+            labels = batch.column(2).to_numpy()[order]
             for at in range(0, len(ids), PACK):
                 all_bits = np.unpackbits(fps[at : at + PACK].astype(">i8").view(np.uint8), axis=1)[:, : tables * bits].reshape(-1, tables, bits).astype(np.uint64)
                 keys = (all_bits << np.arange(bits, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
-                variants = (keys[:, :, None] ^ flips) | (np.arange(tables, dtype=np.uint64) << np.uint64(bits))[None, :, None]
-                own = np.repeat(ids[at : at + PACK], tables * len(flips))
+                variants = (keys[:, :, None] ^ every) | (np.arange(tables, dtype=np.uint64) << np.uint64(bits))[None, :, None]
+                own = np.repeat(ids[at : at + PACK], tables * n_variants)
                 check = fps[at : at + PACK][:, (np.arange(tables) * bits // 64 + words // 2) % words].astype(np.uint32)
-                check = np.repeat(check.ravel(), len(flips))
+                check = np.repeat(check.ravel(), n_variants)
                 variants = variants.ravel()
                 bucket = _dealt(variants + np.uint64(1), buckets)
                 rank = np.argsort(bucket, kind="stable")
                 edges = np.searchsorted(bucket[rank], np.arange(buckets + 1))
                 full = np.flatnonzero(np.diff(edges))
                 blocks = [rank[edges[b] : edges[b + 1]] for b in full]
-                label = np.repeat(labels[at : at + PACK], tables * len(flips)) if second else None
-                yield pa.RecordBatch.from_arrays([pa.array(part_keys[full % parts]), pa.array(full), pa.array([_planes(variants[x]) for x in blocks], pa.binary()), pa.array([_planes(np.diff(own[x], prepend=0)) for x in blocks], pa.binary()), pa.array([check[x].tobytes() for x in blocks], pa.binary()), pa.array([_planes(label[x]) if second else b"" for x in blocks], pa.binary())], ["part", "bucket", "variants", "nodes", "checks", "labels"])
+                behind = np.repeat(ids[at : at + PACK] - labels[at : at + PACK], tables * n_variants)  # mostly zero
+                yield pa.RecordBatch.from_arrays([pa.array(part_keys[full % parts]), pa.array(full), pa.array([_planes(variants[x]) for x in blocks], pa.binary()), pa.array([_planes(np.diff(own[x], prepend=0)) for x in blocks], pa.binary()), pa.array([check[x].tobytes() for x in blocks], pa.binary()), pa.array([_planes(behind[x]) for x in blocks], pa.binary())], ["part", "bucket", "variants", "nodes", "checks", "labels"])
 
     def unjoined(starts: np.ndarray, size: np.ndarray, nodes_of: np.ndarray, checks: np.ndarray, labels_of: np.ndarray) -> Iterator[np.ndarray]:
         """Every pair of each group that differs in its labels."""
@@ -355,19 +358,19 @@ def table_pairs(nodes: DataFrame, similarity: float = NEAR, words: int = WORDS,
             same = variants[1:] == variants[:-1]
             shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])  # most variants are alone
             variants, order = variants[shared], order[shared]
-            nodes_of = np.concatenate([np.cumsum(_unplaned(i)) for _, i, _, _ in blocks])[order]
-            checks = np.frombuffer(b"".join(c for _, _, c, _ in blocks), np.uint32)[order]
             if not len(variants):
                 continue
-            labels_of = np.concatenate([_unplaned(x) for _, _, _, x in blocks])[order] if second else nodes_of
+            nodes_of = np.concatenate([np.cumsum(_unplaned(i)) for _, i, _, _ in blocks])[order]
+            checks = np.frombuffer(b"".join(c for _, _, c, _ in blocks), np.uint32)[order]
+            labels_of = nodes_of - np.concatenate([_unplaned(x) for _, _, _, x in blocks])[order]
             order = np.lexsort((nodes_of, variants))
-            labels_of = labels_of[order]
-            variants, nodes_of, checks = variants[order], nodes_of[order], checks[order]
+            variants, nodes_of, checks, labels_of = variants[order], nodes_of[order], checks[order], labels_of[order]
             first = np.concatenate([[True], variants[1:] != variants[:-1]])
-            size = np.diff(np.append(np.flatnonzero(first), len(variants)))
-            if second:
+            starts = np.flatnonzero(first)
+            size = np.diff(np.append(starts, len(variants)))
+            if whole:
                 found, n = [], 0
-                for some in unjoined(np.flatnonzero(first), size, nodes_of, checks, labels_of):
+                for some in unjoined(starts, size, nodes_of, checks, labels_of):
                     found.append(some)
                     n += some.shape[1]
                     if n > 1 << 20:
@@ -378,7 +381,8 @@ def table_pairs(nodes: DataFrame, similarity: float = NEAR, words: int = WORDS,
                     pairs = np.unique(np.concatenate(found, axis=1), axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
                 continue
-            crowd = np.unique(nodes_of[np.repeat(size > CROWDED, size)])
+            apart = np.minimum.reduceat(labels_of, starts) != np.maximum.reduceat(labels_of, starts)
+            crowd = np.unique(nodes_of[np.repeat(apart & (size > CROWDED), size)])
             yield pa.RecordBatch.from_arrays([pa.array(crowd), pa.nulls(len(crowd), pa.int64())], ["a", "b"])
             small = np.repeat(size <= 8, size)
             every = np.arange(len(variants))
@@ -388,12 +392,11 @@ def table_pairs(nodes: DataFrame, similarity: float = NEAR, words: int = WORDS,
                 left.append(near - step)
                 right.append(near)
             left, right = np.concatenate(left), np.concatenate(right)
-            good = _ones(checks[left] ^ checks[right]) <= check_limit
-            a, b = nodes_of[left[good]], nodes_of[right[good]]
-            pairs = np.unique(np.stack([a, b])[:, a < b], axis=1)
+            good = (_ones(checks[left] ^ checks[right]) <= check_limit) & (labels_of[left] != labels_of[right])
+            pairs = np.unique(np.stack([nodes_of[left[good]], nodes_of[right[good]]]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
-    blocks = nodes.select("node", "fp", *["label"] * second).repartition(parts, "node").mapInArrow(emit, "part int, bucket bigint, variants binary, nodes binary, checks binary, labels binary")
+    blocks = nodes.select("node", "fp", "label").repartition(parts, "node").mapInArrow(emit, "part int, bucket bigint, variants binary, nodes binary, checks binary, labels binary")
     return blocks.repartition(parts, "part").sortWithinPartitions("bucket").mapInArrow(meet, "a bigint, b bigint").distinct()
 
 
@@ -438,17 +441,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = NEAR,
     own = written(set_fingerprints(docs, shingle, words, id_col, text_col), "fingerprints")
     sets = own.where(F.col(id_col).isNotNull()).groupBy("shingles").agg(F.first("fp").alias("fp"), F.min(id_col).alias("first_id"))
     nodes = written(sets.orderBy("first_id", "shingles").withColumn("node", F.monotonically_increasing_id()), "nodes")
-    linked = lambda pairs: _links(pairs, nodes, docs, shingle, similarity, words, id_col, text_col)
-    met = written(table_pairs(nodes, similarity, words), "met")
-    links = written(linked(met.where("b is not null")), "links")
+    linked = lambda pairs: written(_links(pairs, nodes, docs, shingle, similarity, words, id_col, text_col), "links")
+
+    def labelled(some: DataFrame, label: DataFrame) -> DataFrame:
+        joined = label.withColumnRenamed("node", "_node")
+        return written(some.join(joined, F.col("node") == F.col("_node"), "left").select("node", "fp", F.coalesce("label", "node").alias("label")), "labelled")
+
+    # equal keys first: they join most of a group of near copies, whose other meetings then need no look
+    links = linked(written(table_pairs(nodes.withColumn("label", F.col("node")), similarity, words, flips=False), "met", BATCH).where("b is not null"))
+    met = written(table_pairs(labelled(nodes, connected_components(links)), similarity, words), "met", BATCH)
+    links = links.unionByName(linked(met.where("b is not null")))
     label = connected_components(links)
     crowd = met.where("b is null").select(F.col("a").alias("_crowd"))
-    if not crowd.isEmpty():  # most of a group is joined by now: what is left of crowded variants are pairs of different labels
-        joined = label.withColumnRenamed("node", "_node")
-        others = nodes.join(crowd, F.col("node") == F.col("_crowd"), "left_semi").join(joined, F.col("node") == F.col("_node"), "left")
-        others = written(others.select("node", "fp", F.coalesce("label", "node").alias("label")), "crowded")
-        rest = written(table_pairs(others, similarity, words), "met")
-        label = connected_components(links.unionByName(linked(rest)))
+    if not crowd.isEmpty():  # what is left of crowded variants are pairs of different labels
+        others = labelled(nodes.join(crowd, F.col("node") == F.col("_crowd"), "left_semi"), label)
+        label = connected_components(links.unionByName(linked(written(table_pairs(others, similarity, words, whole=True), "met", BATCH))))
     named = nodes.join(label.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("shingles", F.coalesce("label", "node").alias("_label"))
     heads = nodes.select(F.col("node").alias("_head"), F.col("first_id").alias("group_id"))
     of_set = written(named.join(heads, F.col("_label") == F.col("_head")).select(F.col("shingles").alias("_shingles"), "group_id"), "groups")

@@ -60,7 +60,9 @@ def test_quality_figures_by_brute_force():
         assert quality.text_figures(text) == brute(text)
 
 
-def test_quality_rules_remove_frequent_lines(spark):
+@pytest.mark.parametrize("held", [quality.HELD_LINES, 0])
+def test_quality_rules_remove_frequent_lines(spark, held, monkeypatch):
+    monkeypatch.setattr(quality, "HELD_LINES", held)
     own = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(130)]
     shared = " ".join(f"s{i}" for i in range(200))
     rows = [(k, f"{shared}\n{own[k]}", "h") for k in range(120)] + [(k, own[k], "h") for k in range(120, 130)] + [(200, f"{shared}\n{own[0]}", "other"), (300, None, "h"), (None, own[1], None), (301, own[120], "h"), (301, own[120], "h")]
@@ -73,7 +75,9 @@ def test_quality_rules_remove_frequent_lines(spark):
     assert quality.quality_rules(docs.limit(0)).count() == 0
 
 
-def test_kept_documents_lose_frequent_lines(spark):
+@pytest.mark.parametrize("held", [quality.HELD_LINES, 0])
+def test_kept_documents_lose_frequent_lines(spark, held, monkeypatch):
+    monkeypatch.setattr(quality, "HELD_LINES", held)
     own = [[" ".join(f"w{k}x{i}é{j}" for i in range(30)) for j in range(2)] for k in range(120)]
     text = lambda k, said: f"{own[k][0]}\n\n{said}\n{own[k][1]}\n{said}"
     rows = [(k, text(k, "Subscribe  to\tOUR letter" if k % 2 else "subscribe to our letter "), "h", "c", 1) for k in range(120)]
