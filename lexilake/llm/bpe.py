@@ -1,17 +1,19 @@
 """BPE encoding and decoding by a tokenization automaton.
 
-The merges are compiled, in order of rank, into a deterministic automaton whose
-arcs are tokens. It starts as one state with an arc for each base symbol. The
-gadget of a merge ``(a, b) -> c`` takes away the path ``a b`` and adds the arc
-``c`` wherever that path was: ``c`` can follow what ``a`` could follow, and can
-be followed by what could follow ``b``. The state reached is always the last
-arc's token, so the automaton is a relation "token y may follow token x". Written
-out it would have the square of the vocabulary's size; an arc is therefore worked
-out when it is first asked for, from the gadgets of its two ends, and kept.
-
-A word has exactly one path through the automaton, and its labels are its
-encoding; so has each prefix of it, so a walk over the table of arcs that gives up each
-dead end once finds it in time proportional to the word. Decoding emits the labels of the arcs.
+The merges are compiled, in order of rank, into gadgets. The gadget of a merge
+``(a, b) -> c`` takes away the path ``a b`` and adds the arc ``c`` wherever that
+path was: ``c`` can follow what ``a`` could follow, and can be followed by what
+could follow ``b``. So a word has exactly one path of arcs, and so has each prefix
+of it: its encoding.
+
+Over bytes this is a deterministic automaton. Its state after a prefix is the
+longest end of the prefix that begins some token, and the last token of each prefix
+that stops inside that end or at its start; with the next byte exactly one token
+ends there that may follow the last token before it, by the gadgets. Written out
+whole the automaton would have more states than any corpus visits, so a
+transition goes into the table when it is first taken. A word then costs one lookup
+a byte, and its arcs are read off backwards from its last state. Decoding emits the
+labels of the arcs.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ ASCII_WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0
 #: Words whose encoding a worker keeps; beyond it the table starts anew.
 CACHED_WORDS = 250_000
 CACHED_CHARS = 200
-#: Pairs of tokens of which a worker keeps whether one may follow the other.
-CACHED_ARCS = 500_000
+#: States whose transitions a worker keeps; beyond it the table starts anew.
+CACHED_STATES = 100_000
 ALIVE = 1 << 30
 
 
@@ -46,13 +48,19 @@ def byte_symbols() -> dict[str, int]:
 
 
 def load_vocabulary(path: str) -> dict:
-    """Read a tokenizer file on the driver into plain, small tables to ship."""
-    with open(path, encoding="utf-8") as f:
-        said = json.load(f)
+    """Read a tokenizer file on the driver into plain, small tables to ship. Any but a plain byte-level BPE is refused."""
+    with open(path, "rb") as f:
+        raw = f.read()
+    said = json.loads(raw)
+    split, model = said.get("pre_tokenizer") or {}, said["model"]
+    known = said.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    if not known or model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        raise ValueError(f"{path} is not a plain byte-level vocabulary, the only kind that is read")
     symbols, vocab = byte_symbols(), said["model"]["vocab"]
     labels: dict[int, bytes] = {i: bytes(symbols[c] for c in t) for t, i in vocab.items()}
     merges = [m.split(" ") if isinstance(m, str) else m for m in said["model"]["merges"]]
     return {
+        "digest": hashlib.sha256(raw).hexdigest(),
         "labels": labels,
         "merges": [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges],
         "special": {t["content"]: t["id"] for t in said.get("added_tokens", [])},
@@ -72,6 +80,23 @@ class Words(dict):
         return path
 
 
+class State(dict):
+    """A row of the transition table: byte to state. What is asked for the first time is worked out.
+
+    ``end`` is the longest end of what was read that begins some token, ``arcs`` the
+    last tokens before it and at each place inside it, the last of them ``arc``.
+    """
+
+    __slots__ = ("automaton", "end", "arcs", "arc")
+
+    def __init__(self, automaton: "Automaton", end: bytes, arcs: tuple[int, ...]):
+        self.automaton, self.end, self.arcs, self.arc = automaton, end, arcs, arcs[-1]
+
+    def __missing__(self, byte: int) -> "State":
+        to = self[byte] = self.automaton.transition(self, byte)
+        return to
+
+
 class Automaton:
     def __init__(self, tables: dict):
         labels = tables["labels"]
@@ -81,7 +106,6 @@ class Automaton:
         self.parts: dict[int, tuple[int, int]] = {}
         self.born: dict[int, int] = {i: -1 for i in labels}
         self.gone: dict[tuple[int, int], int] = {}
-        self._arcs: dict[int, bool] = {}
         live = {i for i, b in labels.items() if len(b) == 1}
         for rank, (a, b, c) in enumerate(tables["merges"]):
             self.gone.setdefault((a, b), rank)
@@ -91,8 +115,9 @@ class Automaton:
             if a in live and b in live and self._path(a, b, rank):
                 live.add(c)
         self.arc_of = {labels[i]: i for i in live}
+        self.begins = {t[:k] for t in self.arc_of for k in range(len(t))}
         self.sizes = {i: len(b) for i, b in labels.items()}
-        self.longest = max(map(len, self.arc_of), default=1)
+        self._clear()
         self.words = Words(self.walk)
         self.ascii_split = re.compile(ASCII_WORDS).findall
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -111,45 +136,42 @@ class Automaton:
             else:  # the state behind x copied the arcs out of its right part, before their removal
                 x, rank = self.parts[x][1], bx
 
-    def follows(self, x: int, y: int) -> bool:
-        if len(self._arcs) > CACHED_ARCS:
-            self._arcs.clear()
-        known = self._arcs[x << 32 | y] = self._path(x, y, ALIVE)
-        return known
+    def _clear(self) -> None:
+        self.start = State(self, b"", (-1,))
+        self.states = {(b"", (-1,)): self.start}
+
+    def transition(self, state: State, byte: int) -> State:
+        """The state behind a byte: the one token that ends there and may follow the last token before it."""
+        grown, arcs, arc_of = state.end + bytes((byte,)), state.arcs, self.arc_of
+        for skip in range(len(grown)):
+            arc = arc_of.get(grown[skip:])
+            if arc is not None and (arcs[skip] < 0 or self._path(arcs[skip], arc, ALIVE)):
+                break
+        else:
+            raise ValueError("no path spells the word: the vocabulary lacks a byte of it")
+        skip = 0
+        while grown[skip:] not in self.begins:
+            skip += 1
+        known = grown[skip:], (*arcs[skip:], arc)
+        to = self.states.get(known)
+        if to is None:
+            to = self.states[known] = State(self, *known)
+        return to
 
     def walk(self, word: bytes) -> tuple[int, ...]:
         """The labels of the one path that spells the word."""
-        n, arc_of, longest = len(word), self.arc_of, self.longest
-        if n <= longest and (whole := arc_of.get(word)) is not None:
-            return (whole,)
-        # A prefix has one encoding, so an end from which no path goes on is given up for good.
-        known, follows, sizes = self._arcs, self.follows, self.sizes
-        path, ends, dead = [], [0], bytearray(n + 1)
-        start, size, before = 0, min(n, longest), -1
-        while start < n:
-            while size:
-                arc = arc_of.get(word[start : start + size])
-                if arc is not None and not dead[start + size]:
-                    if before < 0:
-                        break
-                    open_ = known.get(before << 32 | arc)
-                    if open_ is None:
-                        open_ = follows(before, arc)
-                    if open_:
-                        break
-                size -= 1
-            if size:
-                path.append(arc)
-                start += size
-                ends.append(start)
-                before, size = arc, min(n - start, longest)
-            elif path:
-                dead[start] = 1
-                size = sizes[path.pop()] - 1
-                ends.pop()
-                start, before = ends[-1], path[-1] if path else -1
-            else:
-                raise ValueError("no path spells the word: the vocabulary lacks a byte of it")
+        if len(self.states) > CACHED_STATES:
+            self._clear()
+        state, passed, sizes = self.start, [], self.sizes
+        for byte in word:
+            state = state[byte]
+            passed.append(state)
+        path, n = [], len(word)
+        while n:
+            arc = passed[n - 1].arc
+            path.append(arc)
+            n -= sizes[arc]
+        path.reverse()
         return tuple(path)
 
     def encode(self, text: str) -> list[int]:
@@ -175,10 +197,10 @@ _made: dict[str, Automaton] = {}
 
 def _automaton(shipped) -> Automaton:
     """One automaton for each worker process and vocabulary."""
-    key = str(shipped.id) if hasattr(shipped, "id") else str(id(shipped))
-    if key not in _made:
+    tables = shipped.value
+    if (key := tables["digest"]) not in _made:
         _made.clear()
-        _made[key] = Automaton(shipped.value)
+        _made[key] = Automaton(tables)
     return _made[key]
 
 

@@ -6,9 +6,12 @@ Magic inside a payload makes false candidates, even whole false records; the fil
 start settles it. Chains are first followed inside each range, which leaves one
 exit per candidate; pointer jumping from the file start over these exits finds
 where the true chain enters each range, in as many rounds as the logarithm of a
-file's ranges. Only records on that chain are kept.
+file's ranges. Only records on that chain are kept. A chain must end where its file
+does: files where it does not (a truncated record, a header that cannot be read) are
+counted and reported, never passed over.
 
-Both ways use Spark's readers and writers alone, so archives can be in any store
+Versions 1.0 and 1.1 are read, header fields of any name, folded or not, headers of
+any length, and gzipped files. Both ways use Spark's readers and writers alone, so archives can be in any store
 that Spark reaches.
 """
 
@@ -27,12 +30,12 @@ from pyspark.sql import functions as F
 
 from lexilake.llm.common import fresh_path, written
 
-MAGIC = b"WARC/1.1\r\n"
+#: What files are split at, and what follows it in the versions that are read.
+MAGIC, VERSIONS = b"WARC/1.", (b"0\r\n", b"1\r\n")
 GAP = len(MAGIC)
-#: Longest header block that is looked at.
-MAX_HEADER = 1 << 20
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-_field = re.compile(rb"^([A-Za-z0-9-]+):[ \t]*(.*?)[ \t]*$")
+_field = re.compile(rb"^([^\s:]+)[ \t]*:[ \t]*(.*?)[ \t]*$", re.S)
+_fold = re.compile(rb"\r\n[ \t]+")
 CANDIDATE = (
     "file string, block bigint, rel bigint, next bigint, exit bigint, body bigint, size bigint, complete boolean, total bigint,"
     " record_type string, page_id bigint, refers_to bigint, declared_bytes bigint, declared_digest string, digest string, uri string"
@@ -50,8 +53,8 @@ def base32_sha1(data: Column) -> Column:
     return F.concat(*out)
 
 
-def write_pages(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
-    """Write one record per row as WARC files under ``path``.
+def write_pages(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", compression: str = "none") -> None:
+    """Write one record per row as WARC files under ``path`` (``compression``: none or gzip).
 
     Of rows with equal payloads of at least ``min_bytes`` bytes the one with the
     largest id is a response and the others are revisits that refer to it; rows that
@@ -70,7 +73,8 @@ def write_pages(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str = "
     safe = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     number = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("none:"), F.col("digest")))
     head = F.concat(
-        F.lit(MAGIC.decode()),
+        F.lit("WARC/1.1\r\n"),
+        line("WARC-Date", F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), number, F.lit(">"))),
         F.when(revisit, line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("top").cast("string"), F.lit(">")))).otherwise(""),
@@ -83,7 +87,7 @@ def write_pages(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str = "
         F.lit("\r\n"),
     )
     # a record ends with two line ends: the separator of Spark's text writer
-    marked.select(F.concat(head, F.when(revisit, "").otherwise(F.col("payload"))).alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
+    marked.select(F.concat(head, F.when(revisit, "").otherwise(F.col("payload"))).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -109,20 +113,27 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, bytes
         yield *at, b"".join(parts), starts
 
 
-def _header(data: bytes, start: int) -> tuple[int, dict[bytes, bytes]] | None:
-    """Where the body begins and the fields, if a well-formed header is there."""
-    end = data.find(b"\r\n\r\n", start, start + MAX_HEADER)
-    if end < 0:
-        return None
-    fields = {}
-    for row in data[start:end].split(b"\r\n"):
-        m = _field.match(row)
-        if not m:
-            return None
-        fields[m[1].lower()] = m[2]
-    if not fields.get(b"content-length", b"").isdigit() or b"warc-type" not in fields:
-        return None
-    return end + 4, fields
+def _headers(data: bytes, starts: list[int]) -> Iterator[tuple[int, int, dict[bytes, bytes]]]:
+    """start, where the body begins, and the fields (names in lower case) of each well-formed header, last first.
+
+    Starts before one and the same blank line share what follows the last of them,
+    so every byte is parsed once; the last field of a name counts.
+    """
+    end, known, fields = len(data), len(data), {}
+    for start in reversed(starts):
+        if data[start : start + 3] not in VERSIONS:
+            continue
+        blank = data.find(b"\r\n\r\n", start, min(end + 4, len(data)))
+        if blank < 0:
+            continue
+        if blank != end:
+            end, known, fields = blank, blank, {}
+        for row in reversed(_fold.sub(b" ", data[start + 3 : known]).split(b"\r\n")):
+            if m := _field.match(row):
+                fields.setdefault(m[1].lower(), m[2])
+        known = start
+        if fields.get(b"content-length", b"").isdigit() and b"warc-type" in fields:
+            yield start, end + 4, dict(fields)
 
 
 def _page(value: bytes | None) -> int | None:
@@ -135,10 +146,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([(n, {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_()}[x.split()[1]]) for n, x in zip(names, CANDIDATE.split(","))])
     for file, block, data, starts in _blocks(batches):
         found, view = {}, memoryview(data)
-        for k, start in enumerate(starts):
-            if (block == 0 and k == 0) or (parsed := _header(data, start)) is None:
-                continue
-            body, fields = parsed
+        for start, body, fields in _headers(data, starts[1:] if block == 0 else starts):  # what the file begins with is behind no magic
             size = int(fields[b"content-length"])
             found[start] = {
                 "file": file, "block": block, "rel": start, "next": body + size + 4 + GAP, "body": body, "size": size, "complete": body + size <= len(data) - GAP,
@@ -183,12 +191,25 @@ def _follow(rows: pd.DataFrame) -> pd.DataFrame:
     return rows[rows["pos"].isin(keep)]
 
 
-def verified_records(spark: SparkSession, path: str) -> DataFrame:
+class BrokenArchive(ValueError):
+    """Files whose chain of records does not end where they do."""
+
+
+def broken_chains(known: DataFrame, kept: DataFrame) -> DataFrame:
+    """file, file_bytes and ends_at (null: no record) of each file whose chain does not end at its end."""
+    sizes = known.where("rel = -1").groupBy("file").agg((F.sum("total") - GAP).alias("file_bytes"))
+    ends = kept.groupBy("file").agg((F.max("next") - GAP).alias("ends_at"))
+    return sizes.join(ends, "file", "left").where(~F.col("file_bytes").eqNullSafe(F.col("ends_at")) & (F.col("file_bytes") > 0))
+
+
+def verified_records(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """The records of the archives under ``path`` that the chain from each file's start reaches.
 
     file, offset, block, rel, body, size (of the block), complete, record_type,
     page_id, refers_to, uri, declared_bytes, declared_digest, digest (of the bytes
-    read). A file that does not start with the magic has none.
+    read). A file that does not start with the magic has none. If the chain of a
+    file ends anywhere but at its end, ``BrokenArchive`` is raised with the number of
+    such files; without ``strict`` the whole records before the break are returned.
     """
     # without this, files gone since an earlier read of the same folder would be looked for
     found = written(_pieces(spark, path).mapInArrow(_candidates, CANDIDATE), "candidates")
@@ -199,13 +220,19 @@ def verified_records(spark: SparkSession, path: str) -> DataFrame:
     entries = _entries(known).withColumn("_entry", F.lit(True))
     marked = known.join(entries, ["file", "pos"], "left").withColumn("entry", F.coalesce("_entry", F.lit(False))).drop("_entry")
     kept = marked.groupBy("file", "block").applyInPandas(_follow, marked.schema)
-    kept = written(kept.withColumn("offset", F.col("pos") - GAP).drop("next", "exit", "entry"), "records")
+    kept = written(kept.withColumn("offset", F.col("pos") - GAP).drop("exit", "entry"), "records")
+    if strict and (broken := broken_chains(found, kept).limit(5).collect()):
+        n = broken_chains(found, kept).count() if len(broken) == 5 else len(broken)
+        raise BrokenArchive(f"{n} files, among them " + "; ".join(f"{r['file']} ({r['file_bytes']} bytes, chain ends at {r['ends_at']})" for r in broken))
+    kept = kept.drop("next")
     if kept.where("NOT complete").isEmpty():
         return kept
     # a payload with magic in it can run over the end of a range: put its parts together
-    parts = _spanning(spark, path, kept.where("NOT complete"), base)
+    sizes = found.where("rel = -1").groupBy("file").agg((F.sum("total") - GAP).alias("file_bytes"))
+    split = kept.where("NOT complete").join(sizes, "file").where(F.col("base") + F.col("body") + F.col("size") <= F.col("file_bytes")).drop("file_bytes")
+    parts = _spanning(spark, path, split, base)
     digests = parts.groupBy("file", "pos").applyInPandas(_whole, "file string, pos bigint, payload binary").select(F.col("file").alias("f"), F.col("pos").alias("p"), "payload")
-    late = kept.where("NOT complete").join(digests, (F.col("file") == F.col("f")) & (F.col("pos") == F.col("p"))).where(F.octet_length("payload") == F.col("size"))
+    late = split.join(digests, (F.col("file") == F.col("f")) & (F.col("pos") == F.col("p"))).where(F.octet_length("payload") == F.col("size"))
 
     names = kept.columns
 
@@ -253,11 +280,10 @@ def payloads(spark: SparkSession, path: str, records: DataFrame) -> DataFrame:
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("rel", pa.int64()), ("payload", pa.binary())])
         for file, block, data, starts in _blocks(batches):
-            for k, start in enumerate(starts):
-                if (block or k) and (parsed := _header(data, start)) is not None:
-                    body, size = parsed[0], int(parsed[1][b"content-length"])
-                    if body + size <= len(data) - GAP:
-                        yield pa.RecordBatch.from_pylist([{"file": file, "block": block, "rel": start, "payload": data[body : body + size]}], schema=schema)
+            for start, body, fields in _headers(data, starts[1:] if block == 0 else starts):
+                size = int(fields[b"content-length"])
+                if body + size <= len(data) - GAP:
+                    yield pa.RecordBatch.from_pylist([{"file": file, "block": block, "rel": start, "payload": data[body : body + size]}], schema=schema)
 
     held = _pieces(spark, path).mapInArrow(bodies, "file string, block bigint, rel bigint, payload binary")
     own = held.join(records.where("complete").select("file", "block", "rel", "offset"), ["file", "block", "rel"]).select("file", "offset", "payload")

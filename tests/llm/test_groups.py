@@ -217,6 +217,25 @@ def test_archives_by_brute_force(spark, split):
     assert warc.archived_pages(pages.limit(0)).count() == 0
 
 
+def test_archives_of_others(spark, tmp_path):
+    def record(k, version=b"1.1", extra=b"", body=b"hello"):
+        return b"WARC/" + version + b"\r\nWARC-Type: response\r\n" + extra + b"WARC-Record-ID: <urn:page:%d>\r\nContent-Length: %d\r\n\r\n" % (k, len(body)) + body + b"\r\n\r\n"
+
+    whole = [record(1), record(2, extra=b"X_Custom: v\r\n"), record(3, b"1.0", b"X-Folded: a\r\n\tb\r\n"), record(4, extra=b"WARC-Target-URI: " + b"u" * 2_000_000 + b"\r\n"), record(5, body=record(9) + b"WARC/1.1\r\n" * 3000), record(6, body=b"")]
+    for name, data in (("ok", whole), ("cut", [*whole[:5], whole[0][:-9]]), ("odd", [whole[0], b"what is this", whole[1]])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc").write_bytes(b"".join(data))
+    ids = lambda df: sorted(r["page_id"] for r in df.collect())
+    assert ids(warc.verified_records(spark, str(tmp_path / "ok"))) == [1, 2, 3, 4, 5, 6]
+    for name, left in (("cut", [1, 2, 3, 4, 5]), ("odd", [1])):
+        with pytest.raises(warc.BrokenArchive, match="^1 files"):
+            warc.verified_records(spark, str(tmp_path / name))
+        assert ids(warc.verified_records(spark, str(tmp_path / name), strict=False)) == left
+    pages = spark.createDataFrame([(1, None, "x"), (2, "u", "WARC/1.1\r\n")], "page_id bigint, url string, html string")
+    warc.write_pages(pages, str(tmp_path / "zipped"), compression="gzip")
+    assert ids(warc.verified_records(spark, str(tmp_path / "zipped"))) == [1, 2]
+
+
 def turns_digest(rows):
     by = collections.defaultdict(list)
     for c, t, r, x in rows:
