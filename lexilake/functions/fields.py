@@ -62,12 +62,16 @@ def byte_cut(text: Column, most: int) -> Column:
 
 
 def enrichment_ok(said: Column, kind: Column) -> Column:
-    """Whether a model's JSON keeps the schema: summary, 3 to 5 bullets, 3 to 8 tags, topic, confidence; repositories need two fields more."""
-    own = F.from_json(T.unfenced(said), "tldr string, bullets array<string>, tags array<string>, topic string, confidence double, language string, license string")
+    """Whether a model's JSON keeps the schema: tldr of 1 to 600 characters, 3 to 5 bullets of 1 to 400, 3 to 8 tags of 1 to 40, topic of 1 to 80, confidence 0 to 1.
+
+    Repositories also say what they do and what they are used for, in 1 to 300 characters each.
+    """
+    own = F.from_json(T.unfenced(said), "tldr string, bullets array<string>, tags array<string>, topic string, confidence double, kindFields struct<what_it_does:string,primary_use_case:string>")
+    sized = lambda c, most: F.coalesce(T.utf16_length(c).between(1, most), F.lit(False))
     ok = (
-        F.length(own["tldr"]).between(1, 600) & F.size(own["bullets"]).between(3, 5) & F.size(own["tags"]).between(3, 8)
-        & (F.length(own["topic"]) <= 80) & own["confidence"].between(0, 1)
-        & ((kind != "github") | (own["language"].isNotNull() & own["license"].isNotNull()))
+        sized(own["tldr"], 600) & F.size(own["bullets"]).between(3, 5) & F.forall(own["bullets"], lambda x: sized(x, 400))
+        & F.size(own["tags"]).between(3, 8) & F.forall(own["tags"], lambda x: sized(x, 40)) & sized(own["topic"], 80) & own["confidence"].between(0, 1)
+        & ((kind != "github") | (sized(own["kindFields"]["what_it_does"], 300) & sized(own["kindFields"]["primary_use_case"], 300)))
     )
     return F.coalesce(ok, F.lit(False))
 

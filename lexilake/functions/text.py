@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 CHARS_PER_TOKEN = 4
 CONTENT_CAP = 20_000
+#: Fixed value: what stands for the middle that is left out.
 MARKER = "\n\n[... content truncated to fit the model’s context window ...]\n\n"
 MAX_QUERY_TOKENS = 24
 #: Letters with marks and what the keyword index folds them to, as the oracle does.
@@ -57,10 +58,22 @@ def query_tokens(text: Column, most: int = MAX_QUERY_TOKENS) -> Column:
     return F.slice(F.array_distinct(index_tokens(text)), 1, most)
 
 
+def utf16_left(text: Column, most: Column) -> Column:
+    """The first ``most`` UTF-16 units; half of a character beyond the basic plane is left out."""
+    doubled = F.left(F.regexp_replace(text, r"([\x{10000}-\x{10FFFF}])", "$1\uffff"), most)
+    return F.when(utf16_length(text) == F.length(text), F.left(text, most)).otherwise(F.replace(F.regexp_replace(doubled, r"[\x{10000}-\x{10FFFF}]$", ""), F.lit("\uffff"), F.lit("")))
+
+
+def utf16_right(text: Column, most: Column) -> Column:
+    """The last ``most`` UTF-16 units; half of a character beyond the basic plane is left out."""
+    doubled = F.right(F.regexp_replace(text, r"([\x{10000}-\x{10FFFF}])", "$1\uffff"), most)
+    return F.when(utf16_length(text) == F.length(text), F.right(text, most)).otherwise(F.replace(doubled, F.lit("\uffff"), F.lit("")))
+
+
 def capped(text: Column, most: int = CONTENT_CAP) -> Column:
     """Trimmed, and cut with a note of its length if longer than ``most``."""
     own = js_trim(text)
-    note = F.concat(F.left(own, F.lit(most)), F.lit("\n\n[truncated — original was "), utf16_length(own).cast("string"), F.lit(" characters]"))
+    note = F.concat(utf16_left(own, F.lit(most)), F.lit("\n\n[truncated — original was "), utf16_length(own).cast("string"), F.lit(" characters]"))
     return F.when(utf16_length(own) <= most, own).otherwise(note)
 
 
@@ -70,7 +83,7 @@ def head_and_tail(text: Column, tokens: int, head_ratio: float = 0.7) -> Column:
     keep = max(0, budget - len(MARKER))
     head = int(keep * head_ratio)
     tail = keep - head
-    cut = F.concat(F.left(text, F.lit(head)), F.lit(MARKER), F.right(text, F.lit(tail)) if tail else F.lit(""))
+    cut = F.concat(utf16_left(text, F.lit(head)), F.lit(MARKER), utf16_right(text, F.lit(tail)) if tail else F.lit(""))
     return F.when(utf16_length(text) <= budget, text).otherwise(cut)
 
 

@@ -37,6 +37,15 @@ def duration(ms: Column) -> Column:
 
 
 def compact(n: Column) -> Column:
-    """1.2K, 3.4M."""
-    unit = lambda v, u: F.concat(F.regexp_replace(F.round(v, 1).cast("string"), r"\.0$", ""), F.lit(u))
-    return F.when(n >= 1_000_000, unit(n / 1_000_000, "M")).when(n >= 1000, unit(n / 1000, "K")).otherwise(n.cast("string"))
+    """1.2K, 3.4M, 5B, 6.7T: one decimal, and the next unit where rounding reaches it."""
+    out = n.cast("string")
+    for power, unit in ((3, "K"), (6, "M"), (9, "B"), (12, "T")):
+        short = F.round(n.cast("decimal(38,6)") / 10**power, 1)
+        out = F.when(n.cast("decimal(38,6)") >= 10**power - (0 if power == 3 else 5 * 10 ** (power - 5)), F.concat(F.regexp_replace(short.cast("string"), r"\.0+$|(\.[1-9])0+$", "$1"), F.lit(unit))).otherwise(out)
+    return out
+
+
+def day_bound(value: Column, end: bool) -> Column:
+    """Epoch time of the first or last millisecond of a ``yyyy-mm-dd`` day; null for anything else."""
+    day = F.try_to_date(F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}$"), value), "yyyy-MM-dd")
+    return F.unix_millis(day.cast("timestamp")) + (DAY_MS - 1 if end else 0)

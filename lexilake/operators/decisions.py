@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from lexilake.functions import urls as U
 
 UNKNOWN_CONTEXT = 8192
-#: Extraction errors that a retry may cure.
-RETRYABLE = ("timeout", "network", "rate_limited", "server_error")
+#: Extraction errors that a retry may cure, and those that it may not.
+RETRYABLE = ("rate_limited", "blocked", "network_error")
+PERMANENT = ("unsupported_url", "not_found", "invalid_pdf")
 STAGES = ("resolve", "extract", "enrich", "embed", "relate", "index")
 
 

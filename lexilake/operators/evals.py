@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexilake.functions import text as T
+from lexilake.functions import vectors as V
 
 
 def context_precision(ranked: DataFrame, group: str = "query_id") -> DataFrame:
@@ -17,9 +18,11 @@ def context_precision(ranked: DataFrame, group: str = "query_id") -> DataFrame:
 
 
 def recall(ranked: DataFrame, relevant: DataFrame, group: str = "query_id") -> DataFrame:
-    """Share of the relevant (``group``, item_id) that was found; a group without any is not in ``relevant``."""
+    """Share of the relevant (``group``, item_id) that was found, for each group of either; 1 for a group without any relevant."""
     found = relevant.join(ranked.select(group, "item_id").distinct().withColumn("hit", F.lit(1)), [group, "item_id"], "left")
-    return found.groupBy(group).agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count("*")).alias("recall"))
+    shares = found.groupBy(group).agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count("*")).alias("recall"))
+    every = ranked.select(group).unionByName(relevant.select(group)).distinct()
+    return every.join(shares, group, "left").select(group, F.coalesce("recall", F.lit(1.0)).alias("recall"))
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -47,5 +50,10 @@ def mention_coverage(text: Column, wanted: Column) -> Column:
     return F.when(F.size(wanted) == 0, 1.0).otherwise(there / F.size(wanted))
 
 
+def answer_relevancy(query: Column, answer: Column) -> Column:
+    """Cosine similarity of two vectors, held within 0 and 1."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), V.cosine_similarity(query, answer)))
+
+
 def faithfulness(has_marker: Column, valid: Column, grounded: Column, coverage: Column) -> Column:
     return (has_marker.cast("double") + valid.cast("double") + F.coalesce(grounded, F.lit(0.0)) + coverage) / 4

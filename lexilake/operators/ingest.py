@@ -88,7 +88,7 @@ def chunked(items: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = [
-                (i, u, k, f'From "{t}" ({PHRASES.get(kind, "a saved item")}):\n\n{w}')
+                (i, u, k, f'From "{t or ""}" ({PHRASES.get(kind, "a saved item")}):\n\n{w}')
                 for i, u, t, kind, c in zip(rows["item_id"], rows["user_id"], rows["title"], rows["kind"], rows["content"])
                 for k, w in enumerate(windows_of(c or ""))
             ]

@@ -105,6 +105,38 @@ def counts_by(items: DataFrame, column: str) -> DataFrame:
     return items.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
 
 
+def grouped_in_order(items: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:
+    """Non-empty groups of a fixed list in its order: value, pos, n. Values off the list are no group."""
+    return zero_filled(counts_by(items, column), values).where("n > 0").select("value", F.col("pos").cast("bigint").alias("pos"), "n")
+
+
+def free_slugs(wanted: DataFrame, taken: DataFrame) -> DataFrame:
+    """A slug of its own for each new name: id, slug, free.
+
+    ``wanted``: id, slug; ``taken``: slug, the ones that are there. The first of a
+    slug, by id, gets it if it is free, the others ``slug-2``, ``slug-3`` and so on,
+    without those that are there or wanted by themselves. Each slug is numbered by itself, so nothing but
+    the names that clash meets in one task.
+    """
+    base = F.regexp_extract("slug", r"^(.*?)(?:-(\d{1,9}))?$", 1)
+    number = F.regexp_extract("slug", r"^(.*?)(?:-(\d{1,9}))?$", 2)
+    w = W.partitionBy("slug").orderBy("id")
+    nth = wanted.select("id", "slug", F.row_number().over(w).alias("nth"))
+    own = taken.select(F.col("slug").alias("base"), F.lit(1).alias("k"))
+    suffixed = taken.unionByName(wanted.select("slug")).where(number.rlike("^[1-9]")).select(base.alias("base"), number.cast("int").alias("k")).where("k > 1")
+    used = own.unionByName(suffixed).groupBy("base").agg(F.array_sort(F.collect_set("k")).alias("used"))
+    met = nth.join(used, F.col("slug") == F.col("base"), "left")
+    # the nth free number: step over each used one that is not beyond it
+    k = F.aggregate(F.coalesce("used", F.array().cast("array<int>")), F.col("nth"), lambda at, u: F.when(u <= at, at + 1).otherwise(at))
+    return met.select("id", "slug", F.when(k == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", k.cast("string"))).alias("free"))
+
+
+def tags_added(item_tags: DataFrame, chosen: DataFrame, labels: list[str]) -> DataFrame:
+    """The tags of the chosen items (item_id) with the labels added, each once: item_id, label."""
+    more = chosen.select("item_id", F.explode(F.array(*[F.lit(x) for x in labels])).alias("label"))
+    return item_tags.join(chosen.select("item_id"), "item_id", "left_semi").select("item_id", "label").unionByName(more).distinct()
+
+
 def zero_filled(counts: DataFrame, values: tuple[str, ...]) -> DataFrame:
     """Every value of a fixed list, at 0 where it has no rows."""
     dim = counts.sparkSession.createDataFrame([(v, k) for k, v in enumerate(values)], "value string, pos int")

@@ -24,7 +24,7 @@ BUDGET, CEILING = 1500, 1.25
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = D.items(spark, sf_dir).select("user_id", "item_id", "title", "kind", T.estimated_tokens(F.left("content", F.lit(2000))).alias("tokens"))
+    items = D.items(spark, sf_dir).select("user_id", "item_id", "title", "kind", T.estimated_tokens(F.col("content")).alias("tokens"))
     ranked = items.withColumn("rank", F.pmod(F.col("item_id") * 7919, F.lit(10007)))
     return ranked.withColumn("query_id", F.col("user_id") * 100 + F.col("item_id") % 37)
 
@@ -46,7 +46,7 @@ def rag_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = R.within_budget(_candidates(spark, sf_dir), BUDGET).where("included").join(D.items(spark, sf_dir).select("item_id", "content"), "item_id")
-    block = R.context_block(F.col("source"), F.col("title"), F.col("kind"), F.left("content", F.lit(200)))
+    block = R.context_block(F.col("source"), F.col("title"), F.col("kind"), F.col("content"))
     return own.select("query_id", "item_id", F.sha2(block, 256).alias("block"))
 
 
@@ -101,13 +101,14 @@ def eval_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 def eval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = D.queries(spark, sf_dir)
     docs = D.items(spark, sf_dir).select("item_id", "content")
-    met = docs.join(pages, F.col("item_id") % 40 == F.col("query_id"))
+    many = pages.select((F.max("query_id") + 1).alias("many"))  # one row
+    met = docs.crossJoin(F.broadcast(many)).join(pages, F.col("item_id") % F.col("many") == F.col("query_id"))
     return met.select("item_id", "query_id", F.round(E.overlap(F.col("query"), F.col("content")), 6).alias("overlap"))
 
 
 def eval_faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _answers(spark, sf_dir)
-    sources = own.select("answer_id", F.lit(2).alias("n"), F.left("text", F.lit(200)).alias("body"))
+    sources = own.select("answer_id", F.lit(2).alias("n"), F.col("text").alias("body"))
     grounded = E.grounded_share(own, sources)
     out = own.join(grounded, "answer_id", "left")
     score = E.faithfulness(F.size(T.citations(F.col("text"))) > 0, T.citations_valid(F.col("text"), F.lit(3)), F.col("grounded"), E.mention_coverage(F.col("text"), F.array(F.lit("the"), F.lit("de"))))
@@ -152,8 +153,8 @@ def fixed_window_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = X.folded(_jobs(spark, sf_dir), "user_id", ["ms"], lambda s, ms: X.token_bucket(s, ms, 2.0, 1.0 / 1440), "allowed boolean, tokens double")
-    return out.select("event_id", "user_id", "allowed", F.round("tokens", 6).alias("tokens"))
+    out = X.folded(_jobs(spark, sf_dir), "user_id", ["ms"], lambda s, ms: X.token_bucket(s, ms, 2.0, 1.0 / 1440), "at bigint, tokens double")
+    return out.select("event_id", "user_id", "at", F.round("tokens", 6).alias("tokens"))
 
 
 def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,21 +199,40 @@ def number_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("item_id", TM.compact(F.col("n")).alias("n"), F.date_format(F.timestamp_millis("created_at"), "MMM d, yyyy").alias("day"))
 
 
-QUERIES = {f.__name__: f for f in (context_budget, rag_candidates, context_blocks, groundedness, citations_validate, refusal_flag, answer_decisions, history_last_n, cache_keys, eval_precision_recall, eval_overlap, eval_faithfulness, queue_health, backoff_schedule, eta_estimate, daily_budget_single_lane, daily_budget_lanes, fixed_window_limiter, token_bucket, job_states, domain_spacing, backfill_ticks, failover_results, stream_daily_counts, llm_calls_by_model, json_props_sum, number_formats)}
+def answer_relevancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector against the one with the next id."""
+    own = D.raw(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    ahead = own.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("answer"))
+    return own.join(ahead, "vec_id").select("vec_id", F.round(E.answer_relevancy(F.col("embedding"), F.col("answer")), 5).alias("relevancy"))
+
+
+def day_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.when(F.col("event_id") % 5 == 0, F.lit("2024-02-30")).when(F.col("event_id") % 5 == 1, F.lit("24-1-1")).otherwise(F.date_format(F.timestamp_millis("ms"), "yyyy-MM-dd"))
+    return _jobs(spark, sf_dir).select("event_id", TM.day_bound(said, False).alias("starts"), TM.day_bound(said, True).alias("ends"))
+
+
+QUERIES = {f.__name__: f for f in (answer_relevancy, day_bounds, context_budget, rag_candidates, context_blocks, groundedness, citations_validate, refusal_flag, answer_decisions, history_last_n, cache_keys, eval_precision_recall, eval_overlap, eval_faithfulness, queue_health, backoff_schedule, eta_estimate, daily_budget_single_lane, daily_budget_lanes, fixed_window_limiter, token_bucket, job_states, domain_spacing, backfill_ticks, failover_results, stream_daily_counts, llm_calls_by_model, json_props_sum, number_formats)}
 
 _I = with_views("items", sql="")[:-1]
 _EV = "WITH event_log AS (SELECT *, epoch_us(ts) // 1000 AS ms FROM events)"
-_CAND = f"""{_I}, cand AS (SELECT user_id * 100 + item_id % 37 AS query_id, item_id, title, kind, content, CAST(ceil(length(left(content, 2000)) / 4.0) AS BIGINT) AS tokens, item_id * 7919 % 10007 AS rank FROM items),
+_CAND = f"""{_I}, cand AS (SELECT user_id * 100 + item_id % 37 AS query_id, item_id, title, kind, content, CAST(ceil(length(content) / 4.0) AS BIGINT) AS tokens, item_id * 7919 % 10007 AS rank FROM items),
 bud AS (SELECT *, CAST(sum(tokens) OVER w AS BIGINT) AS used, row_number() OVER w AS rn FROM cand WINDOW w AS (PARTITION BY query_id ORDER BY rank)),
 inc AS (SELECT *, rn = 1 AND used > {BUDGET} AS clipped, used <= {BUDGET} OR rn = 1 AS included FROM bud)"""
 _L2 = "sqrt(list_sum(list_transform(list_zip(embedding, q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
 _ANS = "ans AS (SELECT conv_id * 100 + turn AS answer_id, text || ' [' || turn % 4 || '][2]' AS text, conv_id FROM conversations WHERE role = 'assistant')"
 _TOK = f"list_distinct(regexp_extract_all(translate(lower({{0}}), '{T.MARKED}', '{T.PLAIN}'), '[\\p{{{{L}}}}\\p{{{{N}}}}]+'))"
 
+_DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: z[1] * z[2]))"
+_UNIT = "CASE WHEN n >= {0} - {1} THEN regexp_replace(CAST(round(n / {0}::DECIMAL(38, 6), 1) AS DECIMAL(38, 1))::VARCHAR, '[.]0$', '') || '{2}'"
+
 ORACLE = {
+    "answer_relevancy": f"WITH p AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) SELECT vec_id, round(greatest(0, least(1, {_DOT.format('x', 'y')} / (sqrt({_DOT.format('x', 'x')}) * sqrt({_DOT.format('y', 'y')})))), 5) AS relevancy FROM p",
+    "day_bounds": f"{_EV} SELECT event_id, CASE WHEN event_id % 5 > 1 THEN ms // 86400000 * 86400000 END AS starts, CASE WHEN event_id % 5 > 1 THEN ms // 86400000 * 86400000 + 86399999 END AS ends FROM event_log",
+    "number_formats": f"""{_I}, a AS (SELECT item_id, CAST(floor(power(1.9::DOUBLE, item_id % 30)) AS BIGINT) AS n, created_at FROM items)
+SELECT item_id, {_UNIT.format(10**9, 50000, 'B')} ELSE {_UNIT.format(10**6, 50, 'M')} ELSE {_UNIT.format(1000, 0, 'K')} ELSE n::VARCHAR END END END AS n, strftime(make_timestamp(created_at * 1000), '%b %-d, %Y') AS day FROM a""",
     "context_budget": f"{_CAND} SELECT query_id, item_id, used, included, clipped, CASE WHEN included THEN rn END AS source FROM inc",
     "rag_candidates": f"WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 1), c AS ({D.SQL_VIEWS['chunk_vectors']}), n AS (SELECT item_id, min({_L2}) AS d FROM c, q WHERE user_id = 3 GROUP BY item_id ORDER BY d, item_id LIMIT 6) SELECT item_id, chunk_id, round(d, 6) AS distance FROM c JOIN n USING (item_id) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY chunk_id) <= 2",
-    "context_blocks": f"{_CAND} SELECT query_id, item_id, sha256('Source [' || rn || ']: \"' || title || '\" (' || kind || ')' || chr(10) || '<untrusted_content>' || chr(10) || left(content, 200) || chr(10) || '</untrusted_content>') AS block FROM inc WHERE included",
+    "context_blocks": f"{_CAND} SELECT query_id, item_id, sha256('Source [' || rn || ']: \"' || title || '\" (' || kind || ')' || chr(10) || '<untrusted_content>' || chr(10) || content || chr(10) || '</untrusted_content>') AS block FROM inc WHERE included",
     "groundedness": f"SELECT vec_id, label > 0 AND (vec_id % 3 - 1 > 0 OR coalesce(CASE WHEN vec_id % 5 > 0 THEN 1.0 + label / 10.0 END <= {CEILING}, false)) AS grounded FROM embeddings",
     "citations_validate": f"WITH {_ANS}, c AS (SELECT *, CASE WHEN regexp_extract(text, '\\[(\\d)\\]\\[2\\]$', 1) = '2' THEN [2] ELSE [CAST(regexp_extract(text, '\\[(\\d)\\]\\[2\\]$', 1) AS INT), 2] END AS n FROM ans) SELECT answer_id, array_to_string(n, ',') AS cited, CASE WHEN conv_id % 4 = 0 THEN true ELSE len(list_filter(n, lambda x: x < 1 OR x > conv_id % 4)) = 0 END AS valid FROM c",
     "refusal_flag": "SELECT conv_id, turn, conv_id % 7 <> 5 AS refusal FROM conversations",
@@ -225,7 +245,7 @@ p AS (SELECT *, sum(CAST(relevant AS INT)) OVER (PARTITION BY query_id ORDER BY
 a AS (SELECT query_id, coalesce(avg(p) FILTER (relevant), 0) AS precision, count(*) FILTER (relevant) AS found FROM p GROUP BY 1),
 t AS (SELECT query_id, count(*) AS total FROM l WHERE relevant GROUP BY 1)
 SELECT query_id, round(precision, 6) AS precision, round(found / total, 6) AS recall FROM a JOIN t USING (query_id)""",
-    "eval_overlap": f"SELECT doc_id AS item_id, item_id AS query_id, round(len(list_intersect({_TOK.format('b.text').replace('{{', '{').replace('}}', '}')}, {_TOK.format('d.text').replace('{{', '{').replace('}}', '}')})) / len({_TOK.format('b.text').replace('{{', '{').replace('}}', '}')}), 6) AS overlap FROM documents d JOIN benchmark b ON doc_id % 40 = item_id",
+    "eval_overlap": f"SELECT doc_id AS item_id, item_id AS query_id, round(len(list_intersect({_TOK.format('b.text').replace('{{', '{').replace('}}', '}')}, {_TOK.format('d.text').replace('{{', '{').replace('}}', '}')})) / len({_TOK.format('b.text').replace('{{', '{').replace('}}', '}')}), 6) AS overlap FROM documents d JOIN benchmark b ON doc_id % (SELECT max(item_id) + 1 FROM benchmark) = item_id",
     "queue_health": f"{_EV} SELECT count(*) AS pending, min(ms) AS oldest, coalesce(greatest(0, {D.EPOCH + 40 * 86_400_000} - min(ms)), 0) AS age_ms FROM event_log WHERE event_type = 'signup'",
     "backoff_schedule": "SELECT event_id, CAST(least(900000, 1000 * power(2, greatest(0, event_id % 13 - 1))) AS BIGINT) AS wait_ms FROM events",
     "eta_estimate": f"""{_EV}, a AS (SELECT event_id, event_id % 4000 AS items, floor((event_id % 700) / 1.05) AS today, event_id % 9 * 100 AS daily, (ms // 86400000 + 1) * 86400000 - ms AS wait FROM event_log),

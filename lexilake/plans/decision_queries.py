@@ -45,8 +45,9 @@ def byte_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def enrichment_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("item_id")
-    listed = lambda k: F.array_join(F.transform(F.sequence(F.lit(1), (n % k + 1).cast("int")), lambda i: F.concat(F.lit('"a'), i.cast("string"), F.lit('"'))), ",")
-    said = F.concat(F.lit('{"tldr":"t","bullets":['), listed(6), F.lit('],"tags":['), listed(10), F.lit('],"topic":"x","confidence":'), (n % 12 / 10).cast("string"), F.when(n % 2 == 0, ',"language":"c","license":"mit"').otherwise(""), F.lit("}"))
+    listed = lambda k, size: F.array_join(F.transform(F.sequence(F.lit(1), (n % k + 1).cast("int")), lambda i: F.concat(F.lit('"'), F.repeat(F.lit("a"), size.cast("int")), F.lit('"'))), ",")
+    more = F.when(n % 2 == 0, F.concat(F.lit(',"kindFields":{"what_it_does":"'), F.repeat(F.lit("w"), (n % 5 * 100).cast("int")), F.lit('","primary_use_case":"u"}'))).otherwise("")
+    said = F.concat(F.lit('{"tldr":"t","bullets":['), listed(6, n % 7 * 80), F.lit('],"tags":['), listed(10, n % 11 * 5), F.lit('],"topic":"'), F.repeat(F.lit("x"), (n % 13 * 8).cast("int")), F.lit('","confidence":'), (n % 12 / 10).cast("string"), more, F.lit("}"))
     return D.items(spark, sf_dir).select("item_id", P.enrichment_ok(said, F.col("kind")).alias("ok"))
 
 
@@ -74,7 +75,8 @@ def retry_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retryable_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = F.element_at(F.array(*[F.lit(c) for c in ("timeout", "not_found", "server_error")]), (F.col("event_id") % 3 + 1).cast("int"))
+    codes = ("unsupported_url", "not_found", "rate_limited", "blocked", "invalid_pdf", "network_error")
+    code = F.element_at(F.array(*[F.lit(c) for c in codes]), (F.col("event_id") % 6 + 1).cast("int"))
     return D.events(spark, sf_dir).select(code.alias("code")).groupBy("code").agg(F.max(X.may_retry(F.col("code"))).alias("retry"), F.count("*").alias("n"))
 
 
@@ -102,8 +104,8 @@ def shortened_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def thread_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = D.events(spark, sf_dir).select(F.concat((F.col("event_id") % 500).cast("string"), F.lit("00000000000000000000")).alias("post_id"))
-    return X.posts_in_order(own).limit(25)
+    own = D.events(spark, sf_dir).select(F.concat(F.floor(F.col("event_id") / 2).cast("string"), F.lit("00000000000000000000")).alias("post_id"))
+    return X.posts_in_order(own)
 
 
 def index_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,15 +132,15 @@ ORACLE = {
     "wire_ids": f"{_I} SELECT item_id, 'itm_' || CASE WHEN item_id % 3 = 0 THEN '0' ELSE '' END || item_id AS wire, CASE WHEN item_id % 3 > 0 THEN item_id END AS parsed FROM items",
     "kind_fields": "SELECT event_id, event_id AS stars, CAST(props ->> '$.k' AS BIGINT) AS k FROM events",
     "byte_cuts": f"{_I} SELECT item_id, true AS fits, true AS is_head, true AS longest FROM items",
-    "enrichment_validity": f"{_I} SELECT item_id, item_id % 6 + 1 BETWEEN 3 AND 5 AND item_id % 10 + 1 BETWEEN 3 AND 8 AND item_id % 12 <= 10 AND (kind <> 'github' OR item_id % 2 = 0) AS ok FROM items",
+    "enrichment_validity": f"{_I} SELECT item_id, item_id % 6 + 1 BETWEEN 3 AND 5 AND item_id % 7 * 80 BETWEEN 1 AND 400 AND item_id % 10 + 1 BETWEEN 3 AND 8 AND item_id % 11 * 5 BETWEEN 1 AND 40 AND item_id % 13 * 8 BETWEEN 1 AND 80 AND item_id % 12 <= 10 AND (kind <> 'github' OR item_id % 2 = 0 AND item_id % 5 * 100 BETWEEN 1 AND 300) AS ok FROM items",
     "validate_then_repair": "WITH a AS (SELECT event_id // 3 AS call_id, event_id % 3 AS attempt, event_id * 31 % 4 = 0 AS ok FROM events), b AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY attempt) AS rn FROM a QUALIFY rn <= 2) SELECT call_id, CASE min(rn) FILTER (ok) WHEN 1 THEN 'valid' WHEN 2 THEN 'repaired' ELSE 'failed' END AS outcome FROM b GROUP BY 1",
     "longest_contexts": "SELECT s_nationkey AS chain, CAST(max(CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey * 100 ELSE 8192 END) AS BIGINT) AS context FROM supplier GROUP BY 1",
     "model_routing": f"{_I} SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'tool_call' WHEN 1 THEN 'response_format' ELSE 'prompt_repair' END AS strategy, CASE WHEN length(content) + 500 <= 3000 THEN 'primary' ELSE 'fallback' END AS model FROM items",
     "retry_outcomes": f"{_I} SELECT item_id, (['resolve', 'extract', 'enrich', 'nothing'])[item_id % 4 + 1] AS stage, CASE item_id % 4 WHEN 0 THEN 'not allowed' WHEN 3 THEN 'unknown stage' ELSE CASE WHEN item_id % 10 = 0 THEN 'conflict' ELSE 'started' END END AS outcome FROM items WHERE status = 'failed'",
-    "retryable_errors": "SELECT (['timeout', 'not_found', 'server_error'])[event_id % 3 + 1] AS code, max(event_id % 3 <> 1) AS retry, count(*) AS n FROM events GROUP BY 1",
+    "retryable_errors": "WITH codes(k, code, retry) AS (VALUES (0, 'unsupported_url', false), (1, 'not_found', false), (2, 'rate_limited', true), (3, 'blocked', true), (4, 'invalid_pdf', false), (5, 'network_error', true)) SELECT code, any_value(retry) AS retry, count(*) AS n FROM events JOIN codes ON event_id % 6 = k GROUP BY 1",
     "conversation_resolution": "SELECT conv_id AS request_id, CASE WHEN conv_id % 2 = 0 AND conv_id % 3 = conv_id % 5 THEN conv_id END AS conv_id, CASE WHEN conv_id % 2 = 0 AND conv_id % 3 = conv_id % 5 THEN length('t' || conv_id) ELSE least(120, length(trim(text))) END AS title_chars, NOT (conv_id % 2 = 0 AND conv_id % 3 = conv_id % 5) AS is_new FROM conversations WHERE turn = 0",
     "board_drops": f"{_I}, {_TR}, bc(col, status) AS (VALUES {', '.join(map(str, BOARD))}) SELECT DISTINCT status AS from_status, col FROM items JOIN bc USING (status) UNION SELECT f, col FROM tr JOIN bc ON t = status",
     "bulk_settled": f"{_I} SELECT user_id, count(*) FILTER (item_id % 7 > 0) AS succeeded, count(*) FILTER (item_id % 7 = 0) AS failed, min(item_id) FILTER (item_id % 7 = 0) AS first_failed FROM items GROUP BY 1",
     "shortened_links": "SELECT page_id, CASE WHEN page_id % 6 = 0 THEN 'https://to.org/' || page_id WHEN page_id % 3 = 0 THEN 'https://bit.ly/' || page_id ELSE url END AS resolved FROM pages",
-    "thread_posts": "SELECT DISTINCT (event_id % 500) || '00000000000000000000' AS post_id FROM events ORDER BY CAST((event_id % 500) || '00000000000000000000' AS DECIMAL(38, 0)) LIMIT 25",
+    "thread_posts": "SELECT DISTINCT (event_id // 2) || '00000000000000000000' AS post_id FROM events ORDER BY CAST(post_id AS DECIMAL(38, 0))",
 }

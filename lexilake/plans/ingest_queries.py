@@ -66,9 +66,10 @@ def page_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages with a link in them, as the tables have none."""
-    said = D.chat_messages(spark, sf_dir).select("conv_id", "turn", F.left("text", F.lit(30)).alias("said"))
+    said = D.chat_messages(spark, sf_dir).select("conv_id", "turn", F.col("text").alias("said"))
     pages = D.raw(spark, sf_dir, "pages").select("page_id", "url")
-    met = said.join(pages, (F.col("conv_id") * 3 + F.col("turn")) % 250 == F.col("page_id"))
+    many = pages.select((F.max("page_id") + 1).alias("many"))  # one row
+    met = said.crossJoin(F.broadcast(many)).join(pages, (F.col("conv_id") * 3 + F.col("turn")) % F.col("many") == F.col("page_id"))
     return met.select("conv_id", "turn", "said", "url", F.concat("said", F.lit(" (see "), "url", F.lit("). or www.example.org/a!")).alias("text"))
 
 
@@ -122,7 +123,7 @@ def stream_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chat_export_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations written as chat exports and parsed again, with continuation lines and bad headers."""
     stamp = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 86400 + F.col("turn") * 60), "dd/MM/yyyy, HH:mm")
-    line = F.when(F.col("turn") % 5 == 4, F.concat(F.lit("45/45/2024, 10:00 - x: "), F.left("text", F.lit(20)))).otherwise(F.concat(stamp, F.lit(" - "), "role", F.lit(": "), "text"))
+    line = F.when(F.col("turn") % 5 == 4, F.concat(F.lit("45/45/2024, 10:00 - x: "), F.col("text"))).otherwise(F.concat(stamp, F.lit(" - "), "role", F.lit(": "), "text"))
     files = D.chat_messages(spark, sf_dir).groupBy(F.col("conv_id").cast("string").alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
     messages, _ = G.chat_parsed(G.chat_lines(files))
     return messages.groupBy("file").agg(F.count("*").alias("messages"), F.sum(F.length("text")).alias("chars"), F.min("ms").alias("first_ms"))
@@ -157,7 +158,7 @@ res AS (SELECT id, url, ok, host AS host0, path AS path0, CASE WHEN NOT ok THEN
   WHEN al = 'github.com' AND repo <> '' THEN 'https://github.com/' || regexp_extract(path, '^/+([^/]+)/+([^/]+)', 1) || '/' || regexp_replace(repo, '\\.git$', '') ELSE scheme || '://' || al || regexp_replace(path, '/$', '') || {_q("kp")} END AS canonical FROM r)"""
 _IMP = f"CASE WHEN NOT ok THEN lower(trim(url)) WHEN path <> '/' AND ends_with(whole, '/') THEN left(whole, length(whole) - 1) ELSE whole END"
 _I = with_views("items", sql="")
-_MSG = "m AS (SELECT conv_id, turn, left(text, 30) AS said, url FROM conversations JOIN pages ON (conv_id * 3 + turn) % 250 = page_id)"
+_MSG = "m AS (SELECT conv_id, turn, text AS said, url FROM conversations JOIN pages ON (conv_id * 3 + turn) % (SELECT max(page_id) + 1 FROM pages) = page_id)"
 _on = lambda h, names: "(" + " OR ".join(f"{h} = '{n}' OR ends_with({h}, '.{n}')" for n in names) + ")"
 _SOCIAL = [f"{w}{h}" for h in ("instagram.com", "x.com", "twitter.com", "threads.net", "tiktok.com", "reddit.com") for w in ("", "www.")]
 _IMPORT_KIND = f"CASE WHEN NOT ok THEN 'other' WHEN {_on('host', ('github.com',))} THEN 'github' WHEN {_on('host', ('youtube.com', 'youtu.be', 'vimeo.com', 'tiktok.com'))} THEN 'video' WHEN {_on('host', ('twitter.com', 'x.com', 'instagram.com', 'threads.net', 'facebook.com', 'linkedin.com', 'reddit.com'))} THEN 'social' WHEN {_on('host', ('arxiv.org',))} OR ends_with(lower(path), '.pdf') THEN 'pdf' ELSE 'article' END"

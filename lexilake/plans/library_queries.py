@@ -85,7 +85,7 @@ def primary_topic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tags_by_item(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.item_tags(spark, sf_dir).groupBy("item_id").agg(F.listagg("label", F.lit(",")).alias("tags"), F.count("*").alias("n")).select("item_id", F.array_join(F.array_sort(F.split("tags", ",")), ",").alias("tags"), "n")
+    return D.item_tags(spark, sf_dir).groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_list("label")), ",").alias("tags"), F.count("*").alias("n"))
 
 
 def items_fts_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,8 +116,25 @@ def library_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kind_counts_zero_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = D.items(spark, sf_dir).where("item_id % 2 = 0 and kind <> 'video' and kind <> 'pdf'")
-    return L.zero_filled(L.counts_by(few, "kind"), D.KINDS).select("value", "n")
+    return L.zero_filled(L.counts_by(D.items(spark, sf_dir), "kind"), D.KINDS).select("value", "n")
+
+
+def group_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.grouped_in_order(D.items(spark, sf_dir), "kind", D.KINDS)
+
+
+def group_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.grouped_in_order(D.items(spark, sf_dir), "status", D.STATUSES)
+
+
+def slugs_freed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = D.items(spark, sf_dir).select(F.col("item_id").alias("id"), F.concat(F.lit("t"), F.floor(F.col("item_id") / 3).cast("string")).alias("slug"))
+    taken = wanted.where("id % 6 = 0").select("slug").unionByName(wanted.where("id % 9 = 0").select(F.concat("slug", F.lit("-3")).alias("slug")))
+    return L.free_slugs(wanted, taken)
+
+
+def bulk_tag_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.tags_added(D.item_tags(spark, sf_dir), D.items(spark, sf_dir).where("status = 'inbox'"), ["to read", "new"])
 
 
 def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,7 +240,7 @@ def star_nation_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idle.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count("*").alias("idle"), F.round(F.avg("c_acctbal"), 4).alias("balance"))
 
 
-QUERIES = {f.__name__: f for f in (items_filtered, items_tag_exists, items_any_topic, items_primary_topic_filter, items_summary, items_newest, items_oldest, items_recently_opened, items_keyset_page, items_most_related, primary_topic_list, primary_topic_search, tags_by_item, items_fts_source, stats_by_kind, stats_by_status, stats_by_tier, stats_topics, library_counts, kind_counts_zero_fill, facets, group_by_topic, group_by_date_bucket, board_column_sort, board_ranks, relation_edges, relations_of_item, pending_pairs, labeled_pairs_store, status_transitions, common_transitions, tag_set_changes, patch_items, topics_found_or_created, chat_cache_latest, data_quality, star_keyset, star_group_stats, star_nation_customers)}
+QUERIES = {f.__name__: f for f in (group_by_kind, group_by_status, slugs_freed, bulk_tag_union, items_filtered, items_tag_exists, items_any_topic, items_primary_topic_filter, items_summary, items_newest, items_oldest, items_recently_opened, items_keyset_page, items_most_related, primary_topic_list, primary_topic_search, tags_by_item, items_fts_source, stats_by_kind, stats_by_status, stats_by_tier, stats_topics, library_counts, kind_counts_zero_fill, facets, group_by_topic, group_by_date_bucket, board_column_sort, board_ranks, relation_edges, relations_of_item, pending_pairs, labeled_pairs_store, status_transitions, common_transitions, tag_set_changes, patch_items, topics_found_or_created, chat_cache_latest, data_quality, star_keyset, star_group_stats, star_nation_customers)}
 
 _I = with_views("items", sql="")
 _IT = with_views("items", "topics", "item_topics", "item_tags", sql="")[:-1]
@@ -254,6 +271,15 @@ ORACLE = {
     "items_most_related": f"{_EDGES} SELECT item_id, (SELECT count(*) FROM edges WHERE item_a = item_id OR item_b = item_id) AS sort_value FROM items WHERE user_id = {USER} ORDER BY 2 DESC, 1 DESC LIMIT 21",
     "primary_topic_list": f"{_IT}{_PT.format('DESC')} SELECT item_id, topic_id, slug, confidence FROM pt",
     "primary_topic_search": f"{_IT}{_PT.format('ASC')} SELECT item_id, topic_id, slug, confidence FROM pt",
+    "group_by_kind": f"{_I}, k AS (SELECT unnest({list(D.KINDS)}) AS value, unnest(range({len(D.KINDS)})) AS pos) SELECT value, pos, count(*) AS n FROM items JOIN k ON kind = value GROUP BY 1, 2",
+    "group_by_status": f"{_I}, k AS (SELECT unnest({list(D.STATUSES)}) AS value, unnest(range({len(D.STATUSES)})) AS pos) SELECT value, pos, count(*) AS n FROM items JOIN k ON status = value GROUP BY 1, 2",
+    "slugs_freed": """WITH w AS (SELECT doc_id AS id, 't' || doc_id // 3 AS slug FROM documents),
+taken AS (SELECT slug FROM w WHERE id % 6 = 0 UNION SELECT slug || '-3' FROM w WHERE id % 9 = 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY id) AS nth FROM w),
+c AS (SELECT slug, k, CASE WHEN k = 1 THEN slug ELSE slug || '-' || k END AS made FROM (SELECT DISTINCT slug FROM w), range(1, 8) r(k)),
+f AS (SELECT slug, made, row_number() OVER (PARTITION BY slug ORDER BY k) AS nth FROM c WHERE made NOT IN (SELECT slug FROM taken))
+SELECT id, n.slug AS slug, made AS free FROM n JOIN f ON n.slug = f.slug AND n.nth = f.nth""",
+    "bulk_tag_union": f"{_IT}, chosen AS (SELECT doc_id AS item_id FROM documents WHERE doc_id % {len(D.STATUSES)} = {D.STATUSES.index('inbox')}) SELECT item_id, label FROM item_tags WHERE item_id IN (SELECT item_id FROM chosen) UNION SELECT item_id, unnest(['to read', 'new']) FROM chosen",
     "tags_by_item": f"{_IT} SELECT item_id, string_agg(label, ',' ORDER BY label) AS tags, count(*) AS n FROM item_tags GROUP BY item_id",
     "items_fts_source": f"{_IT} SELECT item_id, title, (SELECT string_agg(label, ' ' ORDER BY label) FROM item_tags t WHERE t.item_id = i.item_id) AS tags, length(content) AS content_chars FROM items i",
     "stats_by_kind": f"{_I} SELECT kind AS value, count(*) AS n FROM items GROUP BY 1",
@@ -261,7 +287,7 @@ ORACLE = {
     "stats_by_tier": f"{_I} SELECT extraction_tier AS value, count(*) AS n FROM items GROUP BY 1",
     "stats_topics": f"{_IT}{_PT.format('DESC')} SELECT label AS value, count(*) AS n FROM pt GROUP BY 1",
     "library_counts": f"{_IT} SELECT 'items' AS name, count(*) AS n FROM items UNION ALL SELECT 'item_tags', count(*) FROM item_tags UNION ALL SELECT 'item_topics', count(*) FROM item_topics UNION ALL SELECT 'chunks', count(*) FROM embeddings",
-    "kind_counts_zero_fill": f"{_I} SELECT k AS value, (SELECT count(*) FROM items WHERE item_id % 2 = 0 AND kind = k AND k NOT IN ('video', 'pdf')) AS n FROM (SELECT unnest({list(D.KINDS)}) AS k)",
+    "kind_counts_zero_fill": f"{_I} SELECT k AS value, (SELECT count(*) FROM items WHERE kind = k) AS n FROM (SELECT unnest({list(D.KINDS)}) AS k)",
     "facets": f"{_IT}{_PT.format('DESC')}, pg AS (SELECT item_id FROM items ORDER BY created_at DESC, item_id DESC LIMIT 100) SELECT 'topic' AS facet, slug AS value, min(label) AS label FROM pt WHERE item_id IN (FROM pg) GROUP BY slug UNION ALL SELECT DISTINCT 'tag', label, label FROM item_tags WHERE item_id IN (FROM pg)",
     "group_by_topic": f"{_IT}{_PT.format('DESC')} SELECT coalesce(label, 'No topic') AS label, slug IS NULL AS last, count(*) AS n FROM items LEFT JOIN pt USING (item_id) WHERE user_id = {USER} GROUP BY 1, 2",
     "group_by_date_bucket": f"""{_I}, d AS (SELECT date_diff('day', {_DAY}, {_TODAY}) AS diff, date_diff('month', {_DAY}, {_TODAY}) AS m, {_DAY} AS own FROM items)

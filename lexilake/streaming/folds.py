@@ -4,7 +4,7 @@ Each fold is one Python function over the ordered events of a key and its state.
 Batch queries run it per key with ``applyInPandas``, streams with
 ``applyInPandasWithState``, so both decide alike. A key whose state must see every
 event in order cannot be split; keys are users, domains or days, and a key's
-events pass through in Arrow batches.
+events are one frame of its task.
 """
 
 from __future__ import annotations
@@ -26,13 +26,18 @@ def fixed_window(state: tuple | None, ms: int, limit: int, window_ms: int) -> tu
     return (count, end), ((False, max(1, math.ceil((end - ms) / 1000))) if count > limit else (True, 0))
 
 
-def token_bucket(state: tuple | None, ms: int, capacity: float, per_minute: float) -> tuple[tuple, tuple[bool, float]]:
-    """Tokens refill with time up to the capacity; an event takes one if there is one. State: tokens, time."""
+def token_bucket(state: tuple | None, ms: int, capacity: float, per_minute: float) -> tuple[tuple, tuple[int, float]]:
+    """Events queue up and none is refused: each proceeds when its turn has come and there is a token. State: tokens, time of the last.
+
+    Said of each event: when it proceeds, and the tokens left then. Waits are whole milliseconds.
+    """
     tokens, last = state or (capacity, ms)
-    tokens = min(capacity, tokens + max(0, ms - last) * per_minute / 60_000)
-    ok = tokens >= 1
-    tokens -= ok
-    return (tokens, max(ms, last)), (ok, tokens)
+    at, rate = max(ms, last), per_minute / 60_000
+    tokens = min(capacity, tokens + (at - last) * rate)
+    while tokens < 1:
+        wait = max(1, math.ceil((1 - tokens) / rate))
+        at, tokens = at + wait, min(capacity, tokens + wait * rate)
+    return (tokens - 1, at), (at, tokens - 1)
 
 
 def budget_lane(state: tuple | None, ms: int, lane: str, cap: int, reserve: int) -> tuple[tuple, tuple[bool, int]]:

@@ -1,9 +1,15 @@
+import json
+
 import io
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from lexilake.functions import fields as P
+from lexilake.functions import text as T
+from lexilake.functions import times as TM
+from lexilake.operators import decisions as X
 from lexilake.operators import evals as E
 from lexilake.operators import ingest as G
 from lexilake.operators import library as L
@@ -90,7 +96,36 @@ def test_precision_and_recall_by_hand(spark):
     got = {r["query_id"]: r["precision"] for r in E.context_precision(ranked).collect()}
     assert got == {1: pytest.approx((1 + 2 / 3) / 2), 2: 0.0}
     relevant = spark.createDataFrame([(1, 10), (1, 12), (1, 99)], "query_id int, item_id int")
-    assert E.recall(ranked, relevant).head()["recall"] == pytest.approx(2 / 3)
+    assert {r["query_id"]: r["recall"] for r in E.recall(ranked, relevant).collect()} == {1: pytest.approx(2 / 3), 2: 1.0}
+
+
+def test_free_slugs_by_hand(spark):
+    wanted = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "a-2"), (5, "b"), (6, "c-1")], "id int, slug string")
+    taken = spark.createDataFrame([("b",), ("b-3",), ("a-3",)], "slug string")
+    assert {r["id"]: r["free"] for r in L.free_slugs(wanted, taken).collect()} == {1: "a", 2: "a-4", 3: "a-5", 4: "a-2", 5: "b-2", 6: "c-1"}
+    assert L.free_slugs(wanted, taken.limit(0)).where("id = 5").head()["free"] == "b"
+
+
+def test_retry_codes_and_enrichment_by_hand(spark):
+    codes = {"rate_limited": True, "blocked": True, "network_error": True, "unsupported_url": False, "not_found": False, "invalid_pdf": False}
+    asked = spark.createDataFrame([(c,) for c in codes], "code string")
+    assert {r["code"]: r["ok"] for r in asked.select("code", X.may_retry(F.col("code")).alias("ok")).collect()} == codes
+    fine = {"tldr": "t", "bullets": ["a", "b", "c"], "tags": ["x", "y", "z"], "topic": "q", "confidence": 0.5}
+    repo = {"kindFields": {"what_it_does": "w", "primary_use_case": "u"}}
+    cases = [
+        (fine, "article", True), (fine, "github", False), (fine | repo, "github", True), (fine | {"language": "c", "license": "mit"}, "github", False), (fine | {"bullets": ["a", "", "c"]}, "article", False),
+        (fine | {"bullets": ["a", "b" * 401, "c"]}, "article", False), (fine | {"tags": ["x", "y", "z" * 41]}, "article", False), (fine | {"topic": ""}, "article", False), (fine | {"kindFields": {"what_it_does": "w" * 301, "primary_use_case": "u"}}, "github", False), ({"tldr": "t"}, "article", False),
+    ]
+    asked = spark.createDataFrame([(k, json.dumps(c), kind) for k, (c, kind, _) in enumerate(cases)], "k int, said string, kind string")
+    assert [r["ok"] for r in asked.orderBy("k").select(P.enrichment_ok(F.col("said"), F.col("kind")).alias("ok")).collect()] == [ok for _, _, ok in cases]
+
+
+def test_compact_numbers_and_cuts_by_hand(spark):
+    said = {999: "999", 1000: "1K", 91_557: "91.6K", 999_949: "999.9K", 999_950: "1M", 1_250_000: "1.3M", 999_950_000: "1B", 2_500_000_000: "2.5B", 7_000_000_000_000: "7T"}
+    asked = spark.createDataFrame([(n,) for n in said], "n bigint")
+    assert {r["n"]: r["c"] for r in asked.select("n", TM.compact(F.col("n")).alias("c")).collect()} == said
+    cut = spark.createDataFrame([("a\U0001f642b\U0001f642c",)], "t string").select(*[T.utf16_left(F.col("t"), F.lit(k)).alias(f"l{k}") for k in range(1, 8)], *[T.utf16_right(F.col("t"), F.lit(k)).alias(f"r{k}") for k in (1, 2, 3, 4)]).head()
+    assert tuple(cut) == ("a", "a", "a\U0001f642", "a\U0001f642b", "a\U0001f642b", "a\U0001f642b\U0001f642", "a\U0001f642b\U0001f642c", "c", "c", "\U0001f642c", "b\U0001f642c")
 
 
 def test_chunks_overlap_and_keep_sentences():
