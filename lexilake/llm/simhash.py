@@ -263,6 +263,8 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, id_co
 #: bits that may differ between candidates follow from the angle of two sets of shingles
 #: at the Jaccard similarity; candidates are verified on the sets themselves.
 WORDS, TABLE_BITS = 8, 30
+#: Words of the fingerprints that the members of a crowded variant are compared by: their estimate is twice as sharp.
+LONG = 32
 NEAR = 0.8
 
 
@@ -288,8 +290,8 @@ def loose_bits(similarity: float, bits: int) -> int:
 
 #: A variant with more members than this is crowded: its first round of pairs is not every pair.
 CROWDED = 4
-#: Rows of a crowded variant that are compared with all others at a time.
-ROWS = 256
+#: Words of fingerprints that are compared at a time.
+COMPARED = 1 << 21
 
 
 def table_pairs(nodes: DataFrame, similarity: float = NEAR, words: int = WORDS, bits: int = TABLE_BITS, flips: bool = True, whole: bool = False) -> DataFrame:
@@ -306,7 +308,8 @@ def table_pairs(nodes: DataFrame, similarity: float = NEAR, words: int = WORDS,
     their next three too, which is every pair of up to four. Members of crowded
     variants whose labels differ are returned with a null ``b`` too: their other
     pairs are left for a round with ``whole``, which returns every pair of a crowded
-    variant whose check words allow it and whose labels differ.
+    variant that differs in its labels and is near by the longer fingerprints ``long``
+    of such nodes. These go once with each block, not with each variant.
     """
     check_limit = loose_bits(similarity, 32)
     parts, tables = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), words * 64 // bits
@@ -324,6 +327,7 @@ def table_pairs(nodes: DataFrame, similarity: float = NEAR, words: int = WORDS,
             ids = ids[order]
             fps = np.array(batch.column(1).to_pylist(), np.int64).reshape(-1, words)[order]
             labels = batch.column(2).to_numpy()[order]
+            longs = np.array(batch.column(3).to_pylist(), np.int64).reshape(len(ids), -1)[order] if whole else None
             for at in range(0, len(ids), PACK):
                 all_bits = np.unpackbits(fps[at : at + PACK].astype(">i8").view(np.uint8), axis=1)[:, : tables * bits].reshape(-1, tables, bits).astype(np.uint64)
                 keys = (all_bits << np.arange(bits, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
@@ -338,17 +342,21 @@ def table_pairs(nodes: DataFrame, similarity: float = NEAR, words: int = WORDS,
                 full = np.flatnonzero(np.diff(edges))
                 blocks = [rank[edges[b] : edges[b + 1]] for b in full]
                 behind = np.repeat(ids[at : at + PACK] - labels[at : at + PACK], tables * n_variants)  # mostly zero
-                yield pa.RecordBatch.from_arrays([pa.array(part_keys[full % parts]), pa.array(full), pa.array([_planes(variants[x]) for x in blocks], pa.binary()), pa.array([_planes(np.diff(own[x], prepend=0)) for x in blocks], pa.binary()), pa.array([check[x].tobytes() for x in blocks], pa.binary()), pa.array([_planes(behind[x]) for x in blocks], pa.binary())], ["part", "bucket", "variants", "nodes", "checks", "labels"])
+                yield pa.RecordBatch.from_arrays([pa.array(part_keys[full % parts]), pa.array(full), pa.array([_planes(variants[x]) for x in blocks], pa.binary()), pa.array([_planes(np.diff(own[x], prepend=0)) for x in blocks], pa.binary()), pa.array([longs[at : at + PACK][np.unique(x // (tables * n_variants))].tobytes() if whole else check[x].tobytes() for x in blocks], pa.binary()), pa.array([_planes(behind[x]) for x in blocks], pa.binary())], ["part", "bucket", "variants", "nodes", "checks", "labels"])
 
-    def unjoined(starts: np.ndarray, size: np.ndarray, nodes_of: np.ndarray, checks: np.ndarray, labels_of: np.ndarray) -> Iterator[np.ndarray]:
-        """Every pair of each group that differs in its labels."""
+    def unjoined(starts: np.ndarray, size: np.ndarray, nodes_of: np.ndarray, long_of: np.ndarray, longs: np.ndarray, labels_of: np.ndarray) -> Iterator[np.ndarray]:
+        """Every near pair of each group that differs in its labels."""
+        limit = allowed_bits(similarity, 64 * longs.shape[1])
         apart = np.minimum.reduceat(labels_of, starts) != np.maximum.reduceat(labels_of, starts)
-        for start, n in zip(starts[apart & (size > CROWDED)], size[apart & (size > CROWDED)]):
-            member, check, label = (x[start : start + n] for x in (nodes_of, checks, labels_of))
-            for at in range(0, n, ROWS):
-                good = (_ones(check[at : at + ROWS, None] ^ check[None, at:]) <= check_limit) & (label[at : at + ROWS, None] != label[None, at:])
-                i, j = np.nonzero(np.triu(good, 1))
-                yield np.stack([member[at + i], member[at + j]])
+        for start, n in zip(starts[apart & (size > CROWDED)].tolist(), size[apart & (size > CROWDED)].tolist()):
+            member, long, label = nodes_of[start : start + n], longs[long_of[start : start + n]], labels_of[start : start + n]
+            rows = max(1, COMPARED // (n * longs.shape[1]))
+            for at in range(0, n, rows):
+                i, j = np.nonzero(np.triu(label[at : at + rows, None] != label[None, at:], 1))
+                for some in range(0, len(i), COMPARED // longs.shape[1]):
+                    x, y = i[some : some + COMPARED // longs.shape[1]], j[some : some + COMPARED // longs.shape[1]]
+                    good = _ones(long[at + x] ^ long[at + y]).sum(axis=1, dtype=np.int64) <= limit
+                    yield np.stack([member[at + x[good]], member[at + y[good]]])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blocks in _one_at_a_time(batches):
@@ -361,16 +369,21 @@ def table_pairs(nodes: DataFrame, similarity: float = NEAR, words: int = WORDS,
             if not len(variants):
                 continue
             nodes_of = np.concatenate([np.cumsum(_unplaned(i)) for _, i, _, _ in blocks])[order]
-            checks = np.frombuffer(b"".join(c for _, _, c, _ in blocks), np.uint32)[order]
             labels_of = nodes_of - np.concatenate([_unplaned(x) for _, _, _, x in blocks])[order]
-            order = np.lexsort((nodes_of, variants))
-            variants, nodes_of, checks, labels_of = variants[order], nodes_of[order], checks[order], labels_of[order]
+            inner = np.lexsort((nodes_of, variants))
+            variants, nodes_of, labels_of, order = variants[inner], nodes_of[inner], labels_of[inner], order[inner]
             first = np.concatenate([[True], variants[1:] != variants[:-1]])
             starts = np.flatnonzero(first)
             size = np.diff(np.append(starts, len(variants)))
             if whole:
+                # the members of a block come in the order of its nodes, and so do its long fingerprints (unsigned: bits of negative numbers count otherwise)
+                steps = [np.flatnonzero(np.diff(np.cumsum(_unplaned(i)), prepend=-1)) for _, i, _, _ in blocks]
+                sizes = [len(v) // 8 for v, _, _, _ in blocks]
+                longs = np.frombuffer(b"".join(c for _, _, c, _ in blocks), np.uint64).reshape(sum(map(len, steps)), -1)
+                bases = np.cumsum([0, *map(len, steps)])
+                long_of = np.concatenate([b + np.searchsorted(s, np.arange(n), side="right") - 1 for b, s, n in zip(bases, steps, sizes)])[order]
                 found, n = [], 0
-                for some in unjoined(starts, size, nodes_of, checks, labels_of):
+                for some in unjoined(starts, size, nodes_of, long_of, longs, labels_of):
                     found.append(some)
                     n += some.shape[1]
                     if n > 1 << 20:
@@ -381,6 +394,7 @@ def table_pairs(nodes: DataFrame, similarity: float = NEAR, words: int = WORDS,
                     pairs = np.unique(np.concatenate(found, axis=1), axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
                 continue
+            checks = np.frombuffer(b"".join(c for _, _, c, _ in blocks), np.uint32)[order]
             apart = np.minimum.reduceat(labels_of, starts) != np.maximum.reduceat(labels_of, starts)
             crowd = np.unique(nodes_of[np.repeat(apart & (size > CROWDED), size)])
             yield pa.RecordBatch.from_arrays([pa.array(crowd), pa.nulls(len(crowd), pa.int64())], ["a", "b"])
@@ -396,7 +410,7 @@ def table_pairs(nodes: DataFrame, similarity: float = NEAR, words: int = WORDS,
             pairs = np.unique(np.stack([nodes_of[left[good]], nodes_of[right[good]]]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
-    blocks = nodes.select("node", "fp", "label").repartition(parts, "node").mapInArrow(emit, "part int, bucket bigint, variants binary, nodes binary, checks binary, labels binary")
+    blocks = nodes.select("node", "fp", "label", *["long"] * whole).repartition(parts, "node").mapInArrow(emit, "part int, bucket bigint, variants binary, nodes binary, checks binary, labels binary")
     return blocks.repartition(parts, "part").sortWithinPartitions("bucket").mapInArrow(meet, "a bigint, b bigint").distinct()
 
 
@@ -454,7 +468,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = NEAR,
     label = connected_components(links)
     crowd = met.where("b is null").select(F.col("a").alias("_crowd"))
     if not crowd.isEmpty():  # what is left of crowded variants are pairs of different labels
-        others = labelled(nodes.join(crowd, F.col("node") == F.col("_crowd"), "left_semi"), label)
+        few = written(nodes.join(crowd, F.col("node") == F.col("_crowd"), "left_semi"), "crowded")
+        asked = few.select(F.col("first_id").alias("asked_id"))
+        texts = docs.join(asked, docs[id_col] == asked["asked_id"], "left_semi")
+        longs = set_fingerprints(texts, shingle, LONG, id_col, text_col).select(F.col("shingles").alias("_shingles"), F.col("fp").alias("long")).dropDuplicates(["_shingles"])
+        joined = label.withColumnRenamed("node", "_node")
+        others = few.join(longs, F.col("shingles") == F.col("_shingles")).join(joined, F.col("node") == F.col("_node"), "left")
+        others = written(others.select("node", "fp", F.coalesce("label", "node").alias("label"), "long"), "labelled")
         label = connected_components(links.unionByName(linked(written(table_pairs(others, similarity, words, whole=True), "met", BATCH))))
     named = nodes.join(label.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("shingles", F.coalesce("label", "node").alias("_label"))
     heads = nodes.select(F.col("node").alias("_head"), F.col("first_id").alias("group_id"))

@@ -299,13 +299,13 @@ def test_crowded_variants_are_compared_whole(spark):
     nodes = spark.createDataFrame([(k, f, k) for k, f in enumerate(fps.tolist())], "node bigint, fp array<bigint>, label bigint")
     first = [tuple(r) for r in simhash.table_pairs(nodes).select("a", "b").collect()]
     crowd = {a for a, b in first if b is None}
-    alone = nodes.where(nodes.node.isin(sorted(crowd))).selectExpr("node", "fp", "node as label")
+    alone = nodes.where(nodes.node.isin(sorted(crowd))).selectExpr("node", "fp", "node as label", "fp as long")
     second = {(r["a"], r["b"]) for r in simhash.table_pairs(alone, whole=True).collect()}
     assert len(want - set(first)) > 10  # the first round alone leaves some out
     assert want <= set(first) | second
-    joined = alone.selectExpr("node", "fp", "node % 2 as label")
+    joined = alone.selectExpr("node", "fp", "node % 2 as label", "long")
     assert {(r["a"], r["b"]) for r in simhash.table_pairs(joined, whole=True).collect()} == {(a, b) for a, b in second if a % 2 != b % 2}
-    assert simhash.table_pairs(alone.selectExpr("node", "fp", "0l as label"), whole=True).count() == 0
+    assert simhash.table_pairs(alone.selectExpr("node", "fp", "0l as label", "long"), whole=True).count() == 0
     assert simhash.table_pairs(alone.selectExpr("node", "fp", "0l as label")).count() == 0
 
 
