@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,9 +12,14 @@ CONTENT_CAP = 20_000
 #: Fixed value: what stands for the middle that is left out.
 MARKER = "\n\n[... content truncated to fit the model’s context window ...]\n\n"
 MAX_QUERY_TOKENS = 24
-#: Letters with marks and what the keyword index folds them to, as the oracle does.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Letters that are a to z with marks, and those letters: what the keyword index folds. Other scripts keep theirs.
+_FOLDS = {
+    chr(c): parts[0]
+    for c in range(0xC0, 0x2000)
+    if len(parts := unicodedata.normalize("NFD", chr(c))) > 1 and parts[0] in "abcdefghijklmnopqrstuvwxyz" and all("\u0300" <= m <= "\u036f" for m in parts[1:])
+}
+COMBINING = r"[\x{300}-\x{36F}]+"
+MARKED, PLAIN = "".join(_FOLDS), "".join(_FOLDS.values())
 #: Direction marks, zero-width characters and the byte order mark.
 INVISIBLE = r"[\u200b-\u200f\u202a-\u202e\u2066-\u2069\ufeff]"
 SPACES = r"[\u00a0\u202f]"
@@ -45,7 +52,8 @@ def estimated_tokens(text: Column) -> Column:
 
 
 def folded(text: Column) -> Column:
-    return F.translate(F.lower(text), MARKED, PLAIN)
+    """Lower case without marks, composed or combining."""
+    return F.regexp_replace(F.translate(F.lower(text), MARKED, PLAIN), COMBINING, "")
 
 
 def index_tokens(text: Column) -> Column:

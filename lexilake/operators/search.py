@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from lexilake.functions import text as T
 from lexilake.functions import vectors as V
+from lexilake.operators.keyword_index import B, K1
 
-K1, B = 1.2, 0.75
+#: A word of the source text with what follows it up to the next.
+WORD_AND_GAP = r"[\p{L}\p{N}\x{300}-\x{36F}]+[^\p{L}\p{N}]*"
 RRF_K, POOL, PAGE, PAGE_MAX = 60, 200, 20, 100
 
 
@@ -30,7 +32,7 @@ def tokenized(items: DataFrame, *columns: str) -> DataFrame:
 
 
 def bm25(items: DataFrame, tokens: list[str], keep: Column | None = None) -> DataFrame:
-    """Score items (``item_id``, ``tokens``) for a query's tokens, each a prefix. Smaller is better.
+    """Score items (``item_id``, ``tokens``) that have no stored index for a query's tokens, each a prefix. Smaller is better.
 
     Statistics are of all ``items``, whatever ``keep`` leaves of them. For one query
     nothing is shuffled but one row of sums: a token's frequency is counted where
@@ -52,42 +54,21 @@ def bm25(items: DataFrame, tokens: list[str], keep: Column | None = None) -> Dat
     return scored.withColumn("rank", -reduce(Column.__add__, [part(k) for k in range(len(tokens))])).drop("n", "avgdl", "df", "f", "dl")
 
 
-def postings(items: DataFrame) -> DataFrame:
-    """The inverted index: item_id, term, tf."""
-    return items.select("item_id", F.explode("tokens").alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("tf"))
+def keyword_snippet(columns: list[str], tokens: list[str], most: int = 24) -> Column:
+    """``most`` words of the source text from the first match on, of the first column that has one; null if none has.
 
+    Words keep their case, marks and what stands between them; an ellipsis says where the text goes on.
+    """
+    asked = F.array(*[F.lit(t) for t in tokens]) if tokens else F.array().cast("array<string>")
 
-def bm25_many(items: DataFrame, asked: DataFrame) -> DataFrame:
-    """Score many queries (``query_id``, ``tokens``) at once: query_id, item_id, rank.
+    def of(column: str) -> Column:
+        pieces = F.regexp_extract_all(F.coalesce(F.col(column), F.lit("")), F.lit(WORD_AND_GAP), F.lit(0))
+        hit = F.transform(pieces, lambda p: F.exists(asked, lambda q: T.index_tokens(p)[0].startswith(q)))
+        first = F.array_position(hit, True)
+        cut = F.array_join(F.slice(pieces, F.greatest(first, F.lit(1)), most), "")
+        return F.when(first > 0, F.concat(F.when(first > 1, "…").otherwise(""), F.regexp_replace(cut, r"(?U)\s+$", ""), F.when(first + most <= F.size(pieces), "…").otherwise("")))
 
-    Prefixes are expanded on the vocabulary by equi-joins on term prefixes of the
-    queries' lengths, then joined with the postings; nothing is crossed.
-    """
-    index = postings(items)
-    stats = items.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    wanted = asked.select("query_id", F.explode("tokens").alias("q"))
-    lengths = [r[0] for r in wanted.select(F.length("q").alias("n")).distinct().collect()]  # no longer than a word
-    words = index.select("term").distinct()
-    heads = words.select("term", F.explode(F.array(*[F.lit(n) for n in sorted(lengths)] or [F.lit(1)])).alias("n")).where(F.length("term") >= F.col("n"))
-    expanded = heads.select("term", F.left("term", F.col("n")).alias("head")).join(wanted.select("q").distinct(), F.col("head") == F.col("q")).select("q", "term")
-    tf = index.join(expanded, "term").groupBy("q", "item_id").agg(F.sum("tf").alias("f"))
-    df = tf.groupBy("q").agg(F.count("*").alias("df"))
-    sized = items.select("item_id", F.size("tokens").alias("dl"))
-    hits = tf.join(df, "q").join(sized, "item_id").crossJoin(F.broadcast(stats))  # one row
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    weight = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.select("q", "item_id", weight.alias("w")).join(wanted, "q").groupBy("query_id", "item_id").agg((-F.sum("w")).alias("rank"))
-
-
-def keyword_snippet(tokens: list[str], most: int = 24) -> Column:
-    """The ``most`` tokens from the first match on; null without one."""
-    first = F.aggregate(
-        F.array(*[F.lit(t) for t in tokens]),
-        F.lit(1 << 30),
-        lambda acc, q: F.least(acc, F.coalesce(F.nullif(F.array_position(F.transform("tokens", lambda t: t.startswith(q)), True), F.lit(0)), F.lit(1 << 30)).cast("int")),
-    )
-    cut = F.array_join(F.slice("tokens", first, most), " ")
-    return F.when(first < 1 << 30, F.concat(F.when(first > 1, "…").otherwise(""), cut, F.when(first + most <= F.size("tokens"), "…").otherwise("")))
+    return F.coalesce(*[of(c) for c in columns])
 
 
 def nearest_items(chunks: DataFrame, query: Column, limit: int) -> DataFrame:

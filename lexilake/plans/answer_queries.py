@@ -220,7 +220,7 @@ bud AS (SELECT *, CAST(sum(tokens) OVER w AS BIGINT) AS used, row_number() OVER
 inc AS (SELECT *, rn = 1 AND used > {BUDGET} AS clipped, used <= {BUDGET} OR rn = 1 AS included FROM bud)"""
 _L2 = "sqrt(list_sum(list_transform(list_zip(embedding, q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"
 _ANS = "ans AS (SELECT conv_id * 100 + turn AS answer_id, text || ' [' || turn % 4 || '][2]' AS text, conv_id FROM conversations WHERE role = 'assistant')"
-_TOK = f"list_distinct(regexp_extract_all(translate(lower({{0}}), '{T.MARKED}', '{T.PLAIN}'), '[\\p{{{{L}}}}\\p{{{{N}}}}]+'))"
+_TOK = f"list_distinct(regexp_extract_all(regexp_replace(translate(lower({{0}}), '{T.MARKED}', '{T.PLAIN}'), '[\\x{{{{300}}}}-\\x{{{{36F}}}}]+', '', 'g'), '[\\p{{{{L}}}}\\p{{{{N}}}}]+'))"
 
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: z[1] * z[2]))"
 _UNIT = "CASE WHEN n >= {0} - {1} THEN regexp_replace(CAST(round(n / {0}::DECIMAL(38, 6), 1) AS DECIMAL(38, 1))::VARCHAR, '[.]0$', '') || '{2}'"

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from lexilake.functions import fields as P
 from lexilake.operators import decisions as X
 from lexilake.operators import ingest as G
+from lexilake.operators import keyword_index as K
 from lexilake.operators import library as L
 from lexilake.operators import rag as R
-from lexilake.operators import search as S
+from lexilake.plans.search_queries import TEXT_TOKENS, index_path, tokenized_items
 from lexilake.sources import tables as D
 from lexilake.sources.tables import with_views
 
@@ -109,10 +110,10 @@ def thread_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = S.tokenized(D.items(spark, sf_dir), "title", "lang", "source", "content")
-    fresh = S.postings(items)
-    stored = fresh.where("term <> 'the'").unionByName(fresh.limit(0))
-    return X.index_in_sync(stored, fresh).groupBy("side", "term").agg(F.count("*").alias("n"))
+    """The stored index, less the rows of one term, against one worked out afresh."""
+    stored, _ = K.read(spark, index_path(spark, sf_dir))
+    fresh = K.postings(tokenized_items(spark, sf_dir))
+    return X.index_in_sync(stored.select(*fresh.columns).where("term <> 'the'"), fresh).groupBy("side", "term").agg(F.count("*").alias("n"))
 
 
 def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,5 +143,6 @@ ORACLE = {
     "board_drops": f"{_I}, {_TR}, bc(col, status) AS (VALUES {', '.join(map(str, BOARD))}) SELECT DISTINCT status AS from_status, col FROM items JOIN bc USING (status) UNION SELECT f, col FROM tr JOIN bc ON t = status",
     "bulk_settled": f"{_I} SELECT user_id, count(*) FILTER (item_id % 7 > 0) AS succeeded, count(*) FILTER (item_id % 7 = 0) AS failed, min(item_id) FILTER (item_id % 7 = 0) AS first_failed FROM items GROUP BY 1",
     "shortened_links": "SELECT page_id, CASE WHEN page_id % 6 = 0 THEN 'https://to.org/' || page_id WHEN page_id % 3 = 0 THEN 'https://bit.ly/' || page_id ELSE url END AS resolved FROM pages",
+    "index_sync": f"{_I} SELECT 'fresh' AS side, 'the' AS term, count(*) AS n FROM items WHERE list_contains({TEXT_TOKENS}, 'the') HAVING count(*) > 0",
     "thread_posts": "SELECT DISTINCT (event_id // 2) || '00000000000000000000' AS post_id FROM events ORDER BY CAST(post_id AS DECIMAL(38, 0))",
 }

@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexilake.functions import text as T
 from lexilake.functions import vectors as V
+from lexilake.operators import keyword_index as K
 from lexilake.operators import search as S
-from lexilake.sources import tables
+from lexilake.sources import stored, tables
 from lexilake.sources.tables import with_views
 
 #: The registered queries' parameters: the benchmark row asked for, the user, and thresholds
 #: that separate something on the 64-dimensional test vectors.
-QUERY, USER, TERMS = 0, 1, 6
+QUERY, USER = 0, 1
 LABEL_DISTANCE = 0.75
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> list[str]:
     """The tokens of one query; the driver has it as a user typed it."""
-    row = tables.queries(spark, sf_dir).where(F.col("query_id") == QUERY).select(T.query_tokens(F.col("query"), TERMS).alias("t")).head()
+    row = tables.queries(spark, sf_dir).where(F.col("query_id") == QUERY).select(T.query_tokens(F.col("query")).alias("t")).head()
     return row["t"] if row else []
 
 
@@ -28,12 +29,34 @@ def _query_vector(spark: SparkSession, sf_dir: str):
     return V.literal(row["embedding"])
 
 
-def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Where the index of a table stands, by session, files and their fingerprint.
+_BUILT: dict[tuple, str] = {}
+
+
+def tokenized_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.tokenized(tables.items(spark, sf_dir), "title", "lang", "source", "content")
 
 
-def _hits(spark: SparkSession, sf_dir: str, keep=None) -> DataFrame:
-    return S.bm25(_indexed(spark, sf_dir), _asked(spark, sf_dir), (F.col("user_id") == USER) if keep is None else keep)
+def index_path(spark: SparkSession, sf_dir: str) -> str:
+    """The stored index over all items, built by the first query that needs it and again when the table's files change."""
+    path = f"{sf_dir}/documents.parquet"
+    key = (spark.sparkContext.applicationId, path, *stored.fingerprint(spark, path))
+    if key not in _BUILT:
+        where = stored.fresh_path(spark, "keyword-index")
+        K.build(tokenized_items(spark, sf_dir).select("item_id", "tokens"), where)
+        _BUILT[key] = where
+    return _BUILT[key]
+
+
+def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return K.read(spark, index_path(spark, sf_dir))
+
+
+def _hits(spark: SparkSession, sf_dir: str, *columns: str, keep: Column | None = None) -> DataFrame:
+    """item_id, rank and ``columns`` of one user's items that the query finds."""
+    scope = F.col("user_id") == USER
+    own = tables.items(spark, sf_dir).where(scope if keep is None else scope & keep).select("item_id", *columns)
+    return K.search(_index(spark, sf_dir), _asked(spark, sf_dir)).join(own, "item_id")
 
 
 def fts_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,14 +64,13 @@ def fts_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fts_bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keep = (F.col("user_id") == USER) & F.col("kind").isin("article", "pdf") & F.col("status").isin("inbox", "testing", "tested", "archived")
-    return _hits(spark, sf_dir, keep).select("item_id", "kind", F.round("rank", 6).alias("rank")).orderBy("rank", "item_id").limit(20)
+    keep = F.col("kind").isin("article", "pdf") & F.col("status").isin("inbox", "testing", "tested", "archived")
+    return _hits(spark, sf_dir, "kind", keep=keep).select("item_id", "kind", F.round("rank", 6).alias("rank")).orderBy("rank", "item_id").limit(20)
 
 
 def fts_bm25_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = tables.queries(spark, sf_dir).select("query_id", T.query_tokens(F.col("query"), 4).alias("tokens"))
-    items = S.tokenized(tables.items(spark, sf_dir), "title", "lang", "source", "content").select("item_id", "tokens")
-    return S.bm25_many(items, asked).groupBy("query_id").agg(F.count("*").alias("hits"), F.round(F.min("rank"), 6).alias("best"))
+    asked = tables.queries(spark, sf_dir).select("query_id", T.query_tokens(F.col("query")).alias("tokens"))
+    return K.search_many(_index(spark, sf_dir), asked).groupBy("query_id").agg(F.count("*").alias("hits"), F.round(F.min("rank"), 6).alias("best"))
 
 
 def fts_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,13 +79,12 @@ def fts_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fts_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = _asked(spark, sf_dir)
-    return _hits(spark, sf_dir).select("item_id", S.keyword_snippet(tokens).alias("snippet"))
+    return _hits(spark, sf_dir, "title", "content").select("item_id", S.keyword_snippet(["title", "content"], _asked(spark, sf_dir)).alias("snippet"))
 
 
 def fts_index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = S.postings(_indexed(spark, sf_dir))
-    return own.groupBy("term").agg(F.count("*").alias("items"), F.sum("tf").alias("occurrences"))
+    rows, _ = _index(spark, sf_dir)
+    return rows.groupBy("term").agg(F.count("*").alias("items"), F.sum("tf").alias("occurrences"))
 
 
 def knn_l2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,19 +155,20 @@ def fts_only_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.page_after(S.fused(S.ranked(keyword.orderBy("rank", "item_id").limit(S.POOL), "fts", "rank", "item_id")), S.PAGE).select("item_id", F.round("score", 9).alias("score"))
 
 
-_FOLD = f"translate(lower({{0}}), '{T.MARKED}', '{T.PLAIN}')"
+_FOLD = f"regexp_replace(translate(lower({{0}}), '{T.MARKED}', '{T.PLAIN}'), '[\\x{{{{300}}}}-\\x{{{{36F}}}}]+', '', 'g')"
 _TOKENS = "regexp_extract_all(" + _FOLD + ", '[\\p{{L}}\\p{{N}}]+')"
 _TEXT = "coalesce(title, '') || ' ' || lang || ' ' || source || ' ' || coalesce(content, '')"
+TEXT_TOKENS = _TOKENS.format(_TEXT)
 #: DuckDB's list_distinct keeps no order, so first appearances are picked by position.
 _DISTINCT = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
 
 
-def _query_sql(terms: int) -> str:
-    return f"""q AS (SELECT unnest(ts[1:{terms}]) AS t FROM (SELECT {_DISTINCT.format("t")} AS ts FROM (SELECT {_TOKENS.format("text")} AS t FROM benchmark WHERE item_id = {QUERY})))"""
+def _query_sql() -> str:
+    return f"""q AS (SELECT unnest(ts[1:{T.MAX_QUERY_TOKENS}]) AS t FROM (SELECT {_DISTINCT.format("t")} AS ts FROM (SELECT {_TOKENS.format("text")} AS t FROM benchmark WHERE item_id = {QUERY})))"""
 
 
 _BM25 = f"""tok AS (SELECT *, {_TOKENS.format(_TEXT)} AS tokens FROM items),
-{_query_sql(TERMS)},
+{_query_sql()},
 st AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM tok),
 f AS (SELECT item_id, t, len(list_filter(tokens, lambda x: starts_with(x, t))) AS f, len(tokens) AS dl FROM tok, q),
 df AS (SELECT t, count(*) FILTER (f > 0) AS df FROM f GROUP BY t),
@@ -170,7 +192,7 @@ ORACLE = {
     "fts_bm25_topk": f"{_ITEMS}, {_BM25} SELECT item_id, round(rank, 6) AS rank FROM hits JOIN items USING (item_id) WHERE user_id = {USER} ORDER BY 2, 1 LIMIT 20",
     "fts_bm25_filtered": f"{_ITEMS}, {_BM25} SELECT item_id, kind, round(rank, 6) AS rank FROM hits JOIN items USING (item_id) WHERE user_id = {USER} AND kind IN ('article', 'pdf') AND status IN ('inbox', 'testing', 'tested', 'archived') ORDER BY 3, 1 LIMIT 20",
     "fts_bm25_many": f"""{_ITEMS}, tok AS (SELECT item_id, {_TOKENS.format(_TEXT)} AS tokens FROM items),
-q AS (SELECT query_id, unnest(ts[1:4]) AS t FROM (SELECT query_id, {_DISTINCT.format("t")} AS ts FROM (SELECT item_id AS query_id, {_TOKENS.format("text")} AS t FROM benchmark))),
+q AS (SELECT query_id, unnest(ts[1:{T.MAX_QUERY_TOKENS}]) AS t FROM (SELECT query_id, {_DISTINCT.format("t")} AS ts FROM (SELECT item_id AS query_id, {_TOKENS.format("text")} AS t FROM benchmark))),
 st AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM tok),
 p AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(tokens) AS term FROM tok) GROUP BY ALL),
 f AS (SELECT t, item_id, sum(tf) AS f FROM p JOIN (SELECT DISTINCT t FROM q) ON starts_with(term, t) GROUP BY ALL),
@@ -178,7 +200,15 @@ df AS (SELECT t, count(*) AS df FROM f GROUP BY t),
 r AS (SELECT query_id, item_id, -sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * {S.K1 + 1} / (f + {S.K1} * (1 - {S.B} + {S.B} * len(tokens) / avgdl))) AS rank
   FROM f JOIN df USING (t) JOIN tok USING (item_id) JOIN q USING (t), st GROUP BY ALL)
 SELECT query_id, count(*) AS hits, round(min(rank), 6) AS best FROM r GROUP BY query_id""",
-    "fts_tokenize": f"SELECT query_id, CAST(unnest(range(0, len(ts[1:24]))) AS BIGINT) AS pos, unnest(ts[1:24]) AS token FROM (SELECT query_id, {_DISTINCT.format('t')} AS ts FROM (SELECT item_id AS query_id, {_TOKENS.format('text')} AS t FROM benchmark))",
+    "fts_snippet": f"""{_ITEMS}, {_BM25},
+h AS (SELECT item_id, title, content FROM hits JOIN items USING (item_id) WHERE user_id = {USER}),
+c AS (SELECT item_id, 0 AS o, title AS body FROM h UNION ALL SELECT item_id, 1, content FROM h),
+p AS (SELECT item_id, o, regexp_extract_all(coalesce(body, ''), '[\\p{{L}}\\p{{N}}\\x{{300}}-\\x{{36F}}]+[^\\p{{L}}\\p{{N}}]*') AS pieces FROM c),
+m AS (SELECT item_id, o, pieces, unnest(range(1, len(pieces) + 1)) AS i FROM p),
+f1 AS (SELECT item_id, o, any_value(pieces) AS pieces, min(i) AS i FROM m JOIN q ON starts_with({_TOKENS.format("pieces[i]")}[1], t) GROUP BY ALL),
+b AS (SELECT item_id, arg_min(pieces, o) AS pieces, arg_min(i, o) AS i FROM f1 GROUP BY item_id)
+SELECT item_id, snippet FROM h LEFT JOIN (SELECT item_id, CASE WHEN i > 1 THEN '…' ELSE '' END || regexp_replace(array_to_string(pieces[i:i + 23], ''), '\\s+$', '') || CASE WHEN i + 24 <= len(pieces) THEN '…' ELSE '' END AS snippet FROM b) USING (item_id)""",
+    "fts_tokenize": f"SELECT query_id, CAST(unnest(range(0, len(ts[1:{T.MAX_QUERY_TOKENS}]))) AS BIGINT) AS pos, unnest(ts[1:{T.MAX_QUERY_TOKENS}]) AS token FROM (SELECT query_id, {_DISTINCT.format('t')} AS ts FROM (SELECT item_id AS query_id, {_TOKENS.format('text')} AS t FROM benchmark))",
     "fts_index_postings": f"{_ITEMS}, p AS (SELECT item_id, unnest({_TOKENS.format(_TEXT)}) AS term FROM items) SELECT term, count(DISTINCT item_id) AS items, count(*) AS occurrences FROM p GROUP BY term",
     "knn_l2_topk": f"WITH {_QV}, chunk_vectors AS ({tables.SQL_VIEWS['chunk_vectors']}) SELECT chunk_id, item_id, round({_L2}, 6) AS distance FROM chunk_vectors, qv ORDER BY {_L2}, chunk_id LIMIT 10",
     "knn_dedupe_items": f"{_BOTH}, {_QV}, d AS (SELECT item_id, chunk_id, {_L2} AS distance FROM chunk_vectors, qv WHERE user_id = {USER} AND item_id <> 0) SELECT item_id, arg_min(chunk_id, distance) AS chunk_id, round(min(distance), 6) AS distance FROM d GROUP BY item_id ORDER BY min(distance), item_id LIMIT 10",

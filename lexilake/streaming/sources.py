@@ -20,8 +20,3 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_once(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Work through what is there, batch by batch, and stop; a rerun goes on from the checkpoint."""
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start().awaitTermination()
-
-
-def maintained_index(postings: DataFrame, changed: DataFrame, touched: DataFrame) -> DataFrame:
-    """Postings after a batch of changes: those of touched items go, the new ones come. For use in ``foreachBatch``."""
-    return postings.join(touched.select("item_id").distinct(), "item_id", "left_anti").unionByName(changed)

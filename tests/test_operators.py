@@ -29,16 +29,6 @@ def test_no_tokens_no_hits(spark, sf):
     assert S.bm25(S.tokenized(D.items(spark, sf), "content"), []).count() == 0
 
 
-def test_bm25_of_many_queries_agrees_with_one(spark, sf):
-    items = S.tokenized(D.items(spark, sf), "title", "content").select("item_id", "tokens")
-    asked = spark.createDataFrame([(1, ["the", "th"]), (2, ["der"])], "query_id int, tokens array<string>")
-    many = {(r["query_id"], r["item_id"]): r["rank"] for r in S.bm25_many(items, asked).collect()}
-    for query, tokens in ((1, ["the", "th"]), (2, ["der"])):
-        own = {r["item_id"]: r["rank"] for r in S.bm25(items, tokens).collect()}
-        assert {i for q, i in many if q == query} == set(own)
-        assert all(many[query, i] == pytest.approx(x) for i, x in own.items())
-
-
 def test_fusion_by_hand(spark):
     a = spark.createDataFrame([(1, "a", 1), (2, "a", 2)], "item_id int, source string, rn int")
     b = spark.createDataFrame([(2, "b", 1), (3, "b", 2)], "item_id int, source string, rn int")

@@ -64,9 +64,3 @@ def test_spacing_is_the_fold(spark):
     rows = [(1, k, ms) for k, ms in enumerate((0, 10, 400, 401, 2000))]
     out = X.spaced(spark.createDataFrame(rows, "user_id int, event_id int, ms bigint"), "user_id", 250).orderBy("event_id").collect()
     assert [r["start"] for r in out] == [0, 250, 500, 750, 2000]
-
-
-def test_maintained_index(spark):
-    old = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "item_id int, term string, tf int")
-    new = spark.createDataFrame([(2, "c", 3)], "item_id int, term string, tf int")
-    assert {tuple(r) for r in Z.maintained_index(old, new, spark.createDataFrame([(2,)], "item_id int")).collect()} == {(1, "a", 1), (2, "c", 3)}
