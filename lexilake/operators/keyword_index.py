@@ -103,18 +103,19 @@ def _weight(f: Column, df: Column) -> Column:
 def search(index: tuple[DataFrame, DataFrame], tokens: list[str]) -> DataFrame:
     """BM25 of the items that have a query's tokens, each a prefix: item_id, rank; smaller is better.
 
-    Only the ranges of the prefixes are read. The shuffle has one row for an item
-    with a hit, and its sums are read once more for the number of items of each token.
+    Only the ranges of the prefixes are read. What is found is shuffled once, by item;
+    the number of items of each token, as many rows as tokens, is joined back.
     """
     rows, stats = index
     if not tokens:
         return rows.select("item_id", F.lit(0.0).alias("rank")).where(F.lit(False))
     asked = reduce(Column.__or__, [F.col("term").startswith(t) for t in tokens])
-    sums = [F.sum(F.when(F.col("term").startswith(t), F.col("tf")).otherwise(0)).alias(f"f{k}") for k, t in enumerate(tokens)]
-    hits = rows.where(asked).groupBy("item_id").agg(F.max("dl").alias("dl"), *sums)
-    found = hits.agg(*[F.count_if(F.col(f"f{k}") > 0).alias(f"d{k}") for k in range(len(tokens))])
-    every = hits.crossJoin(F.broadcast(found)).crossJoin(F.broadcast(stats))  # one row each
-    return every.select("item_id", (-reduce(Column.__add__, [_weight(F.col(f"f{k}"), F.col(f"d{k}")) for k in range(len(tokens))])).alias("rank"))
+    which = F.array_compact(F.array(*[F.when(F.col("term").startswith(t), F.lit(k)) for k, t in enumerate(tokens)]))
+    found = rows.where(asked).select("item_id", "dl", "tf", F.explode(which).alias("k")).repartition("item_id")
+    tf = found.groupBy("item_id", "k").agg(F.sum("tf").alias("f"), F.max("dl").alias("dl"))
+    df = tf.groupBy("k").agg(F.count("*").alias("df"))
+    hits = tf.join(F.broadcast(df), "k").crossJoin(F.broadcast(stats))  # a row for each token, and one row
+    return hits.groupBy("item_id").agg((-F.sum(_weight(F.col("f"), F.col("df")))).alias("rank"))
 
 
 def search_many(index: tuple[DataFrame, DataFrame], asked: DataFrame) -> DataFrame:

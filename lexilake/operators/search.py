@@ -59,14 +59,17 @@ def keyword_snippet(columns: list[str], tokens: list[str], most: int = 24) -> Co
 
     Words keep their case, marks and what stands between them; an ellipsis says where the text goes on.
     """
-    asked = F.array(*[F.lit(t) for t in tokens]) if tokens else F.array().cast("array<string>")
+    head = "^(?:" + "|".join(tokens) + ")" if tokens else "(?!)"  # tokens are letters and digits
+
+    def cut(pieces: Column, first: Column) -> Column:
+        own = F.regexp_replace(F.array_join(F.slice(pieces, F.greatest(first, F.lit(1)), most), ""), r"(?U)\s+$", "")
+        return F.when(first > 0, F.concat(F.when(first > 1, "…").otherwise(""), own, F.when(first + most <= F.size(pieces), "…").otherwise("")))
 
     def of(column: str) -> Column:
-        pieces = F.regexp_extract_all(F.coalesce(F.col(column), F.lit("")), F.lit(WORD_AND_GAP), F.lit(0))
-        hit = F.transform(pieces, lambda p: F.exists(asked, lambda q: T.index_tokens(p)[0].startswith(q)))
-        first = F.array_position(hit, True)
-        cut = F.array_join(F.slice(pieces, F.greatest(first, F.lit(1)), most), "")
-        return F.when(first > 0, F.concat(F.when(first > 1, "…").otherwise(""), F.regexp_replace(cut, r"(?U)\s+$", ""), F.when(first + most <= F.size(pieces), "…").otherwise("")))
+        # each step is a lambda's variable, so that no step is worked out twice
+        pieces = F.array(F.regexp_extract_all(F.coalesce(F.col(column), F.lit("")), F.lit(WORD_AND_GAP), F.lit(0)))
+        met = F.transform(pieces, lambda ps: F.struct(ps.alias("ps"), F.array_position(F.transform(ps, lambda p: T.folded(p).rlike(head)), True).cast("int").alias("at")))
+        return F.transform(met, lambda m: cut(m["ps"], m["at"]))[0]
 
     return F.coalesce(*[of(c) for c in columns])
 
