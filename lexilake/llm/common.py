@@ -2,35 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexilake.sources.stored import fresh_path, shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session names none and all tasks run in this machine's one process
-    (tests) a local folder is made and set for this session; a cluster must name one.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lexilake-"))
-    return context.getCheckpointDir()
-
-
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with as many underscores behind it as no column of ``df`` (in any case) has."""
     taken = {c.lower() for c in df.columns}
@@ -39,10 +20,6 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -1,11 +1,11 @@
 """Quality rules with cross-document line frequency.
 
 One pass over the texts hashes their normalised lines and writes these out. How
-many distinct documents of a host carry a line (exact copies of one are one
-document) is counted with partial aggregation, so that a line or host with a third
-of all rows costs each task one row. A second pass judges each text: its own
-figures, and the lines above the limit, which are removed from every document of
-the host but its first; a document that lost most of its words is rejected.
+many distinct documents of a host carry a line is counted with partial aggregation,
+first by document, so that no line or host is one task's work. A second pass judges
+each text: its own figures, and the lines above the limit, which are removed from
+every document of the host but its first; a document that lost most of its words is
+rejected.
 
 The lines above the limit are few: each is in more than a hundred documents. While
 their number, which is looked at, is small, every task holds them and the texts are
@@ -29,8 +29,8 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 #: A document fails if more than this share of its words lies in repeated 3-word windows.
 MAX_REPEAT_PERCENT = 50
-#: A line is boilerplate if more distinct texts than this have it in one host.
-MAX_TEXTS_PER_LINE = 100
+#: A line is boilerplate if more distinct documents than this have it in one host.
+MAX_DOCUMENTS_PER_LINE = 100
 #: A document is depleted if it loses more than this share of its words.
 MAX_REMOVED = 0.7
 #: Up to so many lines above the limit are held by every task; beyond it the texts are joined with theirs.
@@ -101,14 +101,15 @@ def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return docs.select(id_col, text_col, host_col).mapInArrow(run, f"id {kind}, host {host}, text_hash bigint, line_hash bigint")
 
 
-def frequent_lines(lines: DataFrame, max_texts: int = MAX_TEXTS_PER_LINE) -> DataFrame:
-    """Lines above the limit: host, line_hash, first_id, n_texts.
+def frequent_lines(lines: DataFrame, most: int = MAX_DOCUMENTS_PER_LINE) -> DataFrame:
+    """Lines above the limit: host, line_hash, first_id, n_documents.
 
-    Exact copies of a text count once. Null hosts are one host. ``first_id`` is the
-    smallest document id with the line; there the line stays.
+    Documents are told apart by their ids; rows that repeat one, and a line that one
+    has twice, count once, and rows without an id do not count. Null hosts are one
+    host. ``first_id`` is the smallest id with the line; there the line stays.
     """
-    each = lines.groupBy("host", "line_hash", "text_hash").agg(F.min("id").alias("id"))
-    return each.groupBy("host", "line_hash").agg(F.min("id").alias("first_id"), F.count("*").alias("n_texts")).where(F.col("n_texts") > max_texts)
+    each = lines.where(F.col("id").isNotNull()).groupBy("host", "line_hash", "id").agg(F.lit(1).alias("one"))
+    return each.groupBy("host", "line_hash").agg(F.min("id").alias("first_id"), F.sum("one").alias("n_documents")).where(F.col("n_documents") > most)
 
 
 def lost_lines(lines: DataFrame, frequent: DataFrame) -> DataFrame:

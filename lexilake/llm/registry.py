@@ -39,12 +39,12 @@ r AS (
     SELECT doc_id, max(twice) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS inside FROM c)
   WHERE inside GROUP BY doc_id),
 nl AS (
-  SELECT doc_id, source, md5(text) AS text_hash, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words,
+  SELECT doc_id, source, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words,
     array_to_string(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), ' ') AS norm
   FROM l),
 f AS (
   SELECT source, norm, min(doc_id) AS first_id FROM nl WHERE words > 0
-  GROUP BY source, norm HAVING count(DISTINCT text_hash) > {quality.MAX_TEXTS_PER_LINE}),
+  GROUP BY source, norm HAVING count(DISTINCT doc_id) > {quality.MAX_DOCUMENTS_PER_LINE}),
 x AS (
   SELECT nl.doc_id, sum(nl.words) AS lost FROM nl JOIN f ON nl.norm = f.norm AND nl.source IS NOT DISTINCT FROM f.source
   WHERE nl.doc_id <> f.first_id GROUP BY nl.doc_id),
