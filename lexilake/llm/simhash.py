@@ -164,9 +164,9 @@ def _dealt(v: np.ndarray, parts: int) -> np.ndarray:
     return ((_spread(v) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
 
 
-def _bucket_count(nodes: DataFrame, variants: int, parts: int) -> int:
+def _bucket_count(nodes: int, variants: int, parts: int) -> int:
     """Buckets for so many variants a node, a multiple of the partitions."""
-    return parts * max(1, math.ceil(nodes.count() * variants / BUCKET / parts))
+    return parts * max(1, math.ceil(nodes * variants / BUCKET / parts))
 
 
 def _one_at_a_time(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[memoryview, ...]]]:
@@ -200,7 +200,7 @@ def links_within(fps: DataFrame, radius: int = 3) -> DataFrame:
     """
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = partition_keys(fps.sparkSession, parts)
-    buckets = _bucket_count(fps, len(masks(64, radius)[0]), parts)
+    buckets = _bucket_count(fps.count(), len(masks(64, radius)[0]), parts)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every, near = masks(64, radius)
@@ -290,10 +290,19 @@ def loose_bits(similarity: float, bits: int) -> int:
 
 #: A variant with more members than this is crowded: its first round of pairs is not every pair.
 CROWDED = 4
+#: Nodes whose marks of crowded variants one task is meant to merge.
+SHARE = 1 << 18
+#: Where the number of the flip stands in a stored variant, above its table and key.
+FLIP_AT = np.uint64(40)
 #: Words of fingerprints that are compared at a time.
 COMPARED = 1 << 21
 
 
+def _table_bits(fps: np.ndarray, tables: int, bits: int) -> np.ndarray:
+    """The bits of each fingerprint by table."""
+    return np.unpackbits(fps.astype(">i8").view(np.uint8), axis=1)[:, : tables * bits].reshape(-1, tables, bits)
+
+
 def table_pairs(nodes: DataFrame, similarity: float = NEAR, words: int = WORDS, bits: int = TABLE_BITS, flips: bool = True, whole: bool = False) -> DataFrame:
     """Pairs ``a``, ``b`` of nodes (``node``, ``fp``, ``label``) that share a variant in some table and differ in their labels.
 
@@ -304,18 +313,23 @@ def table_pairs(nodes: DataFrame, similarity: float = NEAR, words: int = WORDS,
     ``label`` is the smallest node of what is joined already: such pairs are not
     looked at again.
 
-    Members of a variant are paired with the first of it, in small groups with
-    their next three too, which is every pair of up to four. Members of crowded
-    variants whose labels differ are returned with a null ``b`` too: their other
-    pairs are left for a round with ``whole``, which returns every pair of a crowded
-    variant that differs in its labels and is near by the longer fingerprints ``long``
-    of such nodes. These go once with each block, not with each variant.
+    Two keys share two variants or more; a pair is settled in one of them, the key
+    itself for equal keys, else the smaller. Members of a variant are paired with the
+    first of it, in small groups with their next three too, which is every pair of up
+    to four. The other pairs of crowded variants are left for a round with ``whole``:
+    members of crowded variants whose labels differ are marked, in rows that hold
+    ``share`` and ``crowd`` (packed nodes, see ``crowded_nodes``) and no pair. That
+    round returns every pair that shares a variant, differs in its labels and is near
+    by the longer fingerprints ``long`` of such nodes, each from the first table that
+    it meets in. These go once with each block, not with each variant. Rows may repeat
+    a pair that meets in several tables.
     """
-    check_limit = loose_bits(similarity, 32)
+    check_limit, flip_masks = loose_bits(similarity, 32), near_masks(bits)
     parts, tables = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), words * 64 // bits
     part_keys = np.array(partition_keys(nodes.sparkSession, parts), np.int32)
     n_variants = bits + 1 if flips else 1
-    buckets = _bucket_count(nodes, tables * n_variants, parts)
+    n_nodes = nodes.count()
+    buckets, shares = _bucket_count(n_nodes, tables * n_variants, parts), max(1, math.ceil(n_nodes / SHARE))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = near_masks(bits)[:n_variants]
@@ -329,7 +343,7 @@ def table_pairs(nodes: DataFrame, similarity: float = NEAR, words: int = WORDS,
             labels = batch.column(2).to_numpy()[order]
             longs = np.array(batch.column(3).to_pylist(), np.int64).reshape(len(ids), -1)[order] if whole else None
             for at in range(0, len(ids), PACK):
-                all_bits = np.unpackbits(fps[at : at + PACK].astype(">i8").view(np.uint8), axis=1)[:, : tables * bits].reshape(-1, tables, bits).astype(np.uint64)
+                all_bits = _table_bits(fps[at : at + PACK], tables, bits).astype(np.uint64)
                 keys = (all_bits << np.arange(bits, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
                 variants = (keys[:, :, None] ^ every) | (np.arange(tables, dtype=np.uint64) << np.uint64(bits))[None, :, None]
                 own = np.repeat(ids[at : at + PACK], tables * n_variants)
@@ -337,6 +351,7 @@ def table_pairs(nodes: DataFrame, similarity: float = NEAR, words: int = WORDS,
                 check = np.repeat(check.ravel(), n_variants)
                 variants = variants.ravel()
                 bucket = _dealt(variants + np.uint64(1), buckets)
+                variants |= np.tile(np.arange(n_variants, dtype=np.uint64) << FLIP_AT, len(variants) // n_variants)
                 rank = np.argsort(bucket, kind="stable")
                 edges = np.searchsorted(bucket[rank], np.arange(buckets + 1))
                 full = np.flatnonzero(np.diff(edges))
@@ -344,23 +359,50 @@ def table_pairs(nodes: DataFrame, similarity: float = NEAR, words: int = WORDS,
                 behind = np.repeat(ids[at : at + PACK] - labels[at : at + PACK], tables * n_variants)  # mostly zero
                 yield pa.RecordBatch.from_arrays([pa.array(part_keys[full % parts]), pa.array(full), pa.array([_planes(variants[x]) for x in blocks], pa.binary()), pa.array([_planes(np.diff(own[x], prepend=0)) for x in blocks], pa.binary()), pa.array([longs[at : at + PACK][np.unique(x // (tables * n_variants))].tobytes() if whole else check[x].tobytes() for x in blocks], pa.binary()), pa.array([_planes(behind[x]) for x in blocks], pa.binary())], ["part", "bucket", "variants", "nodes", "checks", "labels"])
 
-    def unjoined(starts: np.ndarray, size: np.ndarray, nodes_of: np.ndarray, long_of: np.ndarray, longs: np.ndarray, labels_of: np.ndarray) -> Iterator[np.ndarray]:
-        """Every near pair of each group that differs in its labels."""
-        limit = allowed_bits(similarity, 64 * longs.shape[1])
+    def settled(variants: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Whether a pair that comes to a variant by these flips is settled there."""
+        apart = flip_masks[one] ^ flip_masks[two]
+        return np.where(apart == 0, one == 0, variants < variants ^ apart)
+
+    def unjoined(starts: np.ndarray, size: np.ndarray, variants: np.ndarray, flips_of: np.ndarray, nodes_of: np.ndarray, long_of: np.ndarray, longs: np.ndarray, labels_of: np.ndarray) -> Iterator[np.ndarray]:
+        """Every near pair of each group that differs in its labels and is settled there."""
+        limit, step = allowed_bits(similarity, 64 * longs.shape[1]), COMPARED // longs.shape[1]
+
+        def near(left: np.ndarray, right: np.ndarray) -> Iterator[np.ndarray]:
+            for at in range(0, len(left), step):
+                x, y = left[at : at + step], right[at : at + step]
+                own = (labels_of[x] != labels_of[y]) & settled(variants[x], flips_of[x], flips_of[y])
+                x, y = x[own], y[own]
+                other = longs[long_of[x]] ^ longs[long_of[y]]
+                good = _ones(other).sum(axis=1, dtype=np.int64) <= limit
+                x, y = x[good], y[good]
+                meets = _table_bits(other[good][:, :words].view(np.int64), tables, bits).sum(axis=2) <= 2
+                first = meets.argmax(axis=1) == (variants[x] >> np.uint64(bits)).astype(np.int64)
+                yield np.stack([nodes_of[x[first]], nodes_of[y[first]]])
+
+        every = np.arange(len(variants))
+        for k in range(1, 8):
+            right = every[k:][(variants[k:] == variants[:-k]) & np.repeat(size <= 8, size)[k:]]
+            yield from near(right - k, right)
         apart = np.minimum.reduceat(labels_of, starts) != np.maximum.reduceat(labels_of, starts)
-        for start, n in zip(starts[apart & (size > CROWDED)].tolist(), size[apart & (size > CROWDED)].tolist()):
-            member, long, label = nodes_of[start : start + n], longs[long_of[start : start + n]], labels_of[start : start + n]
-            rows = max(1, COMPARED // (n * longs.shape[1]))
+        for start, n in zip(starts[apart & (size > 8)].tolist(), size[apart & (size > 8)].tolist()):
+            label, rows = labels_of[start : start + n], max(1, step // n)
             for at in range(0, n, rows):
                 i, j = np.nonzero(np.triu(label[at : at + rows, None] != label[None, at:], 1))
-                for some in range(0, len(i), COMPARED // longs.shape[1]):
-                    x, y = i[some : some + COMPARED // longs.shape[1]], j[some : some + COMPARED // longs.shape[1]]
-                    good = _ones(long[at + x] ^ long[at + y]).sum(axis=1, dtype=np.int64) <= limit
-                    yield np.stack([member[at + x[good]], member[at + y[good]]])
+                yield from near(start + at + i, start + at + j)
+
+    def rows(pairs: np.ndarray, marks: list[tuple[int, bytes]] = ()) -> pa.RecordBatch:
+        n, m = pairs.shape[1], len(marks)
+        a, b = (pa.concat_arrays([pa.array(x), pa.nulls(m, pa.int64())]) for x in pairs)
+        share = pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array([k for k, _ in marks], pa.int64())])
+        crowd = pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([v for _, v in marks], pa.binary())])
+        return pa.RecordBatch.from_arrays([a, b, share, crowd], ["a", "b", "share", "crowd"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blocks in _one_at_a_time(batches):
-            variants = np.concatenate([_unplaned(v) for v, _, _, _ in blocks])
+            variants = np.concatenate([_unplaned(v) for v, _, _, _ in blocks]).view(np.uint64)
+            flips_of = (variants >> FLIP_AT).astype(np.uint8)
+            variants &= (np.uint64(1) << FLIP_AT) - np.uint64(1)
             order = np.argsort(variants, kind="stable")
             variants = variants[order]
             same = variants[1:] == variants[:-1]
@@ -372,6 +414,7 @@ def table_pairs(nodes: DataFrame, similarity: float = NEAR, words: int = WORDS,
             labels_of = nodes_of - np.concatenate([_unplaned(x) for _, _, _, x in blocks])[order]
             inner = np.lexsort((nodes_of, variants))
             variants, nodes_of, labels_of, order = variants[inner], nodes_of[inner], labels_of[inner], order[inner]
+            flips_of = flips_of[order]
             first = np.concatenate([[True], variants[1:] != variants[:-1]])
             starts = np.flatnonzero(first)
             size = np.diff(np.append(starts, len(variants)))
@@ -382,22 +425,14 @@ def table_pairs(nodes: DataFrame, similarity: float = NEAR, words: int = WORDS,
                 longs = np.frombuffer(b"".join(c for _, _, c, _ in blocks), np.uint64).reshape(sum(map(len, steps)), -1)
                 bases = np.cumsum([0, *map(len, steps)])
                 long_of = np.concatenate([b + np.searchsorted(s, np.arange(n), side="right") - 1 for b, s, n in zip(bases, steps, sizes)])[order]
-                found, n = [], 0
-                for some in unjoined(starts, size, nodes_of, long_of, longs, labels_of):
-                    found.append(some)
-                    n += some.shape[1]
-                    if n > 1 << 20:
-                        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-                        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-                        found, n = [], 0
-                if n:
-                    pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+                for some in unjoined(starts, size, variants, flips_of, nodes_of, long_of, longs, labels_of):
+                    if some.shape[1]:
+                        yield rows(some)
                 continue
             checks = np.frombuffer(b"".join(c for _, _, c, _ in blocks), np.uint32)[order]
             apart = np.minimum.reduceat(labels_of, starts) != np.maximum.reduceat(labels_of, starts)
             crowd = np.unique(nodes_of[np.repeat(apart & (size > CROWDED), size)]) if flips else nodes_of[:0]  # equal keys meet again within a flip
-            yield pa.RecordBatch.from_arrays([pa.array(crowd), pa.nulls(len(crowd), pa.int64())], ["a", "b"])
+            marks = [(k, v) for k, (v,) in _blocks(_dealt(crowd.view(np.uint64), shares), [crowd], shares)]
             small = np.repeat(size <= 8, size)
             every = np.arange(len(variants))
             left, right = [np.maximum.accumulate(np.where(first, every, 0))], [every]
@@ -407,17 +442,40 @@ def table_pairs(nodes: DataFrame, similarity: float = NEAR, words: int = WORDS,
                 right.append(near)
             left, right = np.concatenate(left), np.concatenate(right)
             good = (_ones(checks[left] ^ checks[right]) <= check_limit) & (labels_of[left] != labels_of[right])
-            pairs = np.unique(np.stack([nodes_of[left[good]], nodes_of[right[good]]]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            left, right = left[good], right[good]
+            own = settled(variants[left], flips_of[left], flips_of[right])
+            yield rows(np.unique(np.stack([nodes_of[left[own]], nodes_of[right[own]]]), axis=1), marks)
 
     blocks = nodes.select("node", "fp", "label", *["long"] * whole).repartition(parts, "node").mapInArrow(emit, "part int, bucket bigint, variants binary, nodes binary, checks binary, labels binary")
-    return blocks.repartition(parts, "part").sortWithinPartitions("bucket").mapInArrow(meet, "a bigint, b bigint").distinct()
+    return blocks.repartition(parts, "part").sortWithinPartitions("bucket").mapInArrow(meet, "a bigint, b bigint, share bigint, crowd binary")
+
+
+def crowded_nodes(met: DataFrame) -> DataFrame:
+    """The distinct nodes ``node`` of the marks in ``table_pairs``; a share of them has a bounded number and is merged by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, seen, more, n = None, np.empty(0, np.int64), [], 0
+        merged = lambda: np.unique(np.concatenate([seen, *more]))
+        packed = lambda nodes: pa.RecordBatch.from_arrays([pa.array(nodes)], ["node"])
+        for batch in batches:
+            for share, crowd in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if share != at:
+                    yield packed(merged())
+                    at, seen, more, n = share, seen[:0], [], 0
+                more.append(np.frombuffer(crowd.as_buffer(), np.int64))
+                n += len(more[-1])
+                if n > 4 * SHARE:
+                    seen, more, n = merged(), [], 0
+        yield packed(merged())
+
+    marks = met.where("crowd is not null").select("share", "crowd")
+    return marks.repartition("share").sortWithinPartitions("share").mapInArrow(run, "node bigint")
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, words: int, id_col: str, text_col: str) -> DataFrame:
     """The ``pairs`` whose sets of shingles have the Jaccard similarity or more; the fingerprints spare the sets of most others."""
     one, two = (nodes.select(F.col("node").alias(f"n{x}"), F.col("fp").alias(f"f{x}"), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    met = pairs.join(one, F.col("a") == F.col("na")).select("b", "na", "fa", "sa").join(two, F.col("b") == F.col("nb"))
+    met = pairs.where("a is not null").select("a", "b").distinct().join(one, F.col("a") == F.col("na")).select("b", "na", "fa", "sa").join(two, F.col("b") == F.col("nb"))
     apart = sum((F.bit_count(F.col("fa")[k].bitwiseXOR(F.col("fb")[k])) for k in range(words)), F.lit(0))
     near = written(met.where(apart <= allowed_bits(similarity, 64 * words)).select("na", "sa", "nb", "sb"), "candidates")
     asked = near.select(F.col("na").alias("n")).unionByName(near.select(F.col("nb").alias("n"))).distinct()
@@ -462,11 +520,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = NEAR,
         return written(some.join(joined, F.col("node") == F.col("_node"), "left").select("node", "fp", F.coalesce("label", "node").alias("label")), "labelled")
 
     # equal keys first: they join most of a group of near copies, whose other meetings then need no look
-    links = linked(written(table_pairs(nodes.withColumn("label", F.col("node")), similarity, words, flips=False), "met", BATCH).where("b is not null"))
+    links = linked(written(table_pairs(nodes.withColumn("label", F.col("node")), similarity, words, flips=False), "met", BATCH))
     met = written(table_pairs(labelled(nodes, connected_components(links)), similarity, words), "met", BATCH)
-    links = links.unionByName(linked(met.where("b is not null")))
+    links = links.unionByName(linked(met))
     label = connected_components(links)
-    crowd = met.where("b is null").select(F.col("a").alias("_crowd"))
+    crowd = written(crowded_nodes(met).withColumnRenamed("node", "_crowd"), "crowd")
     if not crowd.isEmpty():  # what is left of crowded variants are pairs of different labels
         few = written(nodes.join(crowd, F.col("node") == F.col("_crowd"), "left_semi"), "crowded")
         asked = few.select(F.col("first_id").alias("asked_id"))
