@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,10 +14,13 @@ from pyspark.sql import functions as F
 from lexilake.functions import text as T
 from lexilake.functions import vectors as V
 from lexilake.operators.keyword_index import B, K1
+from lexilake.operators.vector_blocks import best_in_blocks
 
 #: A word of the source text with what follows it up to the next.
 WORD_AND_GAP = r"[\p{L}\p{N}\x{300}-\x{36F}]+[^\p{L}\p{N}]*"
 RRF_K, POOL, PAGE, PAGE_MAX = 60, 200, 20, 100
+#: Topics of a block, and how many are few enough to be held by every executor.
+LABEL_BLOCK, LABELS_HELD = 256, 4096
 
 
 def clamped_limit(limit: float | None, default: int = PAGE, most: int = PAGE_MAX) -> int:
@@ -99,12 +103,10 @@ def mean_vectors(chunks: DataFrame) -> DataFrame:
 def neighbours(chunks: DataFrame, means: DataFrame, top: int, prefetch: int | None = None) -> DataFrame:
     """For each item its ``top`` nearest others of the same user by best chunk: item_a, item_b, distance, rn.
 
-    An equi-join on the user; each item's candidates are ranked in their own
+    Blocks of vectors meet, and each item's best of them are ranked in their own
     window. With ``prefetch`` only so many nearest chunks are looked at.
     """
-    left = means.select(F.col("item_id").alias("item_a"), "user_id", "mean")
-    right = chunks.select(F.col("item_id").alias("item_b"), "user_id", "chunk_id", "embedding")
-    near = left.join(right, "user_id").where("item_a <> item_b").select("item_a", "item_b", "chunk_id", V.l2(F.col("embedding"), F.col("mean")).alias("distance"))
+    near = best_in_blocks(chunks, means, top, prefetch)
     if prefetch:
         order = W.partitionBy("item_a").orderBy("distance", "chunk_id")
         near = near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= prefetch)
@@ -116,11 +118,17 @@ def neighbours(chunks: DataFrame, means: DataFrame, top: int, prefetch: int | No
 def nearest_label(queries: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     """Each query vector's nearest label by cosine distance, if within the threshold; else a new one.
 
-    ``labels`` (label, vector) is a dimension of topics. No hint is given: it is
-    broadcast if its size is known to be below the session's threshold.
+    ``labels`` (label, vector) is a dimension of topics, packed into blocks: a query
+    meets each block once and takes the best of it. The blocks are broadcast if they
+    are counted to be few.
     """
-    near = queries.crossJoin(labels).select("query_id", "label", V.cosine_distance(F.col("query_vector"), F.col("vector")).alias("distance"))
-    best = near.groupBy("query_id").agg(F.min(F.struct("distance", "label")).alias("best"))
+    n = labels.count()
+    blocks = max(1, math.ceil(n / LABEL_BLOCK))
+    packed = labels.groupBy(F.pmod(F.xxhash64("label"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("label", "vector")).alias("labels"))
+    asked = queries.select("query_id", "query_vector", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"))
+    near = asked.join(F.broadcast(packed) if n <= LABELS_HELD else packed, "block")
+    each = F.transform("labels", lambda x: F.struct(V.cosine_distance(F.col("query_vector"), x["vector"]).alias("distance"), x["label"].alias("label")))
+    best = near.select("query_id", F.array_min(each).alias("best")).groupBy("query_id").agg(F.min("best").alias("best"))
     return best.select("query_id", F.col("best.distance").alias("distance"), F.when(F.col("best.distance") <= threshold, F.col("best.label")).alias("label"))
 
 

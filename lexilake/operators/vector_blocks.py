@@ -1,0 +1,100 @@
+"""Exact nearest chunks of many items at once, by blocks of vectors.
+
+No pair of rows is ever a row. The vectors of a user are packed into blocks of
+bounded size; a block of items meets each block of chunks, a matrix product sifts
+them, and only each item's best of the block leave it. What is sifted out is
+farther than the last that stays by more than the product's error, and those that
+stay are measured by the same sum, in the same order, as ``functions.vectors.l2``.
+A hot user is many blocks of items, which go to tasks of their own.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Vectors of a block, and products that are looked at together.
+BLOCK, AT_ONCE = 4096, 1 << 21
+#: Far above the error of a product of doubles, for vectors of length one.
+ERROR = 1e-9
+
+
+def _block_counts(rows: DataFrame, name: str) -> DataFrame:
+    return rows.groupBy("user_id").agg(F.ceil(F.count("*") / BLOCK).alias(name))
+
+
+def _packed(rows: DataFrame, ids: list[str], vector: str, block: str, held: str) -> DataFrame:
+    """``user_id``, number of the block and its rows as an array of structs."""
+    dealt = rows.join(_block_counts(rows, "blocks"), "user_id").withColumn(block, F.pmod(F.xxhash64(*ids), F.col("blocks")))
+    own = F.struct(*ids, F.transform(vector, lambda x: x.cast("double")).alias("vector"))
+    return dealt.groupBy("user_id", block).agg(F.collect_list(own).alias(held))
+
+
+def _opened(block: pa.ListScalar) -> tuple[list[pa.Array], np.ndarray]:
+    *ids, vectors = block.values.flatten()
+    return ids, vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+
+
+def _ranks(ids: pa.Array) -> np.ndarray:
+    return np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+
+
+def _within(group: np.ndarray) -> np.ndarray:
+    """The position of each row in its run of equal values."""
+    first = np.concatenate([[True], group[1:] != group[:-1]])
+    return np.arange(len(group)) - np.maximum.accumulate(np.where(first, np.arange(len(group)), 0))
+
+
+def best_in_blocks(chunks: DataFrame, means: DataFrame, top: int, prefetch: int | None = None) -> DataFrame:
+    """item_a, item_b, chunk_id, distance: of each pair of blocks what may be among an item's nearest of the same user.
+
+    With ``prefetch`` that many chunks, by distance and chunk_id; without, the best
+    chunks of the ``top`` nearest items, by distance and item_id. An item's own
+    chunks are left out, and so are null vectors and null users.
+    """
+    kinds = {n: chunks.schema[n].dataType.simpleString() for n in ("item_id", "chunk_id")}
+    left = means.where("mean is not null and user_id is not null")
+    right = chunks.where("embedding is not null and user_id is not null")
+    asked = _packed(left, ["item_id"], "mean", "asked_block", "asked")
+    held = _packed(right, ["item_id", "chunk_id"], "embedding", "held_block", "held").join(_block_counts(left, "asked_blocks"), "user_id")
+    held = held.select("user_id", "held", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("asked_blocks") - 1)).alias("asked_block"))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for asked, held in zip(batch.column(0), batch.column(1)):
+                (items,), q = _opened(asked)
+                (others, chunk_ids), c = _opened(held)
+                order = np.argsort(_ranks(others), kind="stable")
+                others, chunk_ids, c = others.take(pa.array(order)), chunk_ids.take(pa.array(order)), c[order]
+                both = _ranks(pa.concat_arrays([items, others]))
+                mine, theirs, chunk_rank = both[: len(items)], both[len(items) :], _ranks(chunk_ids)
+                starts = np.flatnonzero(np.concatenate([[True], theirs[1:] != theirs[:-1]]))
+                q2, c2 = (q * q).sum(axis=1), (c * c).sum(axis=1)
+                slack = ERROR * (1 + q2.max() + c2.max())
+                step = max(1, AT_ONCE // len(c))
+                for at in range(0, len(q), step):
+                    near = q2[at : at + step, None] + c2 - 2 * (q[at : at + step] @ c.T)
+                    near[mine[at : at + step, None] == theirs] = np.inf
+                    judged = near if prefetch else np.minimum.reduceat(near, starts, axis=1)
+                    k = min(prefetch or top, judged.shape[1])
+                    limit = np.partition(judged, k - 1, axis=1)[:, k - 1 : k] + slack
+                    i, j = np.nonzero((near <= limit) & np.isfinite(near))
+                    exact = np.zeros(len(i))
+                    for d in range(q.shape[1]):
+                        exact += (c[j, d] - q[at + i, d]) ** 2
+                    exact = np.sqrt(exact)
+                    if not prefetch:  # the best chunk of each item
+                        rank = np.lexsort((chunk_rank[j], exact, theirs[j], i))
+                        rank = rank[_within(i[rank] * len(both) + theirs[j[rank]]) == 0]
+                        i, j, exact = i[rank], j[rank], exact[rank]
+                    rank = np.lexsort((chunk_rank[j] if prefetch else theirs[j], exact, i))
+                    rank = rank[_within(i[rank]) < k]
+                    i, j = pa.array(at + i[rank]), pa.array(j[rank])
+                    yield pa.RecordBatch.from_arrays([items.take(i), others.take(j), chunk_ids.take(j), pa.array(exact[rank])], ["item_a", "item_b", "chunk_id", "distance"])
+
+    met = asked.join(held, ["user_id", "asked_block"]).select("asked", "held")
+    return met.mapInArrow(best, f"item_a {kinds['item_id']}, item_b {kinds['item_id']}, chunk_id {kinds['chunk_id']}, distance double")

@@ -1,0 +1,67 @@
+"""Nearest neighbours by blocks against every pair worked out in numpy."""
+
+import numpy as np
+import pytest
+
+from lexilake.operators import search as S
+from lexilake.operators import vector_blocks as B
+
+CHUNKS = "item_id bigint, user_id bigint, chunk_id bigint, embedding array<float>"
+
+
+def _rows(n_items=40, dims=6, seed=5):
+    rng = np.random.default_rng(seed)
+    rows, chunk = [], 0
+    for item in range(n_items):
+        for _ in range(rng.choice([1, 2, 4])):  # so that means are exact
+            vector = [float(np.float32(x)) for x in rng.integers(-2, 3, dims)]  # whole numbers: many ties
+            rows.append((item, 1 if item < 30 else 2, chunk, vector))
+            chunk += 1
+    return rows
+
+
+def _brute(rows, top, prefetch):
+    items = sorted({(r[0], r[1]) for r in rows})
+    out = set()
+    for item, user in items:
+        mean = np.mean([r[3] for r in rows if r[0] == item], axis=0)
+        far = sorted((float(np.sqrt(((np.array(r[3]) - mean) ** 2).sum())), r[2], r[0]) for r in rows if r[1] == user and r[0] != item)
+        best = {}
+        for distance, _, other in far[:prefetch] if prefetch else far:
+            best[other] = min(best.get(other, np.inf), distance)
+        for rn, (other, distance) in enumerate(sorted(best.items(), key=lambda x: (x[1], x[0]))[:top], 1):
+            out.add((item, other, round(distance, 6), rn))
+    return out
+
+
+@pytest.mark.parametrize("prefetch", [None, 9])
+@pytest.mark.parametrize("block", [7, 4096])
+def test_neighbours_equal_every_pair(spark, monkeypatch, prefetch, block):
+    monkeypatch.setattr(B, "BLOCK", block)
+    rows = _rows()
+    chunks = spark.createDataFrame(rows, CHUNKS)
+    got = S.neighbours(chunks, S.mean_vectors(chunks), 4, prefetch)
+    assert {(r["item_a"], r["item_b"], round(r["distance"], 6), r["rn"]) for r in got.collect()} == _brute(rows, 4, prefetch)
+
+
+def test_nulls_a_lone_item_and_an_empty_table(spark):
+    rows = [(1, 1, 1, [1.0, 0.0]), (2, 2, 2, [1.0, 0.0]), (3, None, 3, [1.0, 0.0]), (4, 1, 4, None)]
+    for some in (rows, []):
+        chunks = spark.createDataFrame(some, CHUNKS)
+        assert S.neighbours(chunks, S.mean_vectors(chunks), 3).collect() == []
+
+
+def test_pairs_of_rows_are_never_joined(spark):
+    chunks = spark.createDataFrame(_rows(6), CHUNKS)
+    plan = S.neighbours(chunks, S.mean_vectors(chunks), 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join Cross" not in plan
+
+
+def test_nearest_label_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(S, "LABEL_BLOCK", 2)
+    monkeypatch.setattr(S, "LABELS_HELD", 3)
+    labels = [(f"l{k}", [float(k == d) for d in range(5)]) for k in range(5)]
+    queries = [(k, labels[k][1]) for k in range(5)] + [(9, [1.0, 1.0, 0.0, 0.0, 0.0])]
+    q = spark.createDataFrame(queries, "query_id bigint, query_vector array<double>")
+    got = S.nearest_label(q, spark.createDataFrame(labels, "label string, vector array<double>"), 0.5)
+    assert {r["query_id"]: r["label"] for r in got.collect()} == {0: "l0", 1: "l1", 2: "l2", 3: "l3", 4: "l4", 9: "l0"}
