@@ -96,6 +96,22 @@ def list_page(items: DataFrame, sort: str = "newest", limit: int = 20, cursor: t
     return items.withColumn("sort_value", key).orderBy(*order).limit(limit + 1)
 
 
+def built_page(items: DataFrame, sort: str = "newest", limit: int = 20, cursor: tuple[int, int] | None = None) -> DataFrame:
+    """The page itself: ``has_more`` on every row and, if there is more, ``next_value`` and ``next_id`` of its last row.
+
+    The windows are over one row more than the page, never over the table.
+    """
+    rows = list_page(items, sort, limit, cursor)
+    rising = SORTS[sort][2]
+    order = W.orderBy(*((F.asc(c) if rising else F.desc(c)) for c in ("sort_value", "item_id")))
+    every = W.partitionBy(F.lit(0))
+    page = rows.withColumn("position", F.row_number().over(order)).withColumn("has_more", F.count("*").over(every) > limit)
+    last = page.where(F.col("position") <= limit)
+    for name, column in (("next_value", "sort_value"), ("next_id", "item_id")):
+        last = last.withColumn(name, F.when(F.col("has_more"), F.max_by(column, "position").over(every)))
+    return last.orderBy("position")
+
+
 def related_counts(edges: DataFrame) -> DataFrame:
     """Edges that touch each item: item_id, n_related. Both ends by an explode, so the join stays an equi-join."""
     return edges.select(F.explode(F.array("item_a", "item_b")).alias("item_id")).groupBy("item_id").agg(F.count("*").alias("n_related"))
