@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexilake.llm import chat, suffixes
+from lexilake.llm import chat, divergence, suffixes
 
 #: Windows are worked out again, as the number of formatted characters depends on them.
 OP1 = f"""
@@ -54,3 +54,52 @@ SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed,
   sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
 FROM d LEFT JOIN z USING (doc_id)
 """
+
+#: Every term against every pair of sources, zero counts included.
+OP11 = f"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+r AS (SELECT row_number() OVER () AS id, * FROM d),
+t AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM r),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT id) AS docs FROM t GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term HAVING sum(docs) >= {divergence.MIN_DOCUMENTS}),
+l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+g AS (SELECT lang, source, coalesce(v, 0) AS v, coalesce(l.total, 0) AS lang_total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN l USING (lang)),
+x AS (SELECT g.*, term, k.n AS lang_n, coalesce(c.n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+s AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS total FROM x),
+p AS (
+  SELECT lang, source, term, n, 1 + ({divergence.UNIT}::HUGEINT * (n + {divergence.SMOOTH})::HUGEINT) // (total + {divergence.SMOOTH} * v)::HUGEINT AS p,
+    1 + ({divergence.UNIT}::HUGEINT * (lang_n + {divergence.SMOOTH})::HUGEINT) // (lang_total + {divergence.SMOOTH} * v)::HUGEINT AS q FROM s),
+pairs AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (SELECT a.lang, a.source, b.source AS item FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+u AS (
+  SELECT lang, source, 'pair' AS part, item, coalesce(value, 0) AS value FROM every LEFT JOIN pairs USING (lang, source, item)
+  UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u)
+SELECT * FROM o WHERE part = 'pair' OR rank <= {divergence.TOP_TERMS}
+"""
+
+
+def _whole(scale: int, label: str = "0", where: str = "true") -> str:
+    """Rows that take part, component by component."""
+    return f"""
+SELECT vec_id, {label} AS label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND {where} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+
+_PRODUCT = "CAST(list_sum(list_transform(list_zip({0}.v, {1}.v), lambda z: z[1] * z[2])) AS BIGINT)"
+
+OP12 = f"""
+WITH w AS ({_whole(256, "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END", "label IS NOT NULL")}),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, {_PRODUCT.format("a", "b")} AS score FROM w a JOIN w b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER o AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW o AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER o <= 3
+"""
+
+OP13 = f"""
+WITH w AS ({_whole(1024)}),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, {_PRODUCT.format("q", "c")} AS score FROM w q JOIN w c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER o AS INTEGER) AS rank, vec_id, score FROM s
+WINDOW o AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER o <= 10
+"""

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexilake.llm import bpe, chat, decontaminate, oracle, pii, qda, quality, simhash, suffixes, urls, warc
+from lexilake.llm import bpe, chat, decontaminate, divergence, nearest, negatives, oracle, pii, qda, quality, simhash, suffixes, urls, warc
 from lexilake.llm.common import table
 
 #: The tokenizer file of op8 and of the pipeline's last stage.
@@ -133,6 +133,20 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest.exact_top_k(rows, rows.where("vec_id % 100 = 0"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_suffix_dedup": op6_suffix_dedup,
     "op3_warc_round_trip": op3_warc_round_trip,
@@ -144,6 +158,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op8_bpe_automaton": op8_bpe_automaton,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_exact_top_k": op13_exact_top_k,
 }
 
 ORACLE: dict[str, str] = {
@@ -152,4 +169,7 @@ ORACLE: dict[str, str] = {
     "op6_suffix_dedup": oracle.OP6,
     "op4_quality_rules": OP4_SQL,
     "op10_decontamination": OP10_SQL,
+    "op11_source_divergence": oracle.OP11,
+    "op12_hard_negatives": oracle.OP12,
+    "op13_exact_top_k": oracle.OP13,
 }
