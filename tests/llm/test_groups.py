@@ -297,8 +297,9 @@ def test_crowded_variants_are_compared_whole(spark):
         near = (rows[:j] != rows[j]).sum(axis=1) <= 81
         want |= {(int(i), j) for i in np.flatnonzero((meet & check).any(axis=1) & near)}
     nodes = spark.createDataFrame([(k, f, k) for k, f in enumerate(fps.tolist())], "node bigint, fp array<bigint>, label bigint")
-    first = [tuple(r) for r in simhash.table_pairs(nodes).select("a", "b").collect()]
-    crowd = {a for a, b in first if b is None}
+    met = simhash.table_pairs(nodes)
+    first = [tuple(r) for r in met.where("a is not null").select("a", "b").collect()]
+    crowd = {r["node"] for r in simhash.crowded_nodes(met).collect()}
     alone = nodes.where(nodes.node.isin(sorted(crowd))).selectExpr("node", "fp", "node as label", "fp as long")
     second = {(r["a"], r["b"]) for r in simhash.table_pairs(alone, whole=True).collect()}
     assert len(want - set(first)) > 10  # the first round alone leaves some out
