@@ -1,17 +1,13 @@
 """The stored keyword index: built once, read by prefix range, kept up batch by batch.
 
-Three tables under one path, each in generations (``gen=0`` is the build, ``gen=k``
-the k-th batch of changes):
+Three tables under one path, in generations (``sources.generations``):
 
 * ``postings``: term, item_id, tf, dl (the item's number of tokens), in ranges of the
   term and sorted by it, so that a prefix reaches the scan as a filter on row groups;
 * ``touched``: the items that a batch replaced or removed;
-* ``stats``: one row with the number of items and tokens after the batch, written
-  last: a generation without it does not exist for readers, and a batch that is
-  run again writes the same generation over.
+* ``stats``: one row with the number of items and tokens after the batch.
 
-An item's rows count if no later generation touched it. Ranges are of term and
-item, so a term that every item has is no single task's work.
+Ranges are of term and item, so a term that every item has is no single task's work.
 """
 
 from __future__ import annotations
@@ -22,10 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexilake.functions import text as T
+from lexilake.sources import generations as G
 
 K1, B = 1.2, 0.75
-#: Row groups are the grain at which a prefix is looked up.
-GROUP_BYTES = 16 << 20
 
 
 def postings(items: DataFrame) -> DataFrame:
@@ -34,12 +29,8 @@ def postings(items: DataFrame) -> DataFrame:
     return each.groupBy("term", "item_id").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
 
 
-def _write(df: DataFrame, path: str, table: str, gen: int) -> None:
-    df.write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).parquet(f"{path}/{table}/gen={gen}")
-
-
 def _write_postings(items: DataFrame, path: str, gen: int) -> None:
-    _write(postings(items).repartitionByRange("term", "item_id").sortWithinPartitions("term", "item_id"), path, "postings", gen)
+    G.write(postings(items).repartitionByRange("term", "item_id").sortWithinPartitions("term", "item_id"), path, "postings", gen)
 
 
 def _sizes(items: DataFrame) -> DataFrame:
@@ -49,28 +40,14 @@ def _sizes(items: DataFrame) -> DataFrame:
 def build(items: DataFrame, path: str) -> None:
     """Write the index of all items (``item_id``, a key, and ``tokens``) to an empty ``path``. Items without tokens count as items."""
     _write_postings(items, path, 0)
-    _write(items.select("item_id").limit(0), path, "touched", 0)
-    _write(_sizes(items), path, "stats", 0)
-
-
-def last_generation(spark: SparkSession, path: str, before: int | None = None) -> int:
-    gens = spark.read.parquet(f"{path}/stats").select("gen")
-    return (gens if before is None else gens.where(F.col("gen") < before)).agg(F.max("gen")).head()[0]
-
-
-def _live(spark: SparkSession, path: str, upto: int) -> DataFrame:
-    rows = spark.read.parquet(f"{path}/postings").where(F.col("gen") <= upto)
-    if upto == 0:
-        return rows.drop("gen")
-    late = spark.read.parquet(f"{path}/touched").where(F.col("gen") <= upto).groupBy("item_id").agg(F.max("gen").alias("late"))
-    return rows.join(late, "item_id", "left").where(F.col("late").isNull() | (F.col("gen") >= F.col("late"))).drop("gen", "late")
+    G.write(items.select("item_id").limit(0), path, "touched", 0)
+    G.write(_sizes(items), path, "stats", 0)
 
 
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The live postings, and the one row of statistics: n, avgdl."""
-    gen = last_generation(spark, path)
-    stats = spark.read.parquet(f"{path}/stats").where(F.col("gen") == gen)
-    return _live(spark, path, gen), stats.select("n", (F.col("total") / F.greatest("n", F.lit(1))).alias("avgdl"))
+    gen = G.last(spark, path)
+    return G.live(spark, path, "postings", gen), G.stats(spark, path, gen).select("n", (F.col("total") / F.greatest("n", F.lit(1))).alias("avgdl"))
 
 
 def apply_batch(spark: SparkSession, path: str, before: DataFrame, after: DataFrame, batch: int) -> None:
@@ -79,20 +56,20 @@ def apply_batch(spark: SparkSession, path: str, before: DataFrame, after: DataFr
     failed half-way or comes twice leaves the same generation.
     """
     gen = batch + 1
-    was = spark.read.parquet(f"{path}/stats").where(F.col("gen") == last_generation(spark, path, gen)).select("n", "total")
+    was = G.stats(spark, path, G.last(spark, path, gen)).select("n", "total")
     minus = _sizes(before).select((-F.col("n")).alias("n"), (-F.col("total")).alias("total"))
     now = was.unionByName(minus).unionByName(_sizes(after)).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     _write_postings(after, path, gen)
-    _write(before.select("item_id").unionByName(after.select("item_id")).distinct(), path, "touched", gen)
-    _write(now, path, "stats", gen)
+    G.write(before.select("item_id").unionByName(after.select("item_id")).distinct(), path, "touched", gen)
+    G.write(now, path, "stats", gen)
 
 
 def compact(spark: SparkSession, path: str, to: str) -> None:
     """Write the live rows as generation 0 of a new path; readers move there when it is done."""
     rows, _ = read(spark, path)
-    _write(rows.repartitionByRange("term", "item_id").sortWithinPartitions("term", "item_id"), to, "postings", 0)
-    _write(rows.select("item_id").limit(0), to, "touched", 0)
-    _write(spark.read.parquet(f"{path}/stats").where(F.col("gen") == last_generation(spark, path)).select("n", "total"), to, "stats", 0)
+    G.write(rows.repartitionByRange("term", "item_id").sortWithinPartitions("term", "item_id"), to, "postings", 0)
+    G.write(rows.select("item_id").limit(0), to, "touched", 0)
+    G.write(G.stats(spark, path, G.last(spark, path)).select("n", "total"), to, "stats", 0)
 
 
 def _weight(f: Column, df: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lexilake.functions import vectors as V
 from lexilake.operators import search as S
+from lexilake.operators import vector_index as I
 
 MAX_EDGES, THRESHOLD = 5, 0.9
 PENDING, PENDING_NEIGHBOURS = 20, 5
@@ -17,13 +18,13 @@ def normalised(pairs: DataFrame, a: str = "item_a", b: str = "item_b") -> DataFr
     return pairs.withColumn("_a", F.least(a, b)).withColumn("_b", F.greatest(a, b)).drop(a, b).withColumnsRenamed({"_a": "item_a", "_b": "item_b"})
 
 
-def edges(chunks: DataFrame, threshold: float = THRESHOLD, top: int = MAX_EDGES) -> DataFrame:
+def edges(index: I.VectorIndex, threshold: float = THRESHOLD, top: int = MAX_EDGES) -> DataFrame:
     """item_a < item_b, type, score: each item's nearest others within the threshold.
 
     A pair found from both ends keeps the score of the end with the smaller id,
     which is the one that would have been inserted first.
     """
-    near = S.neighbours(chunks, S.mean_vectors(chunks), top, prefetch=max(4 * top, 20)).where(F.col("distance") <= threshold)
+    near = I.neighbours(index, S.mean_vectors(index.rows), top, prefetch=max(4 * top, 20), within=threshold).where(F.col("distance") <= threshold)
     pairs = near.select(F.least("item_a", "item_b").alias("a"), F.greatest("item_a", "item_b").alias("b"), F.struct(F.col("item_a").alias("src"), "distance").alias("found"))
     one = pairs.groupBy("a", "b").agg(F.min("found").alias("found"))
     return one.select(F.col("a").alias("item_a"), F.col("b").alias("item_b"), F.lit("similar").alias("type"), V.linear_score(F.col("found.distance")).alias("score"))
@@ -36,9 +37,9 @@ def relations_of(all_edges: DataFrame, item_id: int) -> DataFrame:
     return mine.select(other.alias("item_id"), "type", "score").orderBy(F.desc("score"), "item_id")
 
 
-def pending_pairs(chunks: DataFrame, known: DataFrame, most: int = PENDING, top: int = PENDING_NEIGHBOURS) -> DataFrame:
+def pending_pairs(index: I.VectorIndex, known: DataFrame, most: int = PENDING, top: int = PENDING_NEIGHBOURS) -> DataFrame:
     """The first pairs without a label, walking items by id and their neighbours by distance."""
-    near = S.neighbours(chunks, S.mean_vectors(chunks), top)
+    near = I.neighbours(index, S.mean_vectors(index.rows), top)
     pairs = near.select(F.least("item_a", "item_b").alias("a"), F.greatest("item_a", "item_b").alias("b"), F.struct("item_a", "rn", "distance").alias("met"))
     first = pairs.groupBy("a", "b").agg(F.min("met").alias("met")).withColumnsRenamed({"a": "item_a", "b": "item_b"})
     fresh = first.join(known.select("item_a", "item_b"), ["item_a", "item_b"], "left_anti")

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from lexilake.functions import text as T
 from lexilake.functions import vectors as V
 from lexilake.operators.keyword_index import B, K1
-from lexilake.operators.vector_blocks import best_in_blocks
 
 #: A word of the source text with what follows it up to the next.
 WORD_AND_GAP = r"[\p{L}\p{N}\x{300}-\x{36F}]+[^\p{L}\p{N}]*"
@@ -79,7 +78,7 @@ def keyword_snippet(columns: list[str], tokens: list[str], most: int = 24) -> Co
 
 
 def nearest_items(chunks: DataFrame, query: Column, limit: int) -> DataFrame:
-    """The nearest items by their best chunk: item_id, chunk_id, distance.
+    """The nearest items by their best chunk, without an index: item_id, chunk_id, distance.
 
     Exact over all (already scoped) ``chunks``; ties in distance go to the smaller chunk, then item.
     """
@@ -100,21 +99,6 @@ def mean_vectors(chunks: DataFrame) -> DataFrame:
     return each.groupBy("item_id", "user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("mean"))
 
 
-def neighbours(chunks: DataFrame, means: DataFrame, top: int, prefetch: int | None = None) -> DataFrame:
-    """For each item its ``top`` nearest others of the same user by best chunk: item_a, item_b, distance, rn.
-
-    Blocks of vectors meet, and each item's best of them are ranked in their own
-    window. With ``prefetch`` only so many nearest chunks are looked at.
-    """
-    near = best_in_blocks(chunks, means, top, prefetch)
-    if prefetch:
-        order = W.partitionBy("item_a").orderBy("distance", "chunk_id")
-        near = near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= prefetch)
-    best = near.groupBy("item_a", "item_b").agg(F.min("distance").alias("distance"))
-    rank = W.partitionBy("item_a").orderBy("distance", "item_b")
-    return best.withColumn("rn", F.row_number().over(rank)).where(F.col("rn") <= top)
-
-
 def nearest_label(queries: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     """Each query vector's nearest label by cosine distance, if within the threshold; else a new one.
 

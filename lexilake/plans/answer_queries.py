@@ -13,6 +13,8 @@ from lexilake.operators import evals as E
 from lexilake.operators import library as L
 from lexilake.operators import rag as R
 from lexilake.operators import search as S
+from lexilake.operators import vector_index as I
+from lexilake.plans.search_queries import vector_index
 from lexilake.sources import tables as D
 from lexilake.sources.tables import with_views
 from lexilake.streaming import folds as X
@@ -37,9 +39,7 @@ def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rag_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best items of each user by distance with their first chunks."""
     q = D.raw(spark, sf_dir, "embeddings").where("vec_id = 1").head()["embedding"]
-    from lexilake.functions import vectors as V
-
-    near = S.nearest_items(D.chunk_vectors(spark, sf_dir).where("user_id = 3"), V.literal(q), R.ITEMS)
+    near, _ = I.nearest_items(vector_index(spark, sf_dir), q, 3, R.ITEMS)
     chunks = R.leading_chunks(D.chunk_vectors(spark, sf_dir).select("item_id", F.col("chunk_id").alias("ord")), 2)
     return chunks.join(near.select("item_id", F.round("distance", 6).alias("distance")), "item_id").select("item_id", F.col("ord").alias("chunk_id"), "distance")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexilake.operators import library as L
 from lexilake.operators import relations as R
+from lexilake.plans.search_queries import vector_index
 from lexilake.sources import tables as D
 from lexilake.sources.tables import with_views
 
@@ -68,7 +69,7 @@ def items_keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.edges(D.chunk_vectors(spark, sf_dir), EDGE)
+    return R.edges(vector_index(spark, sf_dir), EDGE)
 
 
 def items_most_related(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +175,7 @@ def relations_of_item(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pending_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = _edges(spark, sf_dir).where("(item_a + item_b) % 3 = 0")
-    return R.pending_pairs(D.chunk_vectors(spark, sf_dir).where(F.col("user_id") == USER), known).withColumn("distance", F.round("distance", 6))
+    return R.pending_pairs(vector_index(spark, sf_dir).of_user(USER), known).withColumn("distance", F.round("distance", 6))
 
 
 def labeled_pairs_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from lexilake.functions import text as T
 from lexilake.functions import vectors as V
 from lexilake.operators import keyword_index as K
 from lexilake.operators import search as S
+from lexilake.operators import vector_index as I
 from lexilake.sources import stored, tables
 from lexilake.sources.tables import with_views
 
@@ -24,28 +27,34 @@ def _asked(spark: SparkSession, sf_dir: str) -> list[str]:
     return row["t"] if row else []
 
 
-def _query_vector(spark: SparkSession, sf_dir: str):
-    row = tables.raw(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").head()
-    return V.literal(row["embedding"])
+def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
+    return tables.raw(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").head()["embedding"]
 
 
 #: Where the index of a table stands, by session, files and their fingerprint.
 _BUILT: dict[tuple, str] = {}
 
 
+def _built(spark: SparkSession, path: str, name: str, build: Callable[[str], None]) -> str:
+    """The stored index over a table, built by the first query that needs it and again when the table's files change."""
+    key = (spark.sparkContext.applicationId, path, *stored.fingerprint(spark, path))
+    if key not in _BUILT:
+        where = stored.fresh_path(spark, name)
+        build(where)
+        _BUILT[key] = where
+    return _BUILT[key]
+
+
 def tokenized_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.tokenized(tables.items(spark, sf_dir), "title", "lang", "source", "content")
 
 
 def index_path(spark: SparkSession, sf_dir: str) -> str:
-    """The stored index over all items, built by the first query that needs it and again when the table's files change."""
-    path = f"{sf_dir}/documents.parquet"
-    key = (spark.sparkContext.applicationId, path, *stored.fingerprint(spark, path))
-    if key not in _BUILT:
-        where = stored.fresh_path(spark, "keyword-index")
-        K.build(tokenized_items(spark, sf_dir).select("item_id", "tokens"), where)
-        _BUILT[key] = where
-    return _BUILT[key]
+    return _built(spark, f"{sf_dir}/documents.parquet", "keyword-index", lambda where: K.build(tokenized_items(spark, sf_dir).select("item_id", "tokens"), where))
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> I.VectorIndex:
+    return I.read(spark, _built(spark, f"{sf_dir}/embeddings.parquet", "vector-index", lambda where: I.build(tables.chunk_vectors(spark, sf_dir), where)))
 
 
 def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -88,23 +97,22 @@ def fts_index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_l2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = tables.chunk_vectors(spark, sf_dir).select("chunk_id", "item_id", V.l2(F.col("embedding"), _query_vector(spark, sf_dir)).alias("distance"))
+    chunks = tables.chunk_vectors(spark, sf_dir).select("chunk_id", "item_id", V.l2(F.col("embedding"), V.literal(query_vector(spark, sf_dir))).alias("distance"))
     return chunks.orderBy("distance", "chunk_id").limit(10).select("chunk_id", "item_id", F.round("distance", 6).alias("distance"))
 
 
 def knn_dedupe_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = tables.chunk_vectors(spark, sf_dir).where((F.col("user_id") == USER) & (F.col("item_id") != 0))
-    near = S.nearest_items(chunks, _query_vector(spark, sf_dir), 10)
+    near, _ = I.nearest_items(vector_index(spark, sf_dir), query_vector(spark, sf_dir), USER, 10, lambda rows: rows.where("item_id <> 0"))
     return near.select("item_id", "chunk_id", F.round("distance", 6).alias("distance"))
 
 
 def knn_prefetch_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = tables.chunk_vectors(spark, sf_dir).where((F.col("user_id") == USER) & (F.col("item_id") != 0))
-    return S.nearest_prefetched(chunks, _query_vector(spark, sf_dir), 5).select("item_id", F.round("distance", 6).alias("distance"))
+    near, _ = I.nearest_chunks(vector_index(spark, sf_dir), query_vector(spark, sf_dir), USER, 20, lambda rows: rows.where("item_id <> 0"))
+    return near.groupBy("item_id").agg(F.min("distance").alias("distance")).orderBy("distance", "item_id").limit(5).select("item_id", F.round("distance", 6).alias("distance"))
 
 
 def vector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = _query_vector(spark, sf_dir)
+    q = V.literal(query_vector(spark, sf_dir))
     chunks = tables.chunk_vectors(spark, sf_dir).select("chunk_id", V.l2(F.col("embedding"), q).alias("d"), V.cosine_similarity(F.col("embedding"), q).alias("cosine"))
     return chunks.select("chunk_id", F.round(V.linear_score(F.col("d")), 6).alias("linear"), F.round(V.reciprocal_score(F.col("d")), 6).alias("reciprocal"), F.round("cosine", 6).alias("cosine"))
 
@@ -125,8 +133,8 @@ def cosine_nearest_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _rankings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     keyword = _hits(spark, sf_dir).select("item_id", F.round("rank", 9).alias("rank"))
     items = tables.items(spark, sf_dir).where(F.col("user_id") == USER).select("item_id")
-    chunks = tables.chunk_vectors(spark, sf_dir).where(F.col("user_id") == USER).join(items, "item_id", "left_semi")
-    vector = S.nearest_items(chunks, _query_vector(spark, sf_dir), S.POOL).withColumn("distance", F.round("distance", 9))
+    vector, _ = I.nearest_items(vector_index(spark, sf_dir), query_vector(spark, sf_dir), USER, S.POOL, lambda rows: rows.join(items, "item_id", "left_semi"))
+    vector = vector.withColumn("distance", F.round("distance", 9))
     return keyword, vector
 
 
