@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from lexilake.plans.search_queries import vector_index
 from lexilake.sources import tables as D
 from lexilake.sources.tables import with_views
 from lexilake.streaming import folds as X
+from lexilake.streaming import scans as Y
 from lexilake.streaming import sources as Z
 
 #: Limits of the registered queries, which the test events reach; the defaults are in the operators.
@@ -143,17 +145,16 @@ def daily_budget_single_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def daily_budget_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _jobs(spark, sf_dir).withColumn("day", F.floor(F.col("ms") / 86_400_000)).withColumn("lane", F.when(F.col("event_type") == "purchase", "interactive").otherwise("background"))
-    out = X.folded(own, "day", ["ms", "lane"], lambda s, ms, lane: X.budget_lane(s, ms, lane, CAP, RESERVE), "ok boolean, remaining bigint")
-    return out.select("event_id", "ok", "remaining")
+    return Y.budget_lanes(own, "day", CAP, RESERVE).select("event_id", "ok", "remaining")
 
 
 def fixed_window_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = X.folded(_jobs(spark, sf_dir), "user_id", ["ms"], lambda s, ms: X.fixed_window(s, ms, PER_WINDOW, WINDOW_MS), "allowed boolean, retry_after_sec bigint")
+    out = Y.fixed_window(_jobs(spark, sf_dir), "user_id", PER_WINDOW, WINDOW_MS)
     return out.select("event_id", "user_id", "allowed", "retry_after_sec")
 
 
 def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = X.folded(_jobs(spark, sf_dir), "user_id", ["ms"], lambda s, ms: X.token_bucket(s, ms, 2.0, 1.0 / 1440), "at bigint, tokens double")
+    out = Y.token_bucket(_jobs(spark, sf_dir), "user_id", 2, Fraction(1, 1440))
     return out.select("event_id", "user_id", "at", F.round("tokens", 6).alias("tokens"))
 
 
@@ -215,6 +216,9 @@ QUERIES = {f.__name__: f for f in (answer_relevancy, day_bounds, context_budget,
 
 _I = with_views("items", sql="")[:-1]
 _EV = "WITH event_log AS (SELECT *, epoch_us(ts) // 1000 AS ms FROM events)"
+DAY = 86_400_000
+_REC = _EV.replace("WITH", "WITH RECURSIVE")
+_NTH = "e AS (SELECT *, {0} AS k, row_number() OVER (PARTITION BY {0} ORDER BY ms, event_id) AS n FROM event_log)"
 _CAND = f"""{_I}, cand AS (SELECT user_id * 100 + item_id % 37 AS query_id, item_id, title, kind, content, CAST(ceil(length(content) / 4.0) AS BIGINT) AS tokens, item_id * 7919 % 10007 AS rank FROM items),
 bud AS (SELECT *, CAST(sum(tokens) OVER w AS BIGINT) AS used, row_number() OVER w AS rn FROM cand WINDOW w AS (PARTITION BY query_id ORDER BY rank)),
 inc AS (SELECT *, rn = 1 AND used > {BUDGET} AS clipped, used <= {BUDGET} OR rn = 1 AS included FROM bud)"""
@@ -253,6 +257,21 @@ b AS (SELECT *, greatest(1, floor(daily / 1.05)) AS fd, floor((items - today) /
 c AS (SELECT event_id, CAST(CASE WHEN items <= 0 THEN 0 WHEN daily <= 0 THEN NULL WHEN items <= today THEN ceil(items * (60000::DOUBLE / 18 * 1.05::DOUBLE)) ELSE ceil(wait + days * 86400000 + (items - today - days * fd) * (60000::DOUBLE / 18 * 1.05::DOUBLE)) END AS BIGINT) AS eta_ms FROM b),
 d AS (SELECT *, list_filter([CASE WHEN eta_ms // 86400000 > 0 THEN eta_ms // 86400000 || 'd' END, CASE WHEN eta_ms % 86400000 // 3600000 > 0 THEN eta_ms % 86400000 // 3600000 || 'h' END, CASE WHEN eta_ms % 3600000 // 60000 > 0 THEN eta_ms % 3600000 // 60000 || 'm' END], lambda x: x IS NOT NULL) AS parts FROM c)
 SELECT event_id, eta_ms, CASE WHEN eta_ms IS NULL THEN 'unknown' WHEN eta_ms <= 0 THEN 'done' WHEN eta_ms < 60000 THEN '<1m' ELSE array_to_string(parts[1:2], ' ') END AS human FROM d""",
+    # one event after the other, from the state that the last one left
+    "fixed_window_limiter": f"""{_REC}, {_NTH.format("user_id")}, f AS (
+  SELECT k, n, ms, event_id, CAST(1 AS BIGINT) AS held, ms + {WINDOW_MS} AS until FROM e WHERE n = 1
+  UNION ALL SELECT e.k, e.n, e.ms, e.event_id, CASE WHEN e.ms >= until THEN 1 ELSE held + 1 END, CASE WHEN e.ms >= until THEN e.ms + {WINDOW_MS} ELSE until END FROM f JOIN e ON e.k = f.k AND e.n = f.n + 1)
+SELECT event_id, k AS user_id, held <= {PER_WINDOW} AS allowed, CAST(CASE WHEN held <= {PER_WINDOW} THEN 0 ELSE greatest(1, (until - ms + 999) // 1000) END AS BIGINT) AS retry_after_sec FROM f""",
+    "token_bucket": f"""{_REC}, {_NTH.format("user_id")}, f AS (
+  SELECT k, n, event_id, ms AS t, ms - {DAY} AS empty FROM e WHERE n = 1
+  UNION ALL SELECT k, n, event_id, t, greatest(empty, t - 2 * {DAY}) + {DAY} FROM (
+    SELECT e.k, e.n, e.event_id, greatest(e.ms, t, empty + {DAY}) AS t, empty FROM f JOIN e ON e.k = f.k AND e.n = f.n + 1))
+SELECT event_id, k AS user_id, t AS "at", round((t - empty) / {DAY}, 6) AS tokens FROM f""",
+    "daily_budget_lanes": f"""{_REC}, {_NTH.format(f"ms // {DAY}")}, f AS (
+  SELECT k, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS used, false AS ok, CAST(0 AS BIGINT) AS remaining FROM e WHERE n = 1
+  UNION ALL SELECT k, n, event_id, CASE WHEN used < most THEN used + 1 ELSE used END, used < most, CASE WHEN used < most THEN most - used - 1 ELSE 0 END FROM (
+    SELECT e.k, e.n, e.event_id, used, CASE WHEN event_type = 'purchase' THEN {CAP} ELSE {CAP - RESERVE} END AS most FROM f JOIN e ON e.k = f.k AND e.n = f.n + 1))
+SELECT event_id, ok, remaining FROM f WHERE n > 0""",
     "daily_budget_single_lane": f"{_EV} SELECT ms // 86400000 AS day, count(*) AS asked, least(count(*), {CAP - RESERVE}) AS admitted FROM event_log GROUP BY 1",
     "domain_spacing": f"{_EV}, n AS (SELECT *, row_number() OVER w * {GAP} AS n FROM event_log WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id)) SELECT event_id, user_id, CAST(max(ms - n) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) + n AS BIGINT) AS start FROM n",
     "backfill_ticks": f"{_I} SELECT item_id, (row_number() OVER (PARTITION BY user_id ORDER BY created_at) - 1) // 20 AS tick FROM items",

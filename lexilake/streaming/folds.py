@@ -1,16 +1,16 @@
 """Order-dependent folds over events: limiters, budgets, job states.
 
 Each fold is one Python function over the ordered events of a key and its state.
-Batch queries run it per key with ``applyInPandas``, streams with
-``applyInPandasWithState``, so both decide alike. A key whose state must see every
-event in order cannot be split; keys are users, domains or days, and a key's
-events are one frame of its task.
+Streams run it with ``applyInPandasWithState``, where a frame is what a key has in one
+micro-batch. In batch the limiters are parallel scans (``scans``), which decide alike;
+job states, whose keys are jobs with few events each, run by ``applyInPandas``.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,18 +26,19 @@ def fixed_window(state: tuple | None, ms: int, limit: int, window_ms: int) -> tu
     return (count, end), ((False, max(1, math.ceil((end - ms) / 1000))) if count > limit else (True, 0))
 
 
-def token_bucket(state: tuple | None, ms: int, capacity: float, per_minute: float) -> tuple[tuple, tuple[int, float]]:
-    """Events queue up and none is refused: each proceeds when its turn has come and there is a token. State: tokens, time of the last.
+def token_bucket(state: tuple | None, ms: int, capacity: int, per_minute: int | Fraction) -> tuple[tuple, tuple[int, float]]:
+    """Events queue up and none is refused: each proceeds when its turn has come and there is a token.
 
-    Said of each event: when it proceeds, and the tokens left then. Waits are whole milliseconds.
+    Said of each event: when it proceeds, in whole milliseconds, and the tokens left
+    then. State: when the bucket would last have been empty (in fractions of a
+    millisecond, so nothing is rounded), and the time of the last event.
     """
-    tokens, last = state or (capacity, ms)
-    at, rate = max(ms, last), per_minute / 60_000
-    tokens = min(capacity, tokens + (at - last) * rate)
-    while tokens < 1:
-        wait = max(1, math.ceil((1 - tokens) / rate))
-        at, tokens = at + wait, min(capacity, tokens + wait * rate)
-    return (tokens - 1, at), (at, tokens - 1)
+    each = Fraction(60_000) / Fraction(per_minute)
+    e, q = each.numerator, each.denominator
+    empty, last = state or (ms * q - capacity * e, ms)
+    at = max(ms, last, -(-(empty + e) // q))
+    empty = max(empty, at * q - capacity * e) + e
+    return (empty, at), (at, (at * q - empty) / e)
 
 
 def budget_lane(state: tuple | None, ms: int, lane: str, cap: int, reserve: int) -> tuple[tuple, tuple[bool, int]]:
