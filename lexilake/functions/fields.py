@@ -44,21 +44,39 @@ def parsed_wire_id(prefix: str, said: Column) -> Column:
     return F.when(n <= 9007199254740991, n)
 
 
-def byte_cut(text: Column, most: int) -> Column:
-    """The longest head of a text of at most ``most`` UTF-8 bytes, never half a character."""
-    size = lambda s: F.octet_length(s)
-    # bisect on the number of characters: each step halves what is open
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(F.length(text) + 1)).cast("int") + 1))
-    found = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("lo"), F.length(text).alias("hi")),
-        lambda acc, _: F.struct(
-            F.when(size(F.left(text, F.ceil((acc["lo"] + acc["hi"]) / 2).cast("int"))) <= most, F.ceil((acc["lo"] + acc["hi"]) / 2).cast("int")).otherwise(acc["lo"]).alias("lo"),
-            F.when(size(F.left(text, F.ceil((acc["lo"] + acc["hi"]) / 2).cast("int"))) <= most, acc["hi"]).otherwise(F.greatest(acc["lo"], F.ceil((acc["lo"] + acc["hi"]) / 2).cast("int") - 1)).alias("hi"),
-        ),
-        lambda acc: acc["lo"],
-    )
-    return F.when(size(text) <= most, text).otherwise(F.left(text, found))
+def byte_cut(text: Column, most: int | Column) -> Column:
+    """The longest head of a text of at most ``most`` UTF-8 bytes, never half a character.
+
+    A character is whole if the byte behind the cut begins another one, so at most four places are looked at.
+    """
+    most = F.greatest(F.lit(0), F.lit(most) if isinstance(most, int) else most).cast("int")
+    own = text.cast("binary")
+    inside = lambda at: F.hex(F.substring(own, at + 1, F.lit(1))).between("80", "BF")
+    at = F.when(~inside(most), most).when(~inside(most - 1), most - 1).when(~inside(most - 2), most - 2).otherwise(most - 3)
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.substring(own, F.lit(1), at).cast("string"))
+
+
+#: What stands where a field was cut, and the bytes that all fields of a capture may have.
+CUT_MARKER, PAYLOAD_BYTES = "\n\n[…truncated: this field exceeded the 1 MB capture limit…]", 1_000_000
+
+
+def byte_capped(fields: dict[str, Column], most: int = PAYLOAD_BYTES, marker: str = CUT_MARKER) -> Column:
+    """A struct of the fields and ``truncated``: together at most ``most`` bytes.
+
+    If they have more, each gets its share by its size, with room for the marker, and
+    is cut between characters; a marker follows where something was cut. A null
+    field has no share and stays null.
+    """
+    size = {name: F.coalesce(F.octet_length(c), F.lit(0)) for name, c in fields.items()}
+    total = sum(size.values(), F.lit(0))
+    fits = total <= most
+
+    def cut(name: str) -> Column:
+        room = F.floor(most * (size[name].cast("double") / total)).cast("int") - len(marker.encode())
+        kept = byte_cut(fields[name], room)
+        return F.when(fits, fields[name]).otherwise(F.when(F.length(kept) < F.length(fields[name]), F.concat(kept, F.lit(marker))).otherwise(kept))
+
+    return F.struct(*[cut(name).alias(name) for name in fields], (~fits).alias("truncated"))
 
 
 def enrichment_ok(said: Column, kind: Column) -> Column:

@@ -135,8 +135,11 @@ def path_extension(path: Column) -> Column:
     return F.regexp_extract(path, r"\.[^./]*$", 0)
 
 
-def trimmed_url(found: Column, steps: int = 8) -> Column:
-    """A URL without the punctuation of the sentence around it; a closing bracket stays while it has its opener."""
+def trimmed_url(found: Column) -> Column:
+    """A URL without the punctuation of the sentence around it; a closing bracket stays while it has its opener.
+
+    There are as many steps as there are such characters at the end.
+    """
     count = lambda s, c: F.length(s) - F.length(F.replace(s, F.lit(c), F.lit("")))
 
     def once(s: Column) -> Column:
@@ -146,7 +149,8 @@ def trimmed_url(found: Column, steps: int = 8) -> Column:
             loose = loose | ((last == close) & (count(s, close) > count(s, open_)))
         return F.when(loose, F.left(s, F.length(s) - 1)).otherwise(s)
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length(found), F.lit(steps)))), found, lambda acc, _: once(acc))
+    tail = F.length(F.regexp_extract(found, r"[.,!?:;\"'*`)\]}]*$", 0))
+    return F.aggregate(F.slice(F.sequence(F.lit(0), tail), F.lit(2), F.greatest(tail, F.lit(1))), found, lambda acc, _: once(acc))
 
 
 def urls_in(text: Column) -> Column:

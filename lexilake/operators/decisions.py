@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexilake.functions import urls as U
+from lexilake.sources.stored import written
+from lexilake.streaming import scans as Y
 
 UNKNOWN_CONTEXT = 8192
 #: Extraction errors that a retry may cure, and those that it may not.
@@ -69,6 +71,48 @@ def embedded(chunks: DataFrame, embedder: Embedder, batch: int = 64) -> DataFram
     return chunks.mapInPandas(run, f"{schema}, embedding array<float>, embedding_model string")
 
 
+def requests_left(cap: int, reserve: int, used: int, lane: str) -> int:
+    """How many requests a lane may still make today; the background lane leaves the reserve."""
+    return max(0, (cap if lane == "interactive" else cap - reserve) - used)
+
+
+def granted(chunks: DataFrame, order: tuple[str, ...], left: int, batch: int = 64, block: int | None = None) -> DataFrame:
+    """The chunks with ``batch``, the number of the request that each goes in, and ``granted``: the first ``left`` requests.
+
+    Requests are counted before any is made: places are running sums over blocks of
+    the order (``streaming.scans``), so no task sees all chunks, and the sum of what
+    all tasks are granted is never above what is left.
+    """
+    rows = Y.blocked(chunks.withColumn("_all", F.lit(0)), "_all", order, block)
+    placed = Y.with_sums(rows, "_all", {"_place": F.lit(1)}, order)
+    number = F.floor((F.col("_place") - 1) / batch).cast("bigint")
+    return placed.select(*chunks.columns, number.alias("batch"), (number < left).alias("granted"))
+
+
+def embedded_within(chunks: DataFrame, embedder: Embedder, order: tuple[str, ...], left: int, batch: int = 64, block: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Chunks of the requests that the budget grants with their vectors, and those of the refused ones, to be asked for again.
+
+    A request is one call of the embedder for up to ``batch`` chunks, and counts as
+    one whatever it holds; no chunk, no request.
+    """
+    judged = written(granted(chunks, order, left, batch, block), "granted-chunks")
+    own = F.struct(*[F.col(c) for c in chunks.columns])
+    calls = judged.where("granted").groupBy("batch").agg(F.array_sort(F.collect_list(own)).alias("rows"))  # at most ``batch`` rows
+    width, names = embedder.dimensions, chunks.columns
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for number, rows in zip(frame["batch"], frame["rows"]):
+                made = pd.DataFrame([tuple(r[c] for c in names) for r in rows], columns=names)
+                vectors = embedder.embed(made["text"].fillna("").tolist())
+                if any(len(v) != width for v in vectors):
+                    raise ValueError(f"the embedder gave another width than {width}")
+                yield made.assign(batch=number, embedding=vectors, embedding_model=embedder.model)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema)
+    return calls.mapInPandas(run, f"{schema}, batch bigint, embedding array<float>, embedding_model string"), judged.where("not granted").drop("granted")
+
+
 def one_model(chunks: DataFrame, model: str) -> None:
     """Raise if the stored vectors are of another model, or of several widths."""
     seen = chunks.agg(F.collect_set("embedding_model").alias("models"), F.count_distinct(F.size("embedding")).alias("widths")).head()

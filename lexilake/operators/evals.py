@@ -57,3 +57,8 @@ def answer_relevancy(query: Column, answer: Column) -> Column:
 
 def faithfulness(has_marker: Column, valid: Column, grounded: Column, coverage: Column) -> Column:
     return (has_marker.cast("double") + valid.cast("double") + F.coalesce(grounded, F.lit(0.0)) + coverage) / 4
+
+
+def declined_score(grounded: Column, refusal: Column, has_marker: Column, valid: Column) -> Column:
+    """Where nothing that is stored answers the question: 1 for an answer that says so and cites nothing that is not there."""
+    return ((~grounded | refusal) & ~(has_marker & ~valid)).cast("double")

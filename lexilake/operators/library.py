@@ -126,25 +126,27 @@ def grouped_in_order(items: DataFrame, column: str, values: tuple[str, ...]) ->
     return zero_filled(counts_by(items, column), values).where("n > 0").select("value", F.col("pos").cast("bigint").alias("pos"), "n")
 
 
-def free_slugs(wanted: DataFrame, taken: DataFrame) -> DataFrame:
-    """A slug of its own for each new name: id, slug, free.
-
-    ``wanted``: id, slug; ``taken``: slug, the ones that are there. The first of a
-    slug, by id, gets it if it is free, the others ``slug-2``, ``slug-3`` and so on,
-    without those that are there or wanted by themselves. Each slug is numbered by itself, so nothing but
-    the names that clash meets in one task.
+def free_slugs(wanted: DataFrame, taken: DataFrame, attempts: int | None = 5) -> DataFrame:
+    """A slug of its own for each new name of a user: id, user_id, slug, free.
+
+    ``wanted``: id, user_id, slug; ``taken``: user_id, slug, the ones that are there. The
+    first of a user's slug, by id, gets it if it is free, the others ``slug-2``, ``slug-3``
+    and so on, without those that are there or wanted by themselves; ``free`` is null
+    where ``attempts`` numbers (None: any) do not suffice. Each slug is numbered by
+    itself, so nothing but the names that clash meets in one task.
     """
     base = F.regexp_extract("slug", r"^(.*?)(?:-(\d{1,9}))?$", 1)
     number = F.regexp_extract("slug", r"^(.*?)(?:-(\d{1,9}))?$", 2)
-    w = W.partitionBy("slug").orderBy("id")
-    nth = wanted.select("id", "slug", F.row_number().over(w).alias("nth"))
-    own = taken.select(F.col("slug").alias("base"), F.lit(1).alias("k"))
-    suffixed = taken.unionByName(wanted.select("slug")).where(number.rlike("^[1-9]")).select(base.alias("base"), number.cast("int").alias("k")).where("k > 1")
-    used = own.unionByName(suffixed).groupBy("base").agg(F.array_sort(F.collect_set("k")).alias("used"))
-    met = nth.join(used, F.col("slug") == F.col("base"), "left")
+    w = W.partitionBy("user_id", "slug").orderBy("id")
+    nth = wanted.select("id", "user_id", "slug", F.row_number().over(w).alias("nth"))
+    own = taken.select("user_id", F.col("slug").alias("base"), F.lit(1).alias("k"))
+    suffixed = taken.select("user_id", "slug").unionByName(wanted.select("user_id", "slug")).where(number.rlike("^[1-9]")).select("user_id", base.alias("base"), number.cast("int").alias("k")).where("k > 1")
+    used = own.unionByName(suffixed).groupBy("user_id", "base").agg(F.array_sort(F.collect_set("k")).alias("used")).withColumnRenamed("user_id", "of_user")
+    met = nth.join(used, F.col("user_id").eqNullSafe(F.col("of_user")) & (F.col("slug") == F.col("base")), "left")
     # the nth free number: step over each used one that is not beyond it
     k = F.aggregate(F.coalesce("used", F.array().cast("array<int>")), F.col("nth"), lambda at, u: F.when(u <= at, at + 1).otherwise(at))
-    return met.select("id", "slug", F.when(k == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", k.cast("string"))).alias("free"))
+    free = F.when(k == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", k.cast("string")))
+    return met.select("id", "user_id", "slug", (free if attempts is None else F.when(k <= attempts, free)).alias("free"))
 
 
 def tags_added(item_tags: DataFrame, chosen: DataFrame, labels: list[str]) -> DataFrame:

@@ -58,23 +58,34 @@ def bm25(items: DataFrame, tokens: list[str], keep: Column | None = None) -> Dat
 
 
 def keyword_snippet(columns: list[str], tokens: list[str], most: int = 24) -> Column:
-    """``most`` words of the source text from the first match on, of the first column that has one; null if none has.
+    """The ``most`` words of the source text that hold the most of the tokens, each a prefix; null if no column has one.
 
-    Words keep their case, marks and what stands between them; an ellipsis says where the text goes on.
+    Of equal windows the first of the first column counts; a window begins with a word
+    that is found. Only the words that are found are looked at, with those of the
+    ``most`` behind each that lie in its window. Words keep their case, marks and what
+    stands between them; an ellipsis says where the text goes on.
     """
     head = "^(?:" + "|".join(tokens) + ")" if tokens else "(?!)"  # tokens are letters and digits
+    asked = F.array(*[F.lit(t) for t in tokens]).cast("array<string>")
 
     def cut(pieces: Column, first: Column) -> Column:
-        own = F.regexp_replace(F.array_join(F.slice(pieces, F.greatest(first, F.lit(1)), most), ""), r"(?U)\s+$", "")
-        return F.when(first > 0, F.concat(F.when(first > 1, "…").otherwise(""), own, F.when(first + most <= F.size(pieces), "…").otherwise("")))
+        own = F.regexp_replace(F.array_join(F.slice(pieces, first, most), ""), r"(?U)\s+$", "")
+        return F.concat(F.when(first > 1, "…").otherwise(""), own, F.when(first + most <= F.size(pieces), "…").otherwise(""))
 
-    def of(column: str) -> Column:
+    def windows(hits: Column) -> Column:
+        inside = lambda x, i: F.filter(F.slice(hits, i + 1, F.lit(most)), lambda y: y["at"] < x["at"] + most)
+        seen = lambda x, i: F.size(F.array_distinct(F.flatten(F.transform(inside(x, i), lambda y: y["which"]))))
+        return F.transform(hits, lambda x, i: F.struct(seen(x, i).alias("n"), (-x["at"]).alias("before")))
+
+    def of(column: str, place: int) -> Column:
         # each step is a lambda's variable, so that no step is worked out twice
         pieces = F.array(F.regexp_extract_all(F.coalesce(F.col(column), F.lit("")), F.lit(WORD_AND_GAP), F.lit(0)))
-        met = F.transform(pieces, lambda ps: F.struct(ps.alias("ps"), F.array_position(F.transform(ps, lambda p: T.folded(p).rlike(head)), True).cast("int").alias("at")))
-        return F.transform(met, lambda m: cut(m["ps"], m["at"]))[0]
+        words = F.transform(pieces, lambda ps: F.struct(ps.alias("ps"), F.filter(F.transform(ps, lambda p, i: F.struct((i + 1).alias("at"), T.folded(p).alias("w"))), lambda x: x["w"].rlike(head)).alias("found")))
+        hits = F.transform(words, lambda s: F.struct(s["ps"].alias("ps"), F.transform(s["found"], lambda x: F.struct(x["at"].alias("at"), F.filter(asked, lambda t: x["w"].startswith(t)).alias("which"))).alias("hits")))
+        best = F.transform(hits, lambda s: F.struct(s["ps"].alias("ps"), F.array_max(windows(s["hits"])).alias("best")))
+        return F.transform(best, lambda s: F.when(s["best"].isNotNull(), F.struct(s["best"]["n"].alias("n"), F.lit(-place).alias("place"), cut(s["ps"], -s["best"]["before"]).alias("text"))))[0]
 
-    return F.coalesce(*[of(c) for c in columns])
+    return F.array_max(F.array(*[of(c, k) for k, c in enumerate(columns)]))["text"]
 
 
 def nearest_items(chunks: DataFrame, query: Column, limit: int) -> DataFrame:

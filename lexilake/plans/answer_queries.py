@@ -21,12 +21,19 @@ from lexilake.sources.tables import with_views
 from lexilake.streaming import folds as X
 from lexilake.streaming import scans as Y
 from lexilake.streaming import sources as Z
+from lexilake.streaming import stages as P
 
 #: Limits of the registered queries, which the test events reach; the defaults are in the operators.
 CAP, RESERVE, PER_WINDOW, WINDOW_MS, GAP = 250, 50, 2, 86_400_000, 3_600_000
 BUDGET, CEILING = 1500, 1.25
 
 
+#: Documents that answers cite, and the share of a sentence's words that its source must have.
+CITED, OVERLAP = 200, 0.1
+#: Texts too short to extract, in characters, and how long a claim holds.
+SHORT, LEASE = 400, 3_600_000
+
+
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = D.items(spark, sf_dir).select("user_id", "item_id", "title", "kind", T.estimated_tokens(F.col("content")).alias("tokens"))
     ranked = items.withColumn("rank", F.pmod(F.col("item_id") * 7919, F.lit(10007)))
@@ -109,12 +116,16 @@ def eval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_faithfulness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _answers(spark, sf_dir)
-    sources = own.select("answer_id", F.lit(2).alias("n"), F.col("text").alias("body"))
-    grounded = E.grounded_share(own, sources)
-    out = own.join(grounded, "answer_id", "left")
-    score = E.faithfulness(F.size(T.citations(F.col("text"))) > 0, T.citations_valid(F.col("text"), F.lit(3)), F.col("grounded"), E.mention_coverage(F.col("text"), F.array(F.lit("the"), F.lit("de"))))
-    return out.select("answer_id", F.round(score, 6).alias("score"))
+    """Answers against the documents that they cite; every fifth question has no answer in them and should be declined."""
+    own = _answers(spark, sf_dir).select("answer_id", "text", "conv_id", "turn")
+    numbered = own.select("answer_id", F.explode(F.array(*[F.lit(n) for n in (1, 2, 3)])).alias("n"))
+    asked = numbered.withColumn("doc_id", (F.col("answer_id") * 7 + F.col("n")) % CITED)
+    sources = asked.join(D.raw(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body")), "doc_id").select("answer_id", "n", "body")
+    out = own.join(E.grounded_share(own, sources, OVERLAP), "answer_id", "left")
+    marked, valid = F.size(T.citations(F.col("text"))) > 0, T.citations_valid(F.col("text"), F.lit(3))
+    score = E.faithfulness(marked, valid, F.col("grounded"), E.mention_coverage(F.col("text"), F.array(F.lit("the"), F.lit("de"))))
+    declined = E.declined_score(F.col("turn") % 3 > 0, T.is_refusal(F.col("text")), marked, valid)
+    return out.select("answer_id", F.round(F.when(F.col("conv_id") % 5 == 0, declined).otherwise(score), 6).alias("score"))
 
 
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,6 +175,29 @@ def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("status").agg(F.count("*").alias("n"), F.max("attempts").alias("attempts"))
 
 
+def _extract(key: int, text: str, attempt: int) -> None:
+    if len(text) < SHORT:
+        raise P.PermanentError("too short")
+
+
+def _enrich(key: int, text: str, attempt: int) -> None:
+    if attempt <= len(text) % 7:
+        raise ConnectionError("no answer")
+
+
+def stage_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item through three stages: short texts fail for good, others fail as often as their length says."""
+    asked = D.items(spark, sf_dir).select("item_id", F.col("created_at").alias("ms"), F.lit(None).cast("string").alias("stage"), F.coalesce("content", F.lit("")).alias("payload"))
+    out = P.batch(asked, P.Stages([("extract", _extract), ("enrich", _enrich), ("index", lambda key, text, attempt: None)]))
+    return out.select("item_id", "stage", "attempt", "ms", "outcome", "status", "reason")
+
+
+def claim_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the requests for one thing, in their order, those that find it free: a claim holds it until its lease runs out."""
+    held = Y.fixed_window(_jobs(spark, sf_dir), "event_type", 1, LEASE)
+    return held.select("event_id", "event_type", F.col("allowed").alias("won"))
+
+
 def domain_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.spaced(_jobs(spark, sf_dir), "user_id", GAP).select("event_id", "user_id", F.col("start").cast("bigint").alias("start"))
 
@@ -212,7 +246,7 @@ def day_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _jobs(spark, sf_dir).select("event_id", TM.day_bound(said, False).alias("starts"), TM.day_bound(said, True).alias("ends"))
 
 
-QUERIES = {f.__name__: f for f in (answer_relevancy, day_bounds, context_budget, rag_candidates, context_blocks, groundedness, citations_validate, refusal_flag, answer_decisions, history_last_n, cache_keys, eval_precision_recall, eval_overlap, eval_faithfulness, queue_health, backoff_schedule, eta_estimate, daily_budget_single_lane, daily_budget_lanes, fixed_window_limiter, token_bucket, job_states, domain_spacing, backfill_ticks, failover_results, stream_daily_counts, llm_calls_by_model, json_props_sum, number_formats)}
+QUERIES = {f.__name__: f for f in (answer_relevancy, day_bounds, context_budget, rag_candidates, context_blocks, groundedness, citations_validate, refusal_flag, answer_decisions, history_last_n, cache_keys, eval_precision_recall, eval_overlap, eval_faithfulness, queue_health, backoff_schedule, eta_estimate, daily_budget_single_lane, daily_budget_lanes, fixed_window_limiter, token_bucket, job_states, stage_outcomes, claim_winners, domain_spacing, backfill_ticks, failover_results, stream_daily_counts, llm_calls_by_model, json_props_sum, number_formats)}
 
 _I = with_views("items", sql="")[:-1]
 _EV = "WITH event_log AS (SELECT *, epoch_us(ts) // 1000 AS ms FROM events)"
@@ -226,6 +260,7 @@ _L2 = "sqrt(list_sum(list_transform(list_zip(embedding, q), lambda z: (z[1] - z[
 _ANS = "ans AS (SELECT conv_id * 100 + turn AS answer_id, text || ' [' || turn % 4 || '][2]' AS text, conv_id FROM conversations WHERE role = 'assistant')"
 _TOK = f"list_distinct(regexp_extract_all(regexp_replace(translate(lower({{0}}), '{T.MARKED}', '{T.PLAIN}'), '[\\x{{{{300}}}}-\\x{{{{36F}}}}]+', '', 'g'), '[\\p{{{{L}}}}\\p{{{{N}}}}]+'))"
 
+_REFUSED = "(" + " OR ".join(f"regexp_matches(text, '(?i){p}')".replace("'(?i)", "'(?i)") for p in (x.replace("'", "''") for x in T.REFUSALS)) + ")"
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: z[1] * z[2]))"
 _UNIT = "CASE WHEN n >= {0} - {1} THEN regexp_replace(CAST(round(n / {0}::DECIMAL(38, 6), 1) AS DECIMAL(38, 1))::VARCHAR, '[.]0$', '') || '{2}'"
 
@@ -250,6 +285,15 @@ a AS (SELECT query_id, coalesce(avg(p) FILTER (relevant), 0) AS precision, count
 t AS (SELECT query_id, count(*) AS total FROM l WHERE relevant GROUP BY 1)
 SELECT query_id, round(precision, 6) AS precision, round(found / total, 6) AS recall FROM a JOIN t USING (query_id)""",
     "eval_overlap": f"SELECT doc_id AS item_id, item_id AS query_id, round(len(list_intersect({_TOK.format('b.text').replace('{{', '{').replace('}}', '}')}, {_TOK.format('d.text').replace('{{', '{').replace('}}', '}')})) / len({_TOK.format('b.text').replace('{{', '{').replace('}}', '}')}), 6) AS overlap FROM documents d JOIN benchmark b ON doc_id % (SELECT max(item_id) + 1 FROM benchmark) = item_id",
+    "eval_faithfulness": f"""WITH ans AS (SELECT conv_id * 100 + turn AS answer_id, text || ' [' || turn % 4 || '][2]' AS text, conv_id, turn FROM conversations WHERE role = 'assistant'),
+m AS (SELECT *, list_distinct(list_transform(regexp_extract_all(text, '\\[(\\d{{1,3}})\\]', 1), lambda x: CAST(x AS INT))) AS cited FROM ans),
+s AS (SELECT answer_id, unnest(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS sentence, unnest(range(1, 1 + len(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))))) AS pos FROM ans),
+c AS (SELECT DISTINCT answer_id, pos, sentence, CAST(unnest(regexp_extract_all(sentence, '\\[(\\d{{1,3}})\\]', 1)) AS INT) AS n FROM s WHERE trim(sentence, ' ') <> ''),
+o AS (SELECT c.answer_id, pos, {_TOK.format("sentence").replace("{{", "{").replace("}}", "}")} AS a, {_TOK.format("coalesce(d.text, '')").replace("{{", "{").replace("}}", "}")} AS b FROM c LEFT JOIN documents d ON n BETWEEN 1 AND 3 AND doc_id = (c.answer_id * 7 + n) % {CITED}),
+g AS (SELECT answer_id, avg(CAST(best > {OVERLAP} AS INT)) AS grounded FROM (SELECT answer_id, pos, max(CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(a) END) AS best FROM o GROUP BY ALL) GROUP BY answer_id),
+v AS (SELECT *, len(cited) > 0 AS marked, len(cited) > 0 AND len(list_filter(cited, lambda x: x < 1 OR x > 3)) = 0 AS valid FROM m LEFT JOIN g USING (answer_id))
+SELECT answer_id, round(CASE WHEN conv_id % 5 = 0 THEN CAST((turn % 3 = 0 OR {_REFUSED}) AND NOT (marked AND NOT valid) AS INT)
+  ELSE (CAST(marked AS INT) + CAST(valid AS INT) + coalesce(grounded, 0) + (CAST(contains(lower(text), 'the') AS INT) + CAST(contains(lower(text), 'de') AS INT)) / 2) / 4 END, 6) AS score FROM v""",
     "queue_health": f"{_EV} SELECT count(*) AS pending, min(ms) AS oldest, coalesce(greatest(0, {D.EPOCH + 40 * 86_400_000} - min(ms)), 0) AS age_ms FROM event_log WHERE event_type = 'signup'",
     "backoff_schedule": "SELECT event_id, CAST(least(900000, 1000 * power(2, greatest(0, event_id % 13 - 1))) AS BIGINT) AS wait_ms FROM events",
     "eta_estimate": f"""{_EV}, a AS (SELECT event_id, event_id % 4000 AS items, floor((event_id % 700) / 1.05) AS today, event_id % 9 * 100 AS daily, (ms // 86400000 + 1) * 86400000 - ms AS wait FROM event_log),
@@ -267,6 +311,16 @@ SELECT event_id, k AS user_id, held <= {PER_WINDOW} AS allowed, CAST(CASE WHEN h
   UNION ALL SELECT k, n, event_id, t, greatest(empty, t - 2 * {DAY}) + {DAY} FROM (
     SELECT e.k, e.n, e.event_id, greatest(e.ms, t, empty + {DAY}) AS t, empty FROM f JOIN e ON e.k = f.k AND e.n = f.n + 1))
 SELECT event_id, k AS user_id, t AS "at", round((t - empty) / {DAY}, 6) AS tokens FROM f""",
+    "claim_winners": f"""{_REC}, {_NTH.format("event_type")}, f AS (
+  SELECT k, n, event_id, true AS won, ms + {LEASE} AS until FROM e WHERE n = 1
+  UNION ALL SELECT e.k, e.n, e.event_id, e.ms >= until, CASE WHEN e.ms >= until THEN e.ms + {LEASE} ELSE until END FROM f JOIN e ON e.k = f.k AND e.n = f.n + 1)
+SELECT event_id, k AS event_type, won FROM f""",
+    "stage_outcomes": f"""{_I}, i AS (SELECT item_id, created_at AS ms, length(coalesce(content, '')) AS n, length(coalesce(content, '')) % 7 AS k FROM items),
+a AS (SELECT *, unnest(range(1, least(5, k + 1) + 1)) AS attempt FROM i WHERE n >= {SHORT})
+SELECT item_id, 'extract' AS stage, CAST(1 AS INTEGER) AS attempt, ms, CASE WHEN n < {SHORT} THEN 'failed' ELSE 'done' END AS outcome, CASE WHEN n < {SHORT} THEN 'failed' ELSE 'processing' END AS status, CASE WHEN n < {SHORT} THEN 'too short' END AS reason FROM i
+UNION ALL SELECT item_id, 'enrich', CAST(attempt AS INTEGER), ms + 1000 * (CAST(power(2, attempt - 1) AS BIGINT) - 1), CASE WHEN attempt > k THEN 'done' WHEN attempt = 5 THEN 'failed' ELSE 'retry' END,
+  CASE WHEN attempt <= k AND attempt = 5 THEN 'failed' ELSE 'processing' END, CASE WHEN attempt > k THEN NULL WHEN attempt = 5 THEN 'no answer (gave up after 5 attempts)' ELSE 'no answer' END FROM a
+UNION ALL SELECT item_id, 'index', CAST(1 AS INTEGER), ms + 1000 * (CAST(power(2, k) AS BIGINT) - 1), 'done', 'done', NULL FROM i WHERE n >= {SHORT} AND k < 5""",
     "daily_budget_lanes": f"""{_REC}, {_NTH.format(f"ms // {DAY}")}, f AS (
   SELECT k, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS used, false AS ok, CAST(0 AS BIGINT) AS remaining FROM e WHERE n = 1
   UNION ALL SELECT k, n, event_id, CASE WHEN used < most THEN used + 1 ELSE used END, used < most, CASE WHEN used < most THEN most - used - 1 ELSE 0 END FROM (

@@ -39,9 +39,20 @@ def kind_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("event_id", P.kind_field(F.to_json(merged), "starCount", "bigint").alias("stars"), P.kind_field(F.to_json(merged), "k", "bigint").alias("k"))
 
 
+#: Bytes that the fields of an item may have together.
+CAPPED = 1000
+
+
 def byte_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = D.items(spark, sf_dir).select("item_id", "content", P.byte_cut(F.col("content"), 1000).alias("cut"))
-    return own.select("item_id", (F.octet_length("cut") <= 1000).alias("fits"), F.col("content").startswith(F.col("cut")).alias("is_head"), (F.octet_length("cut") > F.least(F.octet_length("content"), F.lit(1000)) - 4).alias("longest"))
+    own = D.items(spark, sf_dir).select("item_id", P.byte_cut(F.col("content"), 1000).alias("cut"))
+    return own.select("item_id", F.octet_length("cut").cast("bigint").alias("bytes"), F.sha2("cut", 256).alias("digest"))
+
+
+def byte_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three fields of each item within 1000 bytes together."""
+    fields = {"html": F.col("content"), "transcript": F.left(F.reverse("content"), F.lit(700)), "caption": F.when(F.col("item_id") % 3 > 0, F.col("title"))}
+    own = D.items(spark, sf_dir).select("item_id", P.byte_capped(fields, CAPPED).alias("x"))
+    return own.select("item_id", *[F.sha2(f"x.{n}", 256).alias(n) for n in fields], "x.truncated")
 
 
 def enrichment_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,23 +127,39 @@ def index_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.index_in_sync(stored.select(*fresh.columns).where("term <> 'the'"), fresh).groupBy("side", "term").agg(F.count("*").alias("n"))
 
 
+def budgeted_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as far as the day's requests go, 16 to a request."""
+    items = D.items(spark, sf_dir).select("item_id", F.col("content").alias("text"))
+    made, refused = X.embedded_within(items, X.HashEmbedder(), ("item_id",), X.requests_left(30, 5, 4, "background"), 16)
+    return made.select("item_id", "batch", "embedding_model").unionByName(refused.select("item_id", "batch", F.lit(None).cast("string").alias("embedding_model")))
+
+
 def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = G.chunked(D.items(spark, sf_dir))
     out = X.embedded(chunks, X.HashEmbedder())
     return out.groupBy("embedding_model").agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("width"))
 
 
-QUERIES = {f.__name__: f for f in (enum_filters, epoch_filters, wire_ids, kind_fields, byte_cuts, enrichment_validity, validate_then_repair, longest_contexts, model_routing, retry_outcomes, retryable_errors, conversation_resolution, board_drops, bulk_settled, shortened_links, thread_posts, index_sync, embedded_chunks)}
+QUERIES = {f.__name__: f for f in (enum_filters, epoch_filters, wire_ids, kind_fields, byte_cuts, byte_caps, budgeted_embedding, enrichment_validity, validate_then_repair, longest_contexts, model_routing, retry_outcomes, retryable_errors, conversation_resolution, board_drops, bulk_settled, shortened_links, thread_posts, index_sync, embedded_chunks)}
 
 _I = with_views("items", sql="")[:-1]
 _TR = "tr(f, t) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, to in L.TRANSITIONS.items() for b in to) + ")"
 
+#: The longest head of so many bytes, character by character.
+_HEAD = "array_to_string(list_transform(list_filter(list_zip(string_split(left({0}, {1}), ''), range(1, 1 + len(string_split(left({0}, {1}), '')))), lambda z: strlen(left({0}, z[2])) <= {1}), lambda z: z[1]), '')"
+_ROOM = f"greatest(0, CAST(floor({CAPPED} * (CAST(strlen({{0}}) AS DOUBLE) / total)) AS INTEGER) - {len(P.CUT_MARKER.encode())})"
+_SHARE = "CASE WHEN {0} IS NULL THEN NULL WHEN total <= " + str(CAPPED) + " THEN {0} ELSE (SELECT CASE WHEN length(k) < length({0}) THEN k || '" + P.CUT_MARKER.replace("\n", "' || chr(10) || '") + "' ELSE k END FROM (SELECT " + _HEAD.replace("{1}", _ROOM) + " AS k)) END"
+
 ORACLE = {
     "enum_filters": f"{_I} SELECT item_id, CASE WHEN kind = 'pdf' THEN 'pdf' ELSE kind || ',pdf' END AS kinds, true AS refused FROM items",
     "epoch_filters": f"{_I} SELECT item_id, CASE WHEN item_id % 4 > 1 THEN created_at END AS epoch FROM items",
     "wire_ids": f"{_I} SELECT item_id, 'itm_' || CASE WHEN item_id % 3 = 0 THEN '0' ELSE '' END || item_id AS wire, CASE WHEN item_id % 3 > 0 THEN item_id END AS parsed FROM items",
     "kind_fields": "SELECT event_id, event_id AS stars, CAST(props ->> '$.k' AS BIGINT) AS k FROM events",
-    "byte_cuts": f"{_I} SELECT item_id, true AS fits, true AS is_head, true AS longest FROM items",
+    "byte_cuts": f"{_I}, c AS (SELECT item_id, {_HEAD.format('content', '1000')} AS cut FROM items) SELECT item_id, CAST(strlen(cut) AS BIGINT) AS bytes, sha256(cut) AS digest FROM c",
+    "byte_caps": f"""{_I}, f AS (SELECT item_id, content AS html, left(reverse(content), 700) AS transcript, CASE WHEN item_id % 3 > 0 THEN title END AS caption FROM items),
+t AS (SELECT *, coalesce(strlen(html), 0) + coalesce(strlen(transcript), 0) + coalesce(strlen(caption), 0) AS total FROM f)
+SELECT item_id, {", ".join(f"sha256({_SHARE.format(n)}) AS {n}" for n in ("html", "transcript", "caption"))}, total > {CAPPED} AS truncated FROM t""",
+    "budgeted_embedding": f"{_I}, b AS (SELECT item_id, CAST((row_number() OVER (ORDER BY item_id) - 1) // 16 AS BIGINT) AS batch FROM items) SELECT item_id, batch, CASE WHEN batch < 21 THEN 'hash' END AS embedding_model FROM b",
     "enrichment_validity": f"{_I} SELECT item_id, item_id % 6 + 1 BETWEEN 3 AND 5 AND item_id % 7 * 80 BETWEEN 1 AND 400 AND item_id % 10 + 1 BETWEEN 3 AND 8 AND item_id % 11 * 5 BETWEEN 1 AND 40 AND item_id % 13 * 8 BETWEEN 1 AND 80 AND item_id % 12 <= 10 AND (kind <> 'github' OR item_id % 2 = 0 AND item_id % 5 * 100 BETWEEN 1 AND 300) AS ok FROM items",
     "validate_then_repair": "WITH a AS (SELECT event_id // 3 AS call_id, event_id % 3 AS attempt, event_id * 31 % 4 = 0 AS ok FROM events), b AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY attempt) AS rn FROM a QUALIFY rn <= 2) SELECT call_id, CASE min(rn) FILTER (ok) WHEN 1 THEN 'valid' WHEN 2 THEN 'repaired' ELSE 'failed' END AS outcome FROM b GROUP BY 1",
     "longest_contexts": "SELECT s_nationkey AS chain, CAST(max(CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey * 100 ELSE 8192 END) AS BIGINT) AS context FROM supplier GROUP BY 1",

@@ -129,8 +129,8 @@ def group_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def slugs_freed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = D.items(spark, sf_dir).select(F.col("item_id").alias("id"), F.concat(F.lit("t"), F.floor(F.col("item_id") / 3).cast("string")).alias("slug"))
-    taken = wanted.where("id % 6 = 0").select("slug").unionByName(wanted.where("id % 9 = 0").select(F.concat("slug", F.lit("-3")).alias("slug")))
+    wanted = D.items(spark, sf_dir).select(F.col("item_id").alias("id"), "user_id", F.concat(F.lit("t"), F.floor(F.col("item_id") / 30).cast("string")).alias("slug"))
+    taken = wanted.where("id % 12 = 0").select("user_id", "slug").unionByName(wanted.where("id % 9 = 0").select("user_id", F.concat("slug", F.lit("-3")).alias("slug")))
     return L.free_slugs(wanted, taken)
 
 
@@ -274,12 +274,12 @@ ORACLE = {
     "primary_topic_search": f"{_IT}{_PT.format('ASC')} SELECT item_id, topic_id, slug, confidence FROM pt",
     "group_by_kind": f"{_I}, k AS (SELECT unnest({list(D.KINDS)}) AS value, unnest(range({len(D.KINDS)})) AS pos) SELECT value, pos, count(*) AS n FROM items JOIN k ON kind = value GROUP BY 1, 2",
     "group_by_status": f"{_I}, k AS (SELECT unnest({list(D.STATUSES)}) AS value, unnest(range({len(D.STATUSES)})) AS pos) SELECT value, pos, count(*) AS n FROM items JOIN k ON status = value GROUP BY 1, 2",
-    "slugs_freed": """WITH w AS (SELECT doc_id AS id, 't' || doc_id // 3 AS slug FROM documents),
-taken AS (SELECT slug FROM w WHERE id % 6 = 0 UNION SELECT slug || '-3' FROM w WHERE id % 9 = 0),
-n AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY id) AS nth FROM w),
-c AS (SELECT slug, k, CASE WHEN k = 1 THEN slug ELSE slug || '-' || k END AS made FROM (SELECT DISTINCT slug FROM w), range(1, 8) r(k)),
-f AS (SELECT slug, made, row_number() OVER (PARTITION BY slug ORDER BY k) AS nth FROM c WHERE made NOT IN (SELECT slug FROM taken))
-SELECT id, n.slug AS slug, made AS free FROM n JOIN f ON n.slug = f.slug AND n.nth = f.nth""",
+    "slugs_freed": """WITH w AS (SELECT doc_id AS id, doc_id % 5 + 1 AS user_id, 't' || doc_id // 30 AS slug FROM documents),
+taken AS (SELECT user_id, slug FROM w WHERE id % 12 = 0 UNION SELECT user_id, slug || '-3' FROM w WHERE id % 9 = 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id, slug ORDER BY id) AS nth FROM w),
+c AS (SELECT user_id, slug, k, CASE WHEN k = 1 THEN slug ELSE slug || '-' || k END AS made FROM (SELECT DISTINCT user_id, slug FROM w), range(1, 6) r(k)),
+f AS (SELECT user_id, slug, made, row_number() OVER (PARTITION BY user_id, slug ORDER BY k) AS nth FROM c WHERE (user_id, made) NOT IN (SELECT user_id, slug FROM taken))
+SELECT id, n.user_id AS user_id, n.slug AS slug, made AS free FROM n LEFT JOIN f ON n.user_id = f.user_id AND n.slug = f.slug AND n.nth = f.nth""",
     "bulk_tag_union": f"{_IT}, chosen AS (SELECT doc_id AS item_id FROM documents WHERE doc_id % {len(D.STATUSES)} = {D.STATUSES.index('inbox')}) SELECT item_id, label FROM item_tags WHERE item_id IN (SELECT item_id FROM chosen) UNION SELECT item_id, unnest(['to read', 'new']) FROM chosen",
     "tags_by_item": f"{_IT} SELECT item_id, string_agg(label, ',' ORDER BY label) AS tags, count(*) AS n FROM item_tags GROUP BY item_id",
     "items_fts_source": f"{_IT} SELECT item_id, title, (SELECT string_agg(label, ' ' ORDER BY label) FROM item_tags t WHERE t.item_id = i.item_id) AS tags, length(content) AS content_chars FROM items i",

@@ -212,9 +212,10 @@ SELECT query_id, count(*) AS hits, round(min(rank), 6) AS best FROM r GROUP BY q
 h AS (SELECT item_id, title, content FROM hits JOIN items USING (item_id) WHERE user_id = {USER}),
 c AS (SELECT item_id, 0 AS o, title AS body FROM h UNION ALL SELECT item_id, 1, content FROM h),
 p AS (SELECT item_id, o, regexp_extract_all(coalesce(body, ''), '[\\p{{L}}\\p{{N}}\\x{{300}}-\\x{{36F}}]+[^\\p{{L}}\\p{{N}}]*') AS pieces FROM c),
-m AS (SELECT item_id, o, pieces, unnest(range(1, len(pieces) + 1)) AS i FROM p),
-f1 AS (SELECT item_id, o, any_value(pieces) AS pieces, min(i) AS i FROM m JOIN q ON starts_with({_TOKENS.format("pieces[i]")}[1], t) GROUP BY ALL),
-b AS (SELECT item_id, arg_min(pieces, o) AS pieces, arg_min(i, o) AS i FROM f1 GROUP BY item_id)
+m AS (SELECT item_id, o, unnest(pieces) AS piece, unnest(range(1, len(pieces) + 1)) AS i FROM p),
+hit AS (SELECT item_id, o, i, t FROM m JOIN q ON starts_with({_TOKENS.format("piece")}[1], t)),
+win AS (SELECT a.item_id, a.o, a.i, count(DISTINCT b.t) AS n FROM (SELECT DISTINCT item_id, o, i FROM hit) a JOIN hit b ON a.item_id = b.item_id AND a.o = b.o AND b.i >= a.i AND b.i < a.i + 24 GROUP BY ALL),
+b AS (SELECT item_id, pieces, i FROM (SELECT * FROM win QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY n DESC, o, i) = 1) JOIN p USING (item_id, o))
 SELECT item_id, snippet FROM h LEFT JOIN (SELECT item_id, CASE WHEN i > 1 THEN '…' ELSE '' END || regexp_replace(array_to_string(pieces[i:i + 23], ''), '\\s+$', '') || CASE WHEN i + 24 <= len(pieces) THEN '…' ELSE '' END AS snippet FROM b) USING (item_id)""",
     "fts_tokenize": f"SELECT query_id, CAST(unnest(range(0, len(ts[1:{T.MAX_QUERY_TOKENS}]))) AS BIGINT) AS pos, unnest(ts[1:{T.MAX_QUERY_TOKENS}]) AS token FROM (SELECT query_id, {_DISTINCT.format('t')} AS ts FROM (SELECT item_id AS query_id, {_TOKENS.format('text')} AS t FROM benchmark))",
     "fts_index_postings": f"{_ITEMS}, p AS (SELECT item_id, unnest({_TOKENS.format(_TEXT)}) AS term FROM items) SELECT term, count(DISTINCT item_id) AS items, count(*) AS occurrences FROM p GROUP BY term",

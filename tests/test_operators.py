@@ -90,9 +90,11 @@ def test_precision_and_recall_by_hand(spark):
 
 
 def test_free_slugs_by_hand(spark):
-    wanted = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "a-2"), (5, "b"), (6, "c-1")], "id int, slug string")
-    taken = spark.createDataFrame([("b",), ("b-3",), ("a-3",)], "slug string")
-    assert {r["id"]: r["free"] for r in L.free_slugs(wanted, taken).collect()} == {1: "a", 2: "a-4", 3: "a-5", 4: "a-2", 5: "b-2", 6: "c-1"}
+    wanted = spark.createDataFrame([(1, 1, "a"), (2, 1, "a"), (3, 1, "a"), (4, 1, "a-2"), (5, 1, "b"), (6, 1, "c-1"), (7, 2, "a"), (8, 2, "b"), (9, 1, "a")], "id int, user_id int, slug string")
+    taken = spark.createDataFrame([(1, "b"), (1, "b-3"), (1, "a-3"), (2, "b"), (2, "b-2"), (2, "b-3"), (2, "b-4"), (2, "b-5")], "user_id int, slug string")
+    got = {r["id"]: r["free"] for r in L.free_slugs(wanted, taken).collect()}
+    assert got == {1: "a", 2: "a-4", 3: "a-5", 4: "a-2", 5: "b-2", 6: "c-1", 7: "a", 8: None, 9: None}  # five numbers, each user's own
+    assert {r["id"]: r["free"] for r in L.free_slugs(wanted, taken, None).collect()} == got | {8: "b-6", 9: "a-6"}
     assert L.free_slugs(wanted, taken.limit(0)).where("id = 5").head()["free"] == "b"
 
 
