@@ -23,14 +23,22 @@ def unused(df: DataFrame, name: str) -> str:
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def written(df: DataFrame, name: str, batch_bytes: int | None = None) -> DataFrame:
+#: Rows of a file where the number of a table's rows is known.
+FILE_ROWS = 250_000
+
+
+def written(df: DataFrame, name: str, batch_bytes: int | None = None, rows: int | None = None) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder.
 
     A lost executor loses nothing of it, and Catalyst knows its true size, so a
     join with it is broadcast only if it is below the session's threshold.
     ``batch_bytes`` bounds the Arrow batches on the way there, for rows that are
-    large blocks.
+    large blocks. ``rows``, at most so many, says how few files the table needs: a
+    small table of many partitions costs more for its files than for its rows. It is
+    for what comes straight out of a shuffle, or from tables that are as small.
     """
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     spark = df.sparkSession
     path = fresh_path(spark, name)
     before = spark.conf.get(ARROW_BYTES)

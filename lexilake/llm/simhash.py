@@ -37,6 +37,8 @@ BLOCK = 1 << 15
 BUCKET, PACK = 1 << 18, 1024
 #: Bytes of packed blocks that go to a Python worker at a time.
 BATCH = 1 << 22
+#: A set of shingles counts as so many rows of a table.
+PER_SET = 32
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -248,13 +250,14 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 3, id_co
     most ``radius`` bits; null ids are never smallest, and a component of null ids
     alone has a null one. Repeated rows are each returned.
     """
-    own = written(fingerprints(docs, shingle, 1, id_col, text_col).select(id_col, F.col("fp")[0].alias("fp")), "fingerprints")
-    known = written(own.groupBy("fp").agg(F.min(id_col).alias("first_id")), "distinct-fingerprints")
+    own = written(fingerprints(docs, shingle, 1, id_col, text_col).select(id_col, F.col("fp")[0].alias("fp")), "fingerprints", BATCH)
+    n = own.count()
+    known = written(own.groupBy("fp").agg(F.min(id_col).alias("first_id")), "distinct-fingerprints", rows=n)
     label = connected_components(written(links_within(known.select("fp"), radius), "links", BATCH))
     member = label.join(known, F.col("node") == F.col("fp")).select("node", "label", "first_id")
-    least = written(member.groupBy("label").agg(F.min("first_id").alias("least_id")), "least")
+    least = written(member.groupBy("label").agg(F.min("first_id").alias("least_id")), "least", rows=n)
     named = label.withColumnRenamed("label", "_label").join(least, F.col("_label") == F.col("label")).select("node", "least_id")
-    of_fp = written(known.join(named, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("least_id", "first_id").alias("component_id")), "components")
+    of_fp = written(known.join(named, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("least_id", "first_id").alias("component_id")), "components", rows=n)
     hex16 = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return own.join(of_fp, F.col("fp") == F.col("_fp")).select(id_col, hex16.alias("fingerprint"), "component_id")
 
@@ -474,14 +477,15 @@ def crowded_nodes(met: DataFrame) -> DataFrame:
 
 def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, words: int, id_col: str, text_col: str) -> DataFrame:
     """The ``pairs`` whose sets of shingles have the Jaccard similarity or more; the fingerprints spare the sets of most others."""
+    n = pairs.count()
     one, two = (nodes.select(F.col("node").alias(f"n{x}"), F.col("fp").alias(f"f{x}"), F.col("shingles").alias(f"s{x}")) for x in "ab")
     met = pairs.where("a is not null").select("a", "b").distinct().join(one, F.col("a") == F.col("na")).select("b", "na", "fa", "sa").join(two, F.col("b") == F.col("nb"))
     apart = sum((F.bit_count(F.col("fa")[k].bitwiseXOR(F.col("fb")[k])) for k in range(words)), F.lit(0))
-    near = written(met.where(apart <= allowed_bits(similarity, 64 * words)).select("na", "sa", "nb", "sb"), "candidates")
+    near = written(met.where(apart <= allowed_bits(similarity, 64 * words)).select("na", "sa", "nb", "sb"), "candidates", rows=n)
     asked = near.select(F.col("na").alias("n")).unionByName(near.select(F.col("nb").alias("n"))).distinct()
-    ids = written(nodes.join(asked, F.col("node") == F.col("n"), "left_semi").select(F.col("first_id").alias("asked_id")), "asked")
+    ids = written(nodes.join(asked, F.col("node") == F.col("n"), "left_semi").select(F.col("first_id").alias("asked_id")), "asked", rows=2 * n)
     texts = docs.join(ids, docs[id_col] == ids["asked_id"], "left_semi")
-    held = written(shingle_sets(texts, shingle, text_col).dropDuplicates(["shingles"]), "shingle-sets")
+    held = written(shingle_sets(texts, shingle, text_col).dropDuplicates(["shingles"]), "shingle-sets", BATCH, rows=2 * n * PER_SET)
     one, two = (held.select(F.col("shingles").alias(f"d{x}"), F.col("held").alias(f"h{x}")) for x in "ab")
     both = near.join(one, F.col("sa") == F.col("da")).select("na", "nb", "sb", "ha").join(two, F.col("sb") == F.col("db"))
 
@@ -510,38 +514,39 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = NEAR,
     that repeat an id are each returned; an empty table gives no rows; other columns
     are not looked at.
     """
-    own = written(set_fingerprints(docs, shingle, words, id_col, text_col), "fingerprints")
+    own = written(set_fingerprints(docs, shingle, words, id_col, text_col), "fingerprints", BATCH)
+    n = own.count()
     sets = own.where(F.col(id_col).isNotNull()).groupBy("shingles").agg(F.first("fp").alias("fp"), F.min(id_col).alias("first_id"))
-    nodes = written(sets.orderBy("first_id", "shingles").withColumn("node", F.monotonically_increasing_id()), "nodes")
-    linked = lambda pairs: written(_links(pairs, nodes, docs, shingle, similarity, words, id_col, text_col), "links")
+    nodes = written(sets.orderBy("first_id", "shingles").withColumn("node", F.monotonically_increasing_id()), "nodes", rows=n)
+    linked = lambda pairs: written(_links(pairs, nodes, docs, shingle, similarity, words, id_col, text_col), "links", BATCH, rows=pairs.count() * PER_SET)
 
     def labelled(some: DataFrame, label: DataFrame) -> DataFrame:
         joined = label.withColumnRenamed("node", "_node")
-        return written(some.join(joined, F.col("node") == F.col("_node"), "left").select("node", "fp", F.coalesce("label", "node").alias("label")), "labelled")
+        return written(some.join(joined, F.col("node") == F.col("_node"), "left").select("node", "fp", F.coalesce("label", "node").alias("label")), "labelled", rows=n)
 
     # equal keys first: they join most of a group of near copies, whose other meetings then need no look
     links = linked(written(table_pairs(nodes.withColumn("label", F.col("node")), similarity, words, flips=False), "met", BATCH))
     met = written(table_pairs(labelled(nodes, connected_components(links)), similarity, words), "met", BATCH)
     links = links.unionByName(linked(met))
     label = connected_components(links)
-    crowd = written(crowded_nodes(met).withColumnRenamed("node", "_crowd"), "crowd")
+    crowd = written(crowded_nodes(met).withColumnRenamed("node", "_crowd"), "crowd", rows=n)
     if not crowd.isEmpty():  # what is left of crowded variants are pairs of different labels
-        few = written(nodes.join(crowd, F.col("node") == F.col("_crowd"), "left_semi"), "crowded")
+        few = written(nodes.join(crowd, F.col("node") == F.col("_crowd"), "left_semi"), "crowded", rows=n)
         asked = few.select(F.col("first_id").alias("asked_id"))
         texts = docs.join(asked, docs[id_col] == asked["asked_id"], "left_semi")
         longs = set_fingerprints(texts, shingle, LONG, id_col, text_col).select(F.col("shingles").alias("_shingles"), F.col("fp").alias("long")).dropDuplicates(["_shingles"])
         joined = label.withColumnRenamed("node", "_node")
         others = few.join(longs, F.col("shingles") == F.col("_shingles")).join(joined, F.col("node") == F.col("_node"), "left")
-        others = written(others.select("node", "fp", F.coalesce("label", "node").alias("label"), "long"), "labelled")
+        others = written(others.select("node", "fp", F.coalesce("label", "node").alias("label"), "long"), "labelled", rows=n)
         label = connected_components(links.unionByName(linked(written(table_pairs(others, similarity, words, whole=True), "met", BATCH))))
     named = nodes.join(label.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("shingles", F.coalesce("label", "node").alias("_label"))
     heads = nodes.select(F.col("node").alias("_head"), F.col("first_id").alias("group_id"))
-    of_set = written(named.join(heads, F.col("_label") == F.col("_head")).select(F.col("shingles").alias("_shingles"), "group_id"), "groups")
+    of_set = written(named.join(heads, F.col("_label") == F.col("_head")).select(F.col("shingles").alias("_shingles"), "group_id"), "groups", rows=n)
     return own.join(of_set, F.col("shingles") == F.col("_shingles"), "left").select(id_col, "group_id")
 
 
 def without_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = NEAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` of which one id of each group stays, the smallest. Rows with a null id stay, and so do all rows that repeat an id that stays."""
     groups = near_duplicates(docs, shingle, similarity, id_col=id_col, text_col=text_col)
-    gone = written(groups.where(F.col(id_col) != F.col("group_id")).select(F.col(id_col).alias("gone_id")).distinct(), "near-duplicates")
+    gone = groups.where(F.col(id_col) != F.col("group_id")).select(F.col(id_col).alias("gone_id")).distinct()
     return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
