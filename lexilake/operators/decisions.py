@@ -204,7 +204,7 @@ def claimed(jobs: DataFrame, now: int, most: int = 1) -> DataFrame:
     return due.withColumns({"status": F.lit("active"), "attempts": F.col("attempts") + 1})
 
 
-def backfill_tick(imports: DataFrame, now: int, daily: int, external: int, resets_at: int, per_tick: int = 20) -> DataFrame:
+def backfill_tick(imports: DataFrame, now: int, daily: int, external: int | Column, resets_at: int, per_tick: int = 20) -> DataFrame:
     """What one tick does to each import: ``outcome``, ``enqueued``, ``resumes_at`` and the state that follows.
 
     ``imports`` has import_id, state, n_candidates, next_index, released_on (a UTC
@@ -212,12 +212,12 @@ def backfill_tick(imports: DataFrame, now: int, daily: int, external: int, reset
     it has left, what its own daily cap leaves, what the shared budget leaves and
     ``per_tick``; the checks come in this order.
     """
-    today = F.to_date(F.timestamp_millis(F.lit(now)))
+    today, external = F.to_date(F.timestamp_millis(F.lit(now))), F.lit(external) if isinstance(external, int) else external
     used = F.when(F.col("released_on") == today, F.col("released_for_day")).otherwise(0)
     left, own = F.col("n_candidates") - F.col("next_index"), F.greatest(F.lit(0), F.lit(daily) - used)
     running = F.col("state") == "running"
-    stop = F.when(~running, "not_running").when(left <= 0, "completed").when(own <= 0, "daily_cap_reached").when(F.lit(min(external, per_tick)) <= 0, "waiting_for_budget")
-    n = F.when(stop.isNotNull(), 0).otherwise(F.least(left, own, F.lit(external), F.lit(per_tick))).cast("bigint")
+    stop = F.when(~running, "not_running").when(left <= 0, "completed").when(own <= 0, "daily_cap_reached").when(F.least(external, F.lit(per_tick)) <= 0, "waiting_for_budget")
+    n = F.when(stop.isNotNull(), 0).otherwise(F.least(left, own, external, F.lit(per_tick))).cast("bigint")
     out = imports.select("*", stop.alias("_stop"), n.alias("enqueued"), used.alias("_used"), (running & (n >= left)).alias("_done"))
     outcome = F.coalesce("_stop", F.when(F.col("_done"), "completed").otherwise("progressed"))
     resumes = F.when(F.col("_stop") == "daily_cap_reached", (F.floor(F.lit(now) / 86_400_000) + 1) * 86_400_000).when(F.col("_stop") == "waiting_for_budget", F.lit(resets_at))

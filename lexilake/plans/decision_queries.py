@@ -14,6 +14,7 @@ from lexilake.operators import rag as R
 from lexilake.plans.search_queries import TEXT_TOKENS, index_path, tokenized_items
 from lexilake.sources import tables as D
 from lexilake.sources.tables import with_views
+from lexilake.streaming import imports as I
 
 BOARD = (("inbox", "inbox"), ("to_test", "to_test"), ("testing", "testing"), ("tested", "tested"), ("done", "archived"), ("done", "dropped"))
 
@@ -41,6 +42,8 @@ def kind_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Bytes that the fields of an item may have together.
 CAPPED = 1000
+#: An import's own releases a day, and those of all imports of a tick.
+DAILY, SHARED = 25, 150
 
 
 def byte_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,6 +130,18 @@ def index_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.index_in_sync(stored.select(*fresh.columns).where("term <> 'the'"), fresh).groupBy("side", "term").agg(F.count("*").alias("n"))
 
 
+def import_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One tick over the imports of each source and language: as many candidates as documents, states and cursors by their number."""
+    docs = D.raw(spark, sf_dir, "documents")
+    imports = docs.groupBy("lang", "source").agg(F.min("doc_id").alias("import_id"), F.count("*").alias("n_candidates"))
+    k = F.col("import_id") % 7
+    imports = imports.select(
+        "import_id", F.when(k == 0, "paused").otherwise("running").alias("state"), "n_candidates", F.when(k == 1, F.col("n_candidates")).otherwise(F.floor(F.col("n_candidates") / 3)).cast("bigint").alias("next_index"),
+        F.when(k > 2, F.lit("2024-01-01").cast("date")).alias("released_on"), (k * 4).cast("bigint").alias("released_for_day"),
+    )
+    return I.shared_tick(imports, D.EPOCH + 5, DAILY, SHARED, D.EPOCH + 86_400_000).drop("released_on")
+
+
 def budgeted_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items as far as the day's requests go, 16 to a request."""
     items = D.items(spark, sf_dir).select("item_id", F.col("content").alias("text"))
@@ -140,7 +155,7 @@ def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("embedding_model").agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("width"))
 
 
-QUERIES = {f.__name__: f for f in (enum_filters, epoch_filters, wire_ids, kind_fields, byte_cuts, byte_caps, budgeted_embedding, enrichment_validity, validate_then_repair, longest_contexts, model_routing, retry_outcomes, retryable_errors, conversation_resolution, board_drops, bulk_settled, shortened_links, thread_posts, index_sync, embedded_chunks)}
+QUERIES = {f.__name__: f for f in (enum_filters, epoch_filters, wire_ids, kind_fields, byte_cuts, byte_caps, import_tick, budgeted_embedding, enrichment_validity, validate_then_repair, longest_contexts, model_routing, retry_outcomes, retryable_errors, conversation_resolution, board_drops, bulk_settled, shortened_links, thread_posts, index_sync, embedded_chunks)}
 
 _I = with_views("items", sql="")[:-1]
 _TR = "tr(f, t) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, to in L.TRANSITIONS.items() for b in to) + ")"
@@ -159,6 +174,14 @@ ORACLE = {
     "byte_caps": f"""{_I}, f AS (SELECT item_id, content AS html, left(reverse(content), 700) AS transcript, CASE WHEN item_id % 3 > 0 THEN title END AS caption FROM items),
 t AS (SELECT *, coalesce(strlen(html), 0) + coalesce(strlen(transcript), 0) + coalesce(strlen(caption), 0) AS total FROM f)
 SELECT item_id, {", ".join(f"sha256({_SHARE.format(n)}) AS {n}" for n in ("html", "transcript", "caption"))}, total > {CAPPED} AS truncated FROM t""",
+    "import_tick": f"""WITH g AS (SELECT min(doc_id) AS import_id, count(*) AS n FROM documents GROUP BY lang, source),
+i AS (SELECT import_id, n, import_id % 7 AS k, CASE WHEN import_id % 7 = 1 THEN n ELSE n // 3 END AS idx, CASE WHEN import_id % 7 > 2 THEN import_id % 7 * 4 ELSE 0 END AS used FROM g),
+w AS (SELECT *, n - idx AS open, greatest(0, {DAILY} - used) AS own, CASE WHEN k = 0 THEN 0 ELSE greatest(0, least(n - idx, {DAILY} - used, 20, {SHARED})) END AS wanted FROM i),
+s AS (SELECT *, greatest(0, {SHARED} - coalesce(sum(wanted) OVER (ORDER BY import_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS rest FROM w),
+o AS (SELECT *, CASE WHEN k = 0 THEN 'not_running' WHEN open <= 0 THEN 'completed' WHEN own <= 0 THEN 'daily_cap_reached' WHEN rest <= 0 THEN 'waiting_for_budget' END AS stop, least(wanted, rest) AS enq FROM s)
+SELECT import_id, coalesce(stop, CASE WHEN enq >= open THEN 'completed' ELSE 'progressed' END) AS outcome, CAST(CASE WHEN stop IS NULL THEN enq ELSE 0 END AS BIGINT) AS enqueued,
+  CASE WHEN stop IN ('daily_cap_reached', 'waiting_for_budget') THEN {D.EPOCH + 86_400_000} END AS resumes_at, CASE WHEN k = 0 THEN 'paused' WHEN open <= 0 OR (stop IS NULL AND enq >= open) THEN 'completed' ELSE 'running' END AS state,
+  CAST(idx + CASE WHEN stop IS NULL THEN enq ELSE 0 END AS BIGINT) AS next_index, CAST(CASE WHEN stop IS NULL AND enq > 0 THEN used + enq ELSE k * 4 END AS BIGINT) AS released_for_day FROM o""",
     "budgeted_embedding": f"{_I}, b AS (SELECT item_id, CAST((row_number() OVER (ORDER BY item_id) - 1) // 16 AS BIGINT) AS batch FROM items) SELECT item_id, batch, CASE WHEN batch < 21 THEN 'hash' END AS embedding_model FROM b",
     "enrichment_validity": f"{_I} SELECT item_id, item_id % 6 + 1 BETWEEN 3 AND 5 AND item_id % 7 * 80 BETWEEN 1 AND 400 AND item_id % 10 + 1 BETWEEN 3 AND 8 AND item_id % 11 * 5 BETWEEN 1 AND 40 AND item_id % 13 * 8 BETWEEN 1 AND 80 AND item_id % 12 <= 10 AND (kind <> 'github' OR item_id % 2 = 0 AND item_id % 5 * 100 BETWEEN 1 AND 300) AS ok FROM items",
     "validate_then_repair": "WITH a AS (SELECT event_id // 3 AS call_id, event_id % 3 AS attempt, event_id * 31 % 4 = 0 AS ok FROM events), b AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY attempt) AS rn FROM a QUALIFY rn <= 2) SELECT call_id, CASE min(rn) FILTER (ok) WHEN 1 THEN 'valid' WHEN 2 THEN 'repaired' ELSE 'failed' END AS outcome FROM b GROUP BY 1",
