@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lexilake.functions import text as T
 from lexilake.functions import urls as U
+from lexilake.functions.main_text import readable
 
 ARTICLE_MIN = 400
 TARGET_TOKENS, OVERLAP_TOKENS, SHORT_TOKENS = 500, 75, 200
@@ -32,14 +33,6 @@ def title(html: Column) -> Column:
     return F.coalesce(meta(html, "og:title"), F.nullif(own, F.lit("")))
 
 
-def readable(html: Column) -> Column:
-    """Main text, approximately: scripts, styles, comments and page furniture go, then tags."""
-    own = F.regexp_replace(html, r"(?is)<!--.*?-->", " ")
-    own = F.regexp_replace(own, r"(?is)<(script|style|nav|aside|footer|head|noscript)\b.*?</\1\s*>", " ")
-    own = F.regexp_replace(own, r"(?is)<div class=\"ad\">.*?</div>", " ")
-    return F.trim(F.regexp_replace(T.xml_decoded(F.regexp_replace(own, r"(?s)<[^>]*>", " ")), r"\s+", " "))
-
-
 def ladder(*rungs: tuple[str, Column, Column]) -> Column:
     """The first rung (tier, condition, text) that holds, as a struct of tier and text."""
     out = F.lit(None)

@@ -56,7 +56,7 @@ def page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extraction_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = G.extracted(D.raw(spark, sf_dir, "pages"), least=2000)
+    out = G.extracted(D.raw(spark, sf_dir, "pages"), least=LADDER)
     return out.select("page_id", "tier", F.length("text").cast("bigint").alias("chars"))
 
 
@@ -133,6 +133,8 @@ def import_kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.zero_filled(L.counts_by(_urls(spark, sf_dir).select(U.kind(F.col("url"), "import").alias("kind")), "kind"), D.KINDS).select("value", "n")
 
 
+#: Characters of a text that is taken for the whole article.
+LADDER = 2000
 QUERIES = {f.__name__: f for f in (url_canonical_capture, url_canonical_resolve, url_canonical_import, url_hash_dedupe, url_kind_by_profile, url_ids, page_meta, extraction_ladder, page_main_text, url_extract_dedupe, share_payload, capture_decision, chunk_documents, token_estimate, truncate_head_tail, content_cap, slugs_and_labels, stream_pieces, chat_export_messages, import_kind_counts)}
 
 _U = "u AS (SELECT page_id AS id, url FROM pages UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-1 - k}, '{u}')" for k, u in enumerate(EXTRA)) + ") t(id, url))"
@@ -165,6 +167,12 @@ _IMPORT_KIND = f"CASE WHEN NOT ok THEN 'other' WHEN {_on('host', ('github.com',)
 _TRIM = "regexp_replace({0}, '^[\\s]+|[\\s]+$', '', 'g')"
 _DEC = "replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&#39;', ''''), '&amp;', '&')"
 
+#: The pages of the table have their text in one article, with advertisements and scripts between.
+_BARE = "regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '(?s)<!--.*?-->|<script.*?</script>|<div class=\"ad\">.*?</div>|<[^<>]*>', ' ', 'g')"
+for _name, _char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("#x27", "''"), ("amp", "&")):
+    _BARE = f"replace({_BARE}, '&{_name};', '{_char}')"
+_ARTICLE = f"CASE WHEN html IS NOT NULL THEN trim(regexp_replace({_BARE}, '\\s+', ' ', 'g')) END"
+
 ORACLE = {
     "url_canonical_capture": f"WITH {_X}, k AS (SELECT *, {_drop('capture')} AS kp, CASE WHEN path = '/' THEN path ELSE regexp_replace(path, '/+$', '') END AS cut FROM y), s AS (SELECT *, list_transform(list_sort(list_transform(kp, lambda p, i: {{'n': split_part(p, '=', 1), 'i': i, 'p': p}})), lambda s: s.p) AS sp FROM k) SELECT id, CASE WHEN ok THEN scheme || '://' || host || port || CASE WHEN cut = '' THEN '/' ELSE cut END || {_q('sp')} END AS canonical FROM s",
     "url_canonical_resolve": f"WITH {_RES} SELECT id, canonical FROM res",
@@ -176,6 +184,8 @@ SELECT id, CASE WHEN {_on("host", ("github.com",))} THEN 'github' WHEN host IN (
   {_IMPORT_KIND} AS import FROM y JOIN c USING (id)""",
     "url_ids": f"WITH {_RES} SELECT id, nullif(regexp_extract(canonical, '^https://github\\.com/([^/]+/[^/?#]+)$', 1), '') AS repo, nullif(regexp_extract(canonical, '^https?://youtube\\.com/watch\\?(?:.*&)?v=([^&]+)', 1), '') AS video, nullif(regexp_extract(canonical, '^https?://arxiv\\.org/(?:abs|pdf)/(\\d{{4}}\\.\\d{{4,5}})(?:v\\d+)?(?:\\.pdf)?$', 1), '') AS paper, regexp_extract(path0, '\\.[^./]*$') AS extension FROM res",
     "page_meta": f"SELECT page_id, nullif(trim({_DEC.format(chr(114) + 'egexp_extract(html, ' + chr(39) + '(?is)<title[^>]*>(.*?)</title>' + chr(39) + ', 1)')}), '') AS title, CAST(NULL AS VARCHAR) AS description FROM pages",
+    "page_main_text": f"SELECT page_id, {_ARTICLE} AS text FROM pages",
+    "extraction_ladder": f"WITH a AS (SELECT page_id, {_ARTICLE} AS text FROM pages) SELECT page_id, CASE WHEN length(text) >= {LADDER} THEN 'full' ELSE 'metadata_only' END AS tier, CASE WHEN length(text) >= {LADDER} THEN CASE WHEN length(text) <= {T.CONTENT_CAP} THEN length(text) ELSE {T.CONTENT_CAP} + length(chr(10) || chr(10) || '[truncated — original was ' || length(text) || ' characters]') END END AS chars FROM a",
     "url_extract_dedupe": f"""WITH {_MSG}, e AS (SELECT (conv_id * 100 + turn) * 10 AS pos, url FROM m UNION ALL SELECT (conv_id * 100 + turn) * 10 + 1, 'https://www.example.org/a' FROM m),
 u AS (SELECT pos AS id, url FROM e), {_X.split("," + chr(10), 1)[1]}, k AS (SELECT *, {_drop("import")} AS kp FROM y), w AS (SELECT *, scheme || '://' || host || port || path || {_q("kp")} AS whole FROM k),
 h AS (SELECT id AS pos, url, sha256({_IMP}) AS url_hash FROM w) SELECT pos, url, url_hash, count(*) OVER (PARTITION BY url_hash) - 1 AS duplicates FROM h QUALIFY row_number() OVER (PARTITION BY url_hash ORDER BY pos) = 1""",
