@@ -151,16 +151,21 @@ def source_divergence(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, top_t
 
     joint = found.select("lang", "held").mapInArrow(_joint, "lang string, a string, b string, ca bigint, cb bigint, m bigint")
     joint = joint.groupBy("lang", "a", "b", "ca", "cb").agg(F.sum("m").alias("m"))
-    totals = [groups.select("lang", F.col("source").alias(x), F.col("total").alias(f"{x}_total"), *(["kept"] if x == "a" else [])) for x in "ab"]
+    totals = [groups.select("lang", F.col("source").alias(x), F.col("total").alias(f"{x}_total"), *["kept"] * (x == "a")) for x in "ab"]
     # a combination that both have is no implied cell of either, so these are taken back
     both = joint.join(totals[0], ["lang", "a"]).join(totals[1], ["lang", "b"])
     both = both.groupBy("lang", "a", "b").agg(F.sum(F.expr(f"m * ({_f('ca', 'cb')} - {_f('ca', '0L')} - {_f('0L', 'cb')} + {_f('0L', '0L')})")).alias("shared"))
-    left = groups.select("lang", F.col("source").alias("a"), F.col("total").alias("a_total"), F.col("counts").alias("a_counts"), "kept", F.pmod(F.hash("source"), F.lit(PARTS)).alias("part"))
-    right = groups.select("lang", F.col("source").alias("b"), F.col("total").alias("b_total"), F.col("counts").alias("b_counts"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
-    pairs = left.join(right, ["lang", "part"]).where("a < b").join(both, ["lang", "a", "b"], "left")
-    alone = lambda x, f: f"aggregate({x}_counts, 0L, (s, c) -> s + c.m * {f})"
-    none = "(kept - aggregate(a_counts, 0L, (s, c) -> s + c.m) - aggregate(b_counts, 0L, (s, c) -> s + c.m))"
-    value = F.expr(f"coalesce(shared, 0) + {alone('a', _f('c.n', '0L'))} + {alone('b', _f('0L', 'c.n'))} + {none} * {_f('0L', '0L')}")
+    side = lambda x, *more: groups.select("lang", F.col("source").alias(x), F.col("total").alias(f"{x}_total"), *more)
+    left = side("a", "kept", F.pmod(F.hash("source"), F.lit(PARTS)).alias("part"))
+    right = side("b", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    pairs = left.join(right, ["lang", "part"]).where("a < b").select("lang", "a", "b", "a_total", "b_total", "kept")
+    # a source's counts meet its pairs, and only sums go on
+    for x, f in (("a", _f("c.n", "0L")), ("b", _f("0L", "c.n"))):
+        own = groups.select("lang", F.col("source").alias(x), "counts")
+        sums = [F.expr(f"aggregate(counts, 0L, (s, c) -> s + c.m * {f})").alias(f"{x}_alone"), F.expr("aggregate(counts, 0L, (s, c) -> s + c.m)").alias(f"{x}_terms")]
+        pairs = pairs.join(own, ["lang", x]).select(*pairs.columns, *sums)
+    pairs = pairs.join(both, ["lang", "a", "b"], "left")
+    value = F.expr(f"coalesce(shared, 0) + a_alone + b_alone + (kept - a_terms - b_terms) * {_f('0L', '0L')}")
     pairs = pairs.select("lang", "a", "b", value.alias("value"))
     pairs = pairs.select("lang", F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item")), F.struct(F.col("b").alias("source"), F.col("a").alias("item")))).alias("x"), "value")
     pair = pairs.select("lang", "x.source", "x.item", "value").withColumn("rank", F.row_number().over(by_value))
