@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexilake.llm.common import whole_number
+
 START, TEXT, END = "<|start|>", "<|text|>", "<|end|>"
 #: Tokens of a window, of the history it repeats, and of the marks around a turn.
 BUDGET, HISTORY, MARKS = 1024, 192, 4
@@ -45,7 +47,7 @@ def estimated_tokens(text: Column) -> Column:
 def _numbered(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
     """conv, seq (0 upwards in order of turn; ties by role, then text; null turns first), role, text, tokens, before (tokens of earlier turns)."""
     own = turns.select(
-        F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"),
+        F.col(conv).alias("conv"), whole_number(turns, turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
     own = own.withColumn("tokens", (estimated_tokens(F.col("text")) + MARKS).cast("bigint")).withColumn("block", F.floor(F.col("turn") / BLOCK))
     blocks = own.groupBy("conv", "block").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 from lexilake.sources.stored import fresh_path, shared_dir
 
@@ -12,6 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_number(df: DataFrame, name: str) -> Column:
+    """The column as a bigint; any but an integral type raises an error that names it."""
+    kind = df.schema[name].dataType
+    if not isinstance(kind, (IntegralType, NullType)):
+        raise ValueError(f"{name} must be of an integral type, not {kind.simpleString()}")
+    return F.col(name).cast("bigint")
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with as many underscores behind it as no column of ``df`` (in any case) has."""
     taken = {c.lower() for c in df.columns}

@@ -279,16 +279,24 @@ def _unplaned(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
 
 
-def allowed_bits(similarity: float, bits: int) -> int:
-    """Bits that may differ between candidates for this Jaccard similarity, three standard errors included."""
+#: Standard errors that an estimate from bits may be off before a pair is given up unverified; None gives none up.
+ERRORS = 3.0
+
+
+def allowed_bits(similarity: float, bits: int, errors: float | None = ERRORS) -> int:
+    """Bits that may differ between candidates for this Jaccard similarity, so many standard errors included."""
+    if errors is None:
+        return bits
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
+    return int(bits * share + errors * math.sqrt(bits * share * (1 - share)))
 
 
-def loose_bits(similarity: float, bits: int) -> int:
-    """A limit on few bits that 998 in 1000 pairs at this similarity do not exceed: three standard errors above."""
+def loose_bits(similarity: float, bits: int, errors: float | None = ERRORS) -> int:
+    """The same for few bits, rounded up: with three, 998 in 1000 pairs at this similarity do not exceed it."""
+    if errors is None:
+        return bits
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.ceil(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
+    return math.ceil(bits * share + errors * math.sqrt(bits * share * (1 - share)))
 
 
 #: A variant with more members than this is crowded: its first round of pairs is not every pair.
@@ -306,7 +314,7 @@ def _table_bits(fps: np.ndarray, tables: int, bits: int) -> np.ndarray:
     return np.unpackbits(fps.astype(">i8").view(np.uint8), axis=1)[:, : tables * bits].reshape(-1, tables, bits)
 
 
-def table_pairs(nodes: DataFrame, similarity: float = NEAR, words: int = WORDS, bits: int = TABLE_BITS, flips: bool = True, whole: bool = False) -> DataFrame:
+def table_pairs(nodes: DataFrame, similarity: float = NEAR, words: int = WORDS, bits: int = TABLE_BITS, flips: bool = True, whole: bool = False, errors: float | None = ERRORS) -> DataFrame:
     """Pairs ``a``, ``b`` of nodes (``node``, ``fp``, ``label``) that share a variant in some table and differ in their labels.
 
     A table's key is a stretch of ``bits`` bits of the fingerprint; its variants are
@@ -327,7 +335,7 @@ def table_pairs(nodes: DataFrame, similarity: float = NEAR, words: int = WORDS,
     it meets in. These go once with each block, not with each variant. Rows may repeat
     a pair that meets in several tables.
     """
-    check_limit, flip_masks = loose_bits(similarity, 32), near_masks(bits)
+    check_limit, flip_masks = loose_bits(similarity, 32, errors), near_masks(bits)
     parts, tables = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), words * 64 // bits
     part_keys = np.array(partition_keys(nodes.sparkSession, parts), np.int32)
     n_variants = bits + 1 if flips else 1
@@ -369,7 +377,7 @@ def table_pairs(nodes: DataFrame, similarity: float = NEAR, words: int = WORDS,
 
     def unjoined(starts: np.ndarray, size: np.ndarray, variants: np.ndarray, flips_of: np.ndarray, nodes_of: np.ndarray, long_of: np.ndarray, longs: np.ndarray, labels_of: np.ndarray) -> Iterator[np.ndarray]:
         """Every near pair of each group that differs in its labels and is settled there."""
-        limit, step = allowed_bits(similarity, 64 * longs.shape[1]), COMPARED // longs.shape[1]
+        limit, step = allowed_bits(similarity, 64 * longs.shape[1], errors), COMPARED // longs.shape[1]
 
         def near(left: np.ndarray, right: np.ndarray) -> Iterator[np.ndarray]:
             for at in range(0, len(left), step):
@@ -475,13 +483,13 @@ def crowded_nodes(met: DataFrame) -> DataFrame:
     return marks.repartition("share").sortWithinPartitions("share").mapInArrow(run, "node bigint")
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, words: int, id_col: str, text_col: str) -> DataFrame:
+def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, words: int, id_col: str, text_col: str, errors: float | None) -> DataFrame:
     """The ``pairs`` whose sets of shingles have the Jaccard similarity or more; the fingerprints spare the sets of most others."""
     n = pairs.count()
     one, two = (nodes.select(F.col("node").alias(f"n{x}"), F.col("fp").alias(f"f{x}"), F.col("shingles").alias(f"s{x}")) for x in "ab")
     met = pairs.where("a is not null").select("a", "b").distinct().join(one, F.col("a") == F.col("na")).select("b", "na", "fa", "sa").join(two, F.col("b") == F.col("nb"))
     apart = sum((F.bit_count(F.col("fa")[k].bitwiseXOR(F.col("fb")[k])) for k in range(words)), F.lit(0))
-    near = written(met.where(apart <= allowed_bits(similarity, 64 * words)).select("na", "sa", "nb", "sb"), "candidates", rows=n)
+    near = written(met.where(apart <= allowed_bits(similarity, 64 * words, errors)).select("na", "sa", "nb", "sb"), "candidates", rows=n)
     asked = near.select(F.col("na").alias("n")).unionByName(near.select(F.col("nb").alias("n"))).distinct()
     ids = written(nodes.join(asked, F.col("node") == F.col("n"), "left_semi").select(F.col("first_id").alias("asked_id")), "asked", rows=2 * n)
     texts = docs.join(ids, docs[id_col] == ids["asked_id"], "left_semi")
@@ -501,13 +509,15 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, si
     return both.select("na", "nb", "ha", "hb").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = NEAR, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = NEAR, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", errors: float | None = ERRORS) -> DataFrame:
     """``id_col`` and ``group_id`` of each row: the smallest id of its group of near-duplicates.
 
     Two texts are linked if the sets of their shingles have a Jaccard similarity of
     ``similarity`` or more. Candidates are found by their fingerprints of
     ``64 * words`` bits; the ball hashing is over tables of shorter keys, as one word
-    cannot hold so wide an angle. Texts with the same set of shingles are one node;
+    cannot hold so wide an angle. Before a candidate is verified on its set it is
+    sifted by its bits; ``errors`` says how far these may be off, and None sifts
+    nothing, which leaves only pairs out that meet in no table. Texts with the same set of shingles are one node;
     nodes are numbered in the order of their smallest ids, which may be of any type
     that has an order. Null texts and texts without words are alike. Rows with a
     null id have a null group unless their set of shingles is that of others. Rows
@@ -518,15 +528,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = NEAR,
     n = own.count()
     sets = own.where(F.col(id_col).isNotNull()).groupBy("shingles").agg(F.first("fp").alias("fp"), F.min(id_col).alias("first_id"))
     nodes = written(sets.orderBy("first_id", "shingles").withColumn("node", F.monotonically_increasing_id()), "nodes", rows=n)
-    linked = lambda pairs: written(_links(pairs, nodes, docs, shingle, similarity, words, id_col, text_col), "links", BATCH, rows=pairs.count() * PER_SET)
+    linked = lambda pairs: written(_links(pairs, nodes, docs, shingle, similarity, words, id_col, text_col, errors), "links", BATCH, rows=pairs.count() * PER_SET)
 
     def labelled(some: DataFrame, label: DataFrame) -> DataFrame:
         joined = label.withColumnRenamed("node", "_node")
         return written(some.join(joined, F.col("node") == F.col("_node"), "left").select("node", "fp", F.coalesce("label", "node").alias("label")), "labelled", rows=n)
 
     # equal keys first: they join most of a group of near copies, whose other meetings then need no look
-    links = linked(written(table_pairs(nodes.withColumn("label", F.col("node")), similarity, words, flips=False), "met", BATCH))
-    met = written(table_pairs(labelled(nodes, connected_components(links)), similarity, words), "met", BATCH)
+    links = linked(written(table_pairs(nodes.withColumn("label", F.col("node")), similarity, words, flips=False, errors=errors), "met", BATCH))
+    met = written(table_pairs(labelled(nodes, connected_components(links)), similarity, words, errors=errors), "met", BATCH)
     links = links.unionByName(linked(met))
     label = connected_components(links)
     crowd = written(crowded_nodes(met).withColumnRenamed("node", "_crowd"), "crowd", rows=n)
@@ -538,7 +548,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = NEAR,
         joined = label.withColumnRenamed("node", "_node")
         others = few.join(longs, F.col("shingles") == F.col("_shingles")).join(joined, F.col("node") == F.col("_node"), "left")
         others = written(others.select("node", "fp", F.coalesce("label", "node").alias("label"), "long"), "labelled", rows=n)
-        label = connected_components(links.unionByName(linked(written(table_pairs(others, similarity, words, whole=True), "met", BATCH))))
+        label = connected_components(links.unionByName(linked(written(table_pairs(others, similarity, words, whole=True, errors=errors), "met", BATCH))))
     named = nodes.join(label.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("shingles", F.coalesce("label", "node").alias("_label"))
     heads = nodes.select(F.col("node").alias("_head"), F.col("first_id").alias("group_id"))
     of_set = written(named.join(heads, F.col("_label") == F.col("_head")).select(F.col("shingles").alias("_shingles"), "group_id"), "groups", rows=n)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexilake.llm.common import partition_keys
+from lexilake.llm.common import partition_keys, whole_number
 
 SPAN, GRAM = 100, 40
 #: Bytes of text that are looked at together, and that give their runs together.
@@ -155,14 +155,15 @@ def repeated_passages(docs: DataFrame, span: int = SPAN, gram: int = GRAM, id_co
     A null text is empty; a text shorter than ``span`` loses nothing. Null ids are
     one document behind all others. Rows that repeat an id and a text get the same
     result, as one row would; texts that share an id come one behind the other, in
-    order of a hash of the text. Other columns are not looked at.
+    order of a hash of the text. Ids of any but an integral type raise an error.
+    Other columns are not looked at.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = np.array(partition_keys(spark, parts), np.int32)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(
-        F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)).alias("rid"), F.col(id_col).alias("own_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data")
+        F.coalesce(whole_number(docs, id_col), F.lit(LAST_ID)).alias("rid"), F.col(id_col).alias("own_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data")
     ).repartition(parts, "rid")
 
     def deal(values: np.ndarray) -> np.ndarray:

@@ -6,18 +6,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType
+
+from lexilake.llm.common import whole_number
 
 #: Stands for "no score yet": below every score, and its negative is a long too.
 NONE = -(2**63 - 1)
 
 
-def _long(rows: DataFrame, name: str) -> Column:
-    if not isinstance(rows.schema[name].dataType, IntegralType):
-        raise ValueError(f"{name} must be of an integral type, not {rows.schema[name].dataType.simpleString()}")
-    return F.col(name).cast("bigint")
-
-
 def whole_vectors(rows: DataFrame, scale: int, id_col: str, vector_col: str, label_col: str | None = None) -> DataFrame:
     """``id``, ``v`` (array<int> of floor(scale * x)) and, if asked for, ``label``: one row for each id that takes part.
 
@@ -28,8 +23,8 @@ def whole_vectors(rows: DataFrame, scale: int, id_col: str, vector_col: str, lab
     """
     real = lambda c: c.cast("double")
     whole = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(real(c)) & (F.abs(real(c)) < float("inf")))
-    labels = [_long(rows, label_col).alias("label")] if label_col else []
-    clean = rows.select(_long(rows, id_col).alias("id"), F.col(vector_col).alias("x"), *labels).dropna(subset=["id", "x"] + ["label"] * bool(labels)).where(whole)
+    labels = [whole_number(rows, label_col).alias("label")] if label_col else []
+    clean = rows.select(whole_number(rows, id_col).alias("id"), F.col(vector_col).alias("x"), *labels).dropna(subset=["id", "x"] + ["label"] * bool(labels)).where(whole)
     own = clean.groupBy("id").agg(F.min(F.struct(*clean.columns[1:])).alias("own")).select("id", "own.*")
     scaled = own.withColumn("x", F.transform("x", lambda c: F.floor(real(c) * scale)))
     length = F.aggregate("x", F.lit(0.0), lambda s, c: s + real(c) * real(c))

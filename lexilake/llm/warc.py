@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexilake.llm.common import fresh_path, written
+from lexilake.llm.common import fresh_path, whole_number, written
 
 #: What files are split at, and what follows it in the versions that are read.
 MAGIC, VERSIONS = b"WARC/1.", (b"0\r\n", b"1\r\n")
@@ -59,10 +59,11 @@ def write_pages(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str = "
     Of rows with equal payloads of at least ``min_bytes`` bytes the one with the
     largest id is a response and the others are revisits that refer to it; rows that
     repeat that id are responses too, and so are rows with a null id. Null payload:
-    empty; null URL: no target field. Other columns are not looked at.
+    empty; null URL: no target field. Ids of any but an integral type raise an error.
+    Other columns are not looked at.
     """
     known = pages.select(
-        F.col(id_col).cast("bigint").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload")
+        whole_number(pages, id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload")
     ).select("*", base32_sha1(F.col("payload")).alias("digest"), F.octet_length("payload").cast("bigint").alias("size"))
     # the few digests that have more than one id, so the payloads themselves are seldom shuffled
     several = known.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.max("id").alias("top"), F.min("id").alias("least")).where("top > least")

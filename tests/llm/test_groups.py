@@ -328,3 +328,46 @@ def test_near_duplicates_by_exact_jaccard(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(docs).collect()}
     assert got == dict(enumerate(want))
+
+
+def _jaccard_groups(texts, size=5, least=0.8):
+    sets = [set(zip(*(t.split()[k:] for k in range(size)))) if len(t.split()) > size else {tuple(t.split())} for t in texts]
+    return lambda i, j: len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) >= least
+
+
+def test_recall_of_planted_near_duplicates(spark):
+    rng = random.Random(13)
+    word = lambda: f"w{rng.getrandbits(30)}"
+    texts = []
+    for n in (90, 200, 500, 900):
+        for _ in range(60):
+            own = [word() for _ in range(n)]
+            other = list(own)
+            for k in rng.sample(range(n), max(1, round(n * rng.uniform(0.018, 0.0235)))):  # a changed word takes five shingles
+                other[k] = word()
+            texts += [" ".join(own), " ".join(other)]
+    near = _jaccard_groups(texts)
+    pairs = [k for k in range(0, len(texts), 2) if near(k, k + 1)]
+    assert len(pairs) > 100
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for errors in (simhash.ERRORS, None):
+        of = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(docs, errors=errors).collect()}
+        assert sum(of[k] == of[k + 1] for k in pairs) >= 0.9 * len(pairs)
+        assert not any(of[k] == of[k + 1] for k in range(0, len(texts), 2) if k not in pairs)
+
+
+def test_recall_on_the_documents(spark, sf):
+    rows = [(r["doc_id"], (r["text"] or "").encode().lower().decode()) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    near = _jaccard_groups([" ".join(t.encode().split() and [w.decode() for w in t.encode().split()]) for _, t in rows])
+    links = [(i, j) for j in range(len(rows)) for i in range(j) if near(i, j)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    of = {r["doc_id"]: r["group_id"] for r in simhash.near_duplicates(docs).collect()}
+    found = sum(of[rows[i][0]] == of[rows[j][0]] for i, j in links)
+    assert links and found >= 0.9 * len(links)
+
+
+def test_ids_that_are_no_numbers_are_refused_by_name(spark):
+    docs = spark.createDataFrame([("a", "u", "x", 1)], "doc_id string, url string, text string, n int")
+    for call in (lambda: suffixes.repeated_passages(docs), lambda: warc.write_pages(docs, "nowhere", id_col="doc_id", payload_col="text"), lambda: chat.chat_windows(docs, "n", "doc_id", "url", "text")):
+        with pytest.raises(ValueError, match="doc_id must be of an integral type"):
+            call()
