@@ -311,6 +311,14 @@ SELECT event_id, k AS user_id, held <= {PER_WINDOW} AS allowed, CAST(CASE WHEN h
   UNION ALL SELECT k, n, event_id, t, greatest(empty, t - 2 * {DAY}) + {DAY} FROM (
     SELECT e.k, e.n, e.event_id, greatest(e.ms, t, empty + {DAY}) AS t, empty FROM f JOIN e ON e.k = f.k AND e.n = f.n + 1))
 SELECT event_id, k AS user_id, t AS "at", round((t - empty) / {DAY}, 6) AS tokens FROM f""",
+    "job_states": f"""{_REC}, {_NTH.format("user_id")}, f AS (
+  SELECT k, CAST(0 AS BIGINT) AS n, 'none' AS status, CAST(0 AS BIGINT) AS attempts, CAST(0 AS BIGINT) AS due FROM e WHERE n = 1
+  UNION ALL SELECT k, n, CASE moved WHEN 'enqueue' THEN 'queued' WHEN 'claim' THEN 'active' WHEN 'done' THEN 'done' WHEN 'fail' THEN CASE WHEN attempts >= 5 THEN 'failed' ELSE 'queued' END ELSE status END,
+    CASE moved WHEN 'enqueue' THEN 0 WHEN 'claim' THEN attempts + 1 ELSE attempts END,
+    CASE WHEN moved = 'enqueue' THEN ms WHEN moved = 'fail' AND attempts < 5 THEN ms + least(900000, 1000 * CAST(power(2, greatest(0, attempts - 1)) AS BIGINT)) ELSE due END FROM (
+    SELECT e.k, e.n, e.ms, status, attempts, due, CASE WHEN event_type = 'signup' AND status IN ('none', 'done', 'failed') THEN 'enqueue' WHEN event_type NOT IN ('signup', 'error', 'purchase') AND status = 'queued' AND e.ms >= due THEN 'claim'
+      WHEN event_type = 'purchase' AND status = 'active' THEN 'done' WHEN event_type = 'error' AND status = 'active' THEN 'fail' END AS moved FROM f JOIN e ON e.k = f.k AND e.n = f.n + 1))
+SELECT status, count(*) AS n, max(attempts) AS attempts FROM f WHERE n > 0 GROUP BY status""",
     "claim_winners": f"""{_REC}, {_NTH.format("event_type")}, f AS (
   SELECT k, n, event_id, true AS won, ms + {LEASE} AS until FROM e WHERE n = 1
   UNION ALL SELECT e.k, e.n, e.event_id, e.ms >= until, CASE WHEN e.ms >= until THEN e.ms + {LEASE} ELSE until END FROM f JOIN e ON e.k = f.k AND e.n = f.n + 1)
