@@ -108,6 +108,12 @@ def embedded(payload: Column) -> Column:
     return F.from_json(payload, OEMBED)
 
 
+def transcript_lines(segments: Column) -> Column:
+    """Segments (timestamp, text) of a transcript as lines ``[0:18] text``; those without a text are left out, and none is the empty text."""
+    said = F.filter(segments, lambda x: T.js_trim(F.coalesce(x["text"], F.lit(""))) != "")
+    return F.array_join(F.transform(said, lambda x: F.concat(F.lit("["), T.js_trim(F.coalesce(x["timestamp"], F.lit(""))), F.lit("] "), T.js_trim(x["text"]))), "\n")
+
+
 def transcript(payload: Column) -> Column:
     """Caption events as one text: segments joined, line ends as spaces, empty ones left out."""
     events = F.from_json(payload, TIMED_TEXT)["events"]

@@ -171,6 +171,13 @@ def shared(url_field: Column, text_field: Column) -> tuple[Column, Column]:
     return url, F.nullif(note, F.lit(""))
 
 
+def fallback_title(url: Column) -> Column:
+    """The last path segment, decoded; the URL itself if there is none, or if it is no URL or not decodable."""
+    last = F.regexp_extract(url, r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]+(?:/[^?#]*?)?/([^/?#]+)/*(?:[?#].*)?$", 1)
+    plain = F.try_url_decode(F.replace(last, F.lit("+"), F.lit("%2B")))
+    return F.when((last == "") | plain.isNull() | (plain.contains("\ufffd") & ~last.contains("\ufffd")), url).otherwise(plain)
+
+
 def title_from(url: Column) -> Column:
     """The last path segment as words, without its extension; the host if there is none."""
     last = F.regexp_extract(F.regexp_replace(path_of(url), "/+$", ""), "[^/]+$", 0)

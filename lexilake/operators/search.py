@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import base64
 import json
+import logging
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +17,8 @@ from lexilake.functions import text as T
 from lexilake.functions import vectors as V
 from lexilake.operators.keyword_index import B, K1
 
+logger = logging.getLogger(__name__)
+
 #: A word of the source text with what follows it up to the next.
 WORD_AND_GAP = r"[\p{L}\p{N}\x{300}-\x{36F}]+[^\p{L}\p{N}]*"
 RRF_K, POOL, PAGE, PAGE_MAX = 60, 200, 20, 100
@@ -170,5 +174,19 @@ def hybrid(keyword: DataFrame, vector: DataFrame, limit: int, cursor: tuple[floa
     return page_after(both, limit, cursor)
 
 
+def searched(keyword: DataFrame, embed: Callable[[], list[float]], vector: Callable[[list[float]], DataFrame], limit: int, cursor: tuple[float, int] | None = None) -> tuple[DataFrame, str]:
+    """A page of both rankings, or of the keyword ranking alone where the query's vector cannot be had; and which tier it is.
+
+    Whatever keeps the embedder from answering (no budget, no network, too slow), the
+    answer is what keywords find, now, and a warning.
+    """
+    try:
+        return hybrid(keyword, vector(embed()), limit, cursor), "hybrid"
+    except Exception as e:  # noqa: BLE001  any failure of a provider is answered alike
+        logger.warning("no query vector, keyword results only: %s", e)
+        own = fused(ranked(keyword.orderBy("rank", "item_id").limit(POOL), "fts", "rank", "item_id"))
+        return page_after(own, limit, cursor), "fts"
+
+
 def groundedness(items: Column, keyword_hits: Column, best_distance: Column, ceiling: float = 1.1) -> Column:
     return (items > 0) & ((keyword_hits > 0) | F.coalesce(best_distance <= ceiling, F.lit(False)))

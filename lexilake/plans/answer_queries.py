@@ -17,6 +17,7 @@ from lexilake.operators import search as S
 from lexilake.operators import vector_index as I
 from lexilake.plans.search_queries import vector_index
 from lexilake.sources import tables as D
+from lexilake.sources.stored import fresh_path
 from lexilake.sources.tables import with_views
 from lexilake.streaming import folds as X
 from lexilake.streaming import scans as Y
@@ -216,7 +217,7 @@ def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream, counted by day into a table in memory; the result is what the sink has."""
     name = f"daily_{uuid.uuid4().hex}"
     counts = X.daily_counts(Z.event_stream(spark, sf_dir))
-    counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", fresh_path(spark, "daily-counts-state")).trigger(availableNow=True).start().awaitTermination()
     return spark.table(name).select("day_ms", "event_type", "n", F.round("value", 4).alias("value"))
 
 

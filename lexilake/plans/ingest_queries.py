@@ -51,6 +51,11 @@ def url_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _urls(spark, sf_dir).select("id", U.github_repo(u).alias("repo"), U.video_id(u).alias("video"), U.arxiv_id(u).alias("paper"), U.path_extension(U.path_of(u)).alias("extension"))
 
 
+def fallback_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = D.raw(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 3 > 0, F.col("url")).otherwise(F.concat("url", F.lit("/a%20b+c%C3%A9//?q=/x#/y"))).alias("url"))
+    return own.select("page_id", U.fallback_title(F.col("url")).alias("title"))
+
+
 def page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.raw(spark, sf_dir, "pages").select("page_id", G.title(F.col("html")).alias("title"), G.meta(F.col("html"), "og:description").alias("description"))
 
@@ -135,7 +140,7 @@ def import_kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Characters of a text that is taken for the whole article.
 LADDER = 2000
-QUERIES = {f.__name__: f for f in (url_canonical_capture, url_canonical_resolve, url_canonical_import, url_hash_dedupe, url_kind_by_profile, url_ids, page_meta, extraction_ladder, page_main_text, url_extract_dedupe, share_payload, capture_decision, chunk_documents, token_estimate, truncate_head_tail, content_cap, slugs_and_labels, stream_pieces, chat_export_messages, import_kind_counts)}
+QUERIES = {f.__name__: f for f in (url_canonical_capture, url_canonical_resolve, url_canonical_import, url_hash_dedupe, url_kind_by_profile, url_ids, fallback_titles, page_meta, extraction_ladder, page_main_text, url_extract_dedupe, share_payload, capture_decision, chunk_documents, token_estimate, truncate_head_tail, content_cap, slugs_and_labels, stream_pieces, chat_export_messages, import_kind_counts)}
 
 _U = "u AS (SELECT page_id AS id, url FROM pages UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-1 - k}, '{u}')" for k, u in enumerate(EXTRA)) + ") t(id, url))"
 _SHAPE = r"^\s*(https?)://([^/?#:\s]+)(?::(\d+))?([^?#\s]*)(?:\?([^#\s]*))?(?:#\S*)?\s*$"
@@ -184,6 +189,9 @@ SELECT id, CASE WHEN {_on("host", ("github.com",))} THEN 'github' WHEN host IN (
   {_IMPORT_KIND} AS import FROM y JOIN c USING (id)""",
     "url_ids": f"WITH {_RES} SELECT id, nullif(regexp_extract(canonical, '^https://github\\.com/([^/]+/[^/?#]+)$', 1), '') AS repo, nullif(regexp_extract(canonical, '^https?://youtube\\.com/watch\\?(?:.*&)?v=([^&]+)', 1), '') AS video, nullif(regexp_extract(canonical, '^https?://arxiv\\.org/(?:abs|pdf)/(\\d{{4}}\\.\\d{{4,5}})(?:v\\d+)?(?:\\.pdf)?$', 1), '') AS paper, regexp_extract(path0, '\\.[^./]*$') AS extension FROM res",
     "page_meta": f"SELECT page_id, nullif(trim({_DEC.format(chr(114) + 'egexp_extract(html, ' + chr(39) + '(?is)<title[^>]*>(.*?)</title>' + chr(39) + ', 1)')}), '') AS title, CAST(NULL AS VARCHAR) AS description FROM pages",
+    "fallback_titles": """WITH u AS (SELECT page_id, CASE WHEN page_id % 3 > 0 THEN url ELSE url || '/a%20b+c%C3%A9//?q=/x#/y' END AS url FROM pages),
+s AS (SELECT *, list_filter(string_split(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+|[?#].*$', '', 'g'), '/'), lambda x: x <> '') AS parts, regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+') AS ok FROM u)
+SELECT page_id, CASE WHEN ok AND len(parts) > 0 THEN url_decode(replace(parts[-1], '+', '%2B')) ELSE url END AS title FROM s""",
     "page_main_text": f"SELECT page_id, {_ARTICLE} AS text FROM pages",
     "extraction_ladder": f"WITH a AS (SELECT page_id, {_ARTICLE} AS text FROM pages) SELECT page_id, CASE WHEN length(text) >= {LADDER} THEN 'full' ELSE 'metadata_only' END AS tier, CASE WHEN length(text) >= {LADDER} THEN CASE WHEN length(text) <= {T.CONTENT_CAP} THEN length(text) ELSE {T.CONTENT_CAP} + length(chr(10) || chr(10) || '[truncated — original was ' || length(text) || ' characters]') END END AS chars FROM a",
     "url_extract_dedupe": f"""WITH {_MSG}, e AS (SELECT (conv_id * 100 + turn) * 10 AS pos, url FROM m UNION ALL SELECT (conv_id * 100 + turn) * 10 + 1, 'https://www.example.org/a' FROM m),
