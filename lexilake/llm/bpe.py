@@ -7,12 +7,14 @@ could follow ``b``. So a word has exactly one path of arcs, and so has each pref
 of it: its encoding.
 
 Over bytes this is a deterministic automaton. Its state after a prefix is the
-longest end of the prefix that begins some token, and the last token of each prefix
-that stops inside that end or at its start; with the next byte exactly one token
-ends there that may follow the last token before it, by the gadgets. Written out
-whole the automaton would have more states than any corpus visits, so a
-transition goes into the table when it is first taken. A word then costs one lookup
-a byte, and its arcs are read off backwards from its last state. Decoding emits the
+longest end of the prefix that begins some token, with the last tokens of the
+prefixes that stop inside that end or at its start; with the next byte exactly one
+token ends there that may follow the last token before it, by the gadgets. The
+table is kept in two factors, as the product would have more states than any corpus
+visits: by end and byte, the next end and the tokens that end there; by two tokens,
+whether the gadgets leave the second behind the first. Entries are made when they are
+first asked for, and their number is bounded. A word then costs a lookup or a few a
+byte, and its arcs are read off backwards from its last state. Decoding emits the
 labels of the arcs.
 """
 
@@ -35,9 +37,10 @@ ASCII_WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0
 #: Words whose encoding a worker keeps; beyond it the table starts anew.
 CACHED_WORDS = 250_000
 CACHED_CHARS = 200
-#: States whose transitions a worker keeps; beyond it the table starts anew.
-CACHED_STATES = 100_000
+#: Entries of each factor of the table that a worker keeps; beyond it that factor starts anew.
+CACHED_ENTRIES = 400_000
 ALIVE = 1 << 30
+BYTES = [bytes((b,)) for b in range(256)]
 
 
 def byte_symbols() -> dict[str, int]:
@@ -80,23 +83,32 @@ class Words(dict):
         return path
 
 
-class State(dict):
-    """A row of the transition table: byte to state. What is asked for the first time is worked out.
+class End(dict):
+    """A row of the table: by byte the next end, and the tokens that end there (length and arc, the longest first)."""
 
-    ``end`` is the longest end of what was read that begins some token, ``arcs`` the
-    last tokens before it and at each place inside it, the last of them ``arc``.
-    """
-
-    __slots__ = ("automaton", "end", "arcs", "arc")
+    __slots__ = ("automaton", "text")
 
-    def __init__(self, automaton: "Automaton", end: bytes, arcs: tuple[int, ...]):
-        self.automaton, self.end, self.arcs, self.arc = automaton, end, arcs, arcs[-1]
+    def __init__(self, automaton: Automaton, text: bytes):
+        self.automaton, self.text = automaton, text
 
-    def __missing__(self, byte: int) -> "State":
-        to = self[byte] = self.automaton.transition(self, byte)
+    def __missing__(self, byte: int) -> tuple[End, list[tuple[int, int]]]:
+        to = self[byte] = self.automaton.transition(self.text + BYTES[byte])
         return to
 
 
+class Follows(dict):
+    """By two arcs whether the gadgets leave the second behind the first."""
+
+    def __init__(self, path):
+        self.path = path
+
+    def __missing__(self, arcs: tuple[int, int]) -> bool:
+        if len(self) >= CACHED_ENTRIES:
+            self.clear()
+        good = self[arcs] = self.path(*arcs, ALIVE)
+        return good
+
+
 class Automaton:
     def __init__(self, tables: dict):
         labels = tables["labels"]
@@ -117,6 +129,7 @@ class Automaton:
         self.arc_of = {labels[i]: i for i in live}
         self.begins = {t[:k] for t in self.arc_of for k in range(len(t))}
         self.sizes = {i: len(b) for i, b in labels.items()}
+        self.follows = Follows(self._path)
         self._clear()
         self.words = Words(self.walk)
         self.ascii_split = re.compile(ASCII_WORDS).findall
@@ -137,40 +150,41 @@ class Automaton:
                 x, rank = self.parts[x][1], bx
 
     def _clear(self) -> None:
-        self.start = State(self, b"", (-1,))
-        self.states = {(b"", (-1,)): self.start}
-
-    def transition(self, state: State, byte: int) -> State:
-        """The state behind a byte: the one token that ends there and may follow the last token before it."""
-        grown, arcs, arc_of = state.end + bytes((byte,)), state.arcs, self.arc_of
-        for skip in range(len(grown)):
-            arc = arc_of.get(grown[skip:])
-            if arc is not None and (arcs[skip] < 0 or self._path(arcs[skip], arc, ALIVE)):
-                break
-        else:
-            raise ValueError("no path spells the word: the vocabulary lacks a byte of it")
-        skip = 0
-        while grown[skip:] not in self.begins:
-            skip += 1
-        known = grown[skip:], (*arcs[skip:], arc)
-        to = self.states.get(known)
+        self.start, self.entries = End(self, b""), 0
+        self.rows = {b"": self.start}
+
+    def transition(self, grown: bytes) -> tuple[End, list[tuple[int, int]]]:
+        """Behind what was read of a word: its longest end that begins some token, and the tokens that end there."""
+        if self.entries >= CACHED_ENTRIES:  # inside a word too: what was read so far needs none of them
+            self._clear()
+        self.entries += 1
+        ends = [(len(grown) - k, arc) for k in range(len(grown)) if (arc := self.arc_of.get(grown[k:])) is not None]
+        cut = next(k for k in range(len(grown) + 1) if grown[k:] in self.begins)
+        end = grown[cut:]
+        to = self.rows.get(end)
         if to is None:
-            to = self.states[known] = State(self, *known)
-        return to
+            to = self.rows[end] = End(self, end)
+        return to, ends
 
     def walk(self, word: bytes) -> tuple[int, ...]:
         """The labels of the one path that spells the word."""
-        if len(self.states) > CACHED_STATES:
-            self._clear()
-        state, passed, sizes = self.start, [], self.sizes
+        row, follows, sizes = self.start, self.follows, self.sizes
+        arcs, at = [-1], 0
         for byte in word:
-            state = state[byte]
-            passed.append(state)
-        path, n = [], len(word)
-        while n:
-            arc = passed[n - 1].arc
+            row, ends = row[byte]
+            at += 1
+            for size, arc in ends:
+                last = arcs[at - size]
+                if last < 0 or follows[last, arc]:
+                    break
+            else:
+                raise ValueError("no path spells the word: the vocabulary lacks a byte of it")
+            arcs.append(arc)
+        path = []
+        while at:
+            arc = arcs[at]
             path.append(arc)
-            n -= sizes[arc]
+            at -= sizes[arc]
         path.reverse()
         return tuple(path)
 
@@ -186,6 +200,12 @@ class Automaton:
             ids += [self.special[piece]] if k % 2 else chain.from_iterable(map(words.__getitem__, split(piece)))
         return ids
 
+    def release(self) -> None:
+        """Let go of the words and entries met, so that a worker does not hold them through the tasks of other stages."""
+        self.words.clear()
+        self.follows.clear()
+        self._clear()
+
     def decode(self, ids: Iterable[int]) -> str:
         """Emit the arcs' labels; ids that name no arc are left out."""
         label = self.label
@@ -220,6 +240,12 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = _automaton(shipped)
+        try:
+            yield from encoded(made, batches)
+        finally:
+            made.release()
+
+    def encoded(made: Automaton, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = made.name
         for batch in batches:
             out: dict[str, list] = {"ids": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}

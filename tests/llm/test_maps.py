@@ -38,7 +38,7 @@ def test_bpe_is_the_library(spark):
 
 
 def test_bpe_table_starts_anew(monkeypatch, tmp_path):
-    monkeypatch.setattr(bpe, "CACHED_STATES", 50)
+    monkeypatch.setattr(bpe, "CACHED_ENTRIES", 50)
     made, known, rng = bpe.Automaton(bpe.load_vocabulary(VOCABULARY)), Tokenizer.from_file(VOCABULARY), random.Random(7)
     for _ in range(300):
         text = "".join(rng.choice("abcdefgh ionset\u00e9\U0001f642") for _ in range(30))
@@ -47,6 +47,16 @@ def test_bpe_table_starts_anew(monkeypatch, tmp_path):
         bpe.load_vocabulary(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def test_bpe_table_is_bounded_inside_a_word(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED_ENTRIES", 500)
+    made, known, rng = bpe.Automaton(bpe.load_vocabulary(VOCABULARY)), Tokenizer.from_file(VOCABULARY), random.Random(8)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000))
+    assert made.encode(word) == known.encode(word, add_special_tokens=False).ids
+    assert sum(map(len, made.rows.values())) <= 500 and len(made.follows) <= 500
+    made.release()
+    assert len(made.rows) == 1 and not made.words and not made.follows
+
+
 def test_bpe_round_trip(spark):
     docs = frame(spark, ODD).where("doc_id is not null")
     back = bpe.decode_documents(bpe.encode_documents(docs, VOCABULARY), VOCABULARY)
