@@ -173,6 +173,12 @@ def test_page_meta_and_ladder(spark):
     assert (row["title"], row["tier"], row["text"]) == ("x y", "metadata_only", None)
 
 
+def test_a_cut_reference_counts_as_it_stands(spark):
+    page = f"<article><h1>cut &amp</h1><p>{'word ' * 100}</p></article>"
+    row = G.extracted(spark.createDataFrame([(1, "http://a.org/x", page)], "page_id int, url string, html string")).head()
+    assert (row["tier"], row["text"]) == ("full", f"cut &amp {'word ' * 100}".strip())
+
+
 def test_index_and_embeddings_cover_all_items(spark, sf):
     items = D.items(spark, sf)
     tokens = S.tokenized(items, "title", "lang", "source", "content")
