@@ -174,10 +174,14 @@ def settled(results: DataFrame, group: str) -> DataFrame:
 
 
 def unshortened(links: DataFrame, targets: DataFrame) -> DataFrame:
-    """Links of known shorteners with where they lead (url, target); those that failed stay as they are."""
-    met = links.join(targets.withColumnRenamed("url", "_short"), F.col("url") == F.col("_short"), "left")
+    """Links of known shorteners with where they lead (url, target); those that failed stay as they are.
+
+    One row per link, whatever ``targets`` repeats: of several targets of one short link the smallest counts.
+    """
     known = U.host_of(F.col("url")).isin(*U.SHORTENERS)
-    return met.select(*links.columns, F.when(known, F.coalesce("target", "url")).otherwise(F.col("url")).alias("resolved"))
+    once = targets.where(known).groupBy(F.col("url").alias("_short")).agg(F.min("target").alias("_target"))
+    met = links.join(once, F.when(known, F.col("url")) == F.col("_short"), "left")
+    return met.select(*links.columns, F.coalesce("_target", "url").alias("resolved"))
 
 
 def posts_in_order(posts: DataFrame) -> DataFrame:

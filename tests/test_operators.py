@@ -179,6 +179,13 @@ def test_a_cut_reference_counts_as_it_stands(spark):
     assert (row["tier"], row["text"]) == ("full", f"cut &amp {'word ' * 100}".strip())
 
 
+def test_short_links_resolve_once(spark):
+    links = [(1, "https://bit.ly/a"), (2, "https://bit.ly/b"), (3, "https://ex.org/x"), (4, "https://ex.org/x"), (5, None), (6, "https://bit.ly/a")]
+    targets = [("https://bit.ly/a", "https://to.org/2"), ("https://bit.ly/a", "https://to.org/1"), ("https://ex.org/x", "https://to.org/3"), ("https://ex.org/x", "https://to.org/4"), (None, "https://to.org/5")]
+    out = X.unshortened(spark.createDataFrame(links, "id int, url string"), spark.createDataFrame(targets, "url string, target string"))
+    assert sorted((r["id"], r["resolved"]) for r in out.collect()) == [(1, "https://to.org/1"), (2, "https://bit.ly/b"), (3, "https://ex.org/x"), (4, "https://ex.org/x"), (5, None), (6, "https://to.org/1")]
+
+
 def test_index_and_embeddings_cover_all_items(spark, sf):
     items = D.items(spark, sf)
     tokens = S.tokenized(items, "title", "lang", "source", "content")
