@@ -101,7 +101,7 @@ def eval_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = D.raw(spark, sf_dir, "labels").select(F.col("doc_id").alias("item_id"), (F.col("quality") == 1).alias("relevant"), (F.col("doc_id") % 10).alias("query_id"))
     from pyspark.sql import Window as W
 
-    order = W.partitionBy("query_id").orderBy(F.pmod(F.col("item_id") * 7919, F.lit(10007)))
+    order = W.partitionBy("query_id").orderBy(F.pmod(F.col("item_id") * 7919, F.lit(10007)), "item_id")  # the key repeats after 100 070 ids
     ranked = labels.withColumn("rn", F.row_number().over(order)).where("rn <= 20")
     p = E.context_precision(ranked)
     r = E.recall(ranked, labels.where("relevant").select("query_id", "item_id"))

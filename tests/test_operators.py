@@ -15,7 +15,7 @@ from lexilake.operators import ingest as G
 from lexilake.operators import library as L
 from lexilake.operators import rag as R
 from lexilake.operators import search as S
-from lexilake.plans import decision_queries
+from lexilake.plans import answer_queries, decision_queries
 from lexilake.sources import tables as D
 
 
@@ -186,6 +186,17 @@ def test_short_links_resolve_once(spark):
     assert sorted((r["id"], r["resolved"]) for r in out.collect()) == [(1, "https://to.org/1"), (2, "https://bit.ly/b"), (3, "https://ex.org/x"), (4, "https://ex.org/x"), (5, None), (6, "https://to.org/1")]
 
 
+def test_precision_does_not_hang_on_the_order_of_rows(spark, tmp_path):
+    rows = [(i + k * 100_070, 1 - k, 0) for k in (0, 1) for i in range(200)]  # pairs that share a query and a sort key
+    got = []
+    for name, own in (("a", rows), ("b", rows[::-1])):
+        spark.createDataFrame(own, "doc_id bigint, quality int, toxic int").coalesce(1).write.parquet(str(tmp_path / name / "labels.parquet"))
+        got.append(sorted(map(tuple, answer_queries.eval_precision_recall(spark, str(tmp_path / name)).collect())))
+    # of each pair the smaller id comes first: hits at 1, 3, 5, ...
+    want = round(sum((k + 1) / (2 * k + 1) for k in range(10)) / 10, 6)
+    assert got[0] == got[1] == [(q, want, 0.5) for q in range(10)]
+
+
 def test_index_and_embeddings_cover_all_items(spark, sf):
     items = D.items(spark, sf)
     tokens = S.tokenized(items, "title", "lang", "source", "content")
