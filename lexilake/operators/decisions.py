@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Protocol
 
 import numpy as np
@@ -16,6 +17,8 @@ from lexilake.sources.stored import written
 from lexilake.streaming import scans as Y
 
 UNKNOWN_CONTEXT = 8192
+#: Parts of the terms in which two keyword indexes are compared.
+SYNC_PARTS = 65_536
 #: Extraction errors that a retry may cure, and those that it may not.
 RETRYABLE = ("rate_limited", "blocked", "network_error")
 PERMANENT = ("unsupported_url", "not_found", "invalid_pdf")
@@ -190,8 +193,22 @@ def posts_in_order(posts: DataFrame) -> DataFrame:
 
 
 def index_in_sync(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Postings that only one of the two has; none if the index is in sync."""
-    return stored.exceptAll(fresh).withColumn("side", F.lit("stored")).unionByName(fresh.exceptAll(stored).withColumn("side", F.lit("fresh")))
+    """Postings that only one of the two has, as often as it has more of them; none if the index is in sync.
+
+    Parts of the terms are compared by their number of rows and sums of two 64-bit hashes
+    of them (in halves, so that no sum overflows); only parts that differ are compared row by row.
+    """
+    columns = stored.columns
+    part = F.pmod(F.xxhash64("term"), F.lit(SYNC_PARTS))
+    said = [*columns, *[F.isnull(c) for c in columns]]  # a hash passes over nulls
+    halves = [f(h) for h in (F.xxhash64(*said), F.xxhash64(F.lit("again"), *said)) for f in (lambda h: F.shiftrightunsigned(h, 32), lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF)))]
+    signed = lambda df, sign: df.select(*columns, F.lit(sign).alias("sign"))
+    both = signed(stored, 1).unionByName(signed(fresh, -1))
+    sums = {f"s{k}": F.sum(h * F.col("sign")) for k, h in enumerate(halves)} | {"n": F.sum("sign")}
+    differ = both.groupBy(part.alias("part")).agg(*[x.alias(k) for k, x in sums.items()]).where(reduce(Column.__or__, [F.col(k) != 0 for k in sums]))
+    rows = both.withColumn("part", part).join(F.broadcast(written(differ.select("part"), "sync-parts")), "part", "left_semi")
+    left = rows.groupBy(*columns).agg(F.sum("sign").alias("n")).where("n <> 0")
+    return left.select(*columns, F.when(F.col("n") > 0, "stored").otherwise("fresh").alias("side"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.abs("n"))).alias("_n")).drop("_n")
 
 
 def shown_results(ready: bool, hybrid: DataFrame, keyword: DataFrame) -> DataFrame:

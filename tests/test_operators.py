@@ -197,6 +197,18 @@ def test_precision_does_not_hang_on_the_order_of_rows(spark, tmp_path):
     assert got[0] == got[1] == [(q, want, 0.5) for q in range(10)]
 
 
+def test_indexes_are_compared_in_parts(spark, monkeypatch):
+    columns = "term string, item_id int, tf bigint, dl int"
+    stored = spark.createDataFrame([("a", 1, 1, 9), ("a", 1, 1, 9), ("a", 2, 1, 9), ("b", 1, 2, 9), ("c", 5, 1, 9), ("c", 5, 1, 9)], columns)
+    fresh = spark.createDataFrame([("a", 1, 1, 9), ("a", 2, 1, 9), ("b", 1, 3, 9), ("c", 5, 1, 9), ("c", 5, 1, 9), ("d", 4, 1, None), ("d", 4, 1, None)], columns)
+    want = [("a", 1, 1, 9, "stored"), ("b", 1, 2, 9, "stored"), ("b", 1, 3, 9, "fresh"), ("d", 4, 1, None, "fresh"), ("d", 4, 1, None, "fresh")]
+    for parts in (1, 65_536):
+        monkeypatch.setattr(X, "SYNC_PARTS", parts)
+        got = X.index_in_sync(stored, fresh)
+        assert sorted(map(tuple, got.select("term", "item_id", "tf", "dl", "side").collect()), key=str) == sorted(want, key=str)
+        assert X.index_in_sync(stored, stored).count() == 0
+
+
 def test_index_and_embeddings_cover_all_items(spark, sf):
     items = D.items(spark, sf)
     tokens = S.tokenized(items, "title", "lang", "source", "content")
