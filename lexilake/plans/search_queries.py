@@ -130,8 +130,12 @@ def cosine_nearest_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", (F.round("distance", 6) + 0.0).alias("distance"), "label")
 
 
+def _keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(spark, sf_dir).select("item_id", F.round("rank", 9).alias("rank"))
+
+
 def _rankings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    keyword = _hits(spark, sf_dir).select("item_id", F.round("rank", 9).alias("rank"))
+    keyword = _keyword(spark, sf_dir)
     items = tables.items(spark, sf_dir).where(F.col("user_id") == USER).select("item_id")
     vector, _ = I.nearest_items(vector_index(spark, sf_dir), query_vector(spark, sf_dir), USER, S.POOL, lambda rows: rows.join(items, "item_id", "left_semi"))
     vector = vector.withColumn("distance", F.round("distance", 9))
@@ -159,7 +163,7 @@ def hybrid_page2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fts_only_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyword, _ = _rankings(spark, sf_dir)
+    keyword = _keyword(spark, sf_dir)
     return S.page_after(S.fused(S.ranked(keyword.orderBy("rank", "item_id").limit(S.POOL), "fts", "rank", "item_id")), S.PAGE).select("item_id", F.round("score", 9).alias("score"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexilake.functions import text as T
 from lexilake.operators import keyword_index as K
 from lexilake.operators import search as S
+from lexilake.plans import search_queries
 from lexilake.sources import tables as D
 from lexilake.streaming import sources as Z
 
@@ -129,3 +130,11 @@ def test_many_queries_shuffle_the_longest_prefix_of_a_posting(spark, tmp_path):
     assert many == pytest.approx(want)
     plan = K.search_many(index, spark.createDataFrame(list(asked.items()), "query_id int, tokens array<string>"))._jdf.queryExecution().toString()
     assert "hashpartitioning(query_id" not in plan
+
+
+def test_a_page_by_keywords_alone_reads_no_vectors(spark, sf, monkeypatch):
+    def refused(*_):
+        raise AssertionError("the vector index was asked")
+
+    monkeypatch.setattr(search_queries, "vector_index", refused)
+    assert search_queries.fts_only_page(spark, sf).count() > 0
